@@ -1,9 +1,10 @@
 """The registered queries of the text operators, and their SQL."""
 
-from . import decontamination, toxicity
+from . import decontamination, pieces, toxicity
 
 QUERIES = {
     "op4_decontamination": decontamination.query,
+    "op8_sentencepiece": pieces.query,
     "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
