@@ -1,8 +1,9 @@
 """The registered queries of the text operators, and their SQL."""
 
-from . import decontamination, pieces, toxicity
+from . import decontamination, lm_score, pieces, toxicity
 
 QUERIES = {
+    "op3_lm_score": lm_score.query,
     "op4_decontamination": decontamination.query,
     "op8_sentencepiece": pieces.query,
     "op10_toxicity": toxicity.query,
