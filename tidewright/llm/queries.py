@@ -1,10 +1,11 @@
 """The registered queries of the text operators, and their SQL."""
 
-from . import decontamination, fingerprint, lm_score, pieces, toxicity
+from . import decontamination, fingerprint, html_text, lm_score, pieces, toxicity
 
 QUERIES = {
     "op3_lm_score": lm_score.query,
     "op4_decontamination": decontamination.query,
+    "op6_html_text": html_text.query,
     "op7_fingerprint": fingerprint.query,
     "op8_sentencepiece": pieces.query,
     "op10_toxicity": toxicity.query,
