@@ -1,8 +1,9 @@
 """The registered queries of the text operators, and their SQL."""
 
-from . import chunk_dedup, decontamination, fingerprint, html_text, lm_score, pieces, toxicity
+from . import chunk_dedup, decontamination, fingerprint, html_text, lm_score, minhash_dedup, pieces, toxicity
 
 QUERIES = {
+    "op1_minhash_dedup": minhash_dedup.query,
     "op2_chunk_dedup": chunk_dedup.query,
     "op3_lm_score": lm_score.query,
     "op4_decontamination": decontamination.query,
