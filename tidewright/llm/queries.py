@@ -1,6 +1,6 @@
 """The registered queries of the text operators, and their SQL."""
 
-from . import chunk_dedup, decontamination, fingerprint, html_text, lm_score, minhash_dedup, pieces, toxicity
+from . import chunk_dedup, decontamination, fingerprint, html_text, lm_score, minhash_dedup, pieces, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_html_text": html_text.query,
     "op7_fingerprint": fingerprint.query,
     "op8_sentencepiece": pieces.query,
+    "op9_suffix_dedup": suffix_dedup.query,
     "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
