@@ -1,12 +1,13 @@
 """The registered queries of the text operators, and their SQL."""
 
-from . import chunk_dedup, decontamination, fingerprint, html_text, lm_score, minhash_dedup, pieces, suffix_dedup, toxicity
+from . import chunk_dedup, decontamination, fingerprint, html_text, lm_score, minhash_dedup, pieces, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.query,
     "op2_chunk_dedup": chunk_dedup.query,
     "op3_lm_score": lm_score.query,
     "op4_decontamination": decontamination.query,
+    "op5_sharding": sharding.query,
     "op6_html_text": html_text.query,
     "op7_fingerprint": fingerprint.query,
     "op8_sentencepiece": pieces.query,
@@ -14,5 +15,6 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
+    "op5_sharding": sharding.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
 }
