@@ -3,7 +3,7 @@
 A gear hash rolls over a text's bytes (each step shifts it by one bit and adds a random number for the byte, so it depends
 on the last 32 bytes). A chunk ends where the hash's first MASK_BITS bits are 0, no sooner than LEAST and no later than
 MOST bytes from its start, and never inside a character. As ends depend on content, what stands before a passage, or is
-inserted into it, shifts no more than the chunks around it. Chunks are matched by a 128-bit digest; a chunk is a repeat
+inserted into it, shifts no more than the chunks around it. Chunks are matched by a 96-bit digest; a chunk is a repeat
 unless it is the first of its digest (by doc_id, then position). Runs of repeats of RUN bytes or more are removed:
 shorter ones are phrases that texts share by chance.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODES, Spans, ordered_id, signed, steps, table, with_columns
+from .common import BYTE_CODES, Spans, ordered_id, shielded, signed, steps, table, with_columns
 
 LEAST, MOST, MASK_BITS, RUN = 24, 96, 4, 64
 GEAR = (BYTE_CODES[2] >> np.uint64(32)).astype(np.uint32)
@@ -76,11 +76,11 @@ def chunks(docs: DataFrame) -> DataFrame:
             if len(ends):
                 firsts = np.cumsum(counts) - counts
                 begin[firsts[counts > 0]] = starts[:-1][counts > 0]
-            c1, c2 = (signed(Spans(data, k).hash(begin, ends)) for k in (0, 1))
+            c1, c2 = signed(Spans(data, 0).hash(begin, ends)), (Spans(data, 1).hash(begin, ends) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column("o").take(take), batch.column("t").take(take), pa.array((begin - starts[row]).astype(np.int32)), pa.array((ends - begin).astype(np.int32)), pa.array(c1), pa.array(c2)], ["o", "t", "start", "size", "c1", "c2"])
 
-    return docs.select("o", "t", "text").mapInArrow(run, "o long, t int, start int, size int, c1 long, c2 long")
+    return docs.select("o", "t", "text").mapInArrow(run, "o long, t int, start int, size int, c1 long, c2 int")
 
 
 def text_tag():
@@ -153,8 +153,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs whose texts have lost what earlier texts hold; n_chars follows."""
-    names = docs.columns
-    out = remove_repeats(docs).withColumn("text", F.col("kept"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+
+    def work(rows: DataFrame) -> DataFrame:
+        out = remove_repeats(rows).withColumn("text", F.col("kept"))
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return out
+
+    return shielded(docs, ("doc_id", "text", "n_chars"), work)

@@ -176,3 +176,10 @@ def with_columns(df: DataFrame, make, fields, text: str = "text", most: int = ST
 def texts_of(data: np.ndarray, starts: np.ndarray) -> list[bytes]:
     raw = data.tobytes()
     return [raw[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def shielded(docs: DataFrame, needed: tuple[str, ...], work) -> DataFrame:
+    """work(docs) with docs' columns in their order, where work may add columns of any name: those of docs that it doesn't need have other names meanwhile."""
+    names = {c: c if c in needed else f"_x{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return work(inner).select(*[F.col(n).alias(c) for c, n in names.items()])

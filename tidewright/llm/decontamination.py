@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, texts_of, with_columns
+from .common import shielded, table, texts_of, with_columns
 
 WINDOW, SET_PATTERNS, BLOCK = 10, 100_000, 8
 _keep = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -154,7 +154,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a window of a benchmark item."""
-    return find_spans(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") == 0).select(*docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return shielded(docs, ("doc_id", "text"), lambda rows: find_spans(rows, benchmark).where(F.size("spans") == 0))
 
 
 ORACLE = r"""

@@ -75,15 +75,15 @@ def linked(keys: DataFrame) -> DataFrame:
     order = [F.desc("o"), F.asc("h")]
     rows = keys.withColumn("b0", F.floor(F.col("o") / F.lit(BUCKETS[0]))).withColumn("b1", F.floor(F.col("o") / F.lit(BUCKETS[1])))
     me = F.struct("o", "h", "n")
-    # a bucket's last row, in the order: the least o, and of those the largest h
-    last = F.max(F.struct((-F.col("o")).alias("neg"), "h", "n")).alias("last")
+    # a bucket's last row, in the order: the least o (as its complement, which can't overflow), and of those the largest h
+    last = F.max(F.struct(F.bitwise_not("o").alias("not_o"), "h", "n")).alias("last")
     per = rows.groupBy("b0", "b1").agg(last)
     coarse = per.groupBy("b1").agg(F.max("last").alias("last"))
     ends = coarse.select("b1", F.coalesce(F.lag("last").over(Window.orderBy(F.desc("b1"))), F.last("last").over(Window.orderBy(F.desc("b1")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("outer"))
     inner = per.join(ends, "b1").select("b0", F.coalesce(F.lag("last").over(Window.partitionBy("b1").orderBy(F.desc("b0"))), "outer").alias("outer"))
     before = F.lag(me).over(Window.partitionBy("b0").orderBy(*order))
     found = rows.join(inner, "b0").withColumn("before", before)
-    end = F.struct((-F.col("outer.neg")).alias("o"), F.col("outer.h").alias("h"), F.col("outer.n").alias("n"))
+    end = F.struct(F.bitwise_not("outer.not_o").alias("o"), F.col("outer.h").alias("h"), F.col("outer.n").alias("n"))
     return found.select("o", "h", F.coalesce("before", end).alias("before"))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, LOWER, Spans, cut, mix, ordered_id, ragged, shuffles, signed, steps, table, words
+from .common import LAST_ID, LOWER, Spans, cut, mix, ordered_id, ragged, shielded, shuffles, signed, steps, table, words
 from .components import components
 
 WORDS, BANDS, ROWS, THRESHOLD, BLOCK = 5, 32, 6, 0.8, 128
@@ -262,5 +262,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the least."""
     found = near_duplicates(keyed(docs).select("o", "t", "text"))
     gone = found.where("o <> class_o or t <> class_t").select(F.col("o").alias("_o"), F.col("t").alias("_t")).distinct()
-    rows = docs.withColumns({"_o": ordered_id(), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return rows.join(gone, ["_o", "_t"], "left_anti").dropDuplicates(["_o", "_t"]).select(*docs.columns)
+    key = {"_o": ordered_id(), "_t": F.xxhash64(F.coalesce("text", F.lit("")))}
+    return shielded(docs, ("doc_id", "text"), lambda rows: rows.withColumns(key).join(gone, ["_o", "_t"], "left_anti").dropDuplicates(["_o", "_t"]))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, texts_of, with_columns
+from .common import cut, shielded, table, texts_of, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -181,6 +181,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that are toxic."""
-    names = docs.columns
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where("not toxic").select(*names)
+    return shielded(docs, ("doc_id", "text"), lambda rows: score(rows, model).where("not toxic"))
