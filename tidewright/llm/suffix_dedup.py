@@ -10,7 +10,7 @@ place. Neighbouring starts mostly share an anchor; such a run of starts is one r
 all bytes that the run's strings cover. Rows of equal bytes are settled at once: all but the first go. What is left are
 runs that share an anchor with other bytes around it. The bytes of those are brought together by anchor, their suffixes
 are sorted, and in suffix order each start looks at the previous and the next smaller position: if either agrees in LENGTH
-bytes, the longest previous factor is that long. Bytes are compared there; runs settled at once agree in 128 bits of hashes.
+bytes, the longest previous factor is that long. Bytes are compared there; runs settled at once agree in 96 bits of hashes.
 
 Rows that repeat are dropped in the task that finds them, before anything is shuffled, so an anchor in a third of all
 documents gets to its group as one row from each task.
@@ -78,46 +78,72 @@ def anchored_runs(data: np.ndarray, starts: np.ndarray, length: int, gram: int):
     return text, begin - starts[text], left, count - 1, hashes[anchor], cover
 
 
-ROW = "gone boolean, h long, u long, o long, t int, p int, place short, more short"
-_NAMES = ["gone", "h", "u", "o", "t", "p", "place", "more"]
+#: What scan() passes on, packed, as it is most of what is shuffled. A run: h (48 bits of the anchor's hash), u (48 bits of
+#: the hash of all bytes covered, then place and more), o, and tp (t, then p). What goes: u is the number of bytes.
+PACKED = "gone boolean, h long, u long, o long, tp long"
+ROW = "gone boolean, h long, o long, t int, p int, place int, more int"
 
 
-def _rows(gone, h, u, o, t, p, place, more) -> pa.RecordBatch:
-    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int16())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((gone, h, u, o, t, p, place, more), kinds)], _NAMES)
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    names = [x.split() for x in names.split(", ")]
+    kinds = {"boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, names)], [n for n, _ in names])
 
 
-def first_rows(h, u, o, t, p, before=None) -> tuple[np.ndarray, np.ndarray]:
+def first_rows(h, u, o, tp, before=None) -> tuple[np.ndarray, np.ndarray]:
     """Of rows in the order of their columns: which are the first of their h and u, and which are later (neither is a row at the first one's place, from a repeated document). before: the first row of the last h and u so far."""
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (u[1:] != u[:-1])
     at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    places = [c[at] for c in (o, t, p)]
+    places = [c[at] for c in (o, tp)]
     if before is not None and before[:2] == (h[0], u[0]):
         new[0] = False
         lead = at == 0
         for c, v in zip(places, before[2:]):
             c[lead] = v
-    return new, ~new & ((o != places[0]) | (t != places[1]) | (p != places[2]))
+    return new, ~new & ((o != places[0]) | (tp != places[1]))
+
+
+def union_of(o: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Overlapping ranges of the same o and t as one: o, t, a, b."""
+    order = np.lexsort((a, t, o))
+    o, t, a, b = o[order], t[order], a[order], b[order]
+    other = np.ones(len(o), bool)
+    other[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1])
+    level = np.cumsum(other) << 32
+    reach = np.maximum.accumulate(level + b)
+    new = other.copy()
+    new[1:] |= level[1:] + a[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    end = np.append(at[1:], len(o)) - 1
+    return o[at], t[at], a[at], reach[end] - level[end]
 
 
 def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Runs of all texts. gone: an equal run comes earlier, as this task has seen."""
+    """Runs of all texts, and what goes because an equal run comes earlier among those that a task has seen at once."""
+    if not 0 < length - gram < 256:
+        raise ValueError("length must exceed gram, by less than 256")
 
     def run(batches):
         kept, size = [], 0
 
         def settle():
-            columns = [np.concatenate(x) for x in zip(*kept)]
-            order = np.lexsort(columns[4::-1])
-            columns = [c[order] for c in columns]
-            first, later = first_rows(*columns[:5])
-            yield _rows(later[first | later], *(c[first | later] for c in columns))
+            h, u, o, tp = (np.concatenate(x) for x in zip(*kept))
+            order = np.lexsort((tp, o, u, h))
+            h, u, o, tp = h[order], u[order], o[order], tp[order]
+            first, later = first_rows(h, u, o, tp)
+            yield _batch(PACKED, np.zeros(int(first.sum()), bool), h[first], u[first], o[first], tp[first])
+            if later.any():
+                p = tp[later] & 0xFFFFFFFF
+                o, t, a, b = union_of(o[later], tp[later] >> 32, p, p + (u[later] & 0xFF) + length)
+                # dealt out by document
+                yield _batch(PACKED, np.ones(len(o), bool), signed(mix(o.astype(np.uint64))), b - a, o, (t << 32) | a)
 
         for batch, data, starts in steps(batches):
             text, p, left, more, h, u = anchored_runs(data, starts, length, gram)
-            o, t = np.asarray(batch.column("o")), np.asarray(batch.column("t"))
-            kept.append((signed(h), signed(u), o[text], t[text], p.astype(np.int32), left.astype(np.int16), more.astype(np.int16)))
+            o, t = np.asarray(batch.column("o")), np.asarray(batch.column("t")).astype(np.int64)
+            packed = (u >> _U(16) << _U(16)) | (left.astype(np.uint64) << _U(8)) | more.astype(np.uint64)
+            kept.append(((mix(h) >> _U(16)).astype(np.int64), signed(packed), o[text], (t[text] << 32) | p))
             size += len(text)
             if size > FLUSH_ROWS:
                 yield from settle()
@@ -125,37 +151,44 @@ def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if size:
             yield from settle()
 
-    return docs.select("o", "t", "text").mapInArrow(run, ROW)
+    return docs.select("o", "t", "text").mapInArrow(run, PACKED)
+
 
+def settle_equal(rows: DataFrame, length: int) -> DataFrame:
+    """What goes (`more` is then the bytes beyond LENGTH), and runs whose anchor other bytes share. One pass over rows in order, one row held back."""
+    rows = rows.repartition(shuffles(rows), "h").sortWithinPartitions("gone", "h", "u", "o", "tp")
 
-def settle_equal(rows: DataFrame) -> DataFrame:
-    """Rows that go, and rows (gone is false) whose anchor other bytes share. One pass over rows in order, one row held back."""
-    rows = rows.repartition(shuffles(rows), "h").sortWithinPartitions("h", "u", "gone", "o", "t", "p")
+    def unpacked(gone: bool, h, u, o, tp) -> pa.RecordBatch:
+        return _batch(ROW, np.full(len(h), gone), h, o, tp >> 32, tp & 0xFFFFFFFF, (u >> 8) & 0xFF, u & 0xFF)
 
     def run(batches):
         before, held, joined = None, None, False  # first row of the last h and u; the last first row, and whether its anchor had one before
         for batch in batches:
-            c = [batch.column(n).to_numpy(zero_copy_only=False) for n in _NAMES]
+            gone = batch.column("gone").to_numpy(zero_copy_only=False)
+            every = [batch.column(n).to_numpy() for n in ("h", "u", "o", "tp")]
+            h, u, o, tp = (x[gone] for x in every)
+            yield _batch(ROW, gone[gone], h, o, tp >> 32, tp & 0xFFFFFFFF, np.zeros(len(h), int), u - length)
+            c = [x[~gone] for x in every]
             if not len(c[0]):
                 continue
-            new, later = first_rows(*c[1:6], before)
+            new, later = first_rows(*c, before)
             if new.any():
-                before = tuple(x[np.flatnonzero(new)[-1]] for x in c[1:6])
-            yield _rows(np.ones(int(later.sum()), bool), *(x[later] for x in c[1:]))
+                before = tuple(x[np.flatnonzero(new)[-1]] for x in c)
+            yield unpacked(True, *(x[later] for x in c))
             first = [x[new] for x in c]
-            if not len(first[1]):
+            if not len(first[0]):
                 continue
             if held is not None:
                 first = [np.concatenate([a, b]) for a, b in zip(held, first)]
-            same = first[1][1:] == first[1][:-1]
-            need = np.zeros(len(first[1]), bool)
+            same = first[0][1:] == first[0][:-1]
+            need = np.zeros(len(first[0]), bool)
             need[1:] |= same
             need[:-1] |= same
             need[0] |= joined
-            yield _rows(first[0][:-1][need[:-1]], *(x[:-1][need[:-1]] for x in first[1:]))
+            yield unpacked(False, *(x[:-1][need[:-1]] for x in first))
             held, joined = [x[-1:] for x in first], bool(need[-1])
         if held is not None and joined:
-            yield _rows(*held)
+            yield unpacked(False, *held)
 
     return rows.mapInArrow(run, ROW)
 
@@ -171,7 +204,7 @@ def contexts(needed: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("h", "o", "t", "p", "place", "more")] + [pa.array(cover, pa.binary())], ["h", "o", "t", "p", "place", "more", "cover"])
 
     wanted = needed.where("not gone").select("h", "o", "t", "p", "place", "more")
-    return texts.join(wanted, ["o", "t"]).mapInArrow(run, "h long, o long, t int, p int, place short, more short, cover binary")
+    return texts.join(wanted, ["o", "t"]).mapInArrow(run, "h long, o long, t int, p int, place int, more int, cover binary")
 
 
 def previous_factors(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
@@ -238,7 +271,7 @@ def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id") -> DataFrame:
     """docs (with o and t: see text_tag) and cuts: what goes, as maximal runs of bytes (start, end, start, end ...). For texts with nothing to remove cuts is null."""
-    rows = settle_equal(scan(docs, length, gram))
+    rows = settle_equal(scan(docs, length, gram), length)
     equal = rows.where("gone").select("o", "t", F.col("p").alias("a"), (F.col("p") + F.col("more") + length).alias("b"))
     partly = compare_contexts(contexts(rows, docs, length), length)
     return docs.join(equal.unionByName(partly).groupBy("o", "t").agg(F.collect_list(F.struct("a", "b")).alias("cuts")), ["o", "t"], "left")
