@@ -198,7 +198,8 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     me = F.struct("path", "k1", "k2", "lines")
     by_folder = known.select("host", F.explode("folders").alias("folder"), me.alias("page"))
     ends = by_folder.groupBy("host", "folder").agg(F.min("page").alias("low"), F.max("page").alias("high"))
-    ends = ends.where("low.k1 <> high.k1 or low.k2 <> high.k2")
+    # written once, so that the join below has a shuffle on both sides and Spark can split the rows of a hot host
+    ends = cut(ends.where("low.k1 <> high.k1 or low.k2 <> high.k2"))
     # the deepest folder with another page, and there the smallest page that isn't the page itself
     options = known.select("host", F.posexplode("folders").alias("depth", "folder"), "k1", "k2", "lines").join(ends, ["host", "folder"])
     other = F.when((F.col("low.k1") == F.col("k1")) & (F.col("low.k2") == F.col("k2")), F.col("high.lines")).otherwise(F.col("low.lines"))
