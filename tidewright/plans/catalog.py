@@ -12,6 +12,7 @@ from ..operators import recurrences as R
 from ..operators import rules as U
 from ..operators import windows as W
 from ..sources import market as M
+from ..streaming import trades as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -419,3 +420,12 @@ register("set_dedup", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number()
 register("agg_period", f"WITH d AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT symbol, year(day) AS year, {r('arg_min(v, day)', 'first')}, {r('arg_max(v, day)', 'last')}, {r('arg_max(v, day) / arg_min(v, day) - 1', 'ret')}, count(*) AS n FROM d GROUP BY 1, 2 HAVING count(*) >= 10")(
     lambda spark, d: shown(M.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("v")).groupBy("symbol", F.year("day").cast("long").alias("year")).agg(F.min_by("v", "day").alias("first"), F.max_by("v", "day").alias("last"), (F.max_by("v", "day") / F.min_by("v", "day") - 1).alias("ret"), F.count("*").alias("n")).where("n >= 10"), "symbol", "year", "first", "last", "ret", "n")
 )
+
+# ---- streaming --------------------------------------------------------------------------------
+
+register("st_tumbling_day", f"WITH {_DAILY} SELECT symbol, day, {r('day_quote', 'day_quote')} FROM daily")(
+    # complete: each trigger gives all days; the last batch is the whole
+    lambda spark, d: shown(S.drained(S.daily_volume(S.read_events(spark, f"{d}/events.parquet")), "complete").groupBy("symbol", "day").agg(F.max("day_quote").alias("day_quote")), "symbol", "day", "day_quote")
+)
+register("st_dedup", "SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1")(lambda spark, d: S.drained(S.deduplicated(S.read_events(spark, f"{d}/events.parquet"))).groupBy("symbol").agg(F.count("*").alias("n")))
+register("st_bars")(lambda spark, d: shown(S.drained(S.dollar_bars(S.read_events(spark, f"{d}/events.parquet"), 25_000.0)), "symbol", "bar_no", "open", "high", "low", "close", "volume", "dollar_value", "tick_count"))
