@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels as L
 from ..operators import recurrences as R
+from ..operators import regimes as G
 from ..operators import rules as U
 from ..operators import windows as W
 from ..sources import market as M
@@ -429,3 +430,53 @@ register("st_tumbling_day", f"WITH {_DAILY} SELECT symbol, day, {r('day_quote',
 )
 register("st_dedup", "SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1")(lambda spark, d: S.drained(S.deduplicated(S.read_events(spark, f"{d}/events.parquet"))).groupBy("symbol").agg(F.count("*").alias("n")))
 register("st_bars")(lambda spark, d: shown(S.drained(S.dollar_bars(S.read_events(spark, f"{d}/events.parquet"), 25_000.0)), "symbol", "bar_no", "open", "high", "low", "close", "volume", "dollar_value", "tick_count"))
+
+# ---- regimes, spells, samples -----------------------------------------------------------------
+
+_N20 = over(start="1 FOLLOWING", end="20 FOLLOWING")
+_M20 = over(start="2 FOLLOWING", end="20 FOLLOWING")
+add_bars(
+    "win_future_moves",
+    f"""{RETS}, s AS (SELECT *, {_TR} AS tr, stddev_samp(ret) {over(24)} AS vol, stddev_samp(ret) {_M20} AS fv, max(high) {_N20} - min(low) {_N20} AS sp FROM b), a AS (SELECT *, CASE WHEN count(tr) {over(14)} >= 14 THEN avg(tr) {over(14)} END AS atr FROM s)
+ SELECT symbol, seq, CAST(sp >= sqrt(20.0) * atr AS INTEGER) AS wide_range, CAST(fv >= vol AS INTEGER) AS high_vol FROM a""",
+    lambda b: W.future_moves(b).select("symbol", "seq", "wide_range", "high_vol"),
+)
+_DD = f"(max(close) {over()} - close) / max(close) {over()}"
+add_bars(
+    "crisis_state",
+    f"{WITH}, s AS (SELECT symbol, seq, {_DD} AS dd FROM bars), e AS (SELECT *, CASE WHEN dd > 0.9 THEN 1 WHEN dd <= 0.3 THEN 0 END AS e FROM s) SELECT symbol, seq, coalesce(last_value(e IGNORE NULLS) {over()}, 0) AS state FROM e",
+    lambda b: G.hysteresis(W.drawdown(b, "close"), F.col("drawdown") > 0.9, F.col("drawdown") <= 0.3).select("symbol", "seq", "state"),
+)
+_SP = f"{WITH}, f AS (SELECT symbol, seq, close, CAST(close > open AS INTEGER) AS f FROM bars), c AS (SELECT *, CASE WHEN f = lag(f) {BY} THEN 0 ELSE 1 END AS ch FROM f), s AS (SELECT *, sum(ch) {over()} AS s FROM c)"
+add_bars("agg_spells", f"{_SP} SELECT symbol, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS bars, {r('arg_max(close, seq) / arg_min(close, seq) - 1', 'ret')} FROM s WHERE f = 1 GROUP BY symbol, s", lambda b: shown(G.spells(b, F.col("close") > F.col("open")), "symbol", "first_seq", "last_seq", "bars", "ret"))
+add_bars("win_streaks", f"{_SP}, n AS (SELECT symbol, s, f, count(*) AS n FROM s GROUP BY 1, 2, 3) SELECT symbol, coalesce(max(n) FILTER (f = 1), 0) AS longest_win, coalesce(max(n) FILTER (f = 0), 0) AS longest_loss FROM n GROUP BY 1", lambda b: G.streaks(b, F.col("close") > F.col("open")))
+add_bars("hmm_transition", f"{_SP}, t AS (SELECT symbol, f AS to_state, lag(f) {BY} AS from_state FROM s) SELECT symbol, from_state, to_state, count(*) AS n, {r('count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY symbol, from_state)', 'p')} FROM t WHERE from_state IS NOT NULL GROUP BY 1, 2, 3", lambda b: shown(G.transitions(b.withColumn("f", (F.col("close") > F.col("open")).cast("int")), "f"), "symbol", "from_state", "to_state", "n", "p"))
+add_bars(
+    "agg_mi",
+    f"""{_TBM}, x AS (SELECT l.symbol, label, ntile(8) OVER (PARTITION BY l.symbol ORDER BY volume, l.seq) AS bin FROM l JOIN bars b ON b.symbol = l.symbol AND b.seq = l.seq), n AS (SELECT symbol, bin, label, count(*) AS n FROM x GROUP BY 1, 2, 3),
+ t AS (SELECT *, sum(n) OVER (PARTITION BY symbol) AS t, sum(n) OVER (PARTITION BY symbol, bin) AS nb, sum(n) OVER (PARTITION BY symbol, label) AS ny FROM n) SELECT symbol, {r('sum(n * 1.0 / t * ln(n * 1.0 * t / (nb * ny)))', 'mi')} FROM t GROUP BY 1""",
+    lambda b: shown(G.mutual_information(tbm(b).join(b, ["symbol", "seq"]), "volume", "label"), "symbol", "mi"),
+)
+add_bars(
+    "join_benchmark",
+    f"{_EQ}, d AS (SELECT q.symbol, CAST(b.bar_ts AS DATE) AS day, sum(pnl) AS strategy, arg_max(q.close, q.seq) / arg_min(q.close, q.seq) - 1 AS hold FROM q JOIN bars b ON b.symbol = q.symbol AND b.seq = q.seq GROUP BY 1, 2) SELECT symbol, day, {r('strategy', 'strategy')}, {r('hold', 'hold')}, {r('strategy - hold', 'alpha')} FROM d",
+    lambda b: shown(equity(b).groupBy("symbol", F.to_date("bar_ts").alias("day")).agg(F.sum("bar_pnl").alias("strategy"), (F.max_by("close", "seq") / F.min_by("close", "seq") - 1).alias("hold")).withColumn("alpha", F.col("strategy") - F.col("hold")), "symbol", "day", "strategy", "hold", "alpha"),
+)
+add_bars(
+    "eq_portfolio",
+    f"{_EQ} SELECT b.bar_ts, count(*) AS n, {r('avg(pnl)', 'pnl')} FROM q JOIN bars b ON b.symbol = q.symbol AND b.seq = q.seq GROUP BY 1",
+    lambda b: shown(equity(b).groupBy("bar_ts").agg(F.count("*").alias("n"), F.avg("bar_pnl").alias("pnl")), F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"), "n", "pnl"),
+)
+add_bars(
+    "agg_threshold_sweep",
+    f"{RETS}, s AS (SELECT symbol, lead(ret) {BY} AS f, percent_rank() OVER (PARTITION BY symbol ORDER BY volume, seq) AS p FROM b), t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS th) SELECT symbol, CAST(th AS DOUBLE) AS threshold, count(f) AS n, {r('sum(f)', 'total')} FROM s, t WHERE p >= th GROUP BY 1, 2",
+    lambda b: shown(W.returns(b).withColumns({"f": F.lead("ret").over(W.by_seq()), "p": F.percent_rank().over(Window.partitionBy("symbol").orderBy("volume", "seq"))}).withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.5, 0.6, 0.7, 0.8, 0.9)]))).where("p >= threshold").groupBy("symbol", "threshold").agg(F.count("f").alias("n"), F.sum("f").alias("total")), "symbol", "threshold", "n", "total"),
+)
+add_bars("topk_results", f"{_LED} SELECT * FROM (SELECT symbol, trade_no, {r('gross_pnl', 'gross_pnl')}, row_number() OVER (PARTITION BY symbol ORDER BY gross_pnl DESC, trade_no) AS k FROM led2) WHERE k <= 5", lambda b: shown(L.spell_trades(signalled(b), "sig").withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("gross_pnl"), "trade_no"))).where("k <= 5"), "symbol", F.col("trade_no").cast("long").alias("trade_no"), "gross_pnl", F.col("k").cast("long").alias("k")))
+register("set_intersect_dates", "SELECT CAST(o_orderdate AS DATE) AS day FROM orders INTERSECT SELECT CAST(l_shipdate AS DATE) FROM lineitem")(lambda spark, d: M.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).intersect(M.table(spark, d, "lineitem").select(F.to_date("l_shipdate"))))
+register("set_union_dates", "SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem")(lambda spark, d: M.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).union(M.table(spark, d, "lineitem").select(F.to_date("l_shipdate"))).distinct())
+add_bars("win_hurst_rs", None, lambda b: shown(G.hurst_rs(W.returns(b), "ret"), "symbol", "seq", "hurst"))
+add_bars("zigzag", None, lambda b: shown(G.zigzag(W.atr(b)), "symbol", "seq", "pivot", "price"))
+add_bars("hmm_decode", None, lambda b: shown(G.hmm_decode(W.returns(b), "log_ret", [-0.5, 0.0, 0.5], [1.0, 0.5, 1.0]), "symbol", "seq", "filtered", "p_filtered"))
+add_bars("kalman_dual", None, lambda b: shown(R.kalman(R.kalman(b, 1e-3).withColumnRenamed("kf_trend", "fast").drop("kf_trend_pred", "kf_velocity", "kf_uncertainty"), 1e-5).withColumn("spread", F.col("fast") - F.col("kf_trend")), "symbol", "seq", "fast", "kf_trend", "spread"))
+add_bars("balanced_sample", None, lambda b: G.balanced_sample(tbm(b), "label", 500).groupBy("label").agg(F.count("*").alias("n")))
