@@ -66,6 +66,13 @@ def steps(batches, text: str = "text", most: int = STEP_BYTES):
             at = to
 
 
+def slices(batches, rows: int = 200):
+    """Batches of at most `rows` rows, for work that turns them into Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shielded, table, texts_of, with_columns
+from .common import cut, shielded, slices, table, texts_of, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 SAMPLE_ROWS, MAX_WORDS, LEAST_EVIDENCE, RIDGE = 10_000, 4_096, 10.8, 1e-3
+#: Bytes of text whose features, as Python objects, are in memory at once.
+COUNT_BYTES = 1 << 18
 GRADES = 3
 
 
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     def count(_, data, starts):
         return {"words": pa.array([list(feature_counts(x).items()) for x in texts_of(data, starts)], pa.map_(pa.string(), pa.int32()))}
 
-    rows = cut(with_columns(rows, count, [T.StructField("words", counts)]).drop("text"))
+    rows = cut(with_columns(rows, count, [T.StructField("words", counts)], most=COUNT_BYTES).drop("text"))
     seen = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     a, b = seen.get(1, 0), seen.get(0, 0)
     if not (a and b):
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     index = {w: i for i, w in enumerate(vocabulary)}
 
     def features(batches):
-        for batch in batches:
+        for batch in slices(batches):
             toxic, share, ids, values = batch.column("_toxic"), [], [], []
             for pairs in batch.column("words").to_pylist():
                 hit = [(index[w], c) for w, c in pairs if w in index]
@@ -170,7 +172,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return {"severity": above.sum(axis=1), "p_toxic": above[:, 0], "grade": mass.argmax(axis=1).astype(np.int32), "toxic": above[:, 0] >= 0.5}
 
     fields = [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
-    return with_columns(docs, make, fields)
+    return with_columns(docs, make, fields, most=COUNT_BYTES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
