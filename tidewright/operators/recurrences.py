@@ -21,40 +21,31 @@ from .windows import by_seq, so_far
 BLOCK = 512
 
 
-def linear_scan(df: DataFrame, u: Column, b: float, name: str, first: Column | None = None) -> DataFrame:
-    """df with y[t] = b * y[t-1] + u[t] by symbol and seq; y of the first row is `first`, or u.
+def linear_scan(df: DataFrame, u: Column, b: float, name: str, first: Column | None = None, depth: int = 1) -> DataFrame:
+    """df with y[t] = b * y[t-1] + u[t] by symbol and seq (1, 2, 3 ... without gaps); y of the first row is `first`, or u.
 
-    Within a block the scan is a HOF over the block's sorted u; across blocks it is one over the blocks' ends.
+    Within a block y is a running sum of u scaled by powers of b; a block is short enough for those to stay in range. What
+    a block passes on is again such a recurrence, over blocks, with b to the block's length; `depth` levels are windows,
+    the last is a fold over what is then one number for BLOCK^depth rows.
     """
-    start = F.col("seq") == 1
-    rows = df.withColumn("_u", F.when(start, first if first is not None else u).otherwise(u)).withColumn("_block", F.floor((F.col("seq") - 1) / BLOCK))
-    # (position, value so far) of each row, with nothing carried in
-    pairs = F.array_sort(F.collect_list(F.struct("seq", F.col("_u").alias("u"))))
-    local = F.aggregate(
-        pairs,
-        F.array().cast("array<struct<seq:bigint,y:double>>"),
-        lambda a, x: F.concat(a, F.array(F.struct(x["seq"].cast("bigint").alias("seq"), (F.when(F.size(a) == 0, 0.0).otherwise(F.element_at(a, -1)["y"] * b) + x["u"]).alias("y")))),
-    )
-    blocks = rows.groupBy("symbol", "_block").agg(local.alias("_local"))
-    ends = blocks.select("symbol", "_block", F.element_at("_local", -1)["y"].alias("end"), F.size("_local").alias("n"))
-    chain = F.array_sort(F.collect_list(F.struct("_block", "end", "n")))
-    carried = F.aggregate(
-        chain,
-        F.array().cast("array<struct<_block:bigint,carry:double,next:double>>"),
-        lambda a, x: F.concat(
-            a,
-            F.array(
-                F.struct(
-                    x["_block"].cast("bigint").alias("_block"),
-                    F.when(F.size(a) == 0, 0.0).otherwise(F.element_at(a, -1)["next"]).alias("carry"),
-                    (F.when(F.size(a) == 0, 0.0).otherwise(F.element_at(a, -1)["next"]) * F.pow(F.lit(b), x["n"]) + x["end"]).alias("next"),
-                )
-            ),
-        ),
-    )
-    carry = ends.groupBy("symbol").agg(carried.alias("c")).select("symbol", F.explode("c").alias("c")).select("symbol", F.col("c._block").alias("_block"), F.col("c.carry").alias("_carry"))
-    scanned = blocks.join(carry, ["symbol", "_block"]).select("symbol", "_carry", F.posexplode("_local").alias("_at", "_x")).select("symbol", F.col("_x.seq").cast(df.schema["seq"].dataType).alias("seq"), (F.col("_x.y") + F.pow(F.lit(b), F.col("_at") + 1) * F.col("_carry")).alias(name))
-    return df.join(scanned, ["symbol", "seq"])
+    n = BLOCK if b == 0 else max(2, min(BLOCK, int(200 / max(1e-9, -math.log(abs(b)))))) if abs(b) < 1 else BLOCK
+    at, block = ((F.col("seq") - 1) % n).cast("double"), F.floor((F.col("seq") - 1) / n)
+    base = F.lit(float(b))
+    value = F.when(F.col("seq") == 1, first if first is not None else u).otherwise(u)
+    rows = df.withColumns({"_at": at, "_block": block, "_u": value})
+    if b == 0:
+        return rows.withColumn(name, F.col("_u")).drop("_at", "_block", "_u")
+    w = Window.partitionBy("symbol", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_local", F.pow(base, F.col("_at")) * F.sum(F.col("_u") * F.pow(base, -F.col("_at"))).over(w))
+    ends = rows.groupBy("symbol", "_block").agg(F.max_by("_local", "seq").alias("_end")).withColumn("seq", F.col("_block") + 1)
+    if depth:
+        carried = linear_scan(ends.select("symbol", "seq", "_end"), F.col("_end"), b**n, "_carry", depth=depth - 1).select("symbol", F.col("seq").alias("_block"), "_carry")
+    else:
+        chain = F.array_sort(F.collect_list(F.struct("seq", "_end")))
+        folded = F.aggregate(chain, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.when(F.size(a) == 0, 0.0).otherwise(F.element_at(a, -1)) * float(b**n) + x["_end"])))
+        carried = ends.groupBy("symbol").agg(folded.alias("c")).select("symbol", F.posexplode("c").alias("_p", "_carry")).select("symbol", (F.col("_p") + 1).cast("long").alias("_block"), "_carry")
+    done = rows.join(carried, ["symbol", "_block"], "left")
+    return done.withColumn(name, F.col("_local") + F.pow(base, F.col("_at") + 1) * F.coalesce("_carry", F.lit(0.0))).select(*df.columns, name)
 
 
 def alpha_of(halflife: float | None = None, span: float | None = None, alpha: float | None = None) -> float:
