@@ -322,7 +322,7 @@ add_bars(
  j AS (SELECT k.symbol, k.day, v FROM k LEFT JOIN daily USING (symbol, day)) SELECT symbol, day, {r("coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 100000.0)", 'value')} FROM j""",
 )
 def join_asof_ffill(spark: SparkSession, d: str) -> DataFrame:
-    daily = M.table(spark, d, "orders").where("o_orderkey % 7 < 3").groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("symbol")).agg(F.sum("o_totalprice").alias("v"))
+    daily = M.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("symbol")).agg(F.sum("o_totalprice").alias("v"))
     # each series is carried over the union of all days: one row for each series and day
     days = daily.select("day").distinct()
     series = daily.select("symbol").distinct()
