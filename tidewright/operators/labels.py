@@ -38,6 +38,34 @@ def first_touch(df: DataFrame, sigma: str, pt: float, sl: float, horizon: int, t
     return out.select("symbol", "seq", label.alias("label"), (exit_price / F.col("entry") - 1).alias("ret"), F.coalesce("hit.at", "end_seq").alias("exit_seq"))
 
 
+def touch_grid(df: DataFrame, sigma: str, sls: list[float], pts: list[float], horizons: list[int]) -> DataFrame:
+    """The labels of first_touch for each stop, target and horizon (symbol, seq, sl, pt, horizon, label), from one range join over the longest horizon.
+
+    Each anchor carries its levels, one for each multiple and horizon, and keeps the first bar that reaches each; the first
+    of an upper and a lower level's bars decides a point of the grid. A horizon takes the anchors that have it whole ahead.
+    """
+    rows = df.withColumn("_last", F.max("seq").over(Window.partitionBy("symbol")))
+    entry, unit = F.col("close"), {h: F.col(sigma) * F.lit(float(h) ** 0.5) for h in horizons}
+    levels = [(entry * (1 + pt * unit[h])).alias(f"up_{i}_{h}") for i, pt in enumerate(pts) for h in horizons]
+    levels += [(entry * (1 - sl * unit[h])).alias(f"down_{i}_{h}") for i, sl in enumerate(sls) for h in horizons]
+    anchors = rows.where((F.col("seq") + min(horizons) <= F.col("_last")) & (F.col(sigma) > 0)).select("symbol", "seq", (F.col("_last") - F.col("seq")).alias("ahead"), entry.alias("entry"), *levels)
+    pairs = forward_pairs(anchors, df.select("symbol", "seq", "high", "low", "close"), max(horizons))
+    within = {h: F.col("b.seq") <= F.col("seq") + h for h in horizons}
+    at = F.struct(F.col("b.seq").alias("at"), F.col("b.close").alias("close"))
+    firsts = [F.min(F.when(within[h] & (F.col("b.high") >= F.col(f"up_{i}_{h}")), at)).alias(f"u_{i}_{h}") for i in range(len(pts)) for h in horizons]
+    firsts += [F.min(F.when(within[h] & (F.col("b.low") <= F.col(f"down_{i}_{h}")), at)).alias(f"d_{i}_{h}") for i in range(len(sls)) for h in horizons]
+    hits = pairs.groupBy("symbol", "seq", "entry", "ahead").agg(*firsts)
+
+    def point(k: int, sl: float, m: int, pt: float, h: int) -> Column:
+        up, down = F.col(f"u_{m}_{h}.at"), F.col(f"d_{k}_{h}.at")
+        both = F.signum(F.col(f"u_{m}_{h}.close") - F.col("entry")).cast("int")
+        label = F.when(up == down, both).when(up.isNotNull() & (down.isNull() | (up < down)), 1).when(down.isNotNull(), -1).otherwise(0)
+        return F.struct(F.lit(float(sl)).alias("sl"), F.lit(float(pt)).alias("pt"), F.lit(h).alias("horizon"), label.alias("label"))
+
+    grid = F.array(*[point(k, sl, m, pt, h) for k, sl in enumerate(sls) for m, pt in enumerate(pts) for h in horizons])
+    return hits.withColumn("x", F.explode(grid)).where("x.horizon <= ahead").select("symbol", "seq", "x.sl", "x.pt", "x.horizon", "x.label")
+
+
 def trend_scan(df: DataFrame, windows: list[int]) -> DataFrame:
     """The window whose forward least-squares slope of log close has the largest |t|, and the label by |t| >= 2. Slopes come from running sums, so a row is joined to one row for each window, not to the window's rows."""
     w = so_far()
@@ -138,4 +166,4 @@ def future_return(df: DataFrame, n: int) -> Column:
     return F.lead("close", n).over(by_seq()) / F.col("close") - 1
 
 
-__all__ = ["forward_pairs", "first_touch", "trend_scan", "terciles", "context_windows", "split_temporal", "rolling_folds", "spell_trades", "chain", "equity_curve", "future_return", "next_rows"]
+__all__ = ["forward_pairs", "first_touch", "touch_grid", "trend_scan", "terciles", "context_windows", "split_temporal", "rolling_folds", "spell_trades", "chain", "equity_curve", "future_return", "next_rows"]

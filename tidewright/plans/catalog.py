@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ add_bars(
 add_bars("win_expanding_z", f"{WITH}, s AS (SELECT *, stddev_samp(close) {over()} AS sd, avg(close) {over()} AS m, count(*) {over()} AS n FROM bars) SELECT symbol, seq, {r('CASE WHEN n < 2 OR sd < 1e-10 THEN 0.0 ELSE (close - m) / sd END', 'exp_z')} FROM s", lambda b: shown(W.expanding_z(b, "close"), "symbol", "seq", "exp_z"))
 _WEIGHTS = W.fracdiff_weights(0.4, 1e-2)
 add_bars("win_fracdiff", f"{WITH} SELECT symbol, seq, {r(' + '.join(f'{w!r} * coalesce(ln(lag(close, {k}) {BY}), 0.0)' if k else f'{w!r} * ln(close)' for k, w in enumerate(_WEIGHTS)), 'fracdiff')} FROM bars", lambda b: shown(W.fracdiff(b), "symbol", "seq", "fracdiff"))
-add_bars("win_momentum_z", f"{RETS} SELECT symbol, seq, {r(f'(close / lag(close, 10) {BY} - 1) / (stddev_samp(ret) {over(10)} * sqrt(10) + 1e-10)', 'mom_z_10')} FROM b", lambda b: shown(W.momentum_z(b, 10), "symbol", "seq", "mom_z_10"))
+add_bars("win_momentum_z", f"{RETS} SELECT symbol, seq, {r(f'(close / lag(close, 10) {BY} - 1) / (stddev_samp(ret) {over(10)} * sqrt(10) + 1e-10)', 'mom_z_10')} FROM b", lambda b: (lambda x: shown(x, "symbol", "seq", *[f"mom_z_{n}" for n in (10, 50, 250, 1000)]))(reduce(W.momentum_z, (10, 50, 250, 1000), b)))
 _LIST = f"{WITH}, s AS (SELECT symbol, seq, close, list(close) {over(100)} AS v FROM bars)"
 add_bars("win_pct_rank", f"{_LIST} SELECT symbol, seq, {r('CASE WHEN len(v) < 2 THEN 50.0 ELSE 100.0 * len(list_filter(v, lambda x: x < close)) / (len(v) - 1) END', 'pct_rank')} FROM s", lambda b: shown(W.percent_rank_last(b, "close"), "symbol", "seq", "pct_rank"))
 add_bars(
@@ -292,14 +293,9 @@ add_bars("agg_class_weights", f"{_TBM}, c AS (SELECT symbol, label, count(*) AS
  SELECT symbol, CAST(sl AS DOUBLE) AS sl, CAST(pt AS DOUBLE) AS pt, count(*) AS n, count(*) FILTER (label = 1) AS ups, count(*) FILTER (label = -1) AS downs FROM l GROUP BY 1, 2, 3""",
 )
 def lab_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Labels for each pair of barrier multiples: one job for each grid point would scan the bars as often, so levels ride along as arrays."""
-    b = W.volatility(M.bars(spark, d))
-    out = None
-    for sl in (0.2, 0.4):
-        for pt in (0.2, 0.4):
-            one = L.first_touch(b, "realized_vol", pt, sl, 12).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("ups"), F.count_if(F.col("label") == -1).alias("downs")).select("symbol", F.lit(sl).alias("sl"), F.lit(pt).alias("pt"), "n", "ups", "downs")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Labels for each stop, target and horizon of the grid: one job for each point would scan the bars as often, so levels ride along as arrays."""
+    found = L.touch_grid(W.volatility(M.bars(spark, d)), "realized_vol", [1.0, 2.0, 3.0], [1.5, 2.0, 2.5, 3.0, 3.5], [50, 100, 200, 500, 1000])
+    return found.groupBy("symbol", "sl", "pt", "horizon").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("ups"), F.count_if(F.col("label") == -1).alias("downs"))
 
 
 add_bars(
@@ -345,7 +341,7 @@ add_bars("split_temporal", f"{WITH}, c AS (SELECT symbol, seq, floor(count(*) OV
 add_bars("lab_vol_regime", f"{RETS}, s AS (SELECT symbol, seq, CASE WHEN seq > 1 THEN abs(log_ret) END AS x FROM b), q AS (SELECT symbol, quantile_cont(x, 0.33) AS a, quantile_cont(x, 0.66) AS z FROM s GROUP BY 1) SELECT s.symbol, seq, CASE WHEN x IS NULL THEN 'unknown' WHEN x <= a THEN 'low' WHEN x <= z THEN 'medium' ELSE 'high' END AS vol_regime FROM s JOIN q USING (symbol)", lambda b: L.terciles(W.returns(b).withColumn("x", F.abs("log_ret")), "x").select("symbol", "seq", "vol_regime"))
 add_bars("lab_volume_ratio", f"{WITH} SELECT symbol, seq, {r(f'ln(1 + volume) / avg(ln(1 + volume)) {over(start="100 PRECEDING", end="1 PRECEDING")}', 'volume_ratio')} FROM bars", lambda b: shown(b.withColumn("lv", F.log1p("volume")).withColumn("volume_ratio", F.col("lv") / F.avg("lv").over(W.previous_rows(100))), "symbol", "seq", "volume_ratio"))
 add_bars("win_context", f"{WITH}, s AS (SELECT symbol, seq, list(close) {over(start="24 PRECEDING", end="1 PRECEDING")} AS v FROM bars) SELECT symbol, seq, {r('list_sum(v)', 'total')} FROM s WHERE len(v) = 24", lambda b: shown(L.context_windows(b, ["close"], 24).withColumn("total", F.aggregate("context", F.lit(0.0), lambda a, x: a + x["close"])), "symbol", "seq", "total"))
-register("lab_trend_scan")(bars(lambda b: shown(L.trend_scan(b, list(range(20, 101, 10))), "symbol", "seq", "window", "t_value", "label")))
+register("lab_trend_scan")(bars(lambda b: shown(L.trend_scan(b, list(range(20, 101))), "symbol", "seq", "window", "t_value", "label")))
 _SIG = f"{WITH}, g AS (SELECT symbol, seq, close, CASE WHEN close > avg(close) {over(20)} THEN 1 ELSE -1 END AS sig FROM bars)"
 
 
@@ -470,7 +466,7 @@ add_bars(
 add_bars(
     "agg_threshold_sweep",
     f"{RETS}, s AS (SELECT symbol, lead(ret) {BY} AS f, percent_rank() OVER (PARTITION BY symbol ORDER BY volume, seq) AS p FROM b), t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS th) SELECT symbol, CAST(th AS DOUBLE) AS threshold, count(f) AS n, {r('sum(f)', 'total')} FROM s, t WHERE p >= th GROUP BY 1, 2",
-    lambda b: shown(W.returns(b).withColumns({"f": F.lead("ret").over(W.by_seq()), "p": F.percent_rank().over(Window.partitionBy("symbol").orderBy("volume", "seq"))}).withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.5, 0.6, 0.7, 0.8, 0.9)]))).where("p >= threshold").groupBy("symbol", "threshold").agg(F.count("f").alias("n"), F.sum("f").alias("total")), "symbol", "threshold", "n", "total"),
+    lambda b: shown(W.returns(b).withColumns({"f": F.lead("ret").over(W.by_seq()), "p": F.percent_rank().over(Window.partitionBy("symbol").orderBy("volume", "seq"))}).withColumn("threshold", F.explode(F.array(*[F.lit(k / 20) for k in range(10, 20)]))).where("p >= threshold").groupBy("symbol", "threshold").agg(F.count("f").alias("n"), F.sum("f").alias("total")), "symbol", "threshold", "n", "total"),
 )
 add_bars("topk_results", f"{_LED} SELECT * FROM (SELECT symbol, trade_no, {r('gross_pnl', 'gross_pnl')}, row_number() OVER (PARTITION BY symbol ORDER BY gross_pnl DESC, trade_no) AS k FROM led2) WHERE k <= 5", lambda b: shown(L.spell_trades(signalled(b), "sig").withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("gross_pnl"), "trade_no"))).where("k <= 5"), "symbol", F.col("trade_no").cast("long").alias("trade_no"), "gross_pnl", F.col("k").cast("long").alias("k")))
 register("set_intersect_dates", "SELECT CAST(o_orderdate AS DATE) AS day FROM orders INTERSECT SELECT CAST(l_shipdate AS DATE) FROM lineitem")(lambda spark, d: M.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).intersect(M.table(spark, d, "lineitem").select(F.to_date("l_shipdate"))))
