@@ -80,12 +80,12 @@ def chunks(docs: DataFrame) -> DataFrame:
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column("o").take(take), batch.column("t").take(take), pa.array((begin - starts[row]).astype(np.int32)), pa.array((ends - begin).astype(np.int32)), pa.array(c1), pa.array(c2)], ["o", "t", "start", "size", "c1", "c2"])
 
-    return docs.select("o", "t", "text").mapInArrow(run, "o long, t int, start int, size int, c1 long, c2 int")
+    return docs.select("o", "t", "text").mapInArrow(run, "o long, t long, start int, size int, c1 long, c2 int")
 
 
 def text_tag():
-    """24 bits of the text's hash, which tell apart rows that share a doc_id; whole hashes would be much of what is shuffled."""
-    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 24)).cast("int")
+    """The text's hash, all 64 bits, which tells apart rows that share a doc_id: one key, such as null, may hold millions of texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def repeats(docs: DataFrame) -> DataFrame:

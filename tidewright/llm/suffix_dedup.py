@@ -79,9 +79,9 @@ def anchored_runs(data: np.ndarray, starts: np.ndarray, length: int, gram: int):
 
 
 #: What scan() passes on, packed, as it is most of what is shuffled. A run: h (48 bits of the anchor's hash), u (48 bits of
-#: the hash of all bytes covered, then place and more), o, and tp (t, then p). What goes: u is the number of bytes.
-PACKED = "gone boolean, h long, u long, o long, tp long"
-ROW = "gone boolean, h long, o long, t int, p int, place int, more int"
+#: the hash of all bytes covered, then place and more), o, t and p. What goes: u is the number of bytes.
+PACKED = "gone boolean, h long, u long, o long, t long, p int"
+ROW = "gone boolean, h long, o long, t long, p int, place int, more int"
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -90,18 +90,18 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, names)], [n for n, _ in names])
 
 
-def first_rows(h, u, o, tp, before=None) -> tuple[np.ndarray, np.ndarray]:
+def first_rows(h, u, o, t, p, before=None) -> tuple[np.ndarray, np.ndarray]:
     """Of rows in the order of their columns: which are the first of their h and u, and which are later (neither is a row at the first one's place, from a repeated document). before: the first row of the last h and u so far."""
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (u[1:] != u[:-1])
     at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    places = [c[at] for c in (o, tp)]
+    places = [c[at] for c in (o, t, p)]
     if before is not None and before[:2] == (h[0], u[0]):
         new[0] = False
         lead = at == 0
         for c, v in zip(places, before[2:]):
             c[lead] = v
-    return new, ~new & ((o != places[0]) | (tp != places[1]))
+    return new, ~new & ((o != places[0]) | (t != places[1]) | (p != places[2]))
 
 
 def union_of(o: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray):
@@ -128,22 +128,21 @@ def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
         kept, size = [], 0
 
         def settle():
-            h, u, o, tp = (np.concatenate(x) for x in zip(*kept))
-            order = np.lexsort((tp, o, u, h))
-            h, u, o, tp = h[order], u[order], o[order], tp[order]
-            first, later = first_rows(h, u, o, tp)
-            yield _batch(PACKED, np.zeros(int(first.sum()), bool), h[first], u[first], o[first], tp[first])
+            rows = [np.concatenate(x) for x in zip(*kept)]
+            order = np.lexsort(rows[::-1])
+            h, u, o, t, p = (x[order] for x in rows)
+            first, later = first_rows(h, u, o, t, p)
+            yield _batch(PACKED, np.zeros(int(first.sum()), bool), h[first], u[first], o[first], t[first], p[first])
             if later.any():
-                p = tp[later] & 0xFFFFFFFF
-                o, t, a, b = union_of(o[later], tp[later] >> 32, p, p + (u[later] & 0xFF) + length)
+                o, t, a, b = union_of(o[later], t[later], p[later], p[later] + (u[later] & 0xFF) + length)
                 # dealt out by document
-                yield _batch(PACKED, np.ones(len(o), bool), signed(mix(o.astype(np.uint64))), b - a, o, (t << 32) | a)
+                yield _batch(PACKED, np.ones(len(o), bool), signed(mix(o.astype(np.uint64))), b - a, o, t, a)
 
         for batch, data, starts in steps(batches):
             text, p, left, more, h, u = anchored_runs(data, starts, length, gram)
-            o, t = np.asarray(batch.column("o")), np.asarray(batch.column("t")).astype(np.int64)
+            o, t = np.asarray(batch.column("o")), np.asarray(batch.column("t"))
             packed = (u >> _U(16) << _U(16)) | (left.astype(np.uint64) << _U(8)) | more.astype(np.uint64)
-            kept.append(((mix(h) >> _U(16)).astype(np.int64), signed(packed), o[text], (t[text] << 32) | p))
+            kept.append(((mix(h) >> _U(16)).astype(np.int64), signed(packed), o[text], t[text], p))
             size += len(text)
             if size > FLUSH_ROWS:
                 yield from settle()
@@ -156,18 +155,18 @@ def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def settle_equal(rows: DataFrame, length: int) -> DataFrame:
     """What goes (`more` is then the bytes beyond LENGTH), and runs whose anchor other bytes share. One pass over rows in order, one row held back."""
-    rows = rows.repartition(shuffles(rows), "h").sortWithinPartitions("gone", "h", "u", "o", "tp")
+    rows = rows.repartition(shuffles(rows), "h").sortWithinPartitions("gone", "h", "u", "o", "t", "p")
 
-    def unpacked(gone: bool, h, u, o, tp) -> pa.RecordBatch:
-        return _batch(ROW, np.full(len(h), gone), h, o, tp >> 32, tp & 0xFFFFFFFF, (u >> 8) & 0xFF, u & 0xFF)
+    def unpacked(gone: bool, h, u, o, t, p) -> pa.RecordBatch:
+        return _batch(ROW, np.full(len(h), gone), h, o, t, p, (u >> 8) & 0xFF, u & 0xFF)
 
     def run(batches):
         before, held, joined = None, None, False  # first row of the last h and u; the last first row, and whether its anchor had one before
         for batch in batches:
             gone = batch.column("gone").to_numpy(zero_copy_only=False)
-            every = [batch.column(n).to_numpy() for n in ("h", "u", "o", "tp")]
-            h, u, o, tp = (x[gone] for x in every)
-            yield _batch(ROW, gone[gone], h, o, tp >> 32, tp & 0xFFFFFFFF, np.zeros(len(h), int), u - length)
+            every = [batch.column(n).to_numpy() for n in ("h", "u", "o", "t", "p")]
+            h, u, o, t, p = (x[gone] for x in every)
+            yield _batch(ROW, gone[gone], h, o, t, p, np.zeros(len(h), int), u - length)
             c = [x[~gone] for x in every]
             if not len(c[0]):
                 continue
@@ -204,7 +203,7 @@ def contexts(needed: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("h", "o", "t", "p", "place", "more")] + [pa.array(cover, pa.binary())], ["h", "o", "t", "p", "place", "more", "cover"])
 
     wanted = needed.where("not gone").select("h", "o", "t", "p", "place", "more")
-    return texts.join(wanted, ["o", "t"]).mapInArrow(run, "h long, o long, t int, p int, place int, more int, cover binary")
+    return texts.join(wanted, ["o", "t"]).mapInArrow(run, "h long, o long, t long, p int, place int, more int, cover binary")
 
 
 def previous_factors(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
@@ -232,7 +231,7 @@ def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
     def of(group):
         h, o, t, p, place, more, cover = group
         flat, at = np.frombuffer(b"".join(cover), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in cover])[:-1]])
-        _, rank = np.unique(np.array(list(zip(o, t)), dtype=[("o", np.int64), ("t", np.int32)]), return_inverse=True)
+        _, rank = np.unique(np.array(list(zip(o, t)), dtype=[("o", np.int64), ("t", np.int64)]), return_inverse=True)
         count = np.array(more, np.int64) + 1
         row, k = np.repeat(np.arange(len(count)), count), ragged(count)
         offset = k - np.array(place)[row]  # of the string's start from its anchor; equal strings have equal ones
@@ -249,7 +248,7 @@ def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
             i = np.flatnonzero(new)
             j = np.append(i[1:], len(s)) - 1
             r, a, b = row[s[i]], p[row[s[i]]] + k[s[i]], p[row[s[j]]] + k[s[j]] + length
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(o, np.int64)[r]), pa.array(np.array(t, np.int32)[r]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["o", "t", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(o, np.int64)[r]), pa.array(np.array(t, np.int64)[r]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["o", "t", "a", "b"])
 
     def run(batches):
         names = ("h", "o", "t", "p", "place", "more", "cover")
@@ -266,7 +265,7 @@ def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
         if weight:
             yield from of(held)
 
-    return rows.mapInArrow(run, "o long, t int, a int, b int")
+    return rows.mapInArrow(run, "o long, t long, a int, b int")
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id") -> DataFrame:
