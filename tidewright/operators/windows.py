@@ -43,7 +43,7 @@ def full(x: Column, over, n: int, value: Column) -> Column:
 
 def returns(df: DataFrame) -> DataFrame:
     prev = F.lag("close").over(by_seq())
-    return df.withColumns({"ret": F.coalesce(F.col("close") / prev - 1, F.lit(0.0)), "log_ret": F.log(F.col("close") / prev)})
+    return df.withColumns({"ret": F.coalesce(F.try_divide("close", prev) - 1, F.lit(0.0)), "log_ret": F.log(F.try_divide("close", prev))})
 
 
 def gk_term() -> Column:
@@ -52,7 +52,7 @@ def gk_term() -> Column:
 
 
 def pk_term() -> Column:
-    hl = F.log(F.col("high") / F.col("low"))
+    hl = F.log(F.try_divide("high", "low"))
     return hl * hl / (4 * math.log(2))
 
 
@@ -127,7 +127,7 @@ def fracdiff(df: DataFrame, d: float = 0.4, threshold: float = 1e-5, strict: boo
 
 def momentum_z(df: DataFrame, n: int) -> DataFrame:
     w = last_rows(n)
-    change = F.col("close") / F.lag("close", n).over(by_seq()) - 1
+    change = F.try_divide("close", F.lag("close", n).over(by_seq())) - 1
     return returns(df).withColumn(f"mom_z_{n}", change / (F.stddev_samp("ret").over(w) * math.sqrt(n) + EPS))
 
 
@@ -206,7 +206,7 @@ def adverse_excursion(df: DataFrame, horizon: int = 10, window: int = 100, least
     """Largest move against a long and a short entry at the open within the horizon, and percentiles of those that were complete before the bar."""
     ahead = next_rows(1, horizon)
     whole = F.count("low").over(ahead) == horizon
-    df = df.withColumns({"mae_long": F.when(whole, F.log(F.col("open") / F.min("low").over(ahead))), "mae_short": F.when(whole, F.log(F.max("high").over(ahead) / F.col("open")))})
+    df = df.withColumns({"mae_long": F.when(whole, F.log(F.try_divide("open", F.min("low").over(ahead)))), "mae_short": F.when(whole, F.log(F.try_divide(F.max("high").over(ahead), "open")))})
     known = by_seq().rowsBetween(-window - horizon, -horizon - 1)
     return df.withColumn("mae_p95", F.when(F.count("mae_long").over(known) >= least, F.percentile("mae_long", F.lit(0.95)).over(known)))
 
@@ -221,15 +221,15 @@ def future_moves(df: DataFrame, horizon: int = 20, k: float = 1.0) -> DataFrame:
 
 def drawdown(df: DataFrame, column: str) -> DataFrame:
     df = df.withColumn("peak", F.max(column).over(so_far()))
-    return df.withColumn("drawdown", (F.col("peak") - F.col(column)) / F.col("peak"))
+    return df.withColumn("drawdown", F.try_divide(F.col("peak") - F.col(column), "peak"))
 
 
 def histogram_entropy(df: DataFrame, n: int = 24, bins: int = 10) -> DataFrame:
     """Normalised entropy of the last n volatility-scaled returns over equal bins between their least and largest; 0 until there are n, or if they don't differ."""
-    df = volatility(df, n).withColumn("_x", F.col("ret") / F.greatest(F.col("realized_vol"), F.lit(EPS)))
+    df = volatility(df, n).withColumn("_x", F.when(F.col("realized_vol") > 1e-8, F.col("ret") / F.col("realized_vol")).otherwise(F.col("ret")))
     values = F.collect_list("_x").over(last_rows(n))
     low, high = F.array_min(values), F.array_max(values)
-    slot = F.transform(values, lambda x: F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1)))
+    slot = F.transform(values, lambda x: F.least(F.floor(F.try_divide(x - low, high - low) * bins), F.lit(bins - 1)))
     shares = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(slot, lambda s: s == b)) / F.lit(float(n)))
     h = F.aggregate(shares, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log(p)).otherwise(0.0)) / math.log(bins)
     return df.withColumn("entropy", F.when((F.size(values) < n) | (high - low < EPS), 0.0).otherwise(h)).drop("_x")

@@ -62,8 +62,8 @@ def add_bars(name, sql, f):
 
 # ---- sources ----------------------------------------------------------------------------------
 
-register("src_trade_validate", f"""WITH {M.TRADES_SQL} SELECT CASE WHEN price <= 0 THEN 'price' WHEN qty < 0 THEN 'qty' WHEN quote_qty < 0 THEN 'quote_qty' WHEN ts_ms <= 0 THEN 'ts_ms' WHEN trade_id <= 0 THEN 'trade_id' ELSE 'ok' END AS reason, count(*) AS n FROM trades GROUP BY 1""")(
-    lambda spark, d: M.trades(spark, d).groupBy(F.coalesce(M.invalid_reason(), F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+register("src_trade_validate", f"""WITH {M.RAW_TRADES_SQL} SELECT CASE WHEN price <= 0 THEN 'price' WHEN qty < 0 THEN 'qty' WHEN quote_qty < 0 THEN 'quote_qty' WHEN ts_ms <= 0 THEN 'ts_ms' WHEN trade_id <= 0 THEN 'trade_id' ELSE 'ok' END AS reason, count(*) AS n FROM raw_trades GROUP BY 1""")(
+    lambda spark, d: M.raw_trades(spark, d).groupBy(F.coalesce(M.invalid_reason(), F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 )
 register("src_aggressor", f"WITH {M.TRADES_SQL} SELECT symbol, is_aggressor_buy, count(*) AS n, {r('sum(quote_qty)', 'quote_qty')} FROM trades GROUP BY 1, 2")(
     lambda spark, d: shown(M.trades(spark, d).groupBy("symbol", "is_aggressor_buy").agg(F.count("*").alias("n"), F.sum("quote_qty").alias("quote_qty")), "symbol", "is_aggressor_buy", "n", "quote_qty")
@@ -125,9 +125,9 @@ add_bars(
     lambda b: shown(W.expanding_moments(W.returns(b), "ret"), "symbol", "seq", "exp_mean", "exp_var", "exp_skew", "exp_kurt"),
 )
 add_bars("win_expanding_z", f"{WITH}, s AS (SELECT *, stddev_samp(close) {over()} AS sd, avg(close) {over()} AS m, count(*) {over()} AS n FROM bars) SELECT symbol, seq, {r('CASE WHEN n < 2 OR sd < 1e-10 THEN 0.0 ELSE (close - m) / sd END', 'exp_z')} FROM s", lambda b: shown(W.expanding_z(b, "close"), "symbol", "seq", "exp_z"))
-_WEIGHTS = W.fracdiff_weights(0.4, 1e-2)
-add_bars("win_fracdiff", f"{WITH} SELECT symbol, seq, {r(' + '.join(f'{w!r} * coalesce(ln(lag(close, {k}) {BY}), 0.0)' if k else f'{w!r} * ln(close)' for k, w in enumerate(_WEIGHTS)), 'fracdiff')} FROM bars", lambda b: shown(W.fracdiff(b), "symbol", "seq", "fracdiff"))
-add_bars("win_momentum_z", f"{RETS} SELECT symbol, seq, {r(f'(close / lag(close, 10) {BY} - 1) / (stddev_samp(ret) {over(10)} * sqrt(10) + 1e-10)', 'mom_z_10')} FROM b", lambda b: (lambda x: shown(x, "symbol", "seq", *[f"mom_z_{n}" for n in (10, 50, 250, 1000)]))(reduce(W.momentum_z, (10, 50, 250, 1000), b)))
+_LAGS = "wt AS (SELECT 0 AS k, CAST(1 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w * (0.4 - k) / (k + 1) FROM wt WHERE abs(w * (0.4 - k) / (k + 1)) >= 1e-5)"
+add_bars("win_fracdiff", f"WITH RECURSIVE {_LAGS}, {M.BARS_SQL} SELECT a.symbol, a.seq, {r('sum(w * ln(b.close))', 'fracdiff')} FROM bars a JOIN wt ON true JOIN bars b ON b.symbol = a.symbol AND b.seq = a.seq - k GROUP BY 1, 2", lambda b: shown(W.fracdiff(b), "symbol", "seq", "fracdiff"))
+add_bars("win_momentum_z", f"{RETS} SELECT symbol, seq, {', '.join(r(f'(close / lag(close, {n}) {BY} - 1) / (stddev_samp(ret) {over(n)} * sqrt({n}) + 1e-10)', f'mom_z_{n}') for n in (10, 50, 250, 1000))} FROM b", lambda b: (lambda x: shown(x, "symbol", "seq", *[f"mom_z_{n}" for n in (10, 50, 250, 1000)]))(reduce(W.momentum_z, (10, 50, 250, 1000), b)))
 _LIST = f"{WITH}, s AS (SELECT symbol, seq, close, list(close) {over(100)} AS v FROM bars)"
 add_bars("win_pct_rank", f"{_LIST} SELECT symbol, seq, {r('CASE WHEN len(v) < 2 THEN 50.0 ELSE 100.0 * len(list_filter(v, lambda x: x < close)) / (len(v) - 1) END', 'pct_rank')} FROM s", lambda b: shown(W.percent_rank_last(b, "close"), "symbol", "seq", "pct_rank"))
 add_bars(
@@ -285,12 +285,12 @@ add_bars("agg_class_weights", f"{_TBM}, c AS (SELECT symbol, label, count(*) AS
 
 @register(
     "lab_grid",
-    f"""{RETS}, s AS (SELECT *, coalesce(stddev_samp(ret) {over(24)}, 0.0) AS sigma, max(seq) OVER (PARTITION BY symbol) AS n FROM b), g AS (SELECT * FROM (VALUES (0.2), (0.4)) a(sl), (VALUES (0.2), (0.4)) b(pt)),
- a AS (SELECT symbol, seq, sl, pt, close AS entry, close * (1 + pt * sigma * sqrt(12.0)) AS up, close * (1 - sl * sigma * sqrt(12.0)) AS dn FROM s, g WHERE seq + 12 <= n AND sigma > 0),
- p AS (SELECT a.*, b2.seq AS bs, b2.close AS bc, b2.high >= up AS hu, b2.low <= dn AS hd FROM a JOIN bars b2 ON b2.symbol = a.symbol AND b2.seq > a.seq AND b2.seq <= a.seq + 12),
- h AS (SELECT symbol, seq, sl, pt, any_value(entry) AS entry, min(bs) FILTER (hu OR hd) AS hit_at, arg_min(hu, bs) FILTER (hu OR hd) AS hu, arg_min(hd, bs) FILTER (hu OR hd) AS hd, arg_min(bc, bs) FILTER (hu OR hd) AS hc FROM p GROUP BY 1, 2, 3, 4),
- l AS (SELECT *, CASE WHEN hit_at IS NULL THEN 0 WHEN hu AND hd THEN CAST(sign(hc - entry) AS INTEGER) WHEN hu THEN 1 ELSE -1 END AS label FROM h)
- SELECT symbol, CAST(sl AS DOUBLE) AS sl, CAST(pt AS DOUBLE) AS pt, count(*) AS n, count(*) FILTER (label = 1) AS ups, count(*) FILTER (label = -1) AS downs FROM l GROUP BY 1, 2, 3""",
+    f"""{RETS}, s AS (SELECT *, coalesce(stddev_samp(ret) {over(24)}, 0.0) AS sigma, max(seq) OVER (PARTITION BY symbol) AS n FROM b), hz AS (SELECT unnest([50, 100, 200, 500, 1000]) AS hz),
+ a AS (SELECT symbol, seq, hz, close AS entry, sigma * sqrt(CAST(hz AS DOUBLE)) AS u FROM s, hz WHERE seq + hz <= n AND sigma > 0),
+ p AS (SELECT a.*, b2.seq AS bs, b2.close AS bc, b2.high AS bh, b2.low AS bl FROM a JOIN bars b2 ON b2.symbol = a.symbol AND b2.seq > a.seq AND b2.seq <= a.seq + hz),
+ h AS (SELECT symbol, seq, hz, entry, {', '.join(f'min(bs) FILTER (bh >= entry * (1 + {x} * u)) AS u{i}, arg_min(bc, bs) FILTER (bh >= entry * (1 + {x} * u)) AS c{i}' for i, x in enumerate((1.5, 2.0, 2.5, 3.0, 3.5)))}, {', '.join(f'min(bs) FILTER (bl <= entry * (1 - {x} * u)) AS d{i}' for i, x in enumerate((1.0, 2.0, 3.0)))} FROM p GROUP BY 1, 2, 3, 4),
+ l AS ({' UNION ALL '.join(f'SELECT symbol, CAST({sl} AS DOUBLE) AS sl, CAST({pt} AS DOUBLE) AS pt, hz, CASE WHEN u{m} = d{k} THEN CAST(sign(c{m} - entry) AS INTEGER) WHEN u{m} IS NOT NULL AND (d{k} IS NULL OR u{m} < d{k}) THEN 1 WHEN d{k} IS NOT NULL THEN -1 ELSE 0 END AS label FROM h' for k, sl in enumerate((1.0, 2.0, 3.0)) for m, pt in enumerate((1.5, 2.0, 2.5, 3.0, 3.5)))})
+ SELECT symbol, sl, pt, CAST(hz AS INTEGER) AS horizon, count(*) AS n, count(*) FILTER (label = 1) AS ups, count(*) FILTER (label = -1) AS downs FROM l GROUP BY 1, 2, 3, 4""",
 )
 def lab_grid(spark: SparkSession, d: str) -> DataFrame:
     """Labels for each stop, target and horizon of the grid: one job for each point would scan the bars as often, so levels ride along as arrays."""
@@ -314,7 +314,7 @@ add_bars(
 
 @register(
     "join_asof_ffill",
-    f"""WITH daily AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderpriority AS symbol, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 7 < 3 GROUP BY 1, 2), k AS (SELECT * FROM (SELECT DISTINCT day FROM daily), (SELECT DISTINCT symbol FROM daily)),
+    f"""WITH daily AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderpriority AS symbol, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), k AS (SELECT * FROM (SELECT DISTINCT day FROM daily), (SELECT DISTINCT symbol FROM daily)),
  j AS (SELECT k.symbol, k.day, v FROM k LEFT JOIN daily USING (symbol, day)) SELECT symbol, day, {r("coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 100000.0)", 'value')} FROM j""",
 )
 def join_asof_ffill(spark: SparkSession, d: str) -> DataFrame:
@@ -424,7 +424,7 @@ register("st_tumbling_day", f"WITH {_DAILY} SELECT symbol, day, {r('day_quote',
     # complete: each trigger gives all days; the last batch is the whole
     lambda spark, d: shown(S.drained(S.daily_volume(S.read_events(spark, f"{d}/events.parquet")), "complete").groupBy("symbol", "day").agg(F.max("day_quote").alias("day_quote")), "symbol", "day", "day_quote")
 )
-register("st_dedup", "SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1")(lambda spark, d: S.drained(S.deduplicated(S.read_events(spark, f"{d}/events.parquet"))).groupBy("symbol").agg(F.count("*").alias("n")))
+register("st_dedup", f"WITH {M.TRADES_SQL} SELECT symbol, count(*) AS n FROM trades GROUP BY 1")(lambda spark, d: S.drained(S.deduplicated(S.read_events(spark, f"{d}/events.parquet"))).groupBy("symbol").agg(F.count("*").alias("n")))
 register("st_bars")(lambda spark, d: shown(S.drained(S.dollar_bars(S.read_events(spark, f"{d}/events.parquet"), 25_000.0)), "symbol", "bar_no", "open", "high", "low", "close", "volume", "dollar_value", "tick_count"))
 
 # ---- regimes, spells, samples -----------------------------------------------------------------
@@ -465,7 +465,7 @@ add_bars(
 )
 add_bars(
     "agg_threshold_sweep",
-    f"{RETS}, s AS (SELECT symbol, lead(ret) {BY} AS f, percent_rank() OVER (PARTITION BY symbol ORDER BY volume, seq) AS p FROM b), t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS th) SELECT symbol, CAST(th AS DOUBLE) AS threshold, count(f) AS n, {r('sum(f)', 'total')} FROM s, t WHERE p >= th GROUP BY 1, 2",
+    f"{RETS}, s AS (SELECT symbol, lead(ret) {BY} AS f, percent_rank() OVER (PARTITION BY symbol ORDER BY volume, seq) AS p FROM b), t AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS th) SELECT symbol, CAST(th AS DOUBLE) AS threshold, count(f) AS n, {r('sum(f)', 'total')} FROM s, t WHERE p >= th GROUP BY 1, 2",
     lambda b: shown(W.returns(b).withColumns({"f": F.lead("ret").over(W.by_seq()), "p": F.percent_rank().over(Window.partitionBy("symbol").orderBy("volume", "seq"))}).withColumn("threshold", F.explode(F.array(*[F.lit(k / 20) for k in range(10, 20)]))).where("p >= threshold").groupBy("symbol", "threshold").agg(F.count("f").alias("n"), F.sum("f").alias("total")), "symbol", "threshold", "n", "total"),
 )
 add_bars("topk_results", f"{_LED} SELECT * FROM (SELECT symbol, trade_no, {r('gross_pnl', 'gross_pnl')}, row_number() OVER (PARTITION BY symbol ORDER BY gross_pnl DESC, trade_no) AS k FROM led2) WHERE k <= 5", lambda b: shown(L.spell_trades(signalled(b), "sig").withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("gross_pnl"), "trade_no"))).where("k <= 5"), "symbol", F.col("trade_no").cast("long").alias("trade_no"), "gross_pnl", F.col("k").cast("long").alias("k")))

@@ -72,6 +72,11 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The well-formed trades: bars, labels and ledgers never see a price of 0."""
+    return split_valid(raw_trades(spark, sf_dir))[0]
+
+
+def raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades from events: the event type is the symbol, the value the price, props.k + 1 the quantity."""
     e = table(spark, sf_dir, "events")
     qty = (F.get_json_object("props", "$.k").cast("int") + 1).cast("double")
@@ -123,8 +128,10 @@ def read_months(spark: SparkSession, path: str, first: str, last: str, symbol: s
 
 
 #: The same tables for DuckDB.
-TRADES_SQL = """trades AS (SELECT event_type AS symbol, event_id + 1 AS trade_id, value AS price, CAST(1 + CAST(json_extract_string(props, '$.k') AS INTEGER) AS DOUBLE) AS qty,
+RAW_TRADES_SQL = """raw_trades AS (SELECT event_type AS symbol, event_id + 1 AS trade_id, value AS price, CAST(1 + CAST(json_extract_string(props, '$.k') AS INTEGER) AS DOUBLE) AS qty,
  value * (1 + CAST(json_extract_string(props, '$.k') AS INTEGER)) AS quote_qty, epoch_us(ts) // 1000 AS ts_ms, ts, user_id % 2 = 0 AS is_buyer_maker, user_id % 2 <> 0 AS is_aggressor_buy FROM events)"""
+TRADES_SQL = RAW_TRADES_SQL + """,
+trades AS (SELECT * FROM raw_trades WHERE price > 0 AND isfinite(price) AND qty >= 0 AND quote_qty >= 0 AND ts_ms > 0 AND trade_id > 0)"""
 BARS_SQL = (
     TRADES_SQL
     + """,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
         qty.alias("qty"),
         (F.col("value") * qty).alias("quote_qty"),
         F.col("ts").cast("timestamp").alias("ts"),
-    )
+    ).where("price > 0 AND qty >= 0")
 
 
 def deduplicated(trades: DataFrame) -> DataFrame:
@@ -69,7 +68,9 @@ def dollar_bars(trades: DataFrame, threshold: float) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream yields from all that is there now, by way of files in the shared folder."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
