@@ -9,7 +9,7 @@ shorter ones are phrases that texts share by chance.
 
 Defined cases: null and empty texts have no chunks; a null doc_id comes after all others; rows that repeat doc_id and
 text are one document and each get its result; a text that consists of repeats ends up empty; repeats within a text
-count.
+count; a text of any length is taken whole, in a step of its own.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODES, Spans, ordered_id, shielded, signed, steps, table, with_columns
+from .common import BYTE_CODES, Spans, cut, ordered_id, shielded, signed, steps, table, with_columns
 
-LEAST, MOST, MASK_BITS, RUN = 24, 96, 4, 64
+LEAST, MOST, MASK_BITS, RUN, FLUSH_CHUNKS = 24, 96, 4, 64, 1_000_000
 GEAR = (BYTE_CODES[2] >> np.uint64(32)).astype(np.uint32)
 
 
@@ -65,20 +65,30 @@ def chunk_ends(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array(ends, np.int64), counts
 
 
+def spans_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where chunks start and end, and how many each text has."""
+    ends, counts = chunk_ends(data, starts)
+    begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    if len(ends):
+        firsts = np.cumsum(counts) - counts
+        begin[firsts[counts > 0]] = starts[:-1][counts > 0]
+    return begin, ends, counts
+
+
+def hashes_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return signed(Spans(data, 0).hash(begin, end)), (Spans(data, 1).hash(begin, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """o, t, start, size, c1 and c2 of each chunk. docs: o and t (what identifies a document), text."""
 
     def run(batches):
         for batch, data, starts in steps(batches):
-            ends, counts = chunk_ends(data, starts)
+            begin, end, counts = spans_of(data, starts)
             row = np.repeat(np.arange(len(counts)), counts)
-            begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            if len(ends):
-                firsts = np.cumsum(counts) - counts
-                begin[firsts[counts > 0]] = starts[:-1][counts > 0]
-            c1, c2 = signed(Spans(data, 0).hash(begin, ends)), (Spans(data, 1).hash(begin, ends) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            c1, c2 = hashes_of(data, begin, end)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("o").take(take), batch.column("t").take(take), pa.array((begin - starts[row]).astype(np.int32)), pa.array((ends - begin).astype(np.int32)), pa.array(c1), pa.array(c2)], ["o", "t", "start", "size", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([batch.column("o").take(take), batch.column("t").take(take), pa.array((begin - starts[row]).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(c1), pa.array(c2)], ["o", "t", "start", "size", "c1", "c2"])
 
     return docs.select("o", "t", "text").mapInArrow(run, "o long, t long, start int, size int, c1 long, c2 int")
 
@@ -88,12 +98,46 @@ def text_tag():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """c1, c2 and n of the chunks of all texts. Chunks that repeat within what a task sees at once make one row."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def settle():
+            c1, c2 = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((c2, c1))
+            c1, c2 = c1[order], c2[order]
+            new = np.ones(len(c1), bool)
+            new[1:] = (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+            at = np.flatnonzero(new)
+            return pa.RecordBatch.from_arrays([pa.array(c1[at]), pa.array(c2[at]), pa.array(np.diff(np.append(at, len(c1))))], ["c1", "c2", "n"])
+
+        for batch, data, starts in steps(batches):
+            begin, end, _ = spans_of(data, starts)
+            held.append(hashes_of(data, begin, end))
+            size += len(begin)
+            if size > FLUSH_CHUNKS:
+                yield settle()
+                held, size = [], 0
+        if size:
+            yield settle()
+
+    return docs.select("text").mapInArrow(run, "c1 long, c2 int, n long")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """o, t and repeats (start, size and the document o of the first copy of each repeated chunk). docs: o, t, text."""
-    every = chunks(docs)
+    """o, t and repeats (start, size and the document o of the first copy of each repeated chunk). docs: o, t, text.
+
+    Digests are counted first, in few bytes; only chunks whose digest repeats are looked at further. What is joined to a
+    count or a first place is shuffled by that join (both are written before), so Spark can split the rows of a chunk
+    that very many texts share.
+    """
+    many = cut(digests(docs).groupBy("c1", "c2").agg(F.sum("n").alias("n")).where("n > 1").select("c1", "c2"))
     place = F.struct("o", "t", "start")
-    first = every.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = every.join(first, ["c1", "c2"]).where(place != F.col("first"))
+    found = cut(chunks(docs).join(many, ["c1", "c2"]))
+    first = cut(found.groupBy("c1", "c2").agg(F.min(place).alias("first")))
+    later = found.join(first, ["c1", "c2"]).where(place != F.col("first"))
     return later.groupBy("o", "t").agg(F.collect_set(F.struct("start", "size", F.col("first.o").alias("source"))).alias("repeats"))
 
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step takes at once; a longer text makes a step of its own.
-STEP_BYTES = 2 << 20
+#: Bytes of text and texts that one vectorised step takes at once; a longer text makes a step of its own.
+STEP_BYTES, STEP_ROWS = 1 << 20, 2_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -19,11 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, one in the warehouse, which driver and executors share as well."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared checkpoint folder, so that a lost executor costs no earlier stage."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -36,6 +39,27 @@ def ordered_id(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
 
 
+def in_order(df: DataFrame, *order: str) -> DataFrame:
+    """df with part, written once: a part holds rows that follow one another by `order` (ascending, nulls first), and parts ascend."""
+    return cut(df.repartitionByRange(shuffles(df), *order).withColumn("part", F.spark_partition_id()))
+
+
+def with_previous(rows: DataFrame, value, *order: str, wrap: bool = False) -> DataFrame:
+    """rows of in_order() with previous: the struct `value` of the row before; of the first row null, or with wrap the last row's.
+
+    Rows look back inside their part; only each part's last row goes to the next part, so what one task orders over all
+    parts is as many rows as there are parts.
+    """
+    ends = rows.groupBy("part").agg(F.max_by(value, F.struct(*order)).alias("end"))
+    every = Window.orderBy("part")
+    outer = F.lag("end").over(every)
+    if wrap:
+        outer = F.coalesce(outer, F.last("end").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # a row for each part: no more rows than shuffle partitions
+    joined = rows.join(F.broadcast(ends.select("part", outer.alias("_outer"))), "part")
+    return joined.withColumn("previous", F.coalesce(F.lag(value).over(Window.partitionBy("part").orderBy(*order)), "_outer")).drop("_outer")
+
+
 # ---- texts as bytes ---------------------------------------------------------------------------
 
 
@@ -55,13 +79,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[starts[0] : starts[-1]], starts - starts[0]
 
 
-def steps(batches, text: str = "text", most: int = STEP_BYTES):
-    """(batch, bytes, starts) of at most `most` bytes of text each, or of one text."""
+def steps(batches, text: str = "text", most: int = STEP_BYTES, rows: int = STEP_ROWS):
+    """(batch, bytes, starts) of at most `most` bytes of text and `rows` texts each, or of one text."""
     for batch in batches:
         data, starts = utf8(batch.column(text))
         n, at = len(starts) - 1, 0
         while at < n:
-            to = max(at + 1, int(np.searchsorted(starts, starts[at] + most, "right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(starts, starts[at] + most, "right")) - 1))
             yield batch.slice(at, to - at), data[starts[at] : starts[to]], starts[at : to + 1] - starts[at]
             at = to
 

@@ -12,14 +12,13 @@ whose results each of them gets. A single document is its own next one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, in_order, table, with_previous
 
 SIZE, WORDS = 64, 5
 FIRST_ID = -(1 << 63)
-BUCKETS = (256, 65_536)
 
 
 def word_hashes(text: Column) -> Column:
@@ -67,24 +66,9 @@ def as_text(a: Column) -> Column:
 
 
 def linked(keys: DataFrame) -> DataFrame:
-    """Distinct keys (o, h, n) with the key and n of the document before: the one whose next document this is, by falling o and rising h.
-
-    Neighbours are found inside buckets of ids; a bucket's last row is linked to the first of the next bucket, through
-    coarser buckets in turn, so no task takes all rows.
-    """
-    order = [F.desc("o"), F.asc("h")]
-    rows = keys.withColumn("b0", F.floor(F.col("o") / F.lit(BUCKETS[0]))).withColumn("b1", F.floor(F.col("o") / F.lit(BUCKETS[1])))
-    me = F.struct("o", "h", "n")
-    # a bucket's last row, in the order: the least o (as its complement, which can't overflow), and of those the largest h
-    last = F.max(F.struct(F.bitwise_not("o").alias("not_o"), "h", "n")).alias("last")
-    per = rows.groupBy("b0", "b1").agg(last)
-    coarse = per.groupBy("b1").agg(F.max("last").alias("last"))
-    ends = coarse.select("b1", F.coalesce(F.lag("last").over(Window.orderBy(F.desc("b1"))), F.last("last").over(Window.orderBy(F.desc("b1")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("outer"))
-    inner = per.join(ends, "b1").select("b0", F.coalesce(F.lag("last").over(Window.partitionBy("b1").orderBy(F.desc("b0"))), "outer").alias("outer"))
-    before = F.lag(me).over(Window.partitionBy("b0").orderBy(*order))
-    found = rows.join(inner, "b0").withColumn("before", before)
-    end = F.struct(F.bitwise_not("outer.not_o").alias("o"), F.col("outer.h").alias("h"), F.col("outer.n").alias("n"))
-    return found.select("o", "h", F.coalesce("before", end).alias("before"))
+    """Distinct keys (o, h, n) with the key and n of the document before: the one whose next document this is, by falling o and rising h; before the first comes the last."""
+    rows = in_order(keys.withColumn("down", F.bitwise_not("o")), "down", "h")
+    return with_previous(rows, F.struct("o", "h", "n"), "down", "h", wrap=True).select("o", "h", F.col("previous").alias("before"))
 
 
 def compare(docs: DataFrame, size: int = SIZE, words: int = WORDS) -> DataFrame:
