@@ -68,9 +68,7 @@ def dollar_bars(trades: DataFrame, threshold: float) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream yields from all that is there now, by way of files in the shared folder."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
