@@ -373,8 +373,33 @@ def test_suffix_dedup_on_overlaps(spark):
     docs = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 120)))) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     expected = brute_suffix(docs, 12)
-    for r in suffix_dedup.dedup(df, length=12, gram=5).collect():
-        assert bytes(r["kept"]) == expected[r["doc_id"]]
+    for hot in (suffix_dedup.HOT, 3):  # groups by anchor, and by string where an anchor is hot
+        for r in suffix_dedup.dedup(df, length=12, gram=5, hot=hot).collect():
+            assert bytes(r["kept"]) == expected[r["doc_id"]]
+
+
+def test_suffix_dedup_of_a_passage_with_other_surroundings(spark):
+    docs = [(i, prose(8) + " " + PASSAGE[:140] + " " + prose(8)) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    expected = brute_suffix(docs, 100)
+    for hot in (suffix_dedup.HOT, 10):
+        assert {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.dedup(df, hot=hot).collect()} == expected
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        flat = rng.integers(97, 99 + rng.integers(0, 3), 200).astype(np.uint8)
+        at = rng.permutation(180)[: rng.integers(1, 180)]
+        position = rng.permutation(len(at)) if rng.random() < 0.5 else np.arange(len(at)) // 2
+        strings = [bytes(flat[i : i + 12]) for i in at]
+        same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), 12)
+        expected = [max((same(strings[i], strings[j]) for j in range(len(at)) if position[j] < position[i]), default=0) for i in range(len(at))]
+        got = suffix_dedup.longest_previous_factors(flat, at, position, 12)
+        if len(set(position.tolist())) == len(at):
+            assert got.tolist() == expected
+        else:  # places given twice: only whole factors matter
+            assert [g == 12 for g in got] == [e == 12 for e in expected]
 
 
 def test_toxicity(spark, odd, empty, sf):

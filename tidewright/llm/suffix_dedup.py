@@ -8,15 +8,19 @@ No corpus fits one suffix array, so starts are first sorted into groups that any
 LENGTH bytes has an anchor, its GRAM-byte piece of least hash (the first of equals), which equal strings have at the same
 place. Neighbouring starts mostly share an anchor; such a run of starts is one row, with the anchor's hash and a hash of
 all bytes that the run's strings cover. Rows of equal bytes are settled at once: all but the first go. What is left are
-runs that share an anchor with other bytes around it. The bytes of those are brought together by anchor, their suffixes
-are sorted, and in suffix order each start looks at the previous and the next smaller position: if either agrees in LENGTH
-bytes, the longest previous factor is that long. Bytes are compared there; runs settled at once agree in 96 bits of hashes.
+runs that share an anchor with other bytes around it. The bytes of those are brought together by anchor, and of each
+group the array of longest previous factors is computed, to a depth of LENGTH bytes: suffix order, common prefixes of
+neighbours, and for each suffix the previous and the next one in that order whose position is smaller; the longer common
+prefix with either is its factor. A string whose factor has LENGTH bytes goes. Bytes are compared there; runs settled at
+once agree in 96 bits of hashes.
 
-Rows that repeat are dropped in the task that finds them, before anything is shuffled, so an anchor in a third of all
-documents gets to its group as one row from each task.
+Rows that repeat are dropped in the task that finds them, before anything is shuffled. An anchor that more than HOT
+different runs share is no group: its strings are grouped by anchor and by a hash of themselves, so strings that differ go
+to different tasks, and equal ones in one task make one row. No group needs more memory than HOT runs.
 
 Defined cases: null and empty texts, and texts under LENGTH bytes, lose nothing; a null doc_id comes after all others;
-rows that repeat doc_id and text are one document, with one result for each row; matches never cross documents.
+rows that repeat doc_id and text are one document, with one result for each row; matches never cross documents; a text of
+any length is taken whole, in a step of its own.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +37,7 @@ from .chunk_dedup import text_tag
 from .common import Spans, mix, ordered_id, ragged, shuffles, signed, steps, table
 
 LENGTH, GRAM = 100, 24
-FLUSH_ROWS, SUFFIXES = 1_500_000, 1 << 16
+FLUSH_ROWS, SUFFIXES, HOT = 1_000_000, 1 << 16, 4_096
 _U = np.uint64
 
 
@@ -81,7 +86,7 @@ def anchored_runs(data: np.ndarray, starts: np.ndarray, length: int, gram: int):
 #: What scan() passes on, packed, as it is most of what is shuffled. A run: h (48 bits of the anchor's hash), u (48 bits of
 #: the hash of all bytes covered, then place and more), o, t and p. What goes: u is the number of bytes.
 PACKED = "gone boolean, h long, u long, o long, t long, p int"
-ROW = "gone boolean, h long, o long, t long, p int, place int, more int"
+ROW = "gone boolean, hot boolean, h long, o long, t long, p int, place int, more int"
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -153,79 +158,146 @@ def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("o", "t", "text").mapInArrow(run, PACKED)
 
 
-def settle_equal(rows: DataFrame, length: int) -> DataFrame:
-    """What goes (`more` is then the bytes beyond LENGTH), and runs whose anchor other bytes share. One pass over rows in order, one row held back."""
+def settle_equal(rows: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+    """What goes (`more` is then the bytes beyond LENGTH), and runs whose anchor other bytes share, hot where more than `hot` do. One pass over rows in order; the runs of one anchor, up to `hot`, are held back."""
     rows = rows.repartition(shuffles(rows), "h").sortWithinPartitions("gone", "h", "u", "o", "t", "p")
 
-    def unpacked(gone: bool, h, u, o, t, p) -> pa.RecordBatch:
-        return _batch(ROW, np.full(len(h), gone), h, o, t, p, (u >> 8) & 0xFF, u & 0xFF)
+    def unpacked(gone: bool, is_hot, h, u, o, t, p) -> pa.RecordBatch:
+        return _batch(ROW, np.full(len(h), gone), is_hot, h, o, t, p, (u >> 8) & 0xFF, u & 0xFF)
 
     def run(batches):
-        before, held, joined = None, None, False  # first row of the last h and u; the last first row, and whether its anchor had one before
+        before, held, over = None, None, None  # first row of the last h and u; the runs of the last h; an h known to be hot
         for batch in batches:
             gone = batch.column("gone").to_numpy(zero_copy_only=False)
             every = [batch.column(n).to_numpy() for n in ("h", "u", "o", "t", "p")]
             h, u, o, t, p = (x[gone] for x in every)
-            yield _batch(ROW, gone[gone], h, o, t, p, np.zeros(len(h), int), u - length)
+            yield _batch(ROW, gone[gone], np.zeros(len(h), bool), h, o, t, p, np.zeros(len(h), int), u - length)
             c = [x[~gone] for x in every]
             if not len(c[0]):
                 continue
             new, later = first_rows(*c, before)
             if new.any():
                 before = tuple(x[np.flatnonzero(new)[-1]] for x in c)
-            yield unpacked(True, *(x[later] for x in c))
+            yield unpacked(True, np.zeros(int(later.sum()), bool), *(x[later] for x in c))
             first = [x[new] for x in c]
             if not len(first[0]):
                 continue
             if held is not None:
                 first = [np.concatenate([a, b]) for a, b in zip(held, first)]
-            same = first[0][1:] == first[0][:-1]
-            need = np.zeros(len(first[0]), bool)
-            need[1:] |= same
-            need[:-1] |= same
-            need[0] |= joined
-            yield unpacked(False, *(x[:-1][need[:-1]] for x in first))
-            held, joined = [x[-1:] for x in first], bool(need[-1])
-        if held is not None and joined:
-            yield unpacked(False, *held)
+            h = first[0]
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.diff(np.append(at, len(h)))
+            many = size > hot
+            if over is not None:
+                many |= h[at] == over
+            size, is_hot = np.repeat(size, size), np.repeat(many, size)
+            end = len(h) if many[-1] else int(at[-1])
+            ready = (size > 1) | is_hot
+            ready[end:] = False
+            yield unpacked(False, is_hot[ready], *(x[ready] for x in first))
+            over = h[-1] if many[-1] else None
+            held = None if many[-1] else [x[end:] for x in first]
+        if held is not None and len(held[0]) > 1:
+            yield unpacked(False, np.zeros(len(held[0]), bool), *held)
 
     return rows.mapInArrow(run, ROW)
 
 
+CONTEXT = "h long, o long, t long, p int, place int, more int, cover binary"
+
+
 def contexts(needed: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """needed with the bytes that each run's strings cover. texts: all columns that the last join takes too, so that Spark shuffles the texts once."""
+    """needed with the bytes that each run's strings cover; of hot runs, a row for each string, and without cover what equal strings of the same step settle.
+
+    texts: all columns that the last join takes too, so that Spark shuffles the texts once.
+    """
+    names = [x.split()[0] for x in CONTEXT.split(", ")]
+
+    def rows(h, o, t, p, place, more, cover):
+        columns = [np.asarray(h, np.int64), np.asarray(o, np.int64), np.asarray(t, np.int64), *(np.asarray(x, np.int32) for x in (p, place, more))]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cover, pa.binary())], names)
 
     def run(batches):
         for batch, data, starts in steps(batches):
-            p, more = (batch.column(n).to_numpy() for n in ("p", "more"))
+            runs = batch.column("runs")
+            row = np.repeat(np.arange(len(starts) - 1), pa.compute.list_value_length(runs).to_numpy())
+            h, p, place, more, hot = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
+            o, t = (batch.column(n).to_numpy()[row] for n in ("o", "t"))
             raw = data.tobytes()
-            cover = [raw[a : a + length + m] for a, m in zip((starts[:-1] + p).tolist(), more.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("h", "o", "t", "p", "place", "more")] + [pa.array(cover, pa.binary())], ["h", "o", "t", "p", "place", "more", "cover"])
+            begin, cold = starts[:-1][row] + p, np.flatnonzero(~hot)
+            yield rows(h[cold], o[cold], t[cold], p[cold], place[cold], more[cold], [raw[a : a + length + m] for a, m in zip(begin[cold].tolist(), more[cold].tolist())])
+            if not hot.any():
+                continue
+            count = np.where(hot, more + 1, 0)
+            one = np.repeat(np.arange(len(row)), count)
+            at = begin[one] + ragged(count)
+            own = mix(h[one].view(np.uint64) ^ Spans(data).hash(at, at + length))
+            o, t, p = o[one], t[one], p[one] + ragged(count)
+            order = np.lexsort((p, t, o, own))
+            own, o, t, p, at = (x[order] for x in (own, o, t, p, at))
+            first, later = first_rows(own, own, o, t, p)
+            yield rows(signed(own[first]), o[first], t[first], p[first], np.zeros(first.sum()), np.zeros(first.sum()), [raw[a : a + length] for a in at[first].tolist()])
+            if later.any():
+                o, t, a, b = union_of(o[later], t[later], p[later], p[later] + length)
+                yield rows(signed(mix(o.view(np.uint64) + a.astype(np.uint64))), o, t, a, np.zeros(len(a)), b - a - length, [None] * len(a))
 
-    wanted = needed.where("not gone").select("h", "o", "t", "p", "place", "more")
-    return texts.join(wanted, ["o", "t"]).mapInArrow(run, "h long, o long, t long, p int, place int, more int, cover binary")
+    wanted = needed.where("not gone").groupBy("o", "t").agg(F.collect_list(F.struct("h", "p", "place", "more", "hot")).alias("runs"))
+    return texts.join(wanted, ["o", "t"]).mapInArrow(run, CONTEXT)
 
 
-def previous_factors(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Whether each string's longest previous factor covers it. windows: strings, a row each; position: their order in the corpus, equal for the same place.
+def nearest_smaller(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For suffixes in their order: the common prefix with the nearest one before that has a smaller position; 0 without one. lcp: the common prefix with the neighbour before.
 
-    In suffix order, strings that agree in all bytes lie side by side. A string's previous or next smaller position
-    lies among them unless its own is their smallest.
+    Each suffix jumps from candidate to candidate's candidate, all at once; the few that jump on for long are finished one
+    by one.
     """
-    n, length = windows.shape
-    order = np.argsort(np.ascontiguousarray(windows).view(f"S{length}").ravel(), kind="stable")
-    ordered = windows[order]
-    new = np.ones(n, bool)
-    new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
-    begin = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(position[order], begin), np.diff(np.append(begin, n)))
-    out = np.zeros(n, bool)
-    out[order] = position[order] > least
+    n = len(position)
+    back, low = np.arange(-1, n - 1), lcp.copy()
+
+    def going(i):
+        return i[(back[i] >= 0) & (low[i] > 0) & (position[back[i]] >= position[i])]
+
+    live = going(np.arange(n))
+    while len(live) > 64:
+        j = back[live]
+        low[live], back[live] = np.minimum(low[live], low[j]), back[j]
+        live = going(live)
+    if len(live):
+        where, least, jump = position.tolist(), low.tolist(), back.tolist()
+        for i in live.tolist():
+            j, m = jump[i], least[i]
+            while j >= 0 and m > 0 and where[j] >= where[i]:
+                j, m = jump[j], min(m, least[j])
+            low[i], back[i] = m, j
+            jump[i], least[i] = j, m
+    low[back < 0] = 0
+    return low
+
+
+def longest_previous_factors(flat: np.ndarray, at: np.ndarray, position: np.ndarray, depth: int) -> np.ndarray:
+    """How many bytes, up to depth, the string at each of `at` has in common with the best one of smaller position. position: the strings' order in the corpus, equal for the same place."""
+    n = len(at)
+    windows = np.lib.stride_tricks.sliding_window_view(flat, depth)[at]
+    order = np.argsort(windows.view(f"S{depth}").ravel(), kind="stable")
+    lcp = np.zeros(n, np.int64)
+    for i in range(1, n, 1 << 14):
+        j = min(n, i + (1 << 14))
+        other = windows[order[i:j]] != windows[order[i - 1 : j - 1]]
+        lcp[i:j] = np.where(other.any(axis=1), other.argmax(axis=1), depth)
+    position = position[order]
+    # strings that agree in all bytes: the one of least position stands for them, and is the others' smaller neighbour
+    begin = np.flatnonzero(lcp < depth)
+    size = np.diff(np.append(begin, n))
+    least, between = np.minimum.reduceat(position, begin), lcp[begin]
+    before = nearest_smaller(least, between)
+    after = nearest_smaller(least[::-1].copy(), np.append(0, between[1:][::-1]))[::-1]
+    out = np.zeros(n, np.int64)
+    out[order] = np.where(position > np.repeat(least, size), depth, np.repeat(np.maximum(before, after), size))
     return out
 
 
 def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
-    """o, t, a and b: the bytes that go because of what the rows' anchors share. Rows of an anchor come together; a task takes as many anchors at once as SUFFIXES allows, and an anchor beyond that by the place of the strings relative to it."""
+    """o, t, a and b: the bytes that go because of what the rows' anchors share. Rows of a group come together, by position; a task takes as many groups at once as SUFFIXES allows."""
     rows = rows.repartition(shuffles(rows), "h").sortWithinPartitions("h", "o", "t", "p")
 
     def of(group):
@@ -239,8 +311,7 @@ def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
         gone = np.zeros(len(row), bool)
         slices = [np.arange(len(row))] if len(row) <= 4 * SUFFIXES else [np.flatnonzero(offset == x) for x in np.unique(offset)]
         for s in slices:
-            windows = flat[(at[row[s]] + k[s])[:, None] + np.arange(length)]
-            gone[s] = previous_factors(windows, (rank[row[s]].astype(np.int64) << 32) + p[row[s]] + k[s])
+            gone[s] = longest_previous_factors(flat, at[row[s]] + k[s], (rank[row[s]].astype(np.int64) << 32) + p[row[s]] + k[s], length) >= length
         s = np.flatnonzero(gone)
         if len(s):
             new = np.ones(len(s), bool)
@@ -248,17 +319,31 @@ def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
             i = np.flatnonzero(new)
             j = np.append(i[1:], len(s)) - 1
             r, a, b = row[s[i]], p[row[s[i]]] + k[s[i]], p[row[s[j]]] + k[s[j]] + length
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(o, np.int64)[r]), pa.array(np.array(t, np.int64)[r]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["o", "t", "a", "b"])
+            yield found(np.array(o, np.int64)[r], np.array(t, np.int64)[r], a, b)
+
+    def found(o, t, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(o), pa.array(t), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["o", "t", "a", "b"])
 
     def run(batches):
         names = ("h", "o", "t", "p", "place", "more", "cover")
         held: list[list] = [[] for _ in names]
         weight = 0
         for batch in batches:
+            settled = batch.column("cover").is_null().to_numpy(zero_copy_only=False)
+            if settled.any():
+                o, t, p, more = (batch.column(n).to_numpy()[settled] for n in ("o", "t", "p", "more"))
+                yield found(o, t, p, p + length + more)
+                batch = batch.filter(pa.array(~settled))
             for values in zip(*(batch.column(n).to_pylist() for n in names)):
-                if weight > SUFFIXES and values[0] != held[0][-1]:
+                other = bool(weight) and values[0] != held[0][-1]
+                if weight > SUFFIXES and other:
                     yield from of(held)
                     held, weight = [[] for _ in names], 0
+                elif weight > 8 * SUFFIXES:  # only equal strings make such a group: the first of them stands for all
+                    yield from of(held)
+                    lead = held[0].index(held[0][-1])
+                    held = [[x[lead]] for x in held]
+                    weight = held[5][0] + 1
                 for x, v in zip(held, values):
                     x.append(v)
                 weight += values[5] + 1
@@ -268,9 +353,9 @@ def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "o long, t long, a int, b int")
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id") -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs (with o and t: see text_tag) and cuts: what goes, as maximal runs of bytes (start, end, start, end ...). For texts with nothing to remove cuts is null."""
-    rows = settle_equal(scan(docs, length, gram), length)
+    rows = settle_equal(scan(docs, length, gram), length, hot)
     equal = rows.where("gone").select("o", "t", F.col("p").alias("a"), (F.col("p") + F.col("more") + length).alias("b"))
     partly = compare_contexts(contexts(rows, docs, length), length)
     return docs.join(equal.unionByName(partly).groupBy("o", "t").agg(F.collect_list(F.struct("a", "b")).alias("cuts")), ["o", "t"], "left")
@@ -286,7 +371,7 @@ def merged(cuts: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, kept (the bytes that stay) and spans (start and end of each run that goes, flattened) of each row of docs (doc_id, text)."""
     source = docs.select("doc_id", ordered_id().alias("o"), text_tag().alias("t"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -304,7 +389,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 spans.append([x for s in own for x in s])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.int64())), pa.array(np.diff(starts), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["doc_id", "kept", "spans", "n_bytes", "kept_sha256"])
 
-    return removed(source, length, gram).select("doc_id", "text", "cuts").mapInArrow(run, f"doc_id {kind}, kept binary, spans array<long>, n_bytes long, kept_sha256 string")
+    return removed(source, length, gram, hot).select("doc_id", "text", "cuts").mapInArrow(run, f"doc_id {kind}, kept binary, spans array<long>, n_bytes long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
