@@ -135,6 +135,47 @@ def test_large_group_of_near_copies(spark):
     assert found[1000] == 0 and found[1001] == 1001 and sum(v == 0 for v in found.values()) == 401
 
 
+def test_classes_equal_those_of_all_pairs(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    rows = docs.collect()
+    data, starts = utf8(pa.array([r["text"] for r in rows]))
+    text, value, weight, _ = minhash_dedup.shingles(data, starts)
+    cuts = np.searchsorted(text, np.arange(len(rows) + 1))
+    sets = [(value[a:b], weight[a:b], bool((weight[a:b] == 1).all())) for a, b in zip(cuts[:-1], cuts[1:])]
+    having: dict = {}
+    for i, s in enumerate(sets):
+        for x in s[0].tolist():
+            having.setdefault(x, []).append(i)
+    maybe = Counter((i, j) for own in having.values() for k, i in enumerate(own) for j in own[k + 1 :])
+    links = [(i, j) for (i, j), n in maybe.items() if n >= 0.4 * min(len(sets[i][0]), len(sets[j][0])) and minhash_dedup.probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-12]
+    found = {r["o"]: r["class_o"] for r in minhash_dedup.near_duplicates(minhash_dedup.keyed(docs)).collect()}
+    together = [found[rows[i]["doc_id"]] == found[rows[j]["doc_id"]] for i, j in links]
+    assert len(links) > 50 and np.mean(together) >= 0.95
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        parent[root(i)] = root(j)
+    at = {r["doc_id"]: i for i, r in enumerate(rows)}
+    assert all(root(at[o]) == root(at[c]) for o, c in found.items())  # no class joins what links don't
+
+
+def test_links_beside_the_leader_are_found(spark):
+    """A chain: texts near their neighbours, not near the leader."""
+    words = prose(200).split()
+    texts = []
+    for i in range(12):
+        words = words[:]
+        words[i * 15 + 3] = f"new{i}"
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r["class_o"] for r in minhash_dedup.near_duplicates(minhash_dedup.keyed(df), block=3).collect()} == {0}
+
+
 def test_chunk_dedup(odd, empty):
     found = by_id(chunk_dedup.remove_repeats(odd))
     assert found[1][0]["n_removed"] == found[1][1]["n_removed"] == 0

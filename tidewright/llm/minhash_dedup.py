@@ -8,15 +8,17 @@ Signature: each shingle is a Poisson process whose arrivals have the shingle's w
 slots; a slot keeps the shingle that arrives first. Shingles stop as soon as their next arrival is later than the latest
 first arrival of all slots. Two texts agree in a slot with probability J_P.
 
-Texts of the same words are one class from the start. Representatives that agree in all slots of a band become
-candidates: each is tied to the least of its bucket, and connected candidates form a neighbourhood. All pairs within a
-neighbourhood are then verified exactly, so no link is lost that any band has found: a neighbourhood is split into blocks
-of at most BLOCK texts, a task gets the shingles of two blocks, and passes on only those links that connect what was not
-connected yet. Classes are the connected components of verified links.
+Texts of the same words are one class from the start. Representatives that agree in all slots of a band share a bucket; the
+least of a bucket is its leader, and all that share a leader are a group. Links are verified exactly, in two rounds. First
+each member of a group is held against its leader, which settles a template's near copies with one comparison each. In a
+group that isn't one class by then, every member that its leader's class lacks is held against every other member, so no
+link is lost between texts that any band has brought together: a group is split into blocks of at most BLOCK texts, and a
+task gets the shingles of two blocks. Only that second round can grow with the square of something, namely of those
+members of a group that are not near their leader. Classes are the connected components of verified links.
 
 Defined cases: null and empty texts, and texts without words, are classes of their own; a null doc_id comes after all
 others; rows that repeat doc_id and text are one document; the class id is the least doc_id of a class (null if it has
-none).
+none); a text of any length is taken whole, in a step of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, LOWER, Spans, cut, mix, ordered_id, ragged, shielded, shuffles, signed, steps, table, words
+from .common import LAST_ID, LOWER, Spans, cut, mix, ordered_id, ragged, shielded, shuffles, signed, slices, steps, table, words
 from .components import components
 
 WORDS, BANDS, ROWS, THRESHOLD, BLOCK = 5, 32, 6, 0.8, 128
@@ -136,15 +138,16 @@ def is_near(a: tuple, b: tuple, inter: int, threshold: float) -> bool:
     return probability_jaccard(a, b) >= threshold - 1e-12
 
 
-def links_among(docs: list, cross: int | None, threshold: float) -> list[tuple[int, int]]:
-    """Links that connect what they can: pairs of numbers. docs: (hashes, weights, whether all weights are 1). cross: links go between those before it and the rest."""
+def links_among(docs: list, cross: int | None, threshold: float, labels: list | None = None) -> list[tuple[int, int]]:
+    """Links that connect what they can: pairs of numbers. docs: (hashes, weights, whether all weights are 1). cross: links go between those before it and the rest. labels: texts of one label are connected already."""
     n = len(docs)
     flat = np.concatenate([d[0] for d in docs])
     _, number = np.unique(flat, return_inverse=True)
     at = np.concatenate([[0], np.cumsum([len(d[0]) for d in docs])])
     kinds = int(number.max()) + 1
-    inter = np.zeros((n, n), np.float32)
-    width = max(1, (8 << 20) // n)
+    a, b = (slice(0, n), slice(0, n)) if cross is None else (slice(0, cross), slice(cross, n))
+    inter = np.zeros((a.stop, n - b.start), np.float32)
+    width = max(1, (2 << 20) // n)
     owner = np.repeat(np.arange(n), np.diff(at))
     by = np.argsort(number, kind="stable")
     bounds = np.searchsorted(number[by], np.arange(0, kinds + width, width))
@@ -152,15 +155,21 @@ def links_among(docs: list, cross: int | None, threshold: float) -> list[tuple[i
         part = by[bounds[k] : bounds[k + 1]]
         m = np.zeros((n, min(width, kinds - k * width)), np.float32)
         m[owner[part], number[part] - k * width] = 1
-        inter += m @ m.T
+        inter += m[a] @ m[b].T
     sizes = np.diff(at)
     plain = np.array([d[2] for d in docs])
-    maybe = np.where(plain[:, None] & plain[None, :], inter >= threshold * (sizes[:, None] + sizes[None, :] - inter) - 1e-6, inter > 0)
-    i, j = np.nonzero(np.triu(maybe, 1))
-    if cross is not None:
-        keep = (i < cross) & (j >= cross)
-        i, j = i[keep], j[keep]
-    order = np.argsort(-inter[i, j] / (sizes[i] + sizes[j]), kind="stable")
+    both = sizes[a][:, None] + sizes[b][None, :] - inter
+    maybe = np.where(plain[a][:, None] & plain[b][None, :], inter >= threshold * both - 1e-6, inter > 0)
+    i, j = np.nonzero(maybe)
+    score = -inter[i, j] / (sizes[a][i] + sizes[b][j])
+    shared = inter[i, j].astype(int)
+    j = j + b.start
+    keep = np.ones(len(i), bool) if cross is not None else i < j
+    if labels is not None:
+        known = np.unique(labels, return_inverse=True)[1]
+        keep &= known[i] != known[j]
+    i, j, score, shared = (x[keep] for x in (i, j, score, shared))
+    order = np.argsort(score, kind="stable")
     parent = list(range(n))
 
     def root(x):
@@ -169,21 +178,28 @@ def links_among(docs: list, cross: int | None, threshold: float) -> list[tuple[i
             x = parent[x]
         return x
 
+    if labels is not None:
+        lead: dict = {}
+        for x, label in enumerate(labels):
+            parent[x] = lead.setdefault(label, x)
     out = []
-    for x, y in zip(i[order].tolist(), j[order].tolist()):
-        a, b = root(x), root(y)
-        if a != b and is_near(docs[x], docs[y], int(inter[x, y]), threshold):
-            parent[a] = b
+    for x, y, n_shared in zip(i[order].tolist(), j[order].tolist(), shared[order].tolist()):
+        p, q = root(x), root(y)
+        if p != q and is_near(docs[x], docs[y], n_shared, threshold):
+            parent[p] = q
             out.append((x, y))
     return out
 
 
-def verified(members: DataFrame, docs: DataFrame, threshold: float, block: int) -> DataFrame:
-    """a and b: links between nodes of a neighbourhood. members: near, node, o, t; docs: o, t, text."""
-    sizes = members.groupBy("near").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
-    placed = members.join(sizes, "near", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def verified(groups: DataFrame, docs: DataFrame, threshold: float, block: int) -> DataFrame:
+    """a and b: links within groups between nodes of different labels, of which one at least is in front. groups: near, node, o, t, front, label; docs: o, t, text."""
+    blocks = groups.groupBy("near").agg(*[F.ceil(F.count_if(c) / block).cast("int").alias(n) for n, c in (("fronts", F.col("front")), ("others", ~F.col("front")))])
+    spread = F.xxhash64("node")
+    own = F.when(F.col("front"), F.pmod(spread, F.col("fronts"))).otherwise(F.col("fronts") + F.pmod(spread, F.greatest("others", F.lit(1)))).cast("int")
+    # written before the join, so that Spark can split the rows of a large group
+    placed = groups.join(cut(blocks), "near").withColumn("own", own)
     texts = placed.join(docs, ["o", "t"]).dropDuplicates(["near", "node"])
+    columns = ("near", "node", "label", "own", "front", "fronts", "others")
 
     def shingle(batches):
         for batch, data, starts in steps(batches):
@@ -191,11 +207,12 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float, block: int)
             cuts = np.searchsorted(text, np.arange(len(starts)))
             hashes = [value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             weights = [b"" if (weight[a:b] == 1).all() else weight[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("near", "node", "own", "blocks")] + [pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())], ["near", "node", "own", "blocks", "hashes", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())], [*columns, "hashes", "weights"])
 
-    sets = texts.select("near", "node", "own", "blocks", "text").mapInArrow(shingle, "near long, node long, own int, blocks int, hashes binary, weights binary")
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "hashes", "weights")
-    pairs = pairs.repartition(shuffles(members), "near", "i", "j").sortWithinPartitions("near", "i", "j", "own", "node")
+    sets = texts.select(*columns, "text").mapInArrow(shingle, "near long, node long, label long, own int, front boolean, fronts int, others int, hashes binary, weights binary")
+    last = F.when(F.col("front"), F.col("fronts") + F.col("others")).otherwise(F.col("fronts")) - 1
+    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "hashes", "weights")
+    pairs = pairs.repartition(shuffles(groups), "near", "i", "j").sortWithinPartitions("near", "i", "j", "own", "node")
 
     def check(batches):
         group, key = [], None
@@ -207,17 +224,17 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float, block: int)
             cross = own.index(key[2]) if key[1] != key[2] and key[2] in own else None
             if key[1] != key[2] and (cross is None or cross == 0):
                 return
-            for x, y in links_among([g[2] for g in group], cross, threshold):
+            for x, y in links_among([g[2] for g in group], cross, threshold, [g[3] for g in group]):
                 yield group[x][1], group[y][1]
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for near, i, j, own, node, hashes, weights in zip(*(batch.column(c).to_pylist() for c in ("near", "i", "j", "own", "node", "hashes", "weights"))):
+            for near, i, j, own, node, label, hashes, weights in zip(*(batch.column(c).to_pylist() for c in ("near", "i", "j", "own", "node", "label", "hashes", "weights"))):
                 if (near, i, j) != key:
                     out.extend(flush())
                     group, key = [], (near, i, j)
                 h = np.frombuffer(hashes, np.uint64)
-                group.append((own, node, (h, np.frombuffer(weights, "<i4") if weights else np.ones(len(h), np.int32), not weights)))
+                group.append((own, node, (h, np.frombuffer(weights, "<i4") if weights else np.ones(len(h), np.int8), not weights), label))
             yield _pairs(out)
         yield _pairs(list(flush()))
 
@@ -235,10 +252,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     classes = cut(classes.withColumn("node", F.col("d1")))
     keys = classes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    star = keys.join(buckets, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    near = cut(components(star))
-    members = near.join(classes.select("node", "rep.o", "rep.t"), "node").select(F.col("label").alias("near"), "node", "o", "t")
-    linked = components(verified(members, docs.select("o", "t", "text"), threshold, block))
+    star = cut(keys.join(cut(buckets), "key").select(F.col("hub").alias("near"), "node").distinct())
+    place = classes.select("node", "rep.o", "rep.t")
+    texts = docs.select("o", "t", "text")
+    first = star.join(place, "node").select("near", "node", "o", "t", (F.col("node") == F.col("near")).alias("front"), F.col("node").alias("label"))
+    label = cut(components(verified(first, texts, threshold, block)))
+    named = star.join(label, "node", "left").select("near", "node", F.coalesce("label", "node").alias("label"))
+    leader = cut(named.where("near = node").select("near", F.col("label").alias("lead")))
+    # the leader itself has been held against all; a group of it and one other member has nothing left to compare
+    marked = named.where("near <> node").join(leader, "near").withColumn("front", F.col("label") != F.col("lead"))
+    open_ = cut(marked.groupBy("near").agg(F.count("*").alias("n"), F.count_if("front").alias("fronts")).where("fronts > 0 and n > 1").select("near"))
+    second = marked.join(open_, "near").join(place, "node").select("near", "node", "o", "t", "front", "label")
+    more = verified(second, texts, threshold, block)
+    of = {x: label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"}
+    joined = more.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = cut(components(joined)).withColumnsRenamed({"node": "_node", "label": "_label"})
+    singles = merged.select(F.col("_node").alias("node"), F.col("_node").alias("label"))
+    linked = label.unionByName(singles).distinct().join(merged, F.col("label") == F.col("_node"), "left").select("node", F.coalesce("_label", "label").alias("label"))
+    linked = linked.groupBy("node").agg(F.min("label").alias("label"))
     reps = classes.select("node", "d1", "d2", "rep").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = reps.groupBy("label").agg(F.min("rep").alias("least"))
     named = reps.join(least, "label").select("d1", "d2", F.col("least.o").alias("class_o"), F.col("least.t").alias("class_t"))
