@@ -16,8 +16,8 @@ random.seed(7)
 WORDS = ["".join(random.choice("abcdefghij") for _ in range(random.randint(2, 8))) for _ in range(4000)]
 
 
-def prose(n):
-    return " ".join(random.choice(WORDS) for _ in range(n))
+def prose(n, rng=random):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
 
 
 BASE, PASSAGE, LONG = prose(150), prose(70), prose(20_000)
@@ -166,7 +166,7 @@ def test_classes_equal_those_of_all_pairs(spark):
 
 def test_links_beside_the_leader_are_found(spark):
     """A chain: texts near their neighbours, not near the leader."""
-    words = prose(200).split()
+    words = prose(200, random.Random(9)).split()
     texts = []
     for i in range(12):
         words = words[:]
@@ -187,6 +187,28 @@ def test_chunk_dedup(odd, empty):
     assert chunk_dedup.remove_repeats(empty).count() == 0
 
 
+def test_chunk_dedup_matches_brute_force(spark):
+    rng = random.Random(8)
+    lines = [prose(rng.randint(3, 25), rng) for _ in range(30)]
+    docs = [(i if i % 4 else None, "\n".join(rng.choice(lines) if rng.random() < 0.5 else prose(8, rng) for _ in range(rng.randint(0, 12))) + f" {i}") for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    rows = df.select("doc_id", "text", chunk_dedup.text_tag().alias("t"), chunk_dedup.ordered_id().alias("o")).collect()
+    seen, expected = set(), Counter()
+    for r in sorted(rows, key=lambda r: (r["o"], r["t"])):
+        data, starts = utf8(pa.array([r["text"]]))
+        ends, _ = chunk_dedup.chunk_ends(data, starts)
+        raw, kept, run = bytes(data), b"", b""
+        for a, b in zip([0, *ends[:-1]], ends):
+            if raw[a:b] in seen:
+                run += raw[a:b]
+            else:
+                kept += (run if len(run) < 64 else b"") + raw[a:b]
+                run = b""
+                seen.add(raw[a:b])
+        expected[r["doc_id"], (kept + (run if len(run) < 64 else b"")).decode()] += 1
+    assert Counter((r["doc_id"], r["kept"]) for r in chunk_dedup.remove_repeats(df).collect()) == expected
+
+
 def test_chunks_resist_insertions():
     text = prose(400)
     a, b = (utf8(pa.array([x])) for x in (text, "inserted " + text))
@@ -299,6 +321,7 @@ def test_html_differencing(spark):
     assert texts[0] == "Plain 0" and texts[3] == "Plain 3"  # the shared line went
     assert texts[9] == "Plain 9\nJoin our list" and texts[10] == "Plain 10\nJoin our list" and texts[11] == "" and texts[None] == ""
     assert html_text.extract(pages.where("false")).count() == 0
+    assert {r["n_shared"] for r in out if r["page_id"] in (0, 3)} == {4}  # the menu, a plain line, the sidebar and a comment
 
 
 def test_common_lines_are_longest():
@@ -339,6 +362,39 @@ def test_fingerprints(spark, odd, empty):
     assert fingerprint.compare(empty).count() == 0
 
 
+def test_sketches_and_neighbours_match_brute_force(spark):
+    import xxhash
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, rng.randrange(-(1 << 62), 1 << 62)]), prose(rng.randint(0, 40), rng)) for _ in range(90)]
+    rows += rows[:5]
+    h64 = lambda raw, seed=42: xxhash.xxh64(raw, seed=seed).intdigest()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def sketch(text):
+        words = [h64(w.encode()) for w in text.lower().split()]
+        found = set()
+        for i in range(max(1, len(words) - 4)):
+            seed = 42
+            for w in words[i : i + 5]:
+                seed = h64(w.to_bytes(8, "little"), seed)
+            found.add(signed(seed))
+        return sorted(found)[:64] if words else []
+
+    order = sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is None, -(r[0] or 0), signed(h64(r[1].encode()))))
+    after = dict(zip(order, order[1:] + order[:1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = fingerprint.compare(df).collect()
+    assert len(got) == len(rows)
+    key = {}
+    for i, t in order:
+        k = len(t) // 3
+        key.setdefault((i, t[: len(t) - k] + after[i, t][1][:k]), (i, t))
+    for r in got:
+        i, t = key[r["doc_id"], r["edited"]]
+        assert list(r["sketch"]) == sketch(t) and list(r["edited_sketch"]) == sketch(r["edited"]) and list(r["next_sketch"]) == sketch(after[i, t][1])
+
+
 def test_fingerprint_estimates(spark):
     from pyspark.sql import functions as F
 
@@ -420,7 +476,8 @@ def test_suffix_dedup_on_overlaps(spark):
 
 
 def test_suffix_dedup_of_a_passage_with_other_surroundings(spark):
-    docs = [(i, prose(8) + " " + PASSAGE[:140] + " " + prose(8)) for i in range(80)]
+    rng = random.Random(10)
+    docs = [(i, prose(8, rng) + " " + PASSAGE[:140] + " " + prose(8, rng)) for i in range(80)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     expected = brute_suffix(docs, 100)
     for hot in (suffix_dedup.HOT, 10):
@@ -446,7 +503,7 @@ def test_longest_previous_factors():
 def test_toxicity(spark, odd, empty, sf):
     docs = [(i, prose(30) + (" vile" if i % 3 == 0 else "") + (" vile scum" if i % 6 == 0 else "")) for i in range(240)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in docs] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 6 != 0)) for i, _ in docs] + [(None, 1, 1), (5, None, None)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(df, labels)
     got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
     assert all(r["toxic"] == (i % 3 == 0) for i, r in got.items())
@@ -457,6 +514,30 @@ def test_toxicity(spark, odd, empty, sf):
     assert not any(r["toxic"] for r in toxicity.score(df, toxicity.Model()).collect())
 
 
+def test_fit_is_the_most_likely():
+    rng = np.random.default_rng(2)
+    n, k = 150, 6
+    x = rng.poisson(0.6, (n, k)).astype(float)
+    grade = np.digitize(x @ rng.normal(0, 1, k) + rng.logistic(0, 1, n), [0.5, 2.0])
+    row, col = np.nonzero(x)
+    weights, bias = toxicity.fit_ordinal(row, col, x[row, col], grade, np.ones(n), k)
+
+    def likelihood(w, b):
+        total = 0.0
+        for own, g in zip(x, grade):
+            above = [1.0] + [1 / (1 + math.exp(c - float(own @ w))) for c in b] + [0.0]
+            total += math.log(above[g] - above[g + 1]) / n
+        return total - toxicity.RIDGE / k * float(w @ w)
+
+    best = likelihood(weights, bias)
+    for i in range(k):
+        for step in (0.1, -0.1):
+            other = weights.copy()
+            other[i] += step
+            assert likelihood(other, bias) <= best + 1e-5
+    assert likelihood(weights, bias + 0.1) <= best + 1e-5 and likelihood(weights, bias - 0.1) <= best + 1e-5
+
+
 def test_toxicity_is_right_on_given_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")

@@ -44,20 +44,23 @@ def in_order(df: DataFrame, *order: str) -> DataFrame:
     return cut(df.repartitionByRange(shuffles(df), *order).withColumn("part", F.spark_partition_id()))
 
 
-def with_previous(rows: DataFrame, value, *order: str, wrap: bool = False) -> DataFrame:
-    """rows of in_order() with previous: the struct `value` of the row before; of the first row null, or with wrap the last row's.
+def with_neighbours(rows: DataFrame, value, *order: str, wrap: bool = False) -> DataFrame:
+    """rows of in_order() with previous and next: the struct `value` of the row before and after; null beyond the ends, or with wrap the last row's and the first row's.
 
-    Rows look back inside their part; only each part's last row goes to the next part, so what one task orders over all
-    parts is as many rows as there are parts.
+    Rows look around inside their part; only each part's first and last row go to the parts beside it, so what one task
+    orders over all parts is as many rows as there are parts.
     """
-    ends = rows.groupBy("part").agg(F.max_by(value, F.struct(*order)).alias("end"))
+    key = F.struct(*order)
+    ends = rows.groupBy("part").agg(F.min_by(value, key).alias("first"), F.max_by(value, key).alias("last"))
     every = Window.orderBy("part")
-    outer = F.lag("end").over(every)
+    before, after = F.lag("last").over(every), F.lead("first").over(every)
     if wrap:
-        outer = F.coalesce(outer, F.last("end").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        before, after = F.coalesce(before, F.last("last").over(whole)), F.coalesce(after, F.first("first").over(whole))
     # a row for each part: no more rows than shuffle partitions
-    joined = rows.join(F.broadcast(ends.select("part", outer.alias("_outer"))), "part")
-    return joined.withColumn("previous", F.coalesce(F.lag(value).over(Window.partitionBy("part").orderBy(*order)), "_outer")).drop("_outer")
+    joined = rows.join(F.broadcast(ends.select("part", before.alias("_before"), after.alias("_after"))), "part")
+    inside = Window.partitionBy("part").orderBy(*order)
+    return joined.withColumns({"previous": F.coalesce(F.lag(value).over(inside), "_before"), "next": F.coalesce(F.lead(value).over(inside), "_after")}).drop("_before", "_after")
 
 
 # ---- texts as bytes ---------------------------------------------------------------------------

@@ -5,11 +5,13 @@ by one space. Each window of `window` consecutive words of an item, or the whole
 table of shifts by blocks of the text's bytes tells how far the search may jump; where the shift is 0, the bucket of
 the block's patterns is compared directly. Every word that lies in an occurrence is hit.
 
-Patterns are sent to the executors in sets of at most `set_patterns`, so a copy has a bounded size whatever the size of
-the benchmark; each set is one more pass over the rows, in the same job.
+Patterns are sent to the executors in sets of at most `set_patterns`. A benchmark of more patterns takes a pass over the
+rows for each set: what a pass has found is written before the next set is sent, and the set before is removed, so driver
+and executors hold one set at a time, whatever the size of the benchmark.
 
 Defined cases: null and empty texts have no words and no hits; items without id or words are not searched for; items
-that share a window each count; rows that repeat an item count once; repeated documents are reported alike.
+that share a window each count; rows that repeat an item count once; repeated documents are reported alike; a text of
+any length is searched whole, in a step of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shielded, table, texts_of, with_columns
+from .common import cut, shielded, table, texts_of, with_columns
 
 WINDOW, SET_PATTERNS, BLOCK = 10, 100_000, 8
 _keep = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -128,14 +130,16 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_
                 items.append(sorted(ids))
             return {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
 
-        return with_columns(out, make, fields)
+        return with_columns(out, make, fields), shared
 
     for r in found.toLocalIterator():
         pending[bytes(r["pattern"])] = sorted(r["items"])
         if len(pending) == set_patterns:
-            out, earlier, pending = add(out, pending, earlier), True, {}
+            out, shared = add(out, pending, earlier)
+            out, earlier, pending = cut(out), True, {}
+            shared.destroy()
     if pending or not earlier:
-        out = add(out, pending, earlier)
+        out = add(out, pending, earlier)[0]
     return out
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_order, table, with_previous
+from .common import cut, in_order, table, with_neighbours
 
 SIZE, WORDS = 64, 5
 FIRST_ID = -(1 << 63)
@@ -68,7 +68,7 @@ def as_text(a: Column) -> Column:
 def linked(keys: DataFrame) -> DataFrame:
     """Distinct keys (o, h, n) with the key and n of the document before: the one whose next document this is, by falling o and rising h; before the first comes the last."""
     rows = in_order(keys.withColumn("down", F.bitwise_not("o")), "down", "h")
-    return with_previous(rows, F.struct("o", "h", "n"), "down", "h", wrap=True).select("o", "h", F.col("previous").alias("before"))
+    return with_neighbours(rows, F.struct("o", "h", "n"), "down", "h", wrap=True).select("o", "h", F.col("previous").alias("before"))
 
 
 def compare(docs: DataFrame, size: int = SIZE, words: int = WORDS) -> DataFrame:

@@ -1,18 +1,20 @@
 """Main text of web pages, with nearest-URL page differencing.
 
 A page is cut into lines: the text of its block elements, character references decoded, white space inside a line turned
-into one space. Pages are paired by URL path within each host: a page's nearest page is the smallest URL (for the
-smallest itself, the largest) of those that share its deepest path folder with any other page. The lines of both are
-aligned by their longest common subsequence, and lines that both share are deleted.
-
-Two kinds of line don't depend on that. Lines in menus, headers, footers, sidebars, notices, adverts, forms and comments,
-told by their elements and attributes, always go. Paragraphs and headings inside an article or main element always stay:
-pages repeat articles of one another, in whole or in part, and deleting what they share would lose article text. Where a
-page has an article or main element, lines outside go.
-
-Defined cases: null and empty pages have no lines and an empty text; a page without URL has no host and is compared with
-no other; rows that repeat page_id, url and html get the same text; a page alone in its host keeps all open lines;
-markup that is cut short ends at its last whole character.
+into one space. Pages are put in the order of host and URL path; a page's nearest page is the one before or after it,
+within its host, that shares more path folders with it (the one before if both share as many). The lines of both are
+aligned by their longest common subsequence, and what both share is deleted, unless it is article text by its markup:
+a paragraph, heading or list item inside an article or main element. Pages repeat articles of one another, in whole or in
+part, and deleting what those share would lose article text.
+
+What pages don't share is not all article text: lines in menus, headers, footers, sidebars, notices, adverts, forms and
+comments, told by their elements and attributes, go as well, and where a page has an article or main element, so do lines
+outside.
+
+Defined cases: null and empty pages have no lines and an empty text, and are no page's nearest; a page without URL has no
+host and is compared with no other; rows that repeat page_id, url and html get the same text; pages of one URL are each
+other's neighbours; a page alone in its host keeps all lines that its markup leaves; markup that is cut short ends at its
+last whole character; a page of any length is taken whole.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, cut, signed, table, utf8
+from .common import Spans, in_order, signed, table, utf8, with_neighbours
 
 # HTML element names and usual attribute words.
 RAW = "script style textarea title noscript template iframe select option svg math object".split()
@@ -194,27 +196,22 @@ def line_hashes(pages: DataFrame) -> DataFrame:
 
 def shared_lines(pages: DataFrame) -> DataFrame:
     """k1, k2 and shared: the numbers of the lines that a page shares with its nearest page."""
-    known = cut(line_hashes(pages).dropDuplicates(["k1", "k2"]))
-    me = F.struct("path", "k1", "k2", "lines")
-    by_folder = known.select("host", F.explode("folders").alias("folder"), me.alias("page"))
-    ends = by_folder.groupBy("host", "folder").agg(F.min("page").alias("low"), F.max("page").alias("high"))
-    # written once, so that the join below has a shuffle on both sides and Spark can split the rows of a hot host
-    ends = cut(ends.where("low.k1 <> high.k1 or low.k2 <> high.k2"))
-    # the deepest folder with another page, and there the smallest page that isn't the page itself
-    options = known.select("host", F.posexplode("folders").alias("depth", "folder"), "k1", "k2", "lines").join(ends, ["host", "folder"])
-    other = F.when((F.col("low.k1") == F.col("k1")) & (F.col("low.k2") == F.col("k2")), F.col("high.lines")).otherwise(F.col("low.lines"))
-    nearest = options.select("k1", "k2", F.struct("depth", "lines", other.alias("other")).alias("x")).groupBy("k1", "k2").agg(F.max("x").alias("x")).select("k1", "k2", "x.lines", "x.other")
+    known = in_order(line_hashes(pages).where(F.size("lines") > 0).dropDuplicates(["k1", "k2"]), "host", "path", "k1", "k2")
+    near = with_neighbours(known, F.struct("host", "folders", "lines"), "host", "path", "k1", "k2")
 
     def align(batches):
         for batch in batches:
-            found = [common_lines(a, b) for a, b in zip(batch.column("lines").to_pylist(), batch.column("other").to_pylist())]
+            found = []
+            for host, folders, lines_, before, after in zip(*(batch.column(c).to_pylist() for c in ("host", "folders", "lines", "previous", "next"))):
+                best = max((sum(a == b for a, b in zip(folders, x["folders"])), -i) for i, x in enumerate((before, after)) if x and x["host"] == host) if any(x and x["host"] == host for x in (before, after)) else None
+                found.append(common_lines(lines_, (before, after)[-best[1]]["lines"]) if best else [])
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(found, pa.list_(pa.int32()))], ["k1", "k2", "shared"])
 
-    return nearest.mapInArrow(align, "k1 long, k2 long, shared array<int>")
+    return near.select("k1", "k2", "host", "folders", "lines", "previous", "next").mapInArrow(align, "k1 long, k2 long, shared array<int>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_shared (lines that the nearest page shares) of each row of pages (page_id, url, html)."""
+    """page_id, url, text, n_shared (lines that went because the nearest page shares them) and n_marked (other lines that went by their markup) of each row of pages (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html")
 
     def pack(batches):
@@ -228,19 +225,20 @@ def extract(pages: DataFrame) -> DataFrame:
     def unpack(batches):
         grow = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts, counts = [], []
+            texts, counts, marked = [], [], []
             for kinds, packed, shared in zip(batch.column("kinds").to_pylist(), batch.column("packed").to_pylist(), batch.column("shared").to_pylist()):
                 gone = set(shared or ())
                 own = grow(packed).decode().split("\n") if kinds else []
                 texts.append("\n".join(t for i, (k, t) in enumerate(zip(kinds, own)) if k == KEPT or k == OPEN and i not in gone))
-                counts.append(len(gone))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["page_id", "url", "text", "n_shared"])
+                counts.append(sum(kinds[i] != KEPT for i in gone))
+                marked.append(sum(k == GONE and i not in gone for i, k in enumerate(kinds)))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(marked, pa.int64())], ["page_id", "url", "text", "n_shared", "n_marked"])
 
     types = dict(pages.dtypes)
     # lines travel compressed: this is the one shuffle of the pages' texts
     packed = pages.select("page_id", "url", "html", *page_key()).mapInArrow(pack, f"page_id {types['page_id']}, url string, k1 long, k2 long, kinds binary, packed binary")
-    return packed.join(shared_lines(pages), ["k1", "k2"], "left").mapInArrow(unpack, f"page_id {types['page_id']}, url string, text string, n_shared long")
+    return packed.join(shared_lines(pages), ["k1", "k2"], "left").mapInArrow(unpack, f"page_id {types['page_id']}, url string, text string, n_shared long, n_marked long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_marked")

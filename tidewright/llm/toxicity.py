@@ -4,15 +4,15 @@ A text gets a severity grade 0 (harmless), 1 (toxic) or 2 (severe). One weight v
 of word beginnings (4, 5 and 6 letters) is shared by both ordered thresholds: P(grade > k) = 1 / (1 + exp(bias_k - weights . x)), with bias_0 <= bias_1, and the
 expected severity is P(grade > 0) + P(grade > 1). A text is toxic where P(grade > 0) is 0.5 or more.
 
-Given tables label texts as toxic or not. A toxic label's grade is 2 where the share of marked features (those that go
-with toxic labels) in the text is at least the median of that share among toxic sample rows, else 1.
+Given tables label texts as toxic or not, and their quality as 0 or 1. The grade is taken from these labels alone: 0 where
+a text isn't toxic, 1 where it is, 2 where it is toxic and its quality is labelled 0. Without a quality there is no 2.
 
 The model is fitted on a bounded sample of labelled rows: at most `sample_rows` of each label, taken in the order of a
 hash of the id; rows are weighted by what they stand for. At most `max_words` words become features.
 
 Defined cases: null and empty texts have no words and get the severity of an empty text; rows whose label or id is
 null are not used for fitting; a doc_id with several labels uses the highest; repeated rows are scored alike; with no
-labels of both kinds, or no word that tells them apart, every severity is 0.
+labels of both kinds, or no word that tells them apart, every severity is 0; a text of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -103,17 +103,17 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic."""
-    spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
-    known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).withColumn("_toxic", (F.col("_toxic") > 0).cast("int"))
+    """docs: doc_id, text; labels: doc_id, toxic, and quality if there is one."""
+    low = F.coalesce(F.col("quality") <= 0, F.lit(False)) if "quality" in labels.columns else F.lit(False)
+    known = labels.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("_toxic"), low.alias("_low")).where("_id is not null and _toxic is not null")
+    known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"), F.max("_low").alias("_low")).select("_id", "_toxic", F.when(F.col("_low"), 2 * F.col("_toxic")).otherwise(F.col("_toxic")).alias("_grade"))
     totals = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     if not (totals.get(0) and totals.get(1)):
         return Model()
     order = [F.xxhash64("_id"), F.col("_id")]
     sample = known.where("_toxic = 0").orderBy(*order).limit(sample_rows).unionByName(known.where("_toxic = 1").orderBy(*order).limit(sample_rows))
     # at most 2 * sample_rows ids, so the copy that each executor gets is of bounded size
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").select("_toxic", "text")
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").select("_toxic", "_grade", "text")
     counts = T.MapType(T.StringType(), T.IntegerType())
 
     def count(_, data, starts):
@@ -136,22 +136,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     if not chosen:
         return Model()
     vocabulary = sorted(r["word"] for r in chosen)
-    marked = {r["word"] for r in chosen if r["x"] / a > r["y"] / b}
     index = {w: i for i, w in enumerate(vocabulary)}
 
     def features(batches):
         for batch in slices(batches):
-            toxic, share, ids, values = batch.column("_toxic"), [], [], []
+            ids, values = [], []
             for pairs in batch.column("words").to_pylist():
-                hit = [(index[w], c) for w, c in pairs if w in index]
-                share.append(sum(c for w, c in pairs if w in marked) / max(1, sum(c for _, c in pairs)))
+                hit = sorted((index[w], c) for w, c in pairs if w in index)
                 ids.append([i for i, _ in hit])
                 values.append([c for _, c in hit])
-            yield pa.RecordBatch.from_arrays([toxic, pa.array(share, pa.float64()), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["toxic", "share", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("_toxic"), batch.column("_grade"), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["toxic", "grade", "ids", "counts"])
 
-    data = rows.mapInArrow(features, "toxic int, share double, ids array<int>, counts array<int>").orderBy("toxic", "share", "ids", "counts").collect()
-    toxic, share = np.array([r["toxic"] for r in data]), np.array([r["share"] for r in data])
-    grade = np.where(toxic > 0, 1 + (share >= np.median(share[toxic > 0])), 0).astype(int)
+    # at most 2 * sample_rows rows; ordered here, so that sums don't depend on how Spark deals them out
+    data = sorted(rows.mapInArrow(features, "toxic int, grade int, ids array<int>, counts array<int>").collect(), key=lambda r: (r["grade"], r["ids"], r["counts"]))
+    toxic, grade = np.array([r["toxic"] for r in data]), np.array([r["grade"] for r in data])
     row = np.repeat(np.arange(len(data)), [len(r["ids"]) for r in data])
     col = np.array([i for r in data for i in r["ids"]], int)
     value = np.log1p(np.array([c for r in data for c in r["counts"]], float))
