@@ -11,8 +11,8 @@ first arrival of all slots. Two texts agree in a slot with probability J_P.
 Texts of the same words are one class from the start. Representatives that agree in all slots of a band share a bucket; the
 least of a bucket is its leader, and all that share a leader are a group. Links are verified exactly, in two rounds. First
 each member of a group is held against its leader, which settles a template's near copies with one comparison each. In a
-group that isn't one class by then, every member that its leader's class lacks is held against every other member, so no
-link is lost between texts that any band has brought together: a group is split into blocks of at most BLOCK texts, and a
+group with members that are not near their leader, each of those is held against every other member, so no link is lost
+between texts that any band has brought together: a group is split into blocks of at most BLOCK texts, and a
 task gets the shingles of two blocks. Only that second round can grow with the square of something, namely of those
 members of a group that are not near their leader. Classes are the connected components of verified links.
 
@@ -256,20 +256,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     place = classes.select("node", "rep.o", "rep.t")
     texts = docs.select("o", "t", "text")
     first = star.join(place, "node").select("near", "node", "o", "t", (F.col("node") == F.col("near")).alias("front"), F.col("node").alias("label"))
-    label = cut(components(verified(first, texts, threshold, block)))
-    named = star.join(label, "node", "left").select("near", "node", F.coalesce("label", "node").alias("label"))
-    leader = cut(named.where("near = node").select("near", F.col("label").alias("lead")))
+    links = cut(verified(first, texts, threshold, block)).select(F.least("a", "b").alias("near"), F.greatest("a", "b").alias("node"))
+    marked = star.where("near <> node").join(links.withColumn("linked", F.lit(True)), ["near", "node"], "left").withColumn("front", F.col("linked").isNull())
     # the leader itself has been held against all; a group of it and one other member has nothing left to compare
-    marked = named.where("near <> node").join(leader, "near").withColumn("front", F.col("label") != F.col("lead"))
     open_ = cut(marked.groupBy("near").agg(F.count("*").alias("n"), F.count_if("front").alias("fronts")).where("fronts > 0 and n > 1").select("near"))
-    second = marked.join(open_, "near").join(place, "node").select("near", "node", "o", "t", "front", "label")
+    second = marked.join(open_, "near").join(place, "node").select("near", "node", "o", "t", "front", F.when(F.col("front"), F.col("node")).otherwise(F.col("near")).alias("label"))
     more = verified(second, texts, threshold, block)
-    of = {x: label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"}
-    joined = more.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    merged = cut(components(joined)).withColumnsRenamed({"node": "_node", "label": "_label"})
-    singles = merged.select(F.col("_node").alias("node"), F.col("_node").alias("label"))
-    linked = label.unionByName(singles).distinct().join(merged, F.col("label") == F.col("_node"), "left").select("node", F.coalesce("_label", "label").alias("label"))
-    linked = linked.groupBy("node").agg(F.min("label").alias("label"))
+    linked = components(links.select(F.col("near").alias("a"), F.col("node").alias("b")).unionByName(more))
     reps = classes.select("node", "d1", "d2", "rep").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = reps.groupBy("label").agg(F.min("rep").alias("least"))
     named = reps.join(least, "label").select("d1", "d2", F.col("least.o").alias("class_o"), F.col("least.t").alias("class_t"))

@@ -23,11 +23,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shielded, slices, table, texts_of, with_columns
+from .common import cut, ragged, shielded, slices, table, texts_of, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -147,12 +148,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
                 values.append([c for _, c in hit])
             yield pa.RecordBatch.from_arrays([batch.column("_toxic"), batch.column("_grade"), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["toxic", "grade", "ids", "counts"])
 
-    # at most 2 * sample_rows rows; ordered here, so that sums don't depend on how Spark deals them out
-    data = sorted(rows.mapInArrow(features, "toxic int, grade int, ids array<int>, counts array<int>").collect(), key=lambda r: (r["grade"], r["ids"], r["counts"]))
-    toxic, grade = np.array([r["toxic"] for r in data]), np.array([r["grade"] for r in data])
-    row = np.repeat(np.arange(len(data)), [len(r["ids"]) for r in data])
-    col = np.array([i for r in data for i in r["ids"]], int)
-    value = np.log1p(np.array([c for r in data for c in r["counts"]], float))
+    # at most 2 * sample_rows rows, as Arrow columns; ordered here, so that sums don't depend on how Spark deals them out
+    data = rows.mapInArrow(features, "toxic int, grade int, ids array<int>, counts array<int>").toArrow()
+    grade, size = data["grade"].to_numpy(), pc.list_value_length(data["ids"]).to_numpy()
+    flat = [pc.list_flatten(data[c]).to_numpy() for c in ("ids", "counts")]
+    ends = np.cumsum(size)
+    keys = [(g, flat[0][a:b].tobytes(), flat[1][a:b].tobytes()) for g, a, b in zip(grade.tolist(), (ends - size).tolist(), ends.tolist())]
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
+    del keys
+    own = np.repeat((ends - size)[order], size[order]) + ragged(size[order])
+    toxic, grade = data["toxic"].to_numpy()[order], grade[order]
+    row, col, value = np.repeat(np.arange(len(order)), size[order]), flat[0][own], np.log1p(flat[1][own].astype(float))
     weight = np.where(toxic > 0, totals[1] / a, totals[0] / b)
     weights, bias = fit_ordinal(row, col, value, grade, weight, len(vocabulary))
     return Model(vocabulary, weights, bias)
