@@ -8,13 +8,13 @@ Signature: each shingle is a Poisson process whose arrivals have the shingle's w
 slots; a slot keeps the shingle that arrives first. Shingles stop as soon as their next arrival is later than the latest
 first arrival of all slots. Two texts agree in a slot with probability J_P.
 
-Texts of the same words are one class from the start. Representatives that agree in all slots of a band share a bucket; the
-least of a bucket is its leader, and all that share a leader are a group. Links are verified exactly, in two rounds. First
-each member of a group is held against its leader, which settles a template's near copies with one comparison each. In a
-group with members that are not near their leader, each of those is held against every other member, so no link is lost
-between texts that any band has brought together: a group is split into blocks of at most BLOCK texts, and a
-task gets the shingles of two blocks. Only that second round can grow with the square of something, namely of those
-members of a group that are not near their leader. Classes are the connected components of verified links.
+Texts of the same words are one class from the start. Representatives that agree in all slots of a band share a bucket;
+what buckets connect is a group, and its least member is the leader. Links are verified exactly, in two rounds. First each
+member of a group is held against the leader, which settles a template's near copies with one comparison each. In a group
+with members that are not near the leader, each of those is held against every other member, so no link is lost between
+texts that any band has brought together: a group is split into blocks of at most BLOCK texts, and a task gets the shingles
+of two blocks. Only that second round can grow with the square of something, namely of those members of a group that are
+not near their leader. Classes are the connected components of verified links.
 
 Defined cases: null and empty texts, and texts without words, are classes of their own; a null doc_id comes after all
 others; rows that repeat doc_id and text are one document; the class id is the least doc_id of a class (null if it has
@@ -252,15 +252,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     classes = cut(classes.withColumn("node", F.col("d1")))
     keys = classes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    star = cut(keys.join(cut(buckets), "key").select(F.col("hub").alias("near"), "node").distinct())
-    place = classes.select("node", "rep.o", "rep.t")
+    star = keys.join(cut(buckets), "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    members = cut(components(star)).select("node", F.col("label").alias("near")).join(classes.select("node", "rep.o", "rep.t"), "node")
     texts = docs.select("o", "t", "text")
-    first = star.join(place, "node").select("near", "node", "o", "t", (F.col("node") == F.col("near")).alias("front"), F.col("node").alias("label"))
+    first = members.select("near", "node", "o", "t", (F.col("node") == F.col("near")).alias("front"), F.col("node").alias("label"))
     links = cut(verified(first, texts, threshold, block)).select(F.least("a", "b").alias("near"), F.greatest("a", "b").alias("node"))
-    marked = star.where("near <> node").join(links.withColumn("linked", F.lit(True)), ["near", "node"], "left").withColumn("front", F.col("linked").isNull())
+    marked = members.where("near <> node").join(links.withColumn("linked", F.lit(True)), ["near", "node"], "left").withColumn("front", F.col("linked").isNull())
     # the leader itself has been held against all; a group of it and one other member has nothing left to compare
     open_ = cut(marked.groupBy("near").agg(F.count("*").alias("n"), F.count_if("front").alias("fronts")).where("fronts > 0 and n > 1").select("near"))
-    second = marked.join(open_, "near").join(place, "node").select("near", "node", "o", "t", "front", F.when(F.col("front"), F.col("node")).otherwise(F.col("near")).alias("label"))
+    second = marked.join(open_, "near").select("near", "node", "o", "t", "front", F.when(F.col("front"), F.col("node")).otherwise(F.col("near")).alias("label"))
     more = verified(second, texts, threshold, block)
     linked = components(links.select(F.col("near").alias("a"), F.col("node").alias("b")).unionByName(more))
     reps = classes.select("node", "d1", "d2", "rep").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
