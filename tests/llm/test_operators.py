@@ -270,9 +270,11 @@ def test_lm_beats_unigrams_on_held_out(spark, sf):
 def test_lm_match_layer(spark):
     rng = random.Random(12)
     texts = [prose(200, rng) for _ in range(20)]
-    df = spark.createDataFrame(list(enumerate(texts)) + [(100, texts[3]), (101, " ".join(texts[4].split()[:100]))], "doc_id long, text string").repartition(3)
+    rows = [*enumerate(texts), *((100 + i, t) for i, t in enumerate(texts)), (200, " ".join(texts[4].split()[:100]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = {r["doc_id"]: r for r in lm_score.score(df, training=lm_score.F.col("doc_id") < 20).collect()}
-    assert found[100]["n_matched"] > 60 and found[100]["score"] > 0.75 * found[100]["base_score"]
+    copies = [found[100 + i] for i in range(20)]
+    assert sum(r["n_matched"] for r in copies) > 0.35 * 20 * 200 and sum(r["score"] for r in copies) > 0.75 * sum(r["base_score"] for r in copies)
     assert all(found[i]["n_matched"] == 0 for i in range(20))  # no text is predicted from itself
 
 
