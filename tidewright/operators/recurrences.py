@@ -184,6 +184,12 @@ def tib_bar_ids(trades: DataFrame, expected_ticks: float, p_buy: float) -> DataF
     return rows.join(rows.select("symbol", "trade_id", "tick").groupBy("symbol").applyInPandas(hop, "symbol string, trade_id long, bar_id long"), ["symbol", "trade_id"])
 
 
+def switch(df: DataFrame, enter_long: Column, enter_short: Column, name: str = "position") -> DataFrame:
+    """Position 1 or -1 from the bar of such a signal until one for the other side; 0 before any."""
+    signal = F.when(enter_long, 1).when(enter_short, -1)
+    return df.withColumn("_signal", signal).withColumn(name, F.coalesce(F.last("_signal", ignorenulls=True).over(so_far()), F.lit(0))).drop("_signal")
+
+
 def latch(df: DataFrame, enter_long: Column, enter_short: Column, exit_long: Column, exit_short: Column, name: str = "position") -> DataFrame:
     """Position -1, 0 or 1: an exit flattens, a new entry is taken only from flat and not on the bar of an exit.
 

@@ -248,7 +248,6 @@ def ruled(b: DataFrame) -> DataFrame:
 _RULED = f"""{WITH}, a AS (SELECT *, coalesce(CASE WHEN count(*) {over(20)} >= 20 THEN avg(close) {over(20)} END, close) AS tr, coalesce(var_samp(close) {over(20)}, 1.0) AS u, {_prev('max', 'high', 20)} AS eu, {_prev('min', 'low', 20)} AS el, {_prev('max', 'high', 10)} AS xu, {_prev('min', 'low', 10)} AS xl FROM bars), v AS (SELECT *, coalesce(tr - lag(tr) {BY}, 0.0) AS v, lag(close) {BY} AS pc, coalesce(lag(u) {BY}, 1.0) AS pu FROM a)"""
 _RULES_SQL = {
     "breakout": ("close > tr + sqrt(u)", "close < tr - sqrt(u)", "close < tr", "close > tr"),
-    "predictive": ("tr + v > pc + sqrt(pu)", "tr + v < pc - sqrt(pu)", "tr + v < pc - sqrt(pu)", "tr + v > pc + sqrt(pu)"),
     "mean_reversion": ("close < tr - sqrt(u)", "close > tr + sqrt(u)", "close > tr", "close < tr"),
     "channel": ("close > eu", "close < el", "close < xl", "close > xu"),
 }
@@ -260,6 +259,12 @@ for _name, (_el, _es, _xl, _xs) in _RULES_SQL.items():
   SELECT f.symbol, f.seq, CASE WHEN w.position = 1 THEN CASE WHEN xl THEN 0 ELSE 1 END WHEN w.position = -1 THEN CASE WHEN xs THEN 0 ELSE -1 END WHEN el THEN 1 WHEN es THEN -1 ELSE 0 END FROM walk w JOIN f ON f.symbol = w.symbol AND f.seq = w.seq + 1)
  SELECT symbol, seq, position FROM walk""",
     )(bars(lambda b, n=_name: R.latch(ruled(b), *U.RULES[n]().values()).select("symbol", "seq", "position")))
+# a signal for the other side switches at once, so the last signal is the position
+register(
+    "rule_predictive",
+    f"""{_RULED}, f AS (SELECT symbol, seq, CASE WHEN tr + v > pc + sqrt(pu) THEN 1 WHEN tr + v < pc - sqrt(pu) THEN -1 END AS e FROM v)
+ SELECT symbol, seq, coalesce(last_value(e IGNORE NULLS) {over()}, 0) AS position FROM f""",
+)(bars(lambda b: R.switch(ruled(b), *[U.RULES["predictive"]()[x] for x in ("enter_long", "enter_short")]).select("symbol", "seq", "position")))
 for _name in ("fused", "scalp", "osc_fade", "zscore"):
     register(f"rule_{_name}")(bars(lambda b, n=_name: R.latch(ruled(b), *(U.RULES[n](0.0005) if n == "scalp" else U.RULES[n]()).values()).select("symbol", "seq", "position")))
 
