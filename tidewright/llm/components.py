@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round ties nodes to the least neighbour, first from above, then from below; the number of rounds grows with the
     logarithm of the longest path. A node's neighbours are never gathered: minima are aggregated, written, and joined back;
-    as the join then shuffles both sides, Spark can split the rows of a node that very many share.
+    as the join then shuffles both sides, Spark can split the rows of a node that very many share. Joins are merges, so that
+    no side goes through the driver, of whatever size it turns out to be.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -24,9 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     labels = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())

@@ -197,8 +197,8 @@ def verified(groups: DataFrame, docs: DataFrame, threshold: float, block: int) -
     spread = F.xxhash64("node")
     own = F.when(F.col("front"), F.pmod(spread, F.col("fronts"))).otherwise(F.col("fronts") + F.pmod(spread, F.greatest("others", F.lit(1)))).cast("int")
     # written before the join, so that Spark can split the rows of a large group
-    placed = groups.join(cut(blocks), "near").withColumn("own", own)
-    texts = placed.join(docs, ["o", "t"]).dropDuplicates(["near", "node"])
+    placed = groups.join(cut(blocks).hint("merge"), "near").withColumn("own", own)
+    texts = docs.join(placed.hint("merge"), ["o", "t"]).dropDuplicates(["near", "node"])
     columns = ("near", "node", "label", "own", "front", "fronts", "others")
 
     def shingle(batches):
@@ -252,21 +252,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     classes = cut(classes.withColumn("node", F.col("d1")))
     keys = classes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    star = keys.join(cut(buckets), "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    members = cut(components(star)).select("node", F.col("label").alias("near")).join(classes.select("node", "rep.o", "rep.t"), "node")
+    star = keys.join(cut(buckets).hint("merge"), "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    members = cut(components(star)).select("node", F.col("label").alias("near")).join(classes.select("node", "rep.o", "rep.t").hint("merge"), "node")
     texts = docs.select("o", "t", "text")
     first = members.select("near", "node", "o", "t", (F.col("node") == F.col("near")).alias("front"), F.col("node").alias("label"))
     links = cut(verified(first, texts, threshold, block)).select(F.least("a", "b").alias("near"), F.greatest("a", "b").alias("node"))
-    marked = members.where("near <> node").join(links.withColumn("linked", F.lit(True)), ["near", "node"], "left").withColumn("front", F.col("linked").isNull())
+    marked = members.where("near <> node").join(links.withColumn("linked", F.lit(True)).hint("merge"), ["near", "node"], "left").withColumn("front", F.col("linked").isNull())
     # the leader itself has been held against all; a group of it and one other member has nothing left to compare
     open_ = cut(marked.groupBy("near").agg(F.count("*").alias("n"), F.count_if("front").alias("fronts")).where("fronts > 0 and n > 1").select("near"))
-    second = marked.join(open_, "near").select("near", "node", "o", "t", "front", F.when(F.col("front"), F.col("node")).otherwise(F.col("near")).alias("label"))
+    second = marked.join(open_.hint("merge"), "near").select("near", "node", "o", "t", "front", F.when(F.col("front"), F.col("node")).otherwise(F.col("near")).alias("label"))
     more = verified(second, texts, threshold, block)
     linked = components(links.select(F.col("near").alias("a"), F.col("node").alias("b")).unionByName(more))
-    reps = classes.select("node", "d1", "d2", "rep").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    reps = classes.select("node", "d1", "d2", "rep").join(linked.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = reps.groupBy("label").agg(F.min("rep").alias("least"))
-    named = reps.join(least, "label").select("d1", "d2", F.col("least.o").alias("class_o"), F.col("least.t").alias("class_t"))
-    found = sig.where(F.size("bands") > 0).select("o", "t", "d1", "d2").join(named, ["d1", "d2"]).select("o", "t", "class_o", "class_t")
+    named = reps.join(least.hint("merge"), "label").select("d1", "d2", F.col("least.o").alias("class_o"), F.col("least.t").alias("class_t"))
+    found = sig.where(F.size("bands") > 0).select("o", "t", "d1", "d2").join(named.hint("merge"), ["d1", "d2"]).select("o", "t", "class_o", "class_t")
     alone = sig.where(F.size("bands") == 0).select("o", "t", F.col("o").alias("class_o"), F.col("t").alias("class_t"))
     return found.unionByName(alone)
 
@@ -287,4 +287,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(keyed(docs).select("o", "t", "text"))
     gone = found.where("o <> class_o or t <> class_t").select(F.col("o").alias("_o"), F.col("t").alias("_t")).distinct()
     key = {"_o": ordered_id(), "_t": F.xxhash64(F.coalesce("text", F.lit("")))}
-    return shielded(docs, ("doc_id", "text"), lambda rows: rows.withColumns(key).join(gone, ["_o", "_t"], "left_anti").dropDuplicates(["_o", "_t"]))
+    return shielded(docs, ("doc_id", "text"), lambda rows: rows.withColumns(key).join(gone.hint("merge"), ["_o", "_t"], "left_anti").dropDuplicates(["_o", "_t"]))

@@ -159,6 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     own = np.repeat((ends - size)[order], size[order]) + ragged(size[order])
     toxic, grade = data["toxic"].to_numpy()[order], grade[order]
     row, col, value = np.repeat(np.arange(len(order)), size[order]), flat[0][own], np.log1p(flat[1][own].astype(float))
+    del data, flat, own
+    pa.default_memory_pool().release_unused()
     weight = np.where(toxic > 0, totals[1] / a, totals[0] / b)
     weights, bias = fit_ordinal(row, col, value, grade, weight, len(vocabulary))
     return Model(vocabulary, weights, bias)
