@@ -66,6 +66,51 @@ def touch_grid(df: DataFrame, sigma: str, sls: list[float], pts: list[float], ho
     return hits.withColumn("x", F.explode(grid)).where("x.horizon <= ahead").select("symbol", "seq", "x.sl", "x.pt", "x.horizon", "x.label")
 
 
+def sniper_labels(df: DataFrame, sigma: str, pt: float = 2.0, sl: float = 1.0, horizon: int = 18, least: float = 0.002) -> DataFrame:
+    """Labels by the first bar of each barrier, which lie at multiples of sigma without scaling by time; 0 where the expected move pt * sigma is below `least`, or nothing is touched.
+
+    Where one bar touches both, the earlier of its high and low decides if df has high_time and low_time, else it is 1.
+    """
+    timed = {"high_time", "low_time"} <= set(df.columns)
+    rows = df.withColumn("_last", F.max("seq").over(Window.partitionBy("symbol")))
+    entry, s = F.col("close"), F.col(sigma)
+    anchors = rows.where((F.col("seq") + horizon < F.col("_last")) & (s > 0)).select("symbol", "seq", (pt * s < least).alias("low_move"), (entry * (1 + pt * s)).alias("up"), (entry * (1 - sl * s)).alias("down"))
+    tie = F.when(F.col("high_time") < F.col("low_time"), 1).otherwise(-1) if timed else F.lit(1)
+    pairs = forward_pairs(anchors, df.select("symbol", "seq", "high", "low", tie.alias("tie")), horizon)
+    at = F.struct(F.col("b.seq").alias("at"), F.col("b.tie").alias("tie"))
+    hits = pairs.groupBy("symbol", "seq", "low_move").agg(F.min(F.when(F.col("b.high") >= F.col("up"), at)).alias("u"), F.min(F.when(F.col("b.low") <= F.col("down"), at)).alias("d"))
+    u, d = F.col("u.at"), F.col("d.at")
+    label = F.when(F.col("low_move"), 0).when(u == d, F.col("u.tie")).when(u.isNotNull() & (d.isNull() | (u < d)), 1).when(d.isNotNull(), -1).otherwise(0)
+    return hits.select("symbol", "seq", label.alias("label"))
+
+
+def barrier_trades(df: DataFrame, signal: str, sigma: str, pt: float = 2.0, sl: float = 1.0, most: int = 24, slip: float = 0.0001, fee: float = 0.0004) -> DataFrame:
+    """The trade of each signal, whether or not another is open: entry_seq, exit_seq, direction, entry_price, exit_price, reason, pnl.
+
+    A signal enters at the next bar's open. From the bar after the entry on, the first that touches the stop or the target
+    ends the trade there (SL, TP; a bar that touches both counts as SL unless its times say otherwise), else the close of
+    the bar `most` bars after the entry (TIMEOUT), or the last close where bars end before that. A sigma of 0 or less counts as 0.001.
+    """
+    timed = {"high_time", "low_time"} <= set(df.columns)
+    way = F.col(signal)
+    s = F.when(F.col(sigma) > 0, F.col(sigma)).otherwise(F.lit(0.001))
+    rows = df.withColumns({"_open": F.lead("open").over(by_seq()), "_at": F.lead("seq").over(by_seq())}).where((way != 0) & F.col("_at").isNotNull())
+    price = F.col("_open") * (1 + way * slip)
+    anchors = rows.select("symbol", F.col("_at").alias("seq"), way.alias("direction"), price.alias("entry_price"), (price * (1 + way * pt * s)).alias("tp"), (price * (1 - way * sl * s)).alias("sl"))
+    times = ["high_time", "low_time"] if timed else []
+    pairs = forward_pairs(anchors, df.select("symbol", "seq", "high", "low", "close", *times), most)
+    long = F.col("direction") > 0
+    stop = F.when(long, F.col("b.low") <= F.col("sl")).otherwise(F.col("b.high") >= F.col("sl"))
+    target = F.when(long, F.col("b.high") >= F.col("tp")).otherwise(F.col("b.low") <= F.col("tp"))
+    first = F.when(long, F.col("b.low_time") <= F.col("b.high_time")).otherwise(F.col("b.high_time") <= F.col("b.low_time")) if timed else F.lit(True)
+    hit = F.when(stop | target, F.struct(F.col("b.seq").alias("at"), (stop & (~target | first)).alias("stopped")))
+    out = pairs.groupBy("symbol", "seq", "direction", "entry_price", "tp", "sl").agg(F.min(hit).alias("hit"), F.max("b.seq").alias("end"), F.max_by("b.close", "b.seq").alias("end_close"))
+    reason = F.when(F.col("hit").isNull(), "TIMEOUT").when(F.col("hit.stopped"), "SL").otherwise("TP")
+    level = F.when(F.col("hit").isNull(), F.col("end_close")).when(F.col("hit.stopped"), F.col("sl")).otherwise(F.col("tp"))
+    done = out.select("symbol", F.col("seq").alias("entry_seq"), F.coalesce("hit.at", "end").alias("exit_seq"), "direction", "entry_price", (level * (1 - F.col("direction") * slip)).alias("exit_price"), reason.alias("reason"))
+    return done.withColumn("pnl", F.col("direction") * (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") - 2 * fee)
+
+
 def trend_scan(df: DataFrame, windows: list[int]) -> DataFrame:
     """The window whose forward least-squares slope of log close has the largest |t|, and the label by |t| >= 2. Slopes come from running sums, so a row is joined to one row for each window, not to the window's rows."""
     w = so_far()
@@ -166,4 +211,4 @@ def future_return(df: DataFrame, n: int) -> Column:
     return F.lead("close", n).over(by_seq()) / F.col("close") - 1
 
 
-__all__ = ["forward_pairs", "first_touch", "touch_grid", "trend_scan", "terciles", "context_windows", "split_temporal", "rolling_folds", "spell_trades", "chain", "equity_curve", "future_return", "next_rows"]
+__all__ = ["forward_pairs", "first_touch", "touch_grid", "sniper_labels", "barrier_trades", "trend_scan", "terciles", "context_windows", "split_temporal", "rolling_folds", "spell_trades", "chain", "equity_curve", "future_return", "next_rows"]

@@ -190,18 +190,28 @@ def switch(df: DataFrame, enter_long: Column, enter_short: Column, name: str = "
     return df.withColumn("_signal", signal).withColumn(name, F.coalesce(F.last("_signal", ignorenulls=True).over(so_far()), F.lit(0))).drop("_signal")
 
 
-def latch(df: DataFrame, enter_long: Column, enter_short: Column, exit_long: Column, exit_short: Column, name: str = "position") -> DataFrame:
-    """Position -1, 0 or 1: an exit flattens, a new entry is taken only from flat and not on the bar of an exit.
+def latch(df: DataFrame, enter_long: Column, enter_short: Column, exit_long: Column, exit_short: Column, name: str = "position", policy: str = "a") -> DataFrame:
+    """Position -1, 0 or 1. From flat, an entry is taken; what a held position does depends on the policy:
+
+    a: an exit flattens, and nothing is entered on its bar. b: an exit flattens, or turns if the other side enters on its
+    bar. c: exits don't count, an entry of the other side turns. d: as a, and an entry of the other side turns where no
+    exit fired. e: an exit turns, and so does an entry of the other side. f: an exit flattens and any entry of its bar is
+    taken; an entry of the other side turns. bd: b and d together.
 
     Each row maps the three states to states, and such maps compose, so blocks are folded on their own and then along a
     key. A map is a number of three ternary digits.
     """
 
     def state(held: int) -> Column:
-        if held:
-            leave = exit_long if held > 0 else exit_short
-            return F.when(leave, F.lit(0)).otherwise(F.lit(held))
-        return F.when(enter_long, F.lit(1)).when(enter_short, F.lit(-1)).otherwise(F.lit(0))
+        fresh = F.when(enter_long, F.lit(1)).when(enter_short, F.lit(-1)).otherwise(F.lit(0))
+        if not held:
+            return fresh
+        leave, other = (exit_long, enter_short) if held > 0 else (exit_short, enter_long)
+        stay = F.lit(held) if policy in ("a", "b") else F.when(other, F.lit(-held)).otherwise(F.lit(held))
+        if policy == "c":
+            return stay
+        gone = {"e": F.lit(-held), "f": fresh, "a": F.lit(0), "d": F.lit(0)}.get(policy, F.when(other, F.lit(-held)).otherwise(F.lit(0)))
+        return F.when(leave, gone).otherwise(stay)
 
     rows = df.withColumn("_map", F.array(*[F.coalesce(state(s), F.lit(s)) for s in (-1, 0, 1)])).withColumn("_block", F.floor((F.col("seq") - 1) / BLOCK))
 

@@ -156,4 +156,68 @@ def rule_zscore(entry: float = 2.0, leave: float = 0.0) -> dict[str, Column]:
     return _rule(c("z") > entry, c("z") < -entry, c("z") < leave, c("z") > -leave)
 
 
+def rule_v2_breakout(k: float = 1.0) -> dict[str, Column]:
+    band = k * c("u")
+    return _rule((c("close") > c("tr") + band) & (c("v") > 0), (c("close") < c("tr") - band) & (c("v") < 0), c("close") < c("tr"), c("close") > c("tr"))
+
+
+def rule_v2_predictive(k: float = 1.0) -> dict[str, Column]:
+    prev, band = F.lag("close").over(by_seq()), k * F.coalesce(F.lag("u").over(by_seq()), F.lit(1.0))
+    up, down = c("tp") > prev + band, c("tp") < prev - band
+    return _rule(up, down, down, up)
+
+
+def rule_v2_triple(k: float = 1.0) -> dict[str, Column]:
+    p = rule_v2_predictive(k)
+    return _rule(p["enter_long"] & (c("v") > 0), p["enter_short"] & (c("v") < 0), c("close") < c("tr"), c("close") > c("tr"))
+
+
+def rule_v3_predictive(k: float = 1.0) -> dict[str, Column]:
+    prev, band = F.lag("close").over(by_seq()), k * F.sqrt("u")
+    up, down = c("tp") > prev + band, c("tp") < prev - band
+    return _rule(up, down, down, up)
+
+
+def rule_v3_fused(k: float = 1.0) -> dict[str, Column]:
+    p = rule_v3_predictive(k)
+    return _rule(p["enter_long"] & (c("v") > 0), p["enter_short"] & (c("v") < 0), c("close") < c("tr"), c("close") > c("tr"))
+
+
+def rule_osc(k: float = 1.0, k_exit: float = 0.5, oversold: float = 20, overbought: float = 80) -> dict[str, Column]:
+    """A forecast beyond the band while the oscillator has room; left near the trend, on its far side."""
+    p, near = rule_v3_predictive(k), k_exit * F.sqrt("u")
+    out_long = (c("close") > c("tr") - near) & (c("close") > c("tr"))
+    out_short = (c("close") < c("tr") + near) & (c("close") < c("tr"))
+    return _rule(p["enter_long"] & (c("stoch_k") < overbought), p["enter_short"] & (c("stoch_k") > oversold), out_long, out_short)
+
+
+def rule_crossover(least: float = 0.0) -> dict[str, Column]:
+    """The fast trend crosses the slow one while the slow one moves the same way; left at the opposite cross."""
+    gap = c("fast") - c("tr")
+    before = F.lag(gap).over(by_seq())
+    up, down = (gap > 0) & (before <= 0), (gap < 0) & (before >= 0)
+    return _rule(up & (c("v") > least), down & (c("v") < -least), down, up)
+
+
+#: Each rule with the latch policy that its positions follow ("switch": the last signal holds).
+POLICIES = {
+    "breakout": (rule_breakout, "a"),
+    "fused": (rule_fused, "d"),
+    "scalp": (lambda: rule_scalp(0.0005), "f"),
+    "v2_breakout": (rule_v2_breakout, "f"),
+    "v2_predictive": (rule_v2_predictive, "switch"),
+    "v2_triple": (rule_v2_triple, "f"),
+    "v3_breakout_rev": (rule_breakout, "e"),
+    "v3_predictive_rev": (rule_v3_predictive, "c"),
+    "v3_fused_rev": (rule_v3_fused, "e"),
+    "mean_reversion": (rule_mean_reversion, "d"),
+    "mr_tight": (lambda: rule_mean_reversion(1.0, 0.5), "d"),
+    "mr_reversal": (rule_mean_reversion, "e"),
+    "osc_basic": (rule_osc, "c"),
+    "osc_exit": (rule_osc, "d"),
+    "osc_fade": (rule_osc_fade, "d"),
+    "crossover": (rule_crossover, "b"),
+    "channel": (rule_channel, "bd"),
+}
+
 RULES = {"breakout": rule_breakout, "predictive": rule_predictive, "fused": rule_fused, "scalp": rule_scalp, "mean_reversion": rule_mean_reversion, "osc_fade": rule_osc_fade, "channel": rule_channel, "zscore": rule_zscore}

@@ -240,33 +240,64 @@ def ruled(b: DataFrame) -> DataFrame:
     """Bars with what rules read: a trend and its forecast, velocity, uncertainty, oscillator, channel and z-score."""
     b = W.zscore(W.donchian(W.stochastic(W.averages(W.returns(b)))), "close", 42)
     w = W.by_seq()
-    b = b.withColumns({"tr": F.coalesce("sma20", "close"), "u": F.coalesce(F.var_samp("close").over(W.last_rows(20)), F.lit(1.0))})
+    b = b.withColumns({"fast": F.avg("close").over(W.last_rows(5)), "tr": F.coalesce("sma20", "close"), "u": F.coalesce(F.var_samp("close").over(W.last_rows(20)), F.lit(1.0))})
     b = b.withColumn("v", F.coalesce(F.col("tr") - F.lag("tr").over(w), F.lit(0.0)))
     return b.withColumn("tp", F.col("tr") + F.col("v"))
 
 
-_RULED = f"""{WITH}, a AS (SELECT *, coalesce(CASE WHEN count(*) {over(20)} >= 20 THEN avg(close) {over(20)} END, close) AS tr, coalesce(var_samp(close) {over(20)}, 1.0) AS u, {_prev('max', 'high', 20)} AS eu, {_prev('min', 'low', 20)} AS el, {_prev('max', 'high', 10)} AS xu, {_prev('min', 'low', 10)} AS xl FROM bars), v AS (SELECT *, coalesce(tr - lag(tr) {BY}, 0.0) AS v, lag(close) {BY} AS pc, coalesce(lag(u) {BY}, 1.0) AS pu FROM a)"""
+_RULED = f"""{WITH}, a AS (SELECT *, coalesce(CASE WHEN count(*) {over(20)} >= 20 THEN avg(close) {over(20)} END, close) AS tr, coalesce(var_samp(close) {over(20)}, 1.0) AS u, avg(close) {over(5)} AS fast, {_prev('max', 'high', 20)} AS eu, {_prev('min', 'low', 20)} AS el, {_prev('max', 'high', 10)} AS xu, {_prev('min', 'low', 10)} AS xl,
+  min(low) {over(14)} AS lo, max(high) {over(14)} AS hi, count(*) {over(14)} AS nk FROM bars),
+ v0 AS (SELECT *, coalesce(tr - lag(tr) {BY}, 0.0) AS v, tr + coalesce(tr - lag(tr) {BY}, 0.0) AS tp, lag(close) {BY} AS pc, coalesce(lag(u) {BY}, 1.0) AS pu, fast - tr AS gap, lag(fast - tr) {BY} AS pgap, CASE WHEN nk >= 14 THEN CASE WHEN hi = lo THEN 50.0 ELSE (close - lo) / (hi - lo) * 100 END END AS raw FROM a),
+ v AS (SELECT *, CASE WHEN count(raw) {over(3)} >= 3 THEN avg(raw) {over(3)} END AS sk FROM v0)"""
+_TREND = ("close < tr", "close > tr")
 _RULES_SQL = {
-    "breakout": ("close > tr + sqrt(u)", "close < tr - sqrt(u)", "close < tr", "close > tr"),
+    "breakout": ("close > tr + sqrt(u)", "close < tr - sqrt(u)", *_TREND),
+    "fused": ("tp > pc + sqrt(pu) AND v > 0", "tp < pc - sqrt(pu) AND v < 0", *_TREND),
+    "scalp": ("v / close > 0.0005", "v / close < -0.0005", "v < 0", "v > 0"),
+    "v2_breakout": ("close > tr + u AND v > 0", "close < tr - u AND v < 0", *_TREND),
+    "v2_predictive": ("tp > pc + pu", "tp < pc - pu", "false", "false"),
+    "v2_triple": ("tp > pc + pu AND v > 0", "tp < pc - pu AND v < 0", *_TREND),
+    "v3_breakout_rev": ("close > tr + sqrt(u)", "close < tr - sqrt(u)", *_TREND),
+    "v3_predictive_rev": ("tp > pc + sqrt(u)", "tp < pc - sqrt(u)", "false", "false"),
+    "v3_fused_rev": ("tp > pc + sqrt(u) AND v > 0", "tp < pc - sqrt(u) AND v < 0", *_TREND),
     "mean_reversion": ("close < tr - sqrt(u)", "close > tr + sqrt(u)", "close > tr", "close < tr"),
+    "mr_tight": ("close < tr - sqrt(u)", "close > tr + sqrt(u)", "close > tr - 0.5 * sqrt(u)", "close < tr + 0.5 * sqrt(u)"),
+    "mr_reversal": ("close < tr - sqrt(u)", "close > tr + sqrt(u)", "close > tr", "close < tr"),
+    "osc_basic": ("tp > pc + sqrt(u) AND sk < 80", "tp < pc - sqrt(u) AND sk > 20", "false", "false"),
+    "osc_exit": ("tp > pc + sqrt(u) AND sk < 80", "tp < pc - sqrt(u) AND sk > 20", "close > tr", "close < tr"),
+    "osc_fade": ("sk < 20 AND tp > pc", "sk > 80 AND tp < pc", "sk > 50", "sk < 50"),
+    "crossover": ("gap > 0 AND pgap <= 0 AND v > 0", "gap < 0 AND pgap >= 0 AND v < 0", "gap < 0 AND pgap >= 0", "gap > 0 AND pgap <= 0"),
     "channel": ("close > eu", "close < el", "close < xl", "close > xu"),
 }
+_FRESH = "CASE WHEN el THEN 1 WHEN es THEN -1 ELSE 0 END"
+
+
+def _held(held: int, policy: str) -> str:
+    """The next position of a held one, as a loop over bars would say it."""
+    leave, other = ("xl", "es") if held > 0 else ("xs", "el")
+    turned = f"CASE WHEN {other} THEN {-held} ELSE 0 END"
+    gone = {"a": "0", "d": "0", "b": turned, "bd": turned, "e": str(-held), "f": _FRESH}
+    exits = "" if policy in ("c", "switch") else f"WHEN {leave} THEN {gone[policy]} "
+    turns = "" if policy in ("a", "b") else f"WHEN {other} THEN {-held} "
+    return f"CASE {exits}{turns}ELSE {held} END" if exits or turns else str(held)
+
+
 for _name, (_el, _es, _xl, _xs) in _RULES_SQL.items():
+    _rule, _policy = U.POLICIES[_name]
     register(
         f"rule_{_name}",
         f"""WITH RECURSIVE {_RULED.removeprefix('WITH ')}, f AS (SELECT symbol, seq, coalesce({_el}, false) AS el, coalesce({_es}, false) AS es, coalesce({_xl}, false) AS xl, coalesce({_xs}, false) AS xs FROM v),
- walk AS (SELECT symbol, seq, CASE WHEN el THEN 1 WHEN es THEN -1 ELSE 0 END AS position FROM f WHERE seq = 1 UNION ALL
-  SELECT f.symbol, f.seq, CASE WHEN w.position = 1 THEN CASE WHEN xl THEN 0 ELSE 1 END WHEN w.position = -1 THEN CASE WHEN xs THEN 0 ELSE -1 END WHEN el THEN 1 WHEN es THEN -1 ELSE 0 END FROM walk w JOIN f ON f.symbol = w.symbol AND f.seq = w.seq + 1)
+ walk AS (SELECT symbol, seq, {_FRESH} AS position FROM f WHERE seq = 1 UNION ALL
+  SELECT f.symbol, f.seq, CASE WHEN w.position = 1 THEN {_held(1, _policy)} WHEN w.position = -1 THEN {_held(-1, _policy)} ELSE {_FRESH} END FROM walk w JOIN f ON f.symbol = w.symbol AND f.seq = w.seq + 1)
  SELECT symbol, seq, position FROM walk""",
-    )(bars(lambda b, n=_name: R.latch(ruled(b), *U.RULES[n]().values()).select("symbol", "seq", "position")))
+    )(bars(lambda b, f=_rule, p=_policy: (R.switch(ruled(b), *list(f().values())[:2]) if p == "switch" else R.latch(ruled(b), *f().values(), policy=p)).select("symbol", "seq", "position")))
 # a signal for the other side switches at once, so the last signal is the position
 register(
     "rule_predictive",
     f"""{_RULED}, f AS (SELECT symbol, seq, CASE WHEN tr + v > pc + sqrt(pu) THEN 1 WHEN tr + v < pc - sqrt(pu) THEN -1 END AS e FROM v)
  SELECT symbol, seq, coalesce(last_value(e IGNORE NULLS) {over()}, 0) AS position FROM f""",
 )(bars(lambda b: R.switch(ruled(b), *[U.RULES["predictive"]()[x] for x in ("enter_long", "enter_short")]).select("symbol", "seq", "position")))
-for _name in ("fused", "scalp", "osc_fade", "zscore"):
-    register(f"rule_{_name}")(bars(lambda b, n=_name: R.latch(ruled(b), *(U.RULES[n](0.0005) if n == "scalp" else U.RULES[n]()).values()).select("symbol", "seq", "position")))
+register("rule_zscore")(bars(lambda b: R.latch(ruled(b), *U.rule_zscore().values()).select("symbol", "seq", "position")))
 
 # ---- labels, ledger, equity -------------------------------------------------------------------
 
@@ -388,6 +419,46 @@ add_bars(
 )
 add_bars("agg_signal_stats", f"{_SIG}, c AS (SELECT *, lag(sig) {BY} AS p FROM g) SELECT symbol, count(*) AS n, count(*) FILTER (sig = 1) AS longs, count(*) FILTER (sig <> p) AS changes FROM c GROUP BY 1", lambda b: signalled(b).withColumn("p", F.lag("sig").over(W.by_seq())).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("sig") == 1).alias("longs"), F.count_if(F.col("sig") != F.col("p")).alias("changes")))
 
+add_bars(
+    "lab_sniper",
+    f"""{RETS}, s AS (SELECT *, coalesce(stddev_samp(ret) {over(24)}, 0.0) AS sigma, max(seq) OVER (PARTITION BY symbol) AS n FROM b), a AS (SELECT symbol, seq, close AS entry, sigma FROM s WHERE seq + 18 < n AND sigma > 0),
+ h AS (SELECT a.symbol, a.seq, any_value(sigma) AS sigma, min(k.seq) FILTER (k.high >= entry * (1 + 2.0 * sigma)) AS u, min(k.seq) FILTER (k.low <= entry * (1 - 1.0 * sigma)) AS d FROM a JOIN bars k ON k.symbol = a.symbol AND k.seq > a.seq AND k.seq <= a.seq + 18 GROUP BY 1, 2)
+ SELECT symbol, seq, CASE WHEN 2.0 * sigma < 0.002 THEN 0 WHEN u <= coalesce(d, u) THEN 1 WHEN d IS NOT NULL THEN -1 ELSE 0 END AS label FROM h""",
+    lambda b: L.sniper_labels(W.volatility(b), "realized_vol"),
+)
+# the trades of all signals; then those taken with one open at a time
+_CAND = f"""{RETS.removeprefix('WITH ')}, s AS (SELECT *, coalesce(stddev_samp(ret) {over(24)}, 0.0) AS rv, CASE WHEN close > avg(close) {over(20)} THEN 1 ELSE -1 END AS sig FROM b),
+ e AS (SELECT symbol, lead(seq) {BY} AS es, sig, lead(open) {BY} * (1 + sig * 0.0001) AS ep, CASE WHEN rv > 0 THEN rv ELSE 0.001 END AS sg FROM s), e2 AS (SELECT *, ep * (1 + sig * 2.0 * sg) AS tp, ep * (1 - sig * 1.0 * sg) AS sl FROM e WHERE es IS NOT NULL),
+ pr AS (SELECT e2.*, k.seq AS ks, k.close AS kc, CASE WHEN sig > 0 THEN k.low <= sl ELSE k.high >= sl END AS st, CASE WHEN sig > 0 THEN k.high >= tp ELSE k.low <= tp END AS tg FROM e2 JOIN bars k ON k.symbol = e2.symbol AND k.seq > es AND k.seq <= es + 24),
+ hh AS (SELECT symbol, es, sig, ep, tp, sl, min(ks) FILTER (st OR tg) AS hs, arg_min(st, ks) FILTER (st OR tg) AS st, max(ks) AS xe, arg_max(kc, ks) AS xc FROM pr GROUP BY ALL),
+ cand AS (SELECT symbol, es AS entry_seq, coalesce(hs, xe) AS exit_seq, sig AS direction, ep AS entry_price, (CASE WHEN hs IS NULL THEN xc WHEN st THEN sl ELSE tp END) * (1 - sig * 0.0001) AS exit_price, CASE WHEN hs IS NULL THEN 'TIMEOUT' WHEN st THEN 'SL' ELSE 'TP' END AS reason FROM hh),
+ led AS (SELECT *, direction * (exit_price - entry_price) / entry_price - 0.0008 AS pnl FROM cand)"""
+_CHAIN = f"""WITH RECURSIVE {_CAND}, nx AS (SELECT c.*, (SELECT min(d.entry_seq) FROM led d WHERE d.symbol = c.symbol AND d.entry_seq > c.exit_seq) AS nxt FROM led c),
+ ch AS (SELECT * FROM nx WHERE entry_seq = (SELECT min(z.entry_seq) FROM led z WHERE z.symbol = nx.symbol) UNION ALL SELECT nx.* FROM ch JOIN nx ON nx.symbol = ch.symbol AND nx.entry_seq = ch.nxt)"""
+_TRADE = ("symbol", "entry_seq", "exit_seq", "direction", "entry_price", "exit_price", "reason", "pnl")
+_TRADE_SQL = f"symbol, entry_seq, exit_seq, direction, {r('entry_price', 'entry_price')}, {r('exit_price', 'exit_price')}, reason, {r('pnl', 'pnl')}"
+
+
+def barrier_ledger(b: DataFrame) -> DataFrame:
+    return L.barrier_trades(signalled(W.volatility(b)), "sig", "realized_vol")
+
+
+add_bars("led_exit_barrier", f"WITH {_CAND} SELECT {_TRADE_SQL} FROM led", lambda b: shown(barrier_ledger(b), *_TRADE))
+add_bars("led_chain", f"{_CHAIN} SELECT {_TRADE_SQL} FROM ch", lambda b: shown(L.chain(barrier_ledger(b)), *_TRADE))
+add_bars(
+    "agg_fold_summary",
+    f"""{_CHAIN}, fo AS (SELECT symbol, year(bar_ts) * 100 + month(bar_ts) AS ym, sum(pnl) AS p FROM ch JOIN bars ON bars.symbol = ch.symbol AND bars.seq = ch.exit_seq GROUP BY ALL)
+ SELECT symbol, count(*) AS folds, {r('avg(p)', 'mean')}, {r('stddev_pop(p)', 'std')}, {r('min(p)', 'least')}, {r('max(p)', 'most')}, {r('exp(sum(ln(greatest(1 + p, 1e-12)))) - 1', 'cumulative')} FROM fo GROUP BY 1""".replace("SELECT symbol, year", "SELECT ch.symbol, year"),
+    lambda b: shown(
+        L.chain(barrier_ledger(b)).withColumnRenamed("exit_seq", "seq").join(b.select("symbol", "seq", "bar_ts"), ["symbol", "seq"]).groupBy("symbol", F.date_format("bar_ts", "yyyyMM").alias("ym")).agg(F.sum("pnl").alias("p")).groupBy("symbol")
+        .agg(F.count("*").alias("folds"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("least"), F.max("p").alias("most"), (F.exp(F.sum(F.log(F.greatest(1 + F.col("p"), F.lit(1e-12))))) - 1).alias("cumulative")),
+        "symbol", "folds", "mean", "std", "least", "most", "cumulative",
+    ),
+)
+add_bars("win_vw_momentum", f"{RETS} SELECT symbol, seq, {r('ret * volume', 'vw_momentum')} FROM b", lambda b: shown(W.returns(b).withColumn("vw_momentum", F.col("ret") * F.col("volume")), "symbol", "seq", "vw_momentum"))
+_DET = 1 - R.alpha_of(halflife=100)
+add_bars("detrend", f"{WITH}, m AS (SELECT symbol, seq, ln(close) AS y, pow({_DET!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN ln(close) ELSE {1 - _DET!r} * ln(close) * pow({_DET!r}, 1 - seq) END) {over()} AS m FROM bars) SELECT symbol, seq, {r('y - m', 'detrended')} FROM m", lambda b: shown(R.linear_scan(b, (1 - _DET) * F.log("close"), _DET, "_m", F.log("close")).withColumn("detrended", F.log("close") - F.col("_m")), "symbol", "seq", "detrended"))
+
 # ---- aggregates -------------------------------------------------------------------------------
 
 _DAY = f"{WITH}, d AS (SELECT symbol, CAST(bar_ts AS DATE) AS day, arg_min(open, seq) AS open, max(high) AS high, min(low) AS low, arg_max(close, seq) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)"
