@@ -37,7 +37,7 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     rows = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
     if name not in catalog.ORACLE_SQL:
-        assert len(rows) >= 0
+        assert rows
         return
     found = duck.sql(catalog.ORACLE_SQL[name])
     at = [found.columns.index(c) for c in columns]

@@ -152,13 +152,13 @@ def split_temporal(df: DataFrame, test_share: float, gap: int) -> DataFrame:
     return df.withColumn("part", F.when(F.col("seq") > at, "test").when(F.col("seq") > at - F.least(F.lit(gap), F.floor(at / 2)), "purge").otherwise("train"))
 
 
-def rolling_folds(days: DataFrame, train: int, test: int, step: int) -> DataFrame:
-    """fold, train_start, train_end, test_start and test_end by symbol, from its first to its last day. days: symbol, day."""
+def rolling_folds(days: DataFrame, train: int, test: int, step: int, anchored: bool = False) -> DataFrame:
+    """fold, train_start, train_end, test_start and test_end by symbol, from its first to its last day; anchored: each trains from the first day. days: symbol, day."""
     ends = days.groupBy("symbol").agg(F.min("day").alias("a"), F.max("day").alias("b"))
     n = F.floor((F.datediff("b", "a") + 1 - train - test) / step)
     rows = ends.where(n >= 0).withColumn("fold", F.explode(F.sequence(F.lit(0), n.cast("int"))))
     start = F.date_add("a", (F.col("fold") * step).cast("int"))
-    return rows.select("symbol", "fold", start.alias("train_start"), F.date_add(start, train).alias("train_end"), F.date_add(start, train).alias("test_start"), F.date_add(start, train + test).alias("test_end"))
+    return rows.select("symbol", "fold", (F.col("a") if anchored else start).alias("train_start"), F.date_add(start, train).alias("train_end"), F.date_add(start, train).alias("test_start"), F.date_add(start, train + test).alias("test_end"))
 
 
 def spell_trades(df: DataFrame, signal: str) -> DataFrame:
@@ -179,6 +179,14 @@ def spell_trades(df: DataFrame, signal: str) -> DataFrame:
     return spells.withColumns({"trade_no": trade_no, "gross_pnl": pnl}).drop("_spell")
 
 
+def until_ruin(trades: DataFrame, pnl: str, loss: float = 0.5) -> DataFrame:
+    """The trades up to the one by which compounded results have lost more than `loss`, and growth. trades: symbol, trade_no, pnl."""
+    w = Window.partitionBy("symbol").orderBy("trade_no")
+    grown = trades.withColumn("growth", F.exp(F.sum(F.log(F.greatest(1 + F.col(pnl), F.lit(1e-12)))).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    before = F.min("growth").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return grown.withColumn("_before", before).where(F.coalesce("_before", F.lit(1.0)) >= 1 - loss).drop("_before")
+
+
 def chain(candidates: DataFrame) -> DataFrame:
     """The trades of candidates (symbol, entry_seq, exit_seq, ...) that are taken when one is open at a time: each next entry is the first that isn't inside the open trade. A pointer hop over candidates, streamed in order."""
 

@@ -459,6 +459,65 @@ add_bars("win_vw_momentum", f"{RETS} SELECT symbol, seq, {r('ret * volume', 'vw_
 _DET = 1 - R.alpha_of(halflife=100)
 add_bars("detrend", f"{WITH}, m AS (SELECT symbol, seq, ln(close) AS y, pow({_DET!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN ln(close) ELSE {1 - _DET!r} * ln(close) * pow({_DET!r}, 1 - seq) END) {over()} AS m FROM bars) SELECT symbol, seq, {r('y - m', 'detrended')} FROM m", lambda b: shown(R.linear_scan(b, (1 - _DET) * F.log("close"), _DET, "_m", F.log("close")).withColumn("detrended", F.log("close") - F.col("_m")), "symbol", "seq", "detrended"))
 
+add_bars(
+    "led_early_stop",
+    f"""{_LED}, gr AS (SELECT *, exp(sum(ln(greatest(1 + gross_pnl, 1e-12))) OVER (PARTITION BY symbol ORDER BY trade_no)) AS growth FROM led2), m AS (SELECT *, min(growth) OVER (PARTITION BY symbol ORDER BY trade_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM gr)
+ SELECT symbol, trade_no, {r('growth', 'growth')} FROM m WHERE coalesce(low, 1.0) >= 0.5""",
+    lambda b: shown(L.until_ruin(L.spell_trades(signalled(b), "sig"), "gross_pnl"), "symbol", F.col("trade_no").cast("long").alias("trade_no"), "growth"),
+)
+add_bars(
+    "join_folds_anchored",
+    f"""{_FOLDS} SELECT f.symbol, CAST(fold AS INTEGER) AS fold, count(*) FILTER (CAST(bar_ts AS DATE) < a + CAST(fold * 5 + 10 AS INTEGER)) AS n_train, count(*) FILTER (CAST(bar_ts AS DATE) >= a + CAST(fold * 5 + 10 AS INTEGER)) AS n_test FROM f JOIN bars b ON b.symbol = f.symbol
+ AND CAST(bar_ts AS DATE) < a + CAST(fold * 5 + 15 AS INTEGER) GROUP BY 1, 2""",
+    # a day's bars are counted first, so what meets all folds is a row for each day
+    lambda b: (lambda days: days.join(L.rolling_folds(days, 10, 5, 5, anchored=True), "symbol").where("day >= train_start AND day < test_end").groupBy("symbol", "fold").agg(F.sum(F.expr("if(day < train_end, n, 0)")).alias("n_train"), F.sum(F.expr("if(day >= test_start, n, 0)")).alias("n_test")))(b.groupBy("symbol", F.to_date("bar_ts").alias("day")).agg(F.count("*").alias("n"))),
+)
+add_bars(
+    "agg_calmar",
+    f"""{_EQ}, k AS (SELECT q.symbol, q.seq, bar_ts, log_growth, (max(log_growth) OVER (PARTITION BY q.symbol ORDER BY q.seq)) - log_growth AS fall FROM q JOIN bars b ON b.symbol = q.symbol AND b.seq = q.seq),
+ t AS (SELECT symbol, exp(arg_max(log_growth, seq)) - 1 AS ret, 1 - exp(-max(fall)) AS mdd, arg_max(log_growth, seq) * 365.25 / (epoch(max(bar_ts) - min(bar_ts)) / 86400) AS g FROM k GROUP BY 1) SELECT symbol, {r('ret', 'total_return')}, {r('mdd', 'mdd')}, {r('ret / nullif(mdd, 0)', 'calmar')}, {r('exp(g) - 1', 'cagr')} FROM t""",
+    lambda b: (
+        lambda k: shown(
+            k.groupBy("symbol").agg((F.exp(F.max_by("log_growth", "seq")) - 1).alias("total_return"), (1 - F.exp(-F.max("fall"))).alias("mdd"), (F.max_by("log_growth", "seq") * 365.25 / F.try_divide(F.unix_seconds(F.max("bar_ts")) - F.unix_seconds(F.min("bar_ts")), F.lit(86400))).alias("g"))
+            .withColumns({"calmar": F.try_divide("total_return", "mdd"), "cagr": F.exp("g") - 1}), "symbol", "total_return", "mdd", "calmar", "cagr",
+        )
+    )(equity(b).withColumn("fall", F.max("log_growth").over(W.so_far()) - F.col("log_growth"))),
+)
+add_bars(
+    "win_vol_scale_global",
+    f"{RETS}, s AS (SELECT symbol, seq, close, coalesce(stddev_samp(ret) {over(24)}, 0.0) AS rv, CASE WHEN close > avg(close) {over(20)} THEN 1 ELSE -1 END AS sig FROM b), q AS (SELECT symbol, quantile_cont(rv, 0.9) AS q FROM s GROUP BY 1) SELECT s.symbol, seq, CASE WHEN rv > q THEN 0 ELSE sig END AS sig FROM s JOIN q ON q.symbol = s.symbol",
+    lambda b: (lambda s: s.join(s.groupBy("symbol").agg(F.percentile("realized_vol", F.lit(0.9)).alias("q")), "symbol").select("symbol", "seq", F.when(F.col("realized_vol") > F.col("q"), 0).otherwise(F.col("sig")).alias("sig")))(signalled(W.volatility(b))),
+)
+register(
+    "agg_classif_scores",
+    f"""WITH j AS (SELECT quality AS y, CAST(label % 2 AS INTEGER) AS p FROM labels JOIN embeddings ON doc_id = vec_id), c AS (SELECT DISTINCT y AS k FROM j UNION SELECT DISTINCT p FROM j),
+ x AS (SELECT k, count(*) FILTER (y = k AND p = k) AS tp, count(*) FILTER (p = k) AS predicted, count(*) FILTER (y = k) AS actual FROM j, c GROUP BY 1) SELECT k AS label, tp, predicted, actual, {r('tp * 1.0 / nullif(predicted, 0)', 'precision')}, {r('tp * 1.0 / nullif(actual, 0)', 'recall')}, {r('2.0 * tp / nullif(predicted + actual, 0)', 'f1')}, {r('sum(tp) OVER () * 1.0 / sum(actual) OVER ()', 'accuracy')} FROM x""",
+)(
+    # counted by pair of labels first: what follows has a row for each class
+    lambda spark, d: (
+        lambda cells: (lambda x: shown(
+            x.withColumns({"precision": F.try_divide("tp", "predicted"), "recall": F.try_divide("tp", "actual"), "f1": F.try_divide(2 * F.col("tp"), F.col("predicted") + F.col("actual")), "accuracy": F.try_divide(F.sum("tp").over(Window.partitionBy(F.lit(1))), F.sum("actual").over(Window.partitionBy(F.lit(1))))}),
+            "label", "tp", "predicted", "actual", "precision", "recall", "f1", "accuracy",
+        ))(
+            cells.select(F.explode(F.array(F.struct(F.col("y").cast("int").alias("label"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("predicted"), F.col("n").alias("actual")), F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("tp"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("actual")))).alias("s"))
+            .groupBy("s.label").agg(*[F.sum(f"s.{c}").alias(c) for c in ("tp", "predicted", "actual")])
+        )
+    )(QUERIES["agg_classif"](spark, d))
+)
+# exponential z-scores of features, by the closed form of the recurrence
+def _ewm_sql(head: str, halflife: float, name: str) -> str:
+    a = R.alpha_of(halflife=halflife)
+    b = 1 - a
+    return f"""{head}, m AS (SELECT symbol, seq, x, pow({b!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN x ELSE {a!r} * x * pow({b!r}, 1 - seq) END) {over()} AS m FROM x0),
+ d AS (SELECT *, {b!r} * {a!r} * (x - lag(m) {BY}) * (x - lag(m) {BY}) AS d2 FROM m), v AS (SELECT *, pow({b!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN 0.0 ELSE d2 * pow({b!r}, 1 - seq) END) {over()} AS v FROM d),
+ z AS (SELECT *, CASE WHEN seq = 1 OR sqrt(greatest(v, 0.0)) < 1e-10 THEN 0.0 ELSE (x - m) / sqrt(v) END AS z FROM v) SELECT symbol, seq, {r('5 * tanh(z / 5)', name)} FROM z"""
+
+
+_GKV = f"sqrt(greatest(0.0, avg({_GK}) {over(24)}))"
+add_bars("vol_z", _ewm_sql(f"{RETS}, x0 AS (SELECT symbol, seq, {_GKV} AS x FROM b)", 50, "vol_z"), lambda b: shown(R.ewm_z(W.volatility(b), "gk_vol", "vol_z", halflife=50), "symbol", "seq", "vol_z"))
+for _h in (10, 50, 250, 1000):
+    add_bars(f"momentum_z_{_h}", _ewm_sql(f"{RETS}, x0 AS (SELECT symbol, seq, ret * volume AS x FROM b)", _h, "momentum_z"), lambda b, h=_h: shown(R.ewm_z(W.returns(b).withColumn("vw_momentum", F.col("ret") * F.col("volume")), "vw_momentum", "momentum_z", halflife=h), "symbol", "seq", "momentum_z"))
+
 # ---- aggregates -------------------------------------------------------------------------------
 
 _DAY = f"{WITH}, d AS (SELECT symbol, CAST(bar_ts AS DATE) AS day, arg_min(open, seq) AS open, max(high) AS high, min(low) AS low, arg_max(close, seq) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)"
