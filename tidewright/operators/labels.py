@@ -66,7 +66,7 @@ def touch_grid(df: DataFrame, sigma: str, sls: list[float], pts: list[float], ho
     return hits.withColumn("x", F.explode(grid)).where("x.horizon <= ahead").select("symbol", "seq", "x.sl", "x.pt", "x.horizon", "x.label")
 
 
-def sniper_labels(df: DataFrame, sigma: str, pt: float = 2.0, sl: float = 1.0, horizon: int = 18, least: float = 0.002) -> DataFrame:
+def sniper_labels(df: DataFrame, sigma: str, pt: float = 2.0, sl: float = 1.5, horizon: int = 18, least: float = 0.0045) -> DataFrame:
     """Labels by the first bar of each barrier, which lie at multiples of sigma without scaling by time; 0 where the expected move pt * sigma is below `least`, or nothing is touched.
 
     Where one bar touches both, the earlier of its high and low decides if df has high_time and low_time, else it is 1.

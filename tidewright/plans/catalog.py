@@ -422,8 +422,8 @@ add_bars("agg_signal_stats", f"{_SIG}, c AS (SELECT *, lag(sig) {BY} AS p FROM g
 add_bars(
     "lab_sniper",
     f"""{RETS}, s AS (SELECT *, coalesce(stddev_samp(ret) {over(24)}, 0.0) AS sigma, max(seq) OVER (PARTITION BY symbol) AS n FROM b), a AS (SELECT symbol, seq, close AS entry, sigma FROM s WHERE seq + 18 < n AND sigma > 0),
- h AS (SELECT a.symbol, a.seq, any_value(sigma) AS sigma, min(k.seq) FILTER (k.high >= entry * (1 + 2.0 * sigma)) AS u, min(k.seq) FILTER (k.low <= entry * (1 - 1.0 * sigma)) AS d FROM a JOIN bars k ON k.symbol = a.symbol AND k.seq > a.seq AND k.seq <= a.seq + 18 GROUP BY 1, 2)
- SELECT symbol, seq, CASE WHEN 2.0 * sigma < 0.002 THEN 0 WHEN u <= coalesce(d, u) THEN 1 WHEN d IS NOT NULL THEN -1 ELSE 0 END AS label FROM h""",
+ h AS (SELECT a.symbol, a.seq, any_value(sigma) AS sigma, min(k.seq) FILTER (k.high >= entry * (1 + 2.0 * sigma)) AS u, min(k.seq) FILTER (k.low <= entry * (1 - 1.5 * sigma)) AS d FROM a JOIN bars k ON k.symbol = a.symbol AND k.seq > a.seq AND k.seq <= a.seq + 18 GROUP BY 1, 2)
+ SELECT symbol, seq, CASE WHEN 2.0 * sigma < 0.0045 THEN 0 WHEN u <= coalesce(d, u) THEN 1 WHEN d IS NOT NULL THEN -1 ELSE 0 END AS label FROM h""",
     lambda b: L.sniper_labels(W.volatility(b), "realized_vol"),
 )
 # the trades of all signals; then those taken with one open at a time
