@@ -35,6 +35,8 @@ STEMS = (4, 5, 6)
 SAMPLE_ROWS, MAX_WORDS, LEAST_EVIDENCE, RIDGE = 10_000, 4_096, 10.8, 1e-3
 #: Bytes of text whose features, as Python objects, are in memory at once.
 COUNT_BYTES = 1 << 18
+#: Counts of the sample that a step of the fit takes at once.
+FIT_STEP = 1 << 16
 GRADES = 3
 
 
@@ -84,16 +86,21 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.n
     free[n_words:] = [2.0] + [0.5] * (k - 1)
     m, v = np.zeros_like(free), np.zeros_like(free)
     over = grade[:, None] > np.arange(k)[None, :]
+    parts = [(slice(at, at + FIT_STEP), int(row[at : at + FIT_STEP].min()), int(row[at : at + FIT_STEP].max()) + 1) for at in range(0, len(row), FIT_STEP)]
     for t in range(1, rounds + 1):
         w, raw = free[:n_words], free[n_words:]
         bias = np.concatenate([raw[:1], raw[:1] + np.cumsum(np.exp(raw[1:]))])
-        score = np.bincount(row, value * w[col], n)
+        score = np.zeros(n)
+        for c, low, high in parts:
+            score[low:high] += np.bincount(row[c] - low, value[c] * w[col[c]], high - low)
         p = np.clip(1 / (1 + np.exp(np.clip(bias[None, :] - score[:, None], -60, 60))), 1e-12, 1 - 1e-12)
         edge = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)
         mass = np.maximum(edge[np.arange(n), grade] - edge[np.arange(n), grade + 1], 1e-12)
         slope = np.where(over & (grade[:, None] - 1 == np.arange(k)[None, :]), 1.0, 0.0) - np.where(grade[:, None] == np.arange(k)[None, :], 1.0, 0.0)
         g = weight[:, None] * slope * p * (1 - p) / mass[:, None]  # of the log likelihood, by score - bias_k
-        gw = np.bincount(col, value * g.sum(axis=1)[row], n_words) - 2 * RIDGE / max(n_words, 1) * w
+        by_row, gw = g.sum(axis=1), -2 * RIDGE / max(n_words, 1) * w
+        for c, _, _ in parts:
+            gw += np.bincount(col[c], value[c] * by_row[row[c]], n_words)
         gb = -g.sum(axis=0)
         graw = np.concatenate([[gb.sum()], [gb[j:].sum() * np.exp(raw[j]) for j in range(1, k)]])
         grad = np.concatenate([gw, graw])
@@ -148,18 +155,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
                 values.append([c for _, c in hit])
             yield pa.RecordBatch.from_arrays([batch.column("_toxic"), batch.column("_grade"), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["toxic", "grade", "ids", "counts"])
 
-    # at most 2 * sample_rows rows, as Arrow columns; ordered here, so that sums don't depend on how Spark deals them out
-    data = rows.mapInArrow(features, "toxic int, grade int, ids array<int>, counts array<int>").toArrow()
-    grade, size = data["grade"].to_numpy(), pc.list_value_length(data["ids"]).to_numpy()
-    flat = [pc.list_flatten(data[c]).to_numpy() for c in ("ids", "counts")]
-    ends = np.cumsum(size)
-    keys = [(g, flat[0][a:b].tobytes(), flat[1][a:b].tobytes()) for g, a, b in zip(grade.tolist(), (ends - size).tolist(), ends.tolist())]
-    order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
-    del keys
-    own = np.repeat((ends - size)[order], size[order]) + ragged(size[order])
-    toxic, grade = data["toxic"].to_numpy()[order], grade[order]
-    row, col, value = np.repeat(np.arange(len(order)), size[order]), flat[0][own], np.log1p(flat[1][own].astype(float))
-    del data, flat, own
+    # at most 2 * sample_rows rows, as Arrow columns; ordered here by a hash, so that sums don't depend on how Spark deals them out
+    found = rows.mapInArrow(features, "toxic int, grade int, ids array<int>, counts array<int>")
+    data = found.withColumn("place", F.xxhash64(*found.columns)).toArrow()
+    order = np.argsort(data["place"].to_numpy(), kind="stable")
+    toxic, grade = data["toxic"].to_numpy()[order], data["grade"].to_numpy()[order]
+    size = pc.list_value_length(data["ids"]).to_numpy()
+    own = np.repeat((np.cumsum(size) - size)[order].astype(np.int32), size[order]) + ragged(size[order]).astype(np.int32)
+    row = np.repeat(np.arange(len(order), dtype=np.int32), size[order])
+    col = pc.list_flatten(data["ids"]).to_numpy()[own]
+    value = np.log1p(pc.list_flatten(data["counts"]).to_numpy()[own], dtype=float)
+    del data, own
     pa.default_memory_pool().release_unused()
     weight = np.where(toxic > 0, totals[1] / a, totals[0] / b)
     weights, bias = fit_ordinal(row, col, value, grade, weight, len(vocabulary))
