@@ -8,10 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import cleaning as N
+from ..functions import sizing as Z
 from ..operators import labels as L
 from ..operators import recurrences as R
 from ..operators import regimes as G
 from ..operators import rules as U
+from ..operators import signals as I
 from ..operators import windows as W
 from ..sources import market as M
 from ..streaming import trades as S
@@ -611,3 +614,88 @@ add_bars("zigzag", None, lambda b: shown(G.zigzag(W.atr(b)), "symbol", "seq", "p
 add_bars("hmm_decode", None, lambda b: shown(G.hmm_decode(W.returns(b), "log_ret", [-0.5, 0.0, 0.5], [1.0, 0.5, 1.0]), "symbol", "seq", "filtered", "p_filtered"))
 add_bars("kalman_dual", None, lambda b: shown(R.kalman(R.kalman(b, 1e-3).withColumnRenamed("kf_trend", "fast").drop("kf_trend_pred", "kf_velocity", "kf_uncertainty"), 1e-5).withColumn("spread", F.col("fast") - F.col("kf_trend")), "symbol", "seq", "fast", "kf_trend", "spread"))
 add_bars("balanced_sample", None, lambda b: G.balanced_sample(tbm(b), "label", 500).groupBy("label").agg(F.count("*").alias("n")))
+
+# ---- sizes, stops and signals -----------------------------------------------------------------
+
+
+def size_levels(b: DataFrame) -> DataFrame:
+    b = ruled(b).withColumn("sig", F.sign(F.col("close") - F.col("tr")).cast("int"))
+    close, sig, u = F.col("close"), F.col("sig"), F.col("u")
+    sd = F.sqrt(u) / F.greatest("tr", F.lit(1e-10))
+    return shown(b.withColumns({"factor": Z.size_uncertainty(u), "leverage": Z.size_vol_target(close, F.sqrt(u)), "stop": Z.stop_price(close, sig, F.sqrt(u)), "log_stop": Z.log_level(close, sig, sd, -2.0), "add_at": Z.log_level(close, sig, sd, 1.0)}), "symbol", "seq", "sig", "factor", "leverage", "stop", "log_stop", "add_at")
+
+
+add_bars(
+    "size_levels",
+    f"""{_RULED}, g AS (SELECT *, CAST(sign(close - tr) AS INTEGER) AS sig, sqrt(u) / greatest(tr, 1e-10) AS sd FROM v)
+ SELECT symbol, seq, sig, {r('CASE WHEN u <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1 - (ln(least(greatest(u, 0.1), 100.0)) - ln(0.1)) / (ln(100.0) - ln(0.1) + 1e-10))) END', 'factor')}, {r('least(3.0, greatest(0.0, 0.02 * close / (2 * sqrt(u) * close + 1e-10)))', 'leverage')},
+ {r('CASE WHEN sig <> 0 THEN close - sig * 2 * sqrt(u) END', 'stop')}, {r('CASE WHEN sig <> 0 THEN close * exp(-2 * sig * sd) END', 'log_stop')}, {r('CASE WHEN sig <> 0 THEN close * exp(sig * sd) END', 'add_at')} FROM g""",
+    size_levels,
+)
+
+
+def size_regime_vol(b: DataFrame) -> DataFrame:
+    b = ruled(b).withColumn("rv", F.stddev_samp("ret").over(W.last_rows(24)))
+    pace, mean = F.abs("v"), W.full(F.col("rv"), W.last_rows(100), 100, F.avg("rv").over(W.last_rows(100)))
+    multiple = F.when(pace > 0.5 * F.sqrt("u"), 1.2).when(pace < 0.1 * F.sqrt("u"), 0.8).otherwise(0.5)
+    return shown(b.withColumn("size", Z.size_regime_vol(multiple, F.try_divide("rv", mean))), "symbol", "seq", "size")
+
+
+add_bars(
+    "size_regime_vol",
+    f"""{_RULED}, q AS (SELECT *, {RET} AS ret FROM v), w AS (SELECT *, stddev_samp(ret) {over(24)} AS rv FROM q), z AS (SELECT *, CASE WHEN count(rv) {over(100)} >= 100 THEN rv / nullif(avg(rv) {over(100)}, 0) END AS ratio FROM w)
+ SELECT symbol, seq, {r('coalesce(CASE WHEN abs(v) > 0.5 * sqrt(u) THEN 1.2 WHEN abs(v) < 0.1 * sqrt(u) THEN 0.8 ELSE 0.5 END / CASE WHEN ratio IS NOT NULL THEN least(greatest(ratio, 0.5), 2.0) END, 1.0)', 'size')} FROM z""",
+    size_regime_vol,
+)
+_THIRD = 1 - 1 / 3
+add_bars(
+    "connors",
+    f"""{WITH}, a AS (SELECT symbol, seq - 1 AS seq, CASE WHEN lag(close) {BY} > 1e-10 THEN close / lag(close) {BY} - 1 ELSE 0.0 END AS ret FROM bars), g AS (SELECT *, greatest(ret, 0.0) AS g, greatest(-ret, 0.0) AS l FROM a WHERE seq >= 1),
+ s AS (SELECT symbol, seq, ret, pow({_THIRD!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN g ELSE g / 3 * pow({_THIRD!r}, 1 - seq) END) {over()} AS up, pow({_THIRD!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN l ELSE l / 3 * pow({_THIRD!r}, 1 - seq) END) {over()} AS dn, list(ret) {over(100)} AS v FROM g),
+ z AS (SELECT symbol, seq + 1 AS seq, (CASE WHEN up < 1e-12 AND dn < 1e-12 THEN 50.0 WHEN dn < 1e-12 THEN 100.0 ELSE 100 - 100 / (1 + up / dn) END + CASE WHEN len(v) < 2 THEN 50.0 ELSE 100.0 * len(list_filter(v, lambda x: x < ret)) / (len(v) - 1) END) / 2 AS c FROM s)
+ SELECT symbol, seq, {r('c', 'connors')} FROM z UNION ALL SELECT symbol, seq, 0.0 FROM bars WHERE seq = 1""",
+    lambda b: shown(I.connors(b), "symbol", "seq", "connors"),
+)
+add_bars(
+    "win_resid_std",
+    f"""{_RULED}, e AS (SELECT symbol, seq, CASE WHEN close > 0 AND tr > 0 THEN ln(CASE WHEN close > 0 THEN close END) - ln(CASE WHEN tr > 0 THEN tr END) END AS resid FROM v), w AS (SELECT *, stddev_pop(resid) OVER (PARTITION BY symbol) AS whole, CASE WHEN count(resid) {over(180)} >= 30 THEN stddev_samp(resid) {over(180)} END AS sd FROM e)
+ SELECT symbol, seq, {r('resid', 'resid')}, {r('coalesce(sd, CASE WHEN whole >= 1e-10 THEN whole END, 0.01)', 'resid_sd')} FROM w""",
+    lambda b: shown(I.residual_sd(ruled(b), "tr"), "symbol", "seq", "resid", "resid_sd"),
+)
+add_bars(
+    "win_stress",
+    f"""{_RULED}, e AS (SELECT symbol, seq, (close - lag(tp) {BY}) / nullif(sqrt(lag(u) {BY}), 0) AS e FROM v)
+ SELECT symbol, seq, {r(f'CASE WHEN count(e) {over(20)} >= 5 THEN avg(e * e) {over(20)} END', 'stress')} FROM e""",
+    lambda b: shown(I.stress(ruled(b), "tp", "u"), "symbol", "seq", "stress"),
+)
+add_bars(
+    "agg_reversal_accuracy",
+    f"""{WITH}, s AS (SELECT symbol, seq, CASE WHEN count(close) {over(42)} >= 42 THEN (close - avg(close) {over(42)}) / (stddev_samp(close) {over(42)} + 1e-10) END AS z, lead(close, 10) {BY} / close - 1 AS f FROM bars), p AS (SELECT *, lag(z) {BY} AS pz FROM s),
+ q AS (SELECT symbol, abs(z - pz) AS jump, sign(z) * f AS won FROM p WHERE sign(z) <> sign(pz) AND f IS NOT NULL)
+ SELECT symbol, CASE WHEN jump < 1 THEN 'weak' WHEN jump < 2 THEN 'medium' ELSE 'strong' END AS intensity, count(*) AS n, {r('avg(CASE WHEN won > 0 THEN 1.0 ELSE 0.0 END)', 'accuracy')}, {r('avg(CASE WHEN won < -0.01 THEN 1.0 ELSE 0.0 END)', 'fake_outs')} FROM q GROUP BY 1, 2""",
+    lambda b: shown(I.reversals(W.zscore(b, "close", 42).withColumn("f", L.future_return(b, 10)), "z", F.col("f")), "symbol", "intensity", "n", "accuracy", "fake_outs"),
+)
+add_bars(
+    "rule_momentum",
+    f"{_RULED}, ac AS (SELECT symbol, seq, v / nullif(sqrt(u), 0) AS s, v - lag(v) {BY} AS d FROM v) SELECT symbol, seq, CASE WHEN s > 0.3 AND d > 0 THEN 1 WHEN s < -0.3 AND d < 0 THEN -1 ELSE 0 END AS signal FROM ac",
+    lambda b: ruled(b).select("symbol", "seq", I.momentum_signal(F.try_divide(F.col("v"), F.sqrt("u")), F.col("v") - F.lag("v").over(W.by_seq())).alias("signal")),
+)
+add_bars(
+    "clean_features",
+    f"""{WITH}, s AS (SELECT symbol, seq, close, open, CASE WHEN count(close) {over(42)} >= 42 THEN (close - avg(close) {over(42)}) / (stddev_samp(close) {over(42)} + 1e-10) END AS z FROM bars)
+ SELECT symbol, CAST(sign(close - open) + 1 AS INTEGER) AS class, count(*) AS n, {r('avg(z)', 'mean_z')} FROM s WHERE z IS NOT NULL GROUP BY 1, 2""",
+    lambda b: shown(N.drop_incomplete(W.zscore(b, "close", 42), ["z"]).groupBy("symbol", N.remap_labels(F.sign(F.col("close") - F.col("open"))).alias("class")).agg(F.count("*").alias("n"), F.avg(N.nan_to_num("z")).alias("mean_z")), "symbol", "class", "n", "mean_z"),
+)
+
+
+def set_common_columns(b: DataFrame) -> DataFrame:
+    frames = b, daily(b)
+    names = N.common_columns(*frames)
+    return shown(frames[0].select(*names).unionByName(frames[1].select(*names)).groupBy("symbol").agg(F.count("*").alias("n"), F.max("high").alias("high"), F.avg("close").alias("close")), "symbol", "n", "high", "close")
+
+
+add_bars("set_common_columns", f"{_DAY}, x AS (SELECT symbol, high, close FROM bars UNION ALL SELECT symbol, high, close FROM d) SELECT symbol, count(*) AS n, {r('max(high)', 'high')}, {r('avg(close)', 'close')} FROM x GROUP BY 1", set_common_columns)
+register("topk_params", f"SELECT symbol, threshold, total FROM ({ORACLE_SQL['agg_threshold_sweep']}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY total DESC, threshold) = 1")(
+    # equal totals go to the first in the grid's order
+    lambda spark, d: QUERIES["agg_threshold_sweep"](spark, d).groupBy("symbol").agg(F.max_by(F.struct("threshold", "total"), F.struct("total", -F.col("threshold"))).alias("best")).select("symbol", "best.threshold", "best.total")
+)
