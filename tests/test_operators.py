@@ -95,3 +95,11 @@ def test_stream_bars_equal_a_loop(spark, sf):
 @pytest.mark.parametrize("name", sorted(U.RULES))
 def test_rules_give_predicates(name):
     assert set(U.RULES[name](0.1) if name == "scalp" else U.RULES[name]()) == {"enter_long", "enter_short", "exit_long", "exit_short"}
+
+
+def test_nan_to_num_keeps_nulls(spark):
+    from tidewright.functions.cleaning import nan_to_num
+
+    df = spark.createDataFrame([(1, 2.5), (2, float("nan")), (3, float("-inf")), (4, None)], "k int, x double")
+    got = {r["k"]: r["x"] for r in df.select("k", nan_to_num("x").alias("x")).collect()}
+    assert got == {1: 2.5, 2: 0.0, 3: 0.0, 4: None}
