@@ -187,8 +187,8 @@ def until_ruin(trades: DataFrame, pnl: str, loss: float = 0.5) -> DataFrame:
     return grown.withColumn("_before", before).where(F.coalesce("_before", F.lit(1.0)) >= 1 - loss).drop("_before")
 
 
-def chain(candidates: DataFrame) -> DataFrame:
-    """The trades of candidates (symbol, entry_seq, exit_seq, ...) that are taken when one is open at a time: each next entry is the first that isn't inside the open trade. A pointer hop over candidates, streamed in order."""
+def chain(candidates: DataFrame, turning: bool = False) -> DataFrame:
+    """The trades of candidates (symbol, entry_seq, exit_seq, ...) that are taken when one is open at a time: each next entry is the first that isn't inside the open trade; with `turning` it may be on the bar that ends it. A pointer hop over candidates, streamed in order."""
 
     def run(pdfs):
         key, free = None, -1
@@ -199,7 +199,7 @@ def chain(candidates: DataFrame) -> DataFrame:
                     key, free = symbol, -1
                 keep.append(a > free)
                 if a > free:
-                    free = b
+                    free = b - turning
             yield pdf[keep]
 
     return candidates.repartition("symbol").sortWithinPartitions("symbol", "entry_seq").mapInPandas(run, candidates.schema)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .automata import state_machine
 from .windows import by_seq, so_far
 
 BLOCK = 512
@@ -198,8 +199,7 @@ def latch(df: DataFrame, enter_long: Column, enter_short: Column, exit_long: Col
     exit fired. e: an exit turns, and so does an entry of the other side. f: an exit flattens and any entry of its bar is
     taken; an entry of the other side turns. bd: b and d together.
 
-    Each row maps the three states to states, and such maps compose, so blocks are folded on their own and then along a
-    key. A map is a number of three ternary digits.
+    Each row maps the three states to states; state_machine composes such maps block by block.
     """
 
     def state(held: int) -> Column:
@@ -213,19 +213,8 @@ def latch(df: DataFrame, enter_long: Column, enter_short: Column, exit_long: Col
         gone = {"e": F.lit(-held), "f": fresh, "a": F.lit(0), "d": F.lit(0)}.get(policy, F.when(other, F.lit(-held)).otherwise(F.lit(0)))
         return F.when(leave, gone).otherwise(stay)
 
-    rows = df.withColumn("_map", F.array(*[F.coalesce(state(s), F.lit(s)) for s in (-1, 0, 1)])).withColumn("_block", F.floor((F.col("seq") - 1) / BLOCK))
-
-    def after(first, then):
-        return F.transform(first, lambda s: F.element_at(then, s + 2))
-
-    pairs = F.array_sort(F.collect_list(F.struct("seq", "_map")))
-    local = F.aggregate(pairs, F.array().cast("array<struct<seq:bigint,m:array<int>>>"), lambda a, x: F.concat(a, F.array(F.struct(x["seq"].cast("bigint").alias("seq"), F.when(F.size(a) == 0, x["_map"]).otherwise(after(F.element_at(a, -1)["m"], x["_map"])).alias("m")))))
-    blocks = rows.groupBy("symbol", "_block").agg(local.alias("_local"))
-    chain = F.array_sort(F.collect_list(F.struct("_block", F.element_at("_local", -1)["m"].alias("m"))))
-    carried = F.aggregate(chain, F.array().cast("array<struct<_block:bigint,s:int,next:int>>"), lambda a, x: F.concat(a, F.array(F.struct(x["_block"].cast("bigint").alias("_block"), F.when(F.size(a) == 0, 0).otherwise(F.element_at(a, -1)["next"]).alias("s"), F.element_at(x["m"], F.when(F.size(a) == 0, 0).otherwise(F.element_at(a, -1)["next"]) + 2).alias("next")))))
-    starts = blocks.groupBy("symbol").agg(carried.alias("c")).select("symbol", F.explode("c").alias("c")).select("symbol", F.col("c._block").alias("_block"), F.col("c.s").alias("_s"))
-    done = blocks.join(starts, ["symbol", "_block"]).select("symbol", "_s", F.explode("_local").alias("x")).select("symbol", F.col("x.seq").cast(df.schema["seq"].dataType).alias("seq"), F.element_at("x.m", F.col("_s") + 2).alias(name))
-    return df.join(done, ["symbol", "seq"])
+    # states 0, 1, 2 stand for -1, 0, 1
+    return state_machine(df, [state(s) + 1 for s in (-1, 0, 1)], name, start=1).withColumn(name, F.col(name) - 1)
 
 
 def kalman(df: DataFrame, q: float = 1e-4, window: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .automata import state_machine
 from .windows import by_seq
 
 EPS = 1e-10
@@ -221,3 +222,28 @@ POLICIES = {
 }
 
 RULES = {"breakout": rule_breakout, "predictive": rule_predictive, "fused": rule_fused, "scalp": rule_scalp, "mean_reversion": rule_mean_reversion, "osc_fade": rule_osc_fade, "channel": rule_channel, "zscore": rule_zscore}
+
+
+def osc_combo(df: DataFrame, k: float = 1.0, oversold: float = 20, overbought: float = 80) -> DataFrame:
+    """df with position and entry_type (trend, fade, or null while flat) of a rule that follows a forecast beyond the band while the oscillator is between both bounds, and fades an extreme that the forecast turns from.
+
+    A trend entry is left at the far side of the trend, a fade when the oscillator has come back over the middle; an entry
+    of the other side turns at once, whatever was held. Five states: flat, trend long, trend short, fade long, fade short.
+    """
+    prev = F.coalesce(F.lag("close").over(by_seq()), c("close"))
+    low, high = F.coalesce(c("stoch_k") < oversold, F.lit(False)), F.coalesce(c("stoch_k") > overbought, F.lit(False))
+    band, between = k * F.sqrt("u"), ~F.coalesce(c("stoch_k") < oversold, F.lit(False)) & ~F.coalesce(c("stoch_k") > overbought, F.lit(False))
+    fade_long, fade_short = low & (c("tp") > prev), high & (c("tp") < prev)
+    trend_long, trend_short = between & (c("tp") > prev + band) & (c("v") > 0), between & (c("tp") < prev - band) & (c("v") < 0)
+    into_long = F.when(fade_long, 3).when(trend_long, 1)
+    into_short = F.when(fade_short, 4).when(trend_short, 2)
+    to = lambda entry, leave, held: F.coalesce(entry, F.when(leave, 0), F.lit(held))
+    moves = [
+        F.coalesce(into_long, into_short, F.lit(0)),
+        to(into_short, c("close") < c("tr"), 1),
+        to(into_long, c("close") > c("tr"), 2),
+        to(into_short, c("stoch_k") > 50, 3),
+        to(into_long, c("stoch_k") < 50, 4),
+    ]
+    df = state_machine(df, moves, "_s")
+    return df.withColumns({"position": F.when(c("_s").isin(1, 3), 1).when(c("_s").isin(2, 4), -1).otherwise(0), "entry_type": F.when(c("_s").isin(1, 2), "trend").when(c("_s").isin(3, 4), "fade")}).drop("_s")

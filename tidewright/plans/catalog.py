@@ -236,7 +236,6 @@ register(
  ids AS (SELECT j.*, CAST(w.bar_id AS BIGINT) AS bar_id FROM j JOIN walk w ON w.symbol = j.symbol AND w.n = j.n) {_bars_of('ids')}""",
 )(lambda spark, d: shown(R.aggregate_bars(R.dollar_bar_ids(t := M.trades(spark, d), R.daily_threshold(t, 8))), "symbol", "bar_id", *BAR_COLUMNS))
 register("tib_bars")(lambda spark, d: shown(R.tib_bar_ids(M.trades(spark, d), 50, 0.6).groupBy("symbol", "bar_id").agg(F.min("ts_ms").alias("timestamp"), F.min_by("price", "trade_id").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "trade_id").alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("tick_count")), "symbol", "bar_id", "timestamp", "open", "high", "low", "close", "volume", "tick_count"))
-register("kalman2")(bars(lambda b: shown(R.kalman(b), "symbol", "seq", "kf_trend", "kf_trend_pred", "kf_velocity", "kf_uncertainty")))
 
 
 def ruled(b: DataFrame) -> DataFrame:
@@ -611,7 +610,6 @@ register("set_intersect_dates", "SELECT CAST(o_orderdate AS DATE) AS day FROM or
 register("set_union_dates", "SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem")(lambda spark, d: M.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).union(M.table(spark, d, "lineitem").select(F.to_date("l_shipdate"))).distinct())
 add_bars("win_hurst_rs", None, lambda b: shown(G.hurst_rs(W.returns(b), "ret"), "symbol", "seq", "hurst"))
 add_bars("zigzag", None, lambda b: shown(G.zigzag(W.atr(b)), "symbol", "seq", "pivot", "price"))
-add_bars("hmm_decode", None, lambda b: shown(G.hmm_decode(W.returns(b), "log_ret", [-0.5, 0.0, 0.5], [1.0, 0.5, 1.0]), "symbol", "seq", "filtered", "p_filtered"))
 add_bars("kalman_dual", None, lambda b: shown(R.kalman(R.kalman(b, 1e-3).withColumnRenamed("kf_trend", "fast").drop("kf_trend_pred", "kf_velocity", "kf_uncertainty"), 1e-5).withColumn("spread", F.col("fast") - F.col("kf_trend")), "symbol", "seq", "fast", "kf_trend", "spread"))
 add_bars("balanced_sample", None, lambda b: G.balanced_sample(tbm(b), "label", 500).groupBy("label").agg(F.count("*").alias("n")))
 
@@ -699,3 +697,5 @@ register("topk_params", f"SELECT symbol, threshold, total FROM ({ORACLE_SQL['agg
     # equal totals go to the first in the grid's order
     lambda spark, d: QUERIES["agg_threshold_sweep"](spark, d).groupBy("symbol").agg(F.max_by(F.struct("threshold", "total"), F.struct("total", -F.col("threshold"))).alias("best")).select("symbol", "best.threshold", "best.total")
 )
+
+from . import models  # noqa: E402, F401  registers its queries, and needs what is above
