@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from ..operators import automata as A
 from ..operators import filters as K
 from ..operators import hmm as H
+from ..operators import ledgers as T
 from ..operators import regimes as G
 from ..operators import rules as U
+from ..operators import series as S
 from ..operators import windows as W
 from . import catalog as C
 from .catalog import BY, RETS, WITH, add_bars, bars, over, r, register, ruled, shown
 
 
+_ZERO, _ONE = "CAST(0 AS DOUBLE)", "CAST(1 AS DOUBLE)"
+
+
 def recursive(sql: str) -> str:
     """WITH ... as a recursive one."""
     return "WITH RECURSIVE " + sql.removeprefix("WITH ")
@@ -27,9 +32,9 @@ def recursive(sql: str) -> str:
 
 def stopped(b: DataFrame) -> DataFrame:
     """Velocity's side with a trail of two and a hard stop of three deviations; left on a bar of more than two deviations against it, or beyond the average against the move."""
-    b = W.volatility(W.returns(b))
-    b = b.withColumns({"sma": F.avg("close").over(W.last_rows(20)), "v": F.log(F.col("close") / F.lag("close", 5).over(W.by_seq()))})
-    rv, v, ret = F.col("realized_vol"), F.col("v"), F.col("ret")
+    b = W.returns(b)
+    b = b.withColumns({"rv": F.stddev_samp("log_ret").over(W.last_rows(24)), "sma": F.avg("close").over(W.last_rows(20)), "v": F.log(F.col("close") / F.lag("close", 5).over(W.by_seq()))})
+    rv, v, ret = F.col("rv"), F.col("v"), F.col("log_ret")
     enter = F.when(v > 0, 1).when(v < 0, -1)
     below, above = F.col("close") < F.col("sma"), F.col("close") > F.col("sma")
     return A.trailing_stop(b, enter, F.when(rv > 0, rv), F.lit(2.0), F.lit(2.0), 3 * rv, 3 * rv, ret < -2 * rv, ret > 2 * rv, below & (v < 0), above & (v > 0))
@@ -38,7 +43,7 @@ def stopped(b: DataFrame) -> DataFrame:
 def stop_sql(inputs: str) -> str:
     """The walk over inputs (symbol, seq, high, low, close, enter, width, kl, ks, ml, ms, bl, bs, ll, ls)."""
     return f"""{inputs},
- walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, 0 AS side, CAST(NULL AS BIGINT) AS entry_seq, 0.0 AS ext, 0.0 AS trail, 0.0 AS hard, 0.0 AS k, CAST(NULL AS DOUBLE) AS stop, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS exit_price, CAST(NULL AS BIGINT) AS since FROM i WHERE seq = 1
+ walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, 0 AS side, CAST(NULL AS BIGINT) AS entry_seq, {_ZERO} AS ext, {_ZERO} AS trail, {_ZERO} AS hard, {_ZERO} AS k, CAST(NULL AS DOUBLE) AS stop, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS exit_price, CAST(NULL AS BIGINT) AS since FROM i WHERE seq = 1
  UNION ALL
  SELECT symbol, seq, CASE WHEN side <> 0 AND reason IS NOT NULL THEN 0 WHEN side <> 0 THEN side ELSE enter END,
   CASE WHEN side <> 0 AND reason IS NOT NULL THEN NULL WHEN side <> 0 THEN entry_seq WHEN enter <> 0 THEN seq END, ext, trail, hard, k,
@@ -58,9 +63,9 @@ def stop_sql(inputs: str) -> str:
 
 
 _STOPPED = stop_sql(
-    f"""{recursive(RETS)}, s AS (SELECT *, coalesce(stddev_samp(ret) {over(24)}, 0.0) AS rv, avg(close) {over(20)} AS sma, ln(close / lag(close, 5) {BY}) AS v FROM b),
- i AS (SELECT symbol, seq, high, low, close, CASE WHEN v > 0 THEN 1 WHEN v < 0 THEN -1 ELSE 0 END AS enter, nullif(rv, 0) AS width, 2.0 AS kl, 2.0 AS ks, 3 * rv AS ml, 3 * rv AS ms,
-  coalesce(ret < -2 * rv, false) AS bl, coalesce(ret > 2 * rv, false) AS bs, coalesce(close < sma AND v < 0, false) AS ll, coalesce(close > sma AND v > 0, false) AS ls FROM s)"""
+    f"""{recursive(RETS)}, s AS (SELECT *, stddev_samp(log_ret) {over(24)} AS rv, avg(close) {over(20)} AS sma, ln(close / lag(close, 5) {BY}) AS v FROM b),
+ i AS (SELECT symbol, seq, high, low, close, CASE WHEN rv IS NULL THEN 0 WHEN v > 0 THEN 1 WHEN v < 0 THEN -1 ELSE 0 END AS enter, nullif(rv, 0) AS width, 2.0 AS kl, 2.0 AS ks, 3 * rv AS ml, 3 * rv AS ms,
+  coalesce(log_ret < -2 * rv, false) AS bl, coalesce(log_ret > 2 * rv, false) AS bs, coalesce(close < sma AND v < 0, false) AS ll, coalesce(close > sma AND v > 0, false) AS ls FROM s)"""
 )
 add_bars(
     "trailing_stop",
@@ -95,7 +100,7 @@ _NOISE = f"""m0 AS (SELECT *, (high + low + close) / 3 AS typ, ln((high + low +
  m1 AS (SELECT *, list(y) {over(20)} AS ys, avg(rg) {over(20)} / {4 * log(2)!r} AS pk FROM m0),
  m AS (SELECT *, CASE WHEN seq = 1 THEN 1.0 ELSE greatest(list_var_pop(list_transform(range(1, len(ys)), lambda j: ys[j + 1] - ys[j])), 1e-8) END AS rt, CASE WHEN seq = 1 THEN 1.0 ELSE greatest(pk, 1e-8) END AS rr FROM m1)"""
 FILTER2 = f"""{recursive(WITH)}, {_NOISE},
- walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, y AS x, 0.0 AS v, 1.0 AS p00, 0.0 AS p01, 1.0 AS p11, CAST(NULL AS DOUBLE) AS nis, CAST([] AS DOUBLE[]) AS vs, 0.0 AS xp, 0.0 AS k0, 0.0 AS n00, 0.0 AS s, 0.0 AS e, 0.0 AS boost FROM m WHERE seq = 1
+ walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, y AS x, {_ZERO} AS v, {_ONE} AS p00, {_ZERO} AS p01, {_ONE} AS p11, CAST(NULL AS DOUBLE) AS nis, CAST([] AS DOUBLE[]) AS vs, {_ZERO} AS xp, {_ZERO} AS k0, {_ZERO} AS n00, {_ZERO} AS s, {_ZERO} AS e, {_ZERO} AS boost FROM m WHERE seq = 1
  UNION ALL
  SELECT symbol, seq, xp + k0 * e, v + k1 * e, (1 - k0) * n00, (1 - k0) * n01, n11 - k1 * n01, e * e / s, list_append(vs[greatest(1, len(vs) - 17) : len(vs)], v + k1 * e), xp, k0, n00, s, e, boost
  FROM (SELECT *, n00 / s AS k0, n01 / s AS k1, y - xp AS e
@@ -109,7 +114,7 @@ FILTER2 = f"""{recursive(WITH)}, {_NOISE},
  kfs AS (SELECT *, kf_deviation / (CASE WHEN count(*) {over(20)} >= 5 THEN stddev_samp(kf_deviation) {over(20)} END + 1e-10) AS kf_signal FROM kf)"""
 add_bars("kalman2", f"{FILTER2} SELECT symbol, seq, {', '.join(r(c, c) for c in K.COLUMNS2)} FROM kfs", lambda b: shown(filtered(b), "symbol", "seq", *K.COLUMNS2))
 FILTER3 = f"""{recursive(WITH)}, {_NOISE},
- walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, y AS x, 0.0 AS v, 0.0 AS a, 1.0 AS p00, 0.0 AS p01, 0.0 AS p02, 1.0 AS p11, 0.0 AS p12, 1.0 AS p22, CAST([] AS DOUBLE[]) AS past, 0.0 AS gain, 0.0 AS e, 0.0 AS s FROM m WHERE seq = 1
+ walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, y AS x, {_ZERO} AS v, {_ZERO} AS a, {_ONE} AS p00, {_ZERO} AS p01, {_ZERO} AS p02, {_ONE} AS p11, {_ZERO} AS p12, {_ONE} AS p22, CAST([] AS DOUBLE[]) AS past, {_ZERO} AS gain, {_ZERO} AS e, {_ZERO} AS s FROM m WHERE seq = 1
  UNION ALL
  SELECT symbol, seq, x + n00 / s * e, v + n01 / s * e, a + n02 / s * e, n00 - n00 / s * n00, n01 - n00 / s * n01, n02 - n00 / s * n02, n11 - n01 / s * n01, n12 - n01 / s * n02, n22 - n02 / s * n02,
   list_append(past[greatest(1, len(past) - 18) : len(past)], a + n02 / s * e), n00 / s, e, s
@@ -210,3 +215,91 @@ add_bars(
  x AS (SELECT symbol, unnest([0, 1]) AS state, up, down FROM n) SELECT symbol, CAST(state AS INTEGER) AS state, {r('CASE WHEN state = 1 THEN up / (up + down) ELSE down / (up + down) END', 'share')} FROM x""",
     lambda b: shown(H.stationary(G.transitions(b.withColumn("f", (F.col("close") > F.col("open")).cast("int")), "f")), "symbol", "state", "share"),
 )
+
+# ---- whole series -----------------------------------------------------------------------------
+
+_XS = f"""{RETS}, x AS (SELECT symbol, log_ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY seq) - 1 AS pos FROM b WHERE log_ret IS NOT NULL), c AS (SELECT symbol, count(*) AS n, avg(x) AS mean FROM x GROUP BY 1),
+ sc AS (SELECT symbol, n, mean, unnest(list_distinct(list_concat([CAST(10 AS BIGINT), CAST(n // 4 AS BIGINT)], list_transform(range(1, 19), lambda i: CAST(floor(10 * pow((n // 4) / 10.0, i / 19.0)) AS BIGINT))))) AS scale FROM c WHERE n >= 20)"""
+_SLOPE = f"""l AS (SELECT symbol, ln(scale) AS lx, ln(value) AS ly FROM pts WHERE value > 0), k AS (SELECT symbol, count(*) AS k, regr_slope(ly, lx) AS h, regr_r2(ly, lx) AS r2 FROM l GROUP BY 1),
+ o AS (SELECT c.symbol, CASE WHEN k >= 3 THEN least(1.0, greatest(0.0, h)) ELSE 0.5 END AS hurst, CASE WHEN k >= 3 THEN r2 ELSE 0.0 END AS r2, CAST(coalesce(k, 0) AS INTEGER) AS scales FROM c LEFT JOIN k ON k.symbol = c.symbol)
+ SELECT symbol, {r('hurst', 'hurst')}, {r('r2', 'r2')}, scales, CASE WHEN hurst > 0.55 THEN 'trending' WHEN hurst < 0.45 THEN 'mean_reverting' ELSE 'random_walk' END AS regime FROM o"""
+_HURST = ("symbol", "hurst", "r2", "scales", "regime")
+add_bars(
+    "win_hurst_scales",
+    f"""{_XS}, j AS (SELECT x.symbol, scale, pos // scale AS sg, pos, x FROM x JOIN sc ON sc.symbol = x.symbol WHERE scale >= 2 AND pos < scale * (n // scale)), m AS (SELECT symbol, scale, sg, avg(x) AS m, stddev_samp(x) AS s FROM j GROUP BY 1, 2, 3),
+ w AS (SELECT j.symbol, j.scale, j.sg, s, sum(x - m) OVER (PARTITION BY j.symbol, j.scale, j.sg ORDER BY pos) AS walk FROM j JOIN m ON m.symbol = j.symbol AND m.scale = j.scale AND m.sg = j.sg),
+ seg AS (SELECT symbol, scale, sg, (max(walk) - min(walk)) / any_value(s) AS rs FROM w WHERE s > 1e-10 GROUP BY 1, 2, 3), pts AS (SELECT symbol, scale, avg(rs) AS value FROM seg GROUP BY 1, 2), {_SLOPE}""",
+    lambda b: shown(S.hurst_scales(W.returns(b), "log_ret"), *_HURST),
+)
+add_bars(
+    "win_hurst_dfa",
+    f"""{_XS}, p AS (SELECT x.symbol, pos, sum(x - mean) OVER (PARTITION BY x.symbol ORDER BY pos) AS y FROM x JOIN c ON c.symbol = x.symbol),
+ j AS (SELECT p.symbol, scale, d AS side, CASE WHEN d = 0 THEN pos // scale ELSE (n - 1 - pos) // scale END AS sg, n, pos, y FROM p JOIN sc ON sc.symbol = p.symbol, (SELECT unnest([0, 1]) AS d) z WHERE scale >= 3),
+ seg AS (SELECT symbol, scale, side, sg, greatest(regr_syy(y, pos) - pow(regr_sxy(y, pos), 2) / regr_sxx(y, pos), 0) / scale AS f2 FROM j WHERE sg < n // scale GROUP BY 1, 2, 3, 4), pts AS (SELECT symbol, scale, sqrt(avg(f2)) AS value FROM seg GROUP BY 1, 2), {_SLOPE}""",
+    lambda b: shown(S.hurst_dfa(W.returns(b), "log_ret"), *_HURST),
+)
+add_bars(
+    "agg_adf",
+    f"""{WITH}, d AS (SELECT symbol, seq, lag(close) {BY} AS u, close - lag(close) {BY} AS z, count(*) OVER (PARTITION BY symbol) AS v FROM bars), e AS (SELECT *, lag(z) {BY} AS w FROM d),
+ m AS (SELECT symbol, any_value(v) AS v, count(*) AS n, var_pop(u) AS uu, var_pop(w) AS ww, var_pop(z) AS zz, covar_pop(u, w) AS uw, covar_pop(u, z) AS uz, covar_pop(w, z) AS wz FROM e WHERE w IS NOT NULL GROUP BY 1),
+ q AS (SELECT *, (uz * ww - wz * uw) / (uu * ww - uw * uw) AS b, (wz * uu - uz * uw) / (uu * ww - uw * uw) AS c FROM m),
+ t AS (SELECT symbol, v, CASE WHEN v >= 20 THEN b / sqrt(n * (zz - b * uz - c * wz) / (n - 3) * ww / (n * (uu * ww - uw * uw))) END AS t FROM q)
+ SELECT symbol, {r('t', 'adf_statistic')}, greatest(v - 2, 0) AS n_obs, coalesce(t < {S.ADF_CRITICAL[1]}, false) AS stationary FROM t""",
+    lambda b: shown(S.adf(b, "close"), "symbol", "adf_statistic", "n_obs", "stationary"),
+)
+
+
+def bubbles(b: DataFrame) -> DataFrame:
+    """Fits at the end of each day of hourly bars, windows of 120 bars up to all that a symbol has, in steps of 60."""
+    return S.fit_filters(S.bubble_fits(b, windows=tuple(range(120, 751, 60))))
+
+
+add_bars("fit_filters", None, lambda b: shown(bubbles(b), "symbol", "end", "window", "ahead", "m", "omega", "r2", "damping", "oscillations", F.array_join("failed", ",").alias("failed"), "passed", "quality"))
+add_bars("bubble_scan", None, lambda b: shown(S.bubble_confidence(bubbles(b)), "symbol", "end", "windows", "confidence", "tc_mean", "tc_std", "tc_median"))
+
+# ---- ledgers ----------------------------------------------------------------------------------
+
+
+def banded(b: DataFrame) -> DataFrame:
+    """A signal where the close is 2 % beyond its average, none between, and a stop 3 % beyond the average on the far side."""
+    b = b.withColumn("sma", F.avg("close").over(W.last_rows(20)))
+    sig = F.when(F.col("close") > 1.02 * F.col("sma"), 1).when(F.col("close") < 0.98 * F.col("sma"), -1).otherwise(0)
+    return b.withColumn("sig", sig).withColumn("stop", F.when(F.col("sig") == 1, 0.97 * F.col("sma")).when(F.col("sig") == -1, 1.03 * F.col("sma")).otherwise(0.0))
+
+
+_BAND = f"""{WITH}, a AS (SELECT *, avg(close) {over(20)} AS sma FROM bars), g0 AS (SELECT *, CASE WHEN close > 1.02 * sma THEN 1 WHEN close < 0.98 * sma THEN -1 ELSE 0 END AS sig FROM a),
+ g AS (SELECT *, CASE sig WHEN 1 THEN 0.97 * sma WHEN -1 THEN 1.03 * sma ELSE 0.0 END AS stop, coalesce(lag(sig) {BY}, 0) AS bf FROM g0)"""
+_PRICED = "symbol, entry_seq, exit_seq, CAST(direction AS INTEGER) AS direction, ep * (1 + direction * 0.0005) AS entry_price, xp * (1 - direction * 0.0005) AS exit_price, reason, exit_seq - entry_seq AS holding_bars"
+_LEDGER = ("symbol", "entry_seq", "exit_seq", "direction", "entry_price", "exit_price", "reason", "pnl", "holding_bars")
+_LEDGER_SQL = f"symbol, entry_seq, exit_seq, direction, {r('entry_price', 'entry_price')}, {r('exit_price', 'exit_price')}, reason, {r('direction * (exit_price - entry_price) / entry_price - 0.0008', 'pnl')}, holding_bars"
+add_bars(
+    "led_exit_signal",
+    f"""{_BAND}, h AS (SELECT *, max(CASE WHEN bf <> 0 THEN seq END) {over(start='UNBOUNDED PRECEDING', end='1 PRECEDING')} AS ps FROM g), t AS (SELECT h.*, p.bf AS pb FROM h LEFT JOIN h p ON p.symbol = h.symbol AND p.seq = h.ps),
+ e AS (SELECT symbol, seq AS entry_seq, bf AS direction, open AS ep FROM t WHERE bf <> 0 AND coalesce(pb, 0) <> bf), x AS (SELECT e.symbol, entry_seq, direction, ep, min(t.seq) AS exit_seq FROM e JOIN g t ON t.symbol = e.symbol AND t.seq > entry_seq AND t.bf = -direction GROUP BY ALL),
+ l AS (SELECT {_PRICED} FROM (SELECT x.*, g.open AS xp, 'signal' AS reason FROM x JOIN g ON g.symbol = x.symbol AND g.seq = x.exit_seq)) SELECT {_LEDGER_SQL} FROM l""",
+    lambda b: shown(T.signal_trades(T.signal_candidates(banded(b), "sig", F.lit(0.0005))), *_LEDGER),
+)
+add_bars(
+    "led_exit_stop",
+    f"""{recursive(_BAND)}, o AS (SELECT *, stop > 0 AND low <= stop AS hl, stop > 0 AND high >= stop AS hs FROM g),
+ walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, 0 AS side, CAST(NULL AS BIGINT) AS since, CAST(NULL AS DOUBLE) AS ep, 0 AS was, CAST(NULL AS DOUBLE) AS xp, CAST(NULL AS VARCHAR) AS why, CAST(NULL AS BIGINT) AS began, CAST(NULL AS DOUBLE) AS paid, false AS pend FROM o WHERE seq = 1
+ UNION ALL
+ SELECT symbol, seq, CASE WHEN why IS NOT NULL THEN 0 WHEN side <> 0 THEN side WHEN pend THEN bf ELSE 0 END, CASE WHEN why IS NULL AND side <> 0 THEN since WHEN side = 0 AND pend THEN seq END, CASE WHEN why IS NULL AND side <> 0 THEN ep WHEN side = 0 AND pend THEN CAST(open AS DOUBLE) END,
+  side, CASE why WHEN 'sl' THEN stop WHEN 'signal' THEN CASE WHEN stop > 0 AND stop < 1e17 THEN stop ELSE open END END, why, since, ep, (why IS NOT NULL OR (side = 0 AND NOT pend)) AND sig <> 0
+ FROM (SELECT w.symbol, o.seq, w.side, w.since, w.ep, w.pend, o.bf, o.open, o.stop, o.sig, CASE WHEN w.side = 0 THEN NULL WHEN w.side = 1 AND hl OR w.side = -1 AND hs THEN 'sl' WHEN o.bf <> w.side THEN 'signal' END AS why FROM walk w JOIN o ON o.symbol = w.symbol AND o.seq = w.seq + 1)),
+ l AS (SELECT {_PRICED} FROM (SELECT symbol, began AS entry_seq, seq AS exit_seq, was AS direction, paid AS ep, xp, why AS reason FROM walk WHERE why IS NOT NULL)) SELECT {_LEDGER_SQL} FROM l""",
+    lambda b: shown(T.stop_trades(T.stop_candidates(banded(b), "sig", "stop", F.lit(0.0005))), *_LEDGER),
+)
+KELLY_WINDOW = 200  # the given events make 720 hourly bars a symbol
+add_bars(
+    "kelly_size",
+    f"""{_BAND}, u0 AS (SELECT *, coalesce(var_samp(close) {over(20)}, 1.0) AS u FROM g), i AS (SELECT symbol, seq FROM u0 WHERE seq > {KELLY_WINDOW}),
+ w AS (SELECT i.symbol, i.seq AS ti, k.seq, k.close, k.sig, CASE WHEN k.seq = i.seq - {KELLY_WINDOW} THEN 0 ELSE k.bf END AS bf FROM i JOIN u0 k ON k.symbol = i.symbol AND k.seq >= i.seq - {KELLY_WINDOW} AND k.seq < i.seq),
+ o AS (SELECT *, max(CASE WHEN sig <> 0 AND sig <> bf THEN seq END) OVER (PARTITION BY symbol, ti ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st FROM w),
+ tr AS (SELECT o.symbol, o.ti, o.bf * (o.close - e.close) / e.close AS r FROM o JOIN u0 e ON e.symbol = o.symbol AND e.seq = o.st WHERE o.bf <> 0 AND o.sig <> o.bf),
+ n AS (SELECT symbol, ti, count(*) AS n, count(*) FILTER (r > 0) AS nw, count(*) FILTER (r < 0) AS nl, avg(r) FILTER (r > 0) AS aw, -avg(r) FILTER (r < 0) AS al FROM tr GROUP BY 1, 2),
+ s AS (SELECT u0.symbol, u0.seq, CASE WHEN u0.seq > {KELLY_WINDOW} THEN coalesce(n, 0) END AS n, nw, nl, nw * 1.0 / n AS rate, aw / (al + 1e-10) AS pay, avg(u) OVER (PARTITION BY u0.symbol ORDER BY u0.seq ROWS BETWEEN 100 PRECEDING AND CURRENT ROW) / (u + 1e-10) AS pr FROM u0 LEFT JOIN n ON n.symbol = u0.symbol AND n.ti = u0.seq),
+ f AS (SELECT *, coalesce(n >= 5 AND nw > 0 AND nl > 0, false) AS ok FROM s), k AS (SELECT *, CASE WHEN ok THEN least(1.0, greatest(0.0, rate - (1 - rate) / (pay + 1e-10))) / 2 ELSE 0.25 END AS raw FROM f)
+ SELECT symbol, seq, n AS kelly_trades, {r('CASE WHEN ok THEN rate END', 'kelly_win_rate')}, {r('CASE WHEN ok THEN pay END', 'kelly_payoff')}, {r(f'CASE WHEN seq > {KELLY_WINDOW} THEN least(3.0, greatest(0.1, 0.1 + 2.9 * raw * least(2.0, greatest(0.5, pr)))) ELSE 1.55 END', 'kelly_size')} FROM k""",
+    lambda b: shown(T.kelly_size(banded(b).withColumn("u", F.coalesce(F.var_samp("close").over(W.last_rows(20)), F.lit(1.0))), "sig", "u", KELLY_WINDOW), "symbol", "seq", "kelly_trades", "kelly_win_rate", "kelly_payoff", "kelly_size"),
+)
