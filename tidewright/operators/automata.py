@@ -6,6 +6,7 @@ read batch by batch; a task holds one batch and one state, however long a symbol
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,6 +38,11 @@ def known(x) -> bool:
     return x is not None and x == x
 
 
+def exp(x: float) -> float:
+    """As a Column has it: infinite where it is too large."""
+    return math.exp(x) if x < 709.78 else math.inf
+
+
 def trailing_stop(
     df: DataFrame,
     enter: Column,
@@ -79,8 +85,6 @@ def trailing_stop(
     )
 
     def machine():
-        from math import exp
-
         side, entry_seq, extreme, trail, hard, k, size = 0, None, 0.0, 0.0, 0.0, 0.0, 0.0
 
         def step(high, low, close, enter, width, kl, ks, ml, ms, bl, bs, ll, ls, zl, zs, at):

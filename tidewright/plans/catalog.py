@@ -562,7 +562,6 @@ register("st_tumbling_day", f"WITH {_DAILY} SELECT symbol, day, {r('day_quote',
     lambda spark, d: shown(S.drained(S.daily_volume(S.read_events(spark, f"{d}/events.parquet")), "complete").groupBy("symbol", "day").agg(F.max("day_quote").alias("day_quote")), "symbol", "day", "day_quote")
 )
 register("st_dedup", f"WITH {M.TRADES_SQL} SELECT symbol, count(*) AS n FROM trades GROUP BY 1")(lambda spark, d: S.drained(S.deduplicated(S.read_events(spark, f"{d}/events.parquet"))).groupBy("symbol").agg(F.count("*").alias("n")))
-register("st_bars")(lambda spark, d: shown(S.drained(S.dollar_bars(S.read_events(spark, f"{d}/events.parquet"), 25_000.0)), "symbol", "bar_no", "open", "high", "low", "close", "volume", "dollar_value", "tick_count"))
 
 # ---- regimes, spells, samples -----------------------------------------------------------------
 

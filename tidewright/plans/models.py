@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from math import log
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,9 @@ from ..operators import regimes as G
 from ..operators import rules as U
 from ..operators import series as S
 from ..operators import windows as W
+from ..sources import months as N
+from ..streaming import features as V
+from ..streaming import trades as Z
 from . import catalog as C
 from .catalog import BY, RETS, WITH, add_bars, bars, over, r, register, ruled, shown
 
@@ -303,3 +307,48 @@ add_bars(
  SELECT symbol, seq, n AS kelly_trades, {r('CASE WHEN ok THEN rate END', 'kelly_win_rate')}, {r('CASE WHEN ok THEN pay END', 'kelly_payoff')}, {r(f'CASE WHEN seq > {KELLY_WINDOW} THEN least(3.0, greatest(0.1, 0.1 + 2.9 * raw * least(2.0, greatest(0.5, pr)))) ELSE 1.55 END', 'kelly_size')} FROM k""",
     lambda b: shown(T.kelly_size(banded(b).withColumn("u", F.coalesce(F.var_samp("close").over(W.last_rows(20)), F.lit(1.0))), "sig", "u", KELLY_WINDOW), "symbol", "seq", "kelly_trades", "kelly_win_rate", "kelly_payoff", "kelly_size"),
 )
+
+# ---- streams and increments -------------------------------------------------------------------
+
+
+def streamed(spark, d) -> DataFrame:
+    return Z.drained(V.bar_features(Z.read_events(spark, f"{d}/events.parquet")))
+
+
+# the bars of dollar_bars, but for each symbol's open one
+_CLOSED = f"""{C.ORACLE_SQL["dollar_bars"].partition("SELECT symbol, bar_id, min(ts_ms) AS start_time")[0]},
+ nb0 AS (SELECT symbol, CAST(bar_id AS BIGINT) AS bar_no, arg_min(price, trade_id) AS open, max(price) AS high, min(price) AS low, arg_max(price, trade_id) AS close, sum(qty) AS volume, sum(quote_qty) AS dollar_value, count(*) AS tick_count, arg_max(threshold, trade_id) AS threshold FROM ids GROUP BY 1, 2),
+ nb AS (SELECT * FROM nb0 WHERE dollar_value >= threshold - 1e-9)"""
+_STREAM = ("open", "high", "low", "close", "volume", "dollar_value", "threshold")
+register("st_bars", f"{_CLOSED} SELECT symbol, bar_no, {', '.join(r(c, c) for c in _STREAM)}, tick_count FROM nb")(lambda spark, d: shown(streamed(spark, d), "symbol", "bar_no", *_STREAM, "tick_count"))
+_FEATURES = ("close", "log_ret", "ewm_z", "exp_z", "roll_vol", "momentum")
+_A = 1 - 0.5 ** (1 / V.HALFLIFE)
+_BN = "OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+register(
+    "st_features",
+    f"""{_CLOSED}, lr AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_no)) AS log_ret, close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY bar_no) - 1 AS m20,
+  count(*) {_BN.format("UNBOUNDED")} AS n, avg(close) {_BN.format("UNBOUNDED")} AS am, coalesce(stddev_samp(close) {_BN.format("UNBOUNDED")}, 0) AS asd FROM nb),
+ vo AS (SELECT *, stddev_samp(log_ret) {_BN.format(23)} AS roll_vol FROM lr),
+ ew AS (SELECT symbol, bar_no, close, close AS mean, {_ZERO} AS var FROM vo WHERE n = 1 UNION ALL
+  SELECT v.symbol, v.bar_no, v.close, {_A!r} * v.close + {1 - _A!r} * e.mean, {1 - _A!r} * (e.var + {_A!r} * pow(v.close - e.mean, 2)) FROM ew e JOIN vo v ON v.symbol = e.symbol AND v.bar_no = e.bar_no + 1),
+ o AS (SELECT vo.symbol, vo.bar_no, vo.close, log_ret, roll_vol, m20 AS momentum, CASE WHEN n < 2 OR asd < 1e-10 THEN 0.0 ELSE (vo.close - am) / asd END AS exp_z, 5 * (1 - 2 / (exp(2 * CASE WHEN sqrt(var) < 1e-10 THEN 0.0 ELSE (vo.close - mean) / sqrt(var) / 5 END) + 1)) AS ewm_z FROM vo JOIN ew ON ew.symbol = vo.symbol AND ew.bar_no = vo.bar_no)
+ SELECT symbol, bar_no, {", ".join(r(c, c) for c in _FEATURES)} FROM o""",
+)(lambda spark, d: shown(streamed(spark, d), "symbol", "bar_no", *_FEATURES))
+
+
+def incremental(spark, d) -> DataFrame:
+    """Hourly bars by month in three runs: the trades of the first 20 days, all trades, and all trades again; the commits after them."""
+    trades = C.M.trades(spark, d)
+    path = f"{Z.shared(spark)}/months-{uuid.uuid4().hex}"
+    first = trades.agg(F.min("ts")).first()[0]
+    for source in (trades.where(F.col("ts") < F.lit(first) + F.expr("INTERVAL 20 DAYS")), trades, trades):
+        N.write_new_months(source, path, C.M.bars_of, later=1)
+    return N.commits(spark, path)
+
+
+register(
+    "snk_idempotent",
+    f"""WITH {C.M.BARS_SQL}, f AS (SELECT min(ts) AS f FROM trades), mo AS (SELECT symbol, strftime(ts, '%Y-%m') AS ym, count(*) AS source_rows, count(*) FILTER (ts < f + INTERVAL 20 DAY) AS early, count(DISTINCT date_trunc('hour', ts)) AS n_rows FROM trades, f GROUP BY 1, 2),
+ c AS (SELECT *, count(*) OVER w AS newer, count(CASE WHEN early > 0 THEN 1 END) OVER w AS newer1 FROM mo WINDOW w AS (PARTITION BY symbol ORDER BY ym DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT symbol, ym, n_rows, source_rows, newer >= 1 AS complete, CAST(CASE WHEN early > 0 AND (newer1 >= 1 OR early = source_rows AND newer = 0) THEN 1 ELSE 2 END AS BIGINT) AS run FROM c""",
+)(lambda spark, d: incremental(spark, d).select("symbol", "ym", "n_rows", "source_rows", "complete", "run"))

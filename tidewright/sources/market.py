@@ -100,9 +100,14 @@ def sequenced(df: DataFrame, *order: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str, every: str = "hour") -> DataFrame:
     """Time bars of each symbol's trades."""
-    t = trades(spark, sf_dir).withColumn("bar_ts", F.date_trunc(every, "ts"))
+    return sequenced(bars_of(trades(spark, sf_dir), every), "bar_ts")
+
+
+def bars_of(trades_: DataFrame, every: str = "hour") -> DataFrame:
+    """Time bars of trades, without seq."""
+    t = trades_.withColumn("bar_ts", F.date_trunc(every, "ts"))
     buy = F.when(F.col("is_aggressor_buy"), F.col("quote_qty")).otherwise(0.0)
-    out = t.groupBy("symbol", "bar_ts").agg(
+    return t.groupBy("symbol", "bar_ts").agg(
         F.min_by("price", "trade_id").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -113,7 +118,6 @@ def bars(spark: SparkSession, sf_dir: str, every: str = "hour") -> DataFrame:
         F.sum(buy).alias("buy"),
         F.greatest((F.max("ts_ms") - F.min("ts_ms")) / 1000.0, F.lit(0.001)).alias("duration"),
     )
-    return sequenced(out, "bar_ts")
 
 
 def write_by_month(bars_: DataFrame, path: str, ts: str = "bar_ts") -> None:

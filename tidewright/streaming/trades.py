@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .features import ROCKS
+
 LATE = "45 days"
 
 
@@ -18,6 +20,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Trades from an event folder or file as a stream; new files are read as they come."""
     schema = spark.read.parquet(path).schema
     # as a pattern: a stream takes a plain path only if it is a folder
+    path = path.rstrip("/")
     e = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     qty = (F.get_json_object("props", "$.k").cast("int") + 1).cast("double")
     return e.select(
@@ -65,15 +68,25 @@ def dollar_bars(trades: DataFrame, threshold: float) -> DataFrame:
     return trades.groupBy("symbol").applyInPandasWithState(step, BAR, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream yields from all that is there now, by way of files in the shared folder."""
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def drained(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """What a stream yields from all that is there now, by way of files in the shared folder. With the folder of an earlier call the stream goes on from where that ended, and the rows of both are given."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{shared(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)  # a query takes the settings of its start
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
     query.awaitTermination()
     return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/out").drop("batch")
