@@ -62,31 +62,32 @@ def adaptive_filter(
     nis_cap: float = 20.0,
     directional: float | None = None,
     r_scale: float = 1.0,
+    window: int = WINDOW,
 ) -> DataFrame:
     """df with the 20 columns COLUMNS2 of a two-state filter (trend and velocity) of the log typical price. df: symbol, seq, high, low, close.
 
     hours: each bar's time step (6 where null or absent). Process noise is white acceleration over the step, its variance that of
-    the last 19 velocities times q_scale and a factor that grows as velocity changes (momentum); it is raised by nis_weight
+    the last window - 1 velocities times q_scale and a factor that grows as velocity changes (momentum); it is raised by nis_weight
     times the bar before's squared innovation over its variance, within 1 and nis_cap (None: never), and with `directional`
     also by exp(-directional * the standardised innovation before), within 0.2 and 5, the larger of both. A row without a
     price only predicts: it has no innovation, and gain 0. Rows before a symbol's first price have nulls.
 
-    Velocities count from a symbol's first price, the window of 19 from its first row, so that rows without a price at
+    Velocities count from a symbol's first price, their window from its first row, so that rows without a price at
     the start shorten it.
     """
     rows = df.withColumns({"_y": log_of(_typical()), "_dt": F.coalesce(hours.cast("double") if hours is not None else F.lit(None).cast("double"), F.lit(6.0))})
-    rows = rows.withColumns({"_rt": close_noise("_y", scale=r_scale), "_rr": range_noise(F.col("high"), F.col("low"), scale=r_scale)})
+    rows = rows.withColumns({"_rt": close_noise("_y", window, r_scale), "_rr": range_noise(F.col("high"), F.col("low"), window, r_scale)})
     noise = rows.select("symbol", "seq", "_y", "_dt", "_rt", "_rr")
 
     def machine():
         x = v = p01 = 0.0
         p00 = p11 = INITIAL
         started, idx, skipped, nis, shift = False, -1, 0, None, None
-        speeds: deque[float] = deque(maxlen=WINDOW - 1)
+        speeds: deque[float] = deque(maxlen=window - 1)
         nothing = (None,) * 13
 
         def base_q() -> float:
-            n = idx - skipped - max(0, idx - WINDOW + 1)
+            n = idx - skipped - max(0, idx - window + 1)
             recent = list(speeds)[-n:] if n > 0 else []
             if len(recent) < 2:
                 return LEAST_Q
@@ -143,7 +144,7 @@ def adaptive_filter(
         "kf_stop_distance": 3 * F.sqrt("kf_innovation_cov_risk"),
         "kf_velocity_zscore": F.col("kf_velocity") / (F.sqrt("kf_velocity_var") + 1e-10),
     })
-    w = last_rows(WINDOW)
+    w = last_rows(window)
     spread = F.when(F.count("kf_deviation").over(w) >= 5, F.stddev_samp("kf_deviation").over(w))
     return out.withColumn("kf_signal", F.col("kf_deviation") / (spread + 1e-10)).select(*df.columns, *COLUMNS2)
 
@@ -195,6 +196,17 @@ def acceleration_filter(df: DataFrame, q_trend: float = 0.01, q_velocity: float
     return out.select(*df.columns, *COLUMNS3)
 
 
+def dual_filter(df: DataFrame, hours: Column | None = None, fast: int = 20, slow: int = 120) -> DataFrame:
+    """df with fast_ and slow_ velocity, zscore (of the velocity by its own variance) and uncertainty of two filters with noise windows of `fast` and `slow` rows, spread (of velocities), spread_std (50 rows, 10 at least) and the fast one's risk variance."""
+    parts = {}
+    for name, n in (("fast", fast), ("slow", slow)):
+        own = adaptive_filter(df, hours, window=n)
+        parts[name] = own.select("symbol", "seq", F.col("kf_velocity").alias(f"{name}_velocity"), F.col("kf_velocity_zscore").alias(f"{name}_zscore"), F.col("kf_uncertainty").alias(f"{name}_uncertainty"), *(["kf_innovation_cov_risk"] if name == "fast" else []))
+    out = df.join(parts["fast"], ["symbol", "seq"]).join(parts["slow"], ["symbol", "seq"]).withColumn("spread", F.col("fast_velocity") - F.col("slow_velocity"))
+    w = last_rows(50)
+    return out.withColumn("spread_std", F.when(F.count("spread").over(w) >= 10, F.stddev_samp("spread").over(w)))
+
+
 def derived(df: DataFrame) -> DataFrame:
     """Of the filter's columns: averages of velocity over 5 and 20 rows and their difference, 5-row change of velocity, velocity's z over 42 rows, the sign of a cross of both averages, and the deviation's z over 50 rows."""
     w5, w20, w42, w50 = last_rows(5), last_rows(20), last_rows(42), last_rows(50)

@@ -1,9 +1,9 @@
 """Ordered recurrences, as blocked scans.
 
-y[t] = b * y[t-1] + u[t] is affine, so blocks of rows are scanned on their own, each block's effect is one pair of
-numbers, and only those pairs are scanned along a key. No task sees more of a key than one block's rows, or one pair for
-each block. Recurrences that are not affine (a sum that is reset when it reaches a threshold; a filter whose gain depends
-on its state) run keyed, in seq order, on just the columns they need.
+y[t] = b * y[t-1] + u[t] is affine, so blocks of rows are scanned on their own, each block's effect is one number, and
+only those are carried along a key. No task sees more of a key than one block's rows, or one number for each block.
+Recurrences that are not affine (a sum that is reset when it reaches a threshold; a filter whose gain depends on its
+state) are ordered passes: rows dealt out by key and sorted, read batch by batch with a state of constant size.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .automata import state_machine
 from .windows import by_seq, so_far
@@ -22,31 +23,54 @@ from .windows import by_seq, so_far
 BLOCK = 512
 
 
-def linear_scan(df: DataFrame, u: Column, b: float, name: str, first: Column | None = None, depth: int = 1) -> DataFrame:
-    """df with y[t] = b * y[t-1] + u[t] by symbol and seq (1, 2, 3 ... without gaps); y of the first row is `first`, or u.
+def linear_scans(df: DataFrame, scans: list[tuple], block: int = BLOCK) -> DataFrame:
+    """df with y[t] = b * y[t-1] + u[t] by symbol and seq (1, 2, 3 ... without gaps) for each (name, u, b, first) of scans; y of the first row is `first`, or u where that is None.
 
     Within a block y is a running sum of u scaled by powers of b; a block is short enough for those to stay in range. What
-    a block passes on is again such a recurrence, over blocks, with b to the block's length; `depth` levels are windows,
-    the last is a fold over what is then one number for BLOCK^depth rows.
+    blocks pass on is again such a recurrence: one ordered pass over each key's block ends, one row for a block, that
+    holds one number for each scan. All scans share the blocks, their shuffle, and that pass.
     """
-    n = BLOCK if b == 0 else max(2, min(BLOCK, int(200 / max(1e-9, -math.log(abs(b)))))) if abs(b) < 1 else BLOCK
-    at, block = ((F.col("seq") - 1) % n).cast("double"), F.floor((F.col("seq") - 1) / n)
-    base = F.lit(float(b))
-    value = F.when(F.col("seq") == 1, first if first is not None else u).otherwise(u)
-    rows = df.withColumns({"_at": at, "_block": block, "_u": value})
-    if b == 0:
-        return rows.withColumn(name, F.col("_u")).drop("_at", "_block", "_u")
+    names = [n for n, *_ in scans]
+    sizes = [block if b == 0 or abs(b) >= 1 else max(2, min(block, int(200 / max(1e-9, -math.log(abs(b)))))) for _, _, b, _ in scans]
+    n = min(sizes)
+    at = ((F.col("seq") - 1) % n).cast("double")
+    values = {f"_u{i}": (F.when(F.col("seq") == 1, first).otherwise(u) if first is not None else u) for i, (_, u, _, first) in enumerate(scans)}
+    rows = df.withColumns({"_at": at, "_block": F.floor((F.col("seq") - 1) / n)} | values)
     w = Window.partitionBy("symbol", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_local", F.pow(base, F.col("_at")) * F.sum(F.col("_u") * F.pow(base, -F.col("_at"))).over(w))
-    ends = rows.groupBy("symbol", "_block").agg(F.max_by("_local", "seq").alias("_end")).withColumn("seq", F.col("_block") + 1)
-    if depth:
-        carried = linear_scan(ends.select("symbol", "seq", "_end"), F.col("_end"), b**n, "_carry", depth=depth - 1).select("symbol", F.col("seq").alias("_block"), "_carry")
-    else:
-        chain = F.array_sort(F.collect_list(F.struct("seq", "_end")))
-        folded = F.aggregate(chain, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.when(F.size(a) == 0, 0.0).otherwise(F.element_at(a, -1)) * float(b**n) + x["_end"])))
-        carried = ends.groupBy("symbol").agg(folded.alias("c")).select("symbol", F.posexplode("c").alias("_p", "_carry")).select("symbol", (F.col("_p") + 1).cast("long").alias("_block"), "_carry")
+
+    def local(i: int, b: float) -> Column:
+        if b == 0:
+            return F.col(f"_u{i}")
+        base = F.lit(float(b))
+        return F.pow(base, F.col("_at")) * F.sum(F.col(f"_u{i}") * F.pow(base, -F.col("_at"))).over(w)
+
+    rows = rows.withColumns({f"_l{i}": local(i, b) for i, (_, _, b, _) in enumerate(scans)})
+    ends = rows.groupBy("symbol", "_block").agg(*[F.max_by(f"_l{i}", "seq").alias(f"_e{i}") for i in range(len(scans))])
+    steps = [float(b) ** n for _, _, b, _ in scans]
+    columns = [f"_c{i}" for i in range(len(scans))]
+
+    def carry(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, None
+        for pdf in pdfs:
+            out = []
+            for symbol, blk, *own in zip(*(pdf[c].tolist() for c in pdf.columns)):
+                if held is None or symbol != key:
+                    key, held = symbol, [0.0] * len(steps)
+                out.append((symbol, blk, *held))
+                held = [e + s * h for e, s, h in zip(own, steps, held)]
+            yield pd.DataFrame(out, columns=["symbol", "_block", *columns])
+
+    kind = df.schema["symbol"].dataType.simpleString()
+    dealt = ends.repartition("symbol").sortWithinPartitions("symbol", "_block")
+    carried = dealt.mapInPandas(carry, f"symbol {kind}, _block long, " + ", ".join(f"{c} double" for c in columns))
     done = rows.join(carried, ["symbol", "_block"], "left")
-    return done.withColumn(name, F.col("_local") + F.pow(base, F.col("_at") + 1) * F.coalesce("_carry", F.lit(0.0))).select(*df.columns, name)
+    found = {name: F.col(f"_l{i}") + (F.pow(F.lit(float(b)), F.col("_at") + 1) * F.coalesce(f"_c{i}", F.lit(0.0)) if b else 0.0) for i, (name, _, b, _) in enumerate(scans)}
+    return done.withColumns(found).select(*[c for c in df.columns if c not in names], *names)
+
+
+def linear_scan(df: DataFrame, u: Column, b: float, name: str, first: Column | None = None) -> DataFrame:
+    """df with one recurrence, as linear_scans."""
+    return linear_scans(df, [(name, u, b, first)])
 
 
 def alpha_of(halflife: float | None = None, span: float | None = None, alpha: float | None = None) -> float:
@@ -71,8 +95,7 @@ def ewm_adjusted(df: DataFrame, column: str, halflife: float) -> DataFrame:
     """Adjusted exponential mean, and standard deviation corrected for bias, as weighted by (1 - alpha)^age."""
     b = 1 - alpha_of(halflife=halflife)
     x = F.col(column)
-    for name, u, base in (("_w", F.lit(1.0), b), ("_w2", F.lit(1.0), b * b), ("_wx", x, b), ("_wxx", x * x, b)):
-        df = linear_scan(df, u, base, name)
+    df = linear_scans(df, [("_w", F.lit(1.0), b, None), ("_w2", F.lit(1.0), b * b, None), ("_wx", x, b, None), ("_wxx", x * x, b, None)])
     mean = F.col("_wx") / F.col("_w")
     biased = F.greatest(F.col("_wxx") / F.col("_w") - mean * mean, F.lit(0.0))
     spare = F.col("_w") * F.col("_w") - F.col("_w2")
@@ -83,8 +106,7 @@ def wilder_rsi(df: DataFrame, column: str, n: int, name: str = "rsi") -> DataFra
     """RSI with Wilder's averages, started by the first gain and loss; 50 where nothing moved, 100 where nothing was lost."""
     step = F.col(column) - F.lag(column).over(by_seq())
     df = df.withColumns({"_g": F.greatest(F.coalesce(step, F.lit(0.0)), F.lit(0.0)), "_l": F.greatest(-F.coalesce(step, F.lit(0.0)), F.lit(0.0))})
-    df = linear_scan(df, F.col("_g") / n, 1 - 1 / n, "_up", F.col("_g"))
-    df = linear_scan(df, F.col("_l") / n, 1 - 1 / n, "_down", F.col("_l"))
+    df = linear_scans(df, [("_up", F.col("_g") / n, 1 - 1 / n, F.col("_g")), ("_down", F.col("_l") / n, 1 - 1 / n, F.col("_l"))])
     rsi = F.when((F.col("_up") < 1e-12) & (F.col("_down") < 1e-12), 50.0).when(F.col("_down") < 1e-12, 100.0).otherwise(100 - 100 / (1 + F.col("_up") / F.col("_down")))
     return df.withColumn(name, rsi).drop("_g", "_l", "_up", "_down")
 
@@ -105,7 +127,7 @@ def daily_threshold(trades: DataFrame, bars_per_day: int, warmup: int = 14) -> D
 def dollar_bar_ids(trades: DataFrame, thresholds: DataFrame, exact: bool = True) -> DataFrame:
     """Trades (after warm-up) with bar_id. A bar takes trades until their quote volume reaches the threshold of the day of its last trade; the surplus is dropped, and an open bar lives on over midnight.
 
-    exact: bars are found by hops along the key's running sums, one for each bar and day. Otherwise bar ids are multiples
+    exact: bars are found by hops along running sums, in one ordered pass that carries the open bar's sum. Otherwise bar ids are multiples
     of the threshold within the day's running sum, which needs no keyed function.
     """
     rows = trades.withColumn("day", F.to_date("ts")).join(thresholds.where("threshold IS NOT NULL").select("symbol", "day", "threshold"), ["symbol", "day"])
@@ -114,28 +136,33 @@ def dollar_bar_ids(trades: DataFrame, thresholds: DataFrame, exact: bool = True)
         number = F.floor(F.coalesce(F.sum("quote_qty").over(w), F.lit(0.0)) / F.col("threshold"))
         return rows.withColumn("bar_id", F.datediff("day", F.lit("1970-01-01")) * 100_000 + number)
 
-    def hop(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_id", kind="stable")
-        quote, limit = pdf["quote_qty"].to_numpy(), pdf["threshold"].to_numpy()
-        total = np.cumsum(quote)
-        days = np.flatnonzero(np.append(True, limit[1:] != limit[:-1]))
-        ends = np.append(days[1:], len(quote))
-        out = np.zeros(len(quote), np.int64)
-        start, bar, taken = 0, 0, 0.0
-        for a, b in zip(days, ends):
-            at = a
-            while at < b:
-                # the first trade at which the bar's sum reaches this day's threshold
-                stop = at + int(np.searchsorted(total[at:b], taken + limit[a] - 1e-9, "left"))
-                if stop >= b:
-                    break
-                out[start : stop + 1] = bar
-                bar, start, taken, at = bar + 1, stop + 1, total[stop], stop + 1
-        out[start:] = bar
-        return pd.DataFrame({"symbol": pdf["symbol"], "trade_id": pdf["trade_id"], "bar_id": out})
-
-    ids = rows.select("symbol", "trade_id", "quote_qty", "threshold").groupBy("symbol").applyInPandas(hop, "symbol string, trade_id long, bar_id long")
-    return rows.join(ids, ["symbol", "trade_id"])
+    def hop(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, bar, open_ = None, 0, 0.0  # of the symbol before: the next bar's number and what it holds
+        for pdf in pdfs:
+            symbols, quotes, limits = pdf["symbol"].to_numpy(), pdf["quote_qty"].to_numpy(), pdf["threshold"].to_numpy()
+            out = np.zeros(len(pdf), np.int64)
+            changes = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
+            for a, z in zip([0, *changes], [*changes, len(pdf)]):
+                if symbols[a] != key:
+                    key, bar, open_ = symbols[a], 0, 0.0
+                total, limit = open_ + np.cumsum(quotes[a:z]), limits[a:z]
+                days = np.flatnonzero(np.append(True, limit[1:] != limit[:-1]))
+                start, taken = 0, 0.0
+                for first, end in zip(days, [*days[1:], z - a]):
+                    at = first
+                    while at < end:
+                        # the first trade at which the bar's sum reaches this day's threshold
+                        stop = at + int(np.searchsorted(total[at:end], taken + limit[first] - 1e-9, "left"))
+                        if stop >= end:
+                            break
+                        out[a + start : a + stop + 1] = bar
+                        bar, start, taken, at = bar + 1, stop + 1, total[stop], stop + 1
+                out[a + start : z] = bar
+                open_ = total[-1] - taken
+            yield pdf.assign(bar_id=out)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("bar_id", T.LongType())])
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "trade_id").mapInPandas(hop, schema)
 
 
 def aggregate_bars(trades: DataFrame) -> DataFrame:
@@ -159,30 +186,31 @@ def aggregate_bars(trades: DataFrame) -> DataFrame:
     return out.withColumns({"duration": F.greatest((F.col("end_time") - F.col("start_time")) / 1000.0, F.lit(0.001)), "sell_dollar_vol": sell, "net_imbalance": F.col("buy_dollar_vol") - sell})
 
 
-def tick_signs(trades: DataFrame) -> DataFrame:
-    """Tick rule: the sign of the last price change, 1 before any."""
-    w = Window.partitionBy("symbol").orderBy("trade_id")
-    change = F.signum(F.col("price") - F.lag("price").over(w))
-    kept = F.last(F.when(change != 0, change), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return trades.withColumn("tick", F.coalesce(kept, F.lit(1.0)).cast("int"))
-
-
 def tib_bar_ids(trades: DataFrame, expected_ticks: float, p_buy: float) -> DataFrame:
-    """Trades with bar_id of tick-imbalance bars: a bar closes where the absolute sum of ticks reaches expected_ticks * |2 p_buy - 1|."""
+    """Trades with tick (the sign of the last price change, 1 before any) and bar_id of tick-imbalance bars: a bar closes where the absolute sum of its ticks reaches expected_ticks * |2 p_buy - 1|.
+
+    One ordered pass carries the last price and sign, the open bar's sum and its number.
+    """
     limit = expected_ticks * abs(2 * p_buy - 1)
 
-    def hop(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_id", kind="stable")
-        total, bar, out = 0, 0, []
-        for tick in pdf["tick"].tolist():
-            out.append(bar)
-            total += tick
-            if abs(total) >= limit:
-                total, bar = 0, bar + 1
-        return pd.DataFrame({"symbol": pdf["symbol"], "trade_id": pdf["trade_id"], "bar_id": out})
-
-    rows = tick_signs(trades)
-    return rows.join(rows.select("symbol", "trade_id", "tick").groupBy("symbol").applyInPandas(hop, "symbol string, trade_id long, bar_id long"), ["symbol", "trade_id"])
+    def hop(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, price, sign, total, bar = None, None, 1, 0, 0
+        for pdf in pdfs:
+            ticks, ids = [], []
+            for symbol, p in zip(pdf["symbol"].tolist(), pdf["price"].tolist()):
+                if symbol != key:
+                    key, price, sign, total, bar = symbol, p, 1, 0, 0
+                if p != price:
+                    sign, price = 1 if p > price else -1, p
+                ticks.append(sign)
+                ids.append(bar)
+                total += sign
+                if abs(total) >= limit:
+                    total, bar = 0, bar + 1
+            yield pdf.assign(tick=np.array(ticks, np.int32), bar_id=np.array(ids, np.int64))
+
+    schema = T.StructType([*trades.schema.fields, T.StructField("tick", T.IntegerType()), T.StructField("bar_id", T.LongType())])
+    return trades.repartition("symbol").sortWithinPartitions("symbol", "trade_id").mapInPandas(hop, schema)
 
 
 def switch(df: DataFrame, enter_long: Column, enter_short: Column, name: str = "position") -> DataFrame:

@@ -247,3 +247,34 @@ def osc_combo(df: DataFrame, k: float = 1.0, oversold: float = 20, overbought: f
     ]
     df = state_machine(df, moves, "_s")
     return df.withColumns({"position": F.when(c("_s").isin(1, 3), 1).when(c("_s").isin(2, 4), -1).otherwise(0), "entry_type": F.when(c("_s").isin(1, 2), "trend").when(c("_s").isin(3, 4), "fade")}).drop("_s")
+
+
+def long_signals(fast: float = 2.0, slow: float = 1.0, slow_high: float = 2.0, ratio: float = 0.5) -> dict[str, Column]:
+    """The 11 long signals of fast_zscore, slow_zscore, and a bar's duration against its average (duration_ma); false where one of them is null."""
+    known = c("fast_zscore").isNotNull() & c("slow_zscore").isNotNull() & c("duration").isNotNull() & c("duration_ma").isNotNull()
+    fast_only, high, up = c("fast_zscore") > fast, c("slow_zscore") > slow_high, c("slow_zscore") > slow
+    short = fast_only & (c("duration") < c("duration_ma") * ratio)
+    aligned = fast_only & up
+    named = {
+        "VelVolume": short,
+        "TrendAlign": aligned,
+        "FastOnly": fast_only,
+        "SlowZ": high,
+        "VelTrend": short & up,
+        "VelSlow": short & high,
+        "AllThree": short & up,
+        "OR_VelTrend": short | aligned,
+        "OR_VelSlow": short | high,
+        "OR_FastSlow": fast_only | high,
+        "OR_All": short | aligned | high,
+    }
+    return {n: F.coalesce(known & x, F.lit(False)) for n, x in named.items()}
+
+
+def short_signals(fast: float = 2.0, slow_high: float = 2.0) -> dict[str, Column]:
+    """The 4 short signals of fast_zscore, slow_zscore, spread over spread_std, and ticks below their lower quartile (tick_p25)."""
+    known = c("fast_zscore").isNotNull() & c("slow_zscore").isNotNull()
+    down = c("fast_zscore") < -fast
+    wide = lambda k: down & (c("spread_std") > 0) & (c("spread") < -k * c("spread_std"))
+    named = {"Spread": wide(1.0), "SpreadTight": wide(1.5), "SlowTick": (c("slow_zscore") < -slow_high) & (c("ticks") < c("tick_p25")), "FastOnly": down}
+    return {n: F.coalesce(known & x, F.lit(False)) for n, x in named.items()}

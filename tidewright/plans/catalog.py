@@ -198,8 +198,8 @@ add_bars(
 add_bars(
     "ewm_adjusted",
     f"""{WITH}, s AS (SELECT symbol, seq, sum(pow({_B!r}, 1 - seq)) {over()} AS w, sum(pow({_B!r}, 2 - 2 * seq)) {over()} AS w2, sum(close * pow({_B!r}, 1 - seq)) {over()} AS wx, sum(close * close * pow({_B!r}, 1 - seq)) {over()} AS wxx FROM bars)
- SELECT symbol, seq, {r('wx / w', 'ewma')} FROM s""",
-    lambda b: shown(R.ewm_adjusted(b, "close", 20), "symbol", "seq", "ewma"),
+ SELECT symbol, seq, {r('wx / w', 'ewma')}, {r(f'CASE WHEN (w * w - w2) * pow({_B!r}, 2 * (seq - 1)) > 1e-12 THEN sqrt(greatest(wxx / w - pow(wx / w, 2), 0) * w * w / (w * w - w2)) END', 'ewm_std')} FROM s""",
+    lambda b: shown(R.ewm_adjusted(b, "close", 20), "symbol", "seq", "ewma", "ewm_std"),
 )
 _RSI = 1 - 1 / 14
 add_bars(
@@ -235,7 +235,20 @@ register(
   SELECT j.symbol, j.n, CASE WHEN w.acc >= w.threshold - 1e-9 THEN 0.0 ELSE w.acc END + j.quote_qty, j.threshold, CASE WHEN w.acc >= w.threshold - 1e-9 THEN w.bar_id + 1 ELSE w.bar_id END, false FROM walk w JOIN j ON j.symbol = w.symbol AND j.n = w.n + 1),
  ids AS (SELECT j.*, CAST(w.bar_id AS BIGINT) AS bar_id FROM j JOIN walk w ON w.symbol = j.symbol AND w.n = j.n) {_bars_of('ids')}""",
 )(lambda spark, d: shown(R.aggregate_bars(R.dollar_bar_ids(t := M.trades(spark, d), R.daily_threshold(t, 8))), "symbol", "bar_id", *BAR_COLUMNS))
-register("tib_bars")(lambda spark, d: shown(R.tib_bar_ids(M.trades(spark, d), 50, 0.6).groupBy("symbol", "bar_id").agg(F.min("ts_ms").alias("timestamp"), F.min_by("price", "trade_id").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "trade_id").alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("tick_count")), "symbol", "bar_id", "timestamp", "open", "high", "low", "close", "volume", "tick_count"))
+TIB_COLUMNS = ("open", "high", "low", "close", "volume", "tick_count")
+register(
+    "tib_bars",
+    f"""WITH RECURSIVE {M.TRADES_SQL}, s0 AS (SELECT *, row_number() OVER w AS n, sign(price - lag(price) OVER w) AS d FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY trade_id)),
+ s AS (SELECT *, CAST(coalesce(last_value(nullif(d, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS INTEGER) AS tick FROM s0),
+ walk AS (SELECT symbol, n, tick AS acc, 0 AS bar_id FROM s WHERE n = 1 UNION ALL SELECT s.symbol, s.n, CASE WHEN abs(w.acc) >= {50 * abs(2 * 0.6 - 1)!r} THEN 0 ELSE w.acc END + s.tick, CASE WHEN abs(w.acc) >= {50 * abs(2 * 0.6 - 1)!r} THEN w.bar_id + 1 ELSE w.bar_id END FROM walk w JOIN s ON s.symbol = w.symbol AND s.n = w.n + 1),
+ o AS (SELECT s.*, CAST(w.bar_id AS BIGINT) AS bar_id FROM s JOIN walk w ON w.symbol = s.symbol AND w.n = s.n)
+ SELECT symbol, bar_id, min(ts_ms) AS timestamp, {r('arg_min(price, trade_id)', 'open')}, {r('max(price)', 'high')}, {r('min(price)', 'low')}, {r('arg_max(price, trade_id)', 'close')}, {r('sum(qty)', 'volume')}, count(*) AS tick_count FROM o GROUP BY 1, 2""",
+)(
+    lambda spark, d: shown(
+        R.tib_bar_ids(M.trades(spark, d), 50, 0.6).groupBy("symbol", "bar_id").agg(F.min("ts_ms").alias("timestamp"), F.min_by("price", "trade_id").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "trade_id").alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("tick_count")),
+        "symbol", "bar_id", "timestamp", *TIB_COLUMNS,
+    )
+)
 
 
 def ruled(b: DataFrame) -> DataFrame:
@@ -609,7 +622,6 @@ register("set_intersect_dates", "SELECT CAST(o_orderdate AS DATE) AS day FROM or
 register("set_union_dates", "SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem")(lambda spark, d: M.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).union(M.table(spark, d, "lineitem").select(F.to_date("l_shipdate"))).distinct())
 add_bars("win_hurst_rs", None, lambda b: shown(G.hurst_rs(W.returns(b), "ret"), "symbol", "seq", "hurst"))
 add_bars("zigzag", None, lambda b: shown(G.zigzag(W.atr(b)), "symbol", "seq", "pivot", "price"))
-add_bars("kalman_dual", None, lambda b: shown(R.kalman(R.kalman(b, 1e-3).withColumnRenamed("kf_trend", "fast").drop("kf_trend_pred", "kf_velocity", "kf_uncertainty"), 1e-5).withColumn("spread", F.col("fast") - F.col("kf_trend")), "symbol", "seq", "fast", "kf_trend", "spread"))
 add_bars("balanced_sample", None, lambda b: G.balanced_sample(tbm(b), "label", 500).groupBy("label").agg(F.count("*").alias("n")))
 
 # ---- sizes, stops and signals -----------------------------------------------------------------

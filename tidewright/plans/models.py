@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from math import log
 
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 from ..operators import automata as A
 from ..operators import filters as K
 from ..operators import hmm as H
+from ..operators import labels as L
 from ..operators import ledgers as T
 from ..operators import regimes as G
 from ..operators import rules as U
 from ..operators import series as S
+from ..operators import walkforward as X
 from ..operators import windows as W
 from ..sources import months as N
 from ..streaming import features as V
@@ -98,15 +101,21 @@ add_bars(
 def filtered(b: DataFrame) -> DataFrame:
     return K.adaptive_filter(b, F.col("duration") / 3600)
 
+# Rolling noise: steps between the known log prices of the last 20 rows, and Parkinson's variance.
 
-#: Rolling noise: steps between the known log prices of the last 20 rows, and Parkinson's variance.
-_NOISE = f"""m0 AS (SELECT *, (high + low + close) / 3 AS typ, ln((high + low + close) / 3) AS y, duration / 3600 AS dt, pow(ln(high) - ln(low), 2) AS rg FROM bars),
- m1 AS (SELECT *, list(y) {over(20)} AS ys, avg(rg) {over(20)} / {4 * log(2)!r} AS pk FROM m0),
+
+def noise_sql(n: int = 20) -> str:
+    return f"""m0 AS (SELECT *, (high + low + close) / 3 AS typ, ln((high + low + close) / 3) AS y, duration / 3600 AS dt, pow(ln(high) - ln(low), 2) AS rg FROM bars),
+ m1 AS (SELECT *, list(y) {over(n)} AS ys, avg(rg) {over(n)} / {4 * log(2)!r} AS pk FROM m0),
  m AS (SELECT *, CASE WHEN seq = 1 THEN 1.0 ELSE greatest(list_var_pop(list_transform(range(1, len(ys)), lambda j: ys[j + 1] - ys[j])), 1e-8) END AS rt, CASE WHEN seq = 1 THEN 1.0 ELSE greatest(pk, 1e-8) END AS rr FROM m1)"""
-FILTER2 = f"""{recursive(WITH)}, {_NOISE},
+
+
+def filter2_sql(n: int = 20) -> str:
+    """The walk of the two-state filter, and kf with its columns."""
+    return f"""{recursive(WITH)}, {noise_sql(n)},
  walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, y AS x, {_ZERO} AS v, {_ONE} AS p00, {_ZERO} AS p01, {_ONE} AS p11, CAST(NULL AS DOUBLE) AS nis, CAST([] AS DOUBLE[]) AS vs, {_ZERO} AS xp, {_ZERO} AS k0, {_ZERO} AS n00, {_ZERO} AS s, {_ZERO} AS e, {_ZERO} AS boost FROM m WHERE seq = 1
  UNION ALL
- SELECT symbol, seq, xp + k0 * e, v + k1 * e, (1 - k0) * n00, (1 - k0) * n01, n11 - k1 * n01, e * e / s, list_append(vs[greatest(1, len(vs) - 17) : len(vs)], v + k1 * e), xp, k0, n00, s, e, boost
+ SELECT symbol, seq, xp + k0 * e, v + k1 * e, (1 - k0) * n00, (1 - k0) * n01, n11 - k1 * n01, e * e / s, list_append(vs[greatest(1, len(vs) - {n - 3}) : len(vs)], v + k1 * e), xp, k0, n00, s, e, boost
  FROM (SELECT *, n00 / s AS k0, n01 / s AS k1, y - xp AS e
   FROM (SELECT *, n00 + rt AS s
    FROM (SELECT *, x + dt * v AS xp, p00 + 2 * dt * p01 + dt * dt * p11 + greatest(a * pow(dt, 4) / 4, 1e-10) AS n00, p01 + dt * p11 + greatest(a * pow(dt, 3) / 2, 1e-10) AS n01, p11 + greatest(a * dt * dt, 1e-10) AS n11
@@ -115,9 +124,12 @@ FILTER2 = f"""{recursive(WITH)}, {_NOISE},
  kf AS (SELECT m.*, exp(x) AS kf_trend, exp(xp) AS kf_trend_pred, v AS kf_velocity, p11 AS kf_velocity_var, typ - exp(x) AS kf_deviation, (typ - exp(x)) / (exp(x) + 1e-10) * 100 AS kf_deviation_pct, k0 AS kf_gain, p00 AS kf_uncertainty, n00 AS kf_uncertainty_pred,
   s AS kf_innovation_cov, n00 + rr AS kf_innovation_cov_risk, e AS kf_innovation, nis AS kf_nis, boost AS kf_nis_boost, rt AS kf_r_trend, rr AS kf_r_risk, e / (sqrt(s) + 1e-10) AS kf_std_innovation, 3 * sqrt(n00 + rr) AS kf_stop_distance, v / (sqrt(p11) + 1e-10) AS kf_velocity_zscore
   FROM walk JOIN m ON m.symbol = walk.symbol AND m.seq = walk.seq),
- kfs AS (SELECT *, kf_deviation / (CASE WHEN count(*) {over(20)} >= 5 THEN stddev_samp(kf_deviation) {over(20)} END + 1e-10) AS kf_signal FROM kf)"""
+ kfs AS (SELECT *, kf_deviation / (CASE WHEN count(*) {over(n)} >= 5 THEN stddev_samp(kf_deviation) {over(n)} END + 1e-10) AS kf_signal FROM kf)"""
+
+
+FILTER2 = filter2_sql()
 add_bars("kalman2", f"{FILTER2} SELECT symbol, seq, {', '.join(r(c, c) for c in K.COLUMNS2)} FROM kfs", lambda b: shown(filtered(b), "symbol", "seq", *K.COLUMNS2))
-FILTER3 = f"""{recursive(WITH)}, {_NOISE},
+FILTER3 = f"""{recursive(WITH)}, {noise_sql()},
  walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, y AS x, {_ZERO} AS v, {_ZERO} AS a, {_ONE} AS p00, {_ZERO} AS p01, {_ZERO} AS p02, {_ONE} AS p11, {_ZERO} AS p12, {_ONE} AS p22, CAST([] AS DOUBLE[]) AS past, {_ZERO} AS gain, {_ZERO} AS e, {_ZERO} AS s FROM m WHERE seq = 1
  UNION ALL
  SELECT symbol, seq, x + n00 / s * e, v + n01 / s * e, a + n02 / s * e, n00 - n00 / s * n00, n01 - n00 / s * n01, n02 - n00 / s * n02, n11 - n01 / s * n01, n12 - n01 / s * n02, n22 - n02 / s * n02,
@@ -137,6 +149,36 @@ add_bars(
 _HYBRID = f"""{FILTER2}, h0 AS (SELECT *, coalesce(ln(close / lag(close) {BY}), 0.0) AS lr FROM kf), h1 AS (SELECT *, CASE WHEN count(*) {over(42)} >= 10 THEN greatest(sqrt(kf_uncertainty), stddev_samp(lr) {over(42)}) END AS sigma_hybrid FROM h0),
  h AS (SELECT *, CASE WHEN count(sigma_hybrid) {over(120)} >= 30 THEN sigma_hybrid / (avg(sigma_hybrid) {over(120)} + 1e-10) END AS v_ratio FROM h1)"""
 add_bars("win_sigma_hybrid", f"{_HYBRID} SELECT symbol, seq, {r('sigma_hybrid', 'sigma_hybrid')}, {r('v_ratio', 'v_ratio')} FROM h", lambda b: shown(K.hybrid_volatility(filtered(b)), "symbol", "seq", "sigma_hybrid", "v_ratio"))
+_DUAL = ("fast_velocity", "fast_zscore", "fast_uncertainty", "slow_velocity", "slow_zscore", "slow_uncertainty", "spread", "spread_std", "kf_innovation_cov_risk")
+
+
+def named_apart(sql: str, suffix: str, names: tuple[str, ...]) -> str:
+    """The tables of a walk under other names, so that two stand in one query."""
+    for name in names:
+        sql = re.sub(rf"\b{name}\b(?! AS \w+ FROM walk)", f"{name}_{suffix}", sql)
+    return sql
+
+
+_SLOW = named_apart(filter2_sql(120).partition(", m0 AS")[2], "s", ("walk", "m0", "m1", "m", "kf", "kfs"))
+_DUALS = f"""{FILTER2}, m0_s AS{_SLOW}, d0 AS (SELECT f.*, f.kf_velocity AS fast_velocity, f.kf_velocity_zscore AS fast_zscore, f.kf_uncertainty AS fast_uncertainty, s.kf_velocity AS slow_velocity, s.kf_velocity_zscore AS slow_zscore, s.kf_uncertainty AS slow_uncertainty, f.kf_velocity - s.kf_velocity AS spread FROM kf f JOIN kf_s s ON s.symbol = f.symbol AND s.seq = f.seq),
+ d AS (SELECT *, CASE WHEN count(*) {over(50)} >= 10 THEN stddev_samp(spread) {over(50)} END AS spread_std FROM d0)"""
+add_bars("kalman_dual", f"{_DUALS} SELECT symbol, seq, {', '.join(r(c, c) for c in _DUAL)} FROM d", lambda b: shown(K.dual_filter(b, F.col("duration") / 3600), "symbol", "seq", *_DUAL))
+
+
+def named_signals(b: DataFrame) -> DataFrame:
+    """The filters' columns with each named signal, by the average duration of 50 bars (10 at least) and the lower quartile of ticks of 100."""
+    b = K.dual_filter(b, F.col("duration") / 3600)
+    w50, w100 = W.last_rows(50), W.last_rows(100)
+    b = b.withColumns({"duration_ma": F.when(F.count("duration").over(w50) >= 10, F.avg("duration").over(w50)), "tick_p25": F.percentile("ticks", F.lit(0.25)).over(w100)})
+    return b.withColumns({f"long_{n}": x for n, x in U.long_signals(1.0, 0.5, 1.0).items()} | {f"short_{n}": x for n, x in U.short_signals(1.0, 1.0).items()})
+
+
+_LONGS = {"VelVolume": "a AND d", "TrendAlign": "a AND u", "FastOnly": "a", "SlowZ": "h", "VelTrend": "a AND d AND u", "VelSlow": "a AND d AND h", "AllThree": "a AND d AND u", "OR_VelTrend": "a AND d OR a AND u", "OR_VelSlow": "a AND d OR h", "OR_FastSlow": "a OR h", "OR_All": "a AND d OR a AND u OR h"}
+_SHORTS = {"Spread": "z AND spread < -spread_std", "SpreadTight": "z AND spread < -1.5 * spread_std", "SlowTick": "slow_zscore < -1 AND ticks < p25", "FastOnly": "z"}
+_NAMED = f"""{_DUALS}, n AS (SELECT *, CASE WHEN count(*) {over(50)} >= 10 THEN avg(duration) {over(50)} END AS dma, quantile_cont(ticks, 0.25) {over(100)} AS p25 FROM d),
+ g AS (SELECT *, fast_zscore > 1 AS a, slow_zscore > 0.5 AS u, slow_zscore > 1 AS h, coalesce(duration < 0.5 * dma, false) AS d, dma IS NOT NULL AS ok, fast_zscore < -1 AS z FROM n)"""
+add_bars("rule_long_11", f"""{_NAMED} SELECT symbol, seq, {", ".join(f'coalesce(ok AND ({x}), false) AS "{n}"' for n, x in _LONGS.items())} FROM g""", lambda b: named_signals(b).select("symbol", "seq", *[F.col(f"long_{n}").alias(n) for n in _LONGS]))
+add_bars("rule_short_4", f"""{_NAMED} SELECT symbol, seq, {", ".join(f'coalesce({x}, false) AS "{n}"' for n, x in _SHORTS.items())} FROM g""", lambda b: named_signals(b).select("symbol", "seq", *[F.col(f"short_{n}").alias(n) for n in _SHORTS]))
 
 
 def velocity_rule(b: DataFrame, k: float = 2.5, entry_z: float = 2.0, quiet: float = 4.0, risk: float = 0.03) -> DataFrame:
@@ -352,3 +394,65 @@ register(
  c AS (SELECT *, count(*) OVER w AS newer, count(CASE WHEN early > 0 THEN 1 END) OVER w AS newer1 FROM mo WINDOW w AS (PARTITION BY symbol ORDER BY ym DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
  SELECT symbol, ym, n_rows, source_rows, newer >= 1 AS complete, CAST(CASE WHEN early > 0 AND (newer1 >= 1 OR early = source_rows AND newer = 0) THEN 1 ELSE 2 END AS BIGINT) AS run FROM c""",
 )(lambda spark, d: incremental(spark, d).select("symbol", "ym", "n_rows", "source_rows", "complete", "run"))
+
+# ---- walk-forward -----------------------------------------------------------------------------
+
+GRID = [{"entry": e, "leave": x} for e in (0.5, 1.0, 1.5, 2.0) for x in (0.0, 0.5)]
+
+
+def walked(b: DataFrame) -> DataFrame:
+    """Folds of 10 days of training and 5 of test, every 5 days, of a rule on the z of the close."""
+    b = W.zscore(b, "close", 20)
+    folds = L.rolling_folds(b.select("symbol", F.to_date("bar_ts").alias("day")), 10, 5, 5)
+    return X.walk_forward(X.band_results(X.gridded(b, GRID), "z"), folds, ["entry", "leave"])
+
+
+_GRID = ", ".join(f"({g['entry']}, {g['leave']})" for g in GRID)
+_WALKED = f"""{recursive(WITH)}, zz AS (SELECT symbol, seq, bar_ts, close, coalesce(close / lag(close) {BY} - 1, 0.0) AS ret, coalesce(CASE WHEN count(*) {over(20)} >= 20 THEN (close - avg(close) {over(20)}) / (stddev_samp(close) {over(20)} + 1e-10) END, 0.0) AS z FROM bars),
+ gr AS (SELECT CAST(e AS DOUBLE) AS entry, CAST(x AS DOUBLE) AS leave FROM (VALUES {_GRID}) t(e, x)),
+ walk AS (SELECT symbol, entry, leave, CAST(0 AS BIGINT) AS seq, 0 AS p FROM zz, gr WHERE seq = 1 UNION ALL
+  SELECT w.symbol, w.entry, w.leave, k.seq, CASE WHEN w.p = 1 THEN CASE WHEN z < w.leave THEN 0 ELSE 1 END WHEN w.p = -1 THEN CASE WHEN z > -w.leave THEN 0 ELSE -1 END WHEN z > w.entry THEN 1 WHEN z < -w.entry THEN -1 ELSE 0 END FROM walk w JOIN zz k ON k.symbol = w.symbol AND k.seq = w.seq + 1),
+ ps AS (SELECT w.symbol, entry, leave, CAST(bar_ts AS DATE) AS day, p, lag(p) OVER (PARTITION BY w.symbol, entry, leave ORDER BY w.seq) AS q, ret FROM walk w JOIN zz ON zz.symbol = w.symbol AND zz.seq = w.seq),
+ dl AS (SELECT symbol, entry, leave, day, sum(coalesce(q, 0) * ret - 0.0004 * abs(p - coalesce(q, 0))) AS pnl, count(*) FILTER (p <> coalesce(q, 0) AND p <> 0) AS trades FROM ps GROUP BY 1, 2, 3, 4),
+ en AS (SELECT symbol, min(day) AS a, max(day) AS b FROM dl GROUP BY 1), fo AS (SELECT symbol, a, unnest(range(0, CAST(floor((date_diff('day', a, b) + 1 - 15) / 5.0) AS BIGINT) + 1)) AS fold FROM en),
+ me AS (SELECT dl.*, fold, day >= a + CAST(fold * 5 + 10 AS INTEGER) AS test FROM dl JOIN fo ON fo.symbol = dl.symbol AND day >= a + CAST(fold * 5 AS INTEGER) AND day < a + CAST(fold * 5 + 15 AS INTEGER)),
+ sm AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol, fold, entry, leave, test ORDER BY day) AS s FROM me), fa AS (SELECT *, greatest(max(s) OVER (PARTITION BY symbol, fold, entry, leave, test ORDER BY day), 0) - s AS fall FROM sm),
+ st AS (SELECT symbol, fold, entry, leave, coalesce(CASE WHEN stddev_pop(pnl) FILTER (NOT test) > 1e-12 THEN avg(pnl) FILTER (NOT test) / stddev_pop(pnl) FILTER (NOT test) * sqrt(365) END, 0) AS train_sharpe, sum(pnl) FILTER (NOT test) AS train_pnl,
+  coalesce(CASE WHEN stddev_pop(pnl) FILTER (test) > 1e-12 THEN avg(pnl) FILTER (test) / stddev_pop(pnl) FILTER (test) * sqrt(365) END, 0) AS test_sharpe, sum(pnl) FILTER (test) AS test_pnl, coalesce(sum(trades) FILTER (test), 0) AS test_trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) FILTER (test) AS test_win_rate, max(fall) FILTER (test) AS test_mdd FROM fa GROUP BY 1, 2, 3, 4),
+ wf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY train_sharpe DESC, entry, leave) AS n FROM st WHERE train_pnl IS NOT NULL AND test_pnl IS NOT NULL) WHERE n = 1)"""
+_FOLD = ("train_sharpe", "train_pnl", "test_sharpe", "test_pnl", "test_win_rate", "test_mdd")
+add_bars(
+    "wf_folds",
+    f"{_WALKED} SELECT symbol, CAST(fold AS INTEGER) AS fold, entry, leave, {', '.join(r(c, c) for c in _FOLD)}, CAST(test_trades AS BIGINT) AS test_trades, {r('CASE WHEN test_trades < 3 THEN -100.0 ELSE 100 * test_pnl + 10 * test_sharpe - 50 * test_mdd + 20 * greatest(0, test_win_rate - 0.5) END', 'score')} FROM wf",
+    lambda b: shown(walked(b).withColumn("score", X.run_score(F.col("test_pnl"), F.col("test_sharpe"), F.col("test_mdd"), F.col("test_win_rate"), F.col("test_trades"))), "symbol", "fold", "entry", "leave", *_FOLD, "test_trades", "score"),
+)
+add_bars(
+    "agg_mode_stability",
+    f"{_WALKED}, c AS (SELECT symbol, entry AS value, count(*) AS n, min(fold) AS f FROM wf GROUP BY 1, 2) SELECT symbol, value, n, {r('share', 'share')} FROM (SELECT *, n * 1.0 / sum(n) OVER (PARTITION BY symbol) AS share, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, f) AS k FROM c) WHERE k = 1",
+    lambda b: shown(X.stability(walked(b), "entry"), "symbol", "value", "n", "share"),
+)
+_VERDICT = ("avg_train_sharpe", "avg_test_sharpe", "std_test_sharpe", "cumulative_pnl", "avg_test_pnl", "avg_mdd", "consistency", "param_stability")
+_GRADES = ("overfit_grade", "stability_grade", "consistency_grade", "overall_grade")
+add_bars(
+    "agg_robustness",
+    f"""{_WALKED}, a AS (SELECT symbol, count(*) AS folds, avg(train_sharpe) AS avg_train_sharpe, avg(test_sharpe) AS avg_test_sharpe, stddev_pop(test_sharpe) AS std_test_sharpe, exp(sum(ln(greatest(1 + test_pnl, 1e-12)))) - 1 AS cumulative_pnl, avg(test_pnl) AS avg_test_pnl, sum(test_trades) AS total_trades, avg(test_mdd) AS avg_mdd, avg(CASE WHEN test_sharpe > 0 THEN 1.0 ELSE 0.0 END) AS consistency FROM wf GROUP BY 1),
+ ce AS (SELECT symbol, max(n) * 1.0 / sum(n) AS s FROM (SELECT symbol, entry, count(*) AS n FROM wf GROUP BY 1, 2) GROUP BY 1), cx AS (SELECT symbol, max(n) * 1.0 / sum(n) AS s FROM (SELECT symbol, leave, count(*) AS n FROM wf GROUP BY 1, 2) GROUP BY 1),
+ v AS (SELECT a.*, (ce.s + cx.s) / 2 AS param_stability, CASE WHEN avg_test_sharpe > 0 THEN avg_train_sharpe / avg_test_sharpe ELSE CAST('inf' AS DOUBLE) END AS ofr FROM a JOIN ce ON ce.symbol = a.symbol JOIN cx ON cx.symbol = a.symbol),
+ g AS (SELECT *, CASE WHEN ofr < 1.3 THEN 3 WHEN ofr < 1.7 THEN 2 ELSE 1 END AS g1, CASE WHEN param_stability > 0.6 THEN 3 WHEN param_stability > 0.4 THEN 2 ELSE 1 END AS g2, CASE WHEN consistency > 0.7 THEN 3 WHEN consistency > 0.5 THEN 2 ELSE 1 END AS g3 FROM v)
+ SELECT symbol, folds, CAST(total_trades AS BIGINT) AS total_trades, {", ".join(r(c, c) for c in _VERDICT)}, ['HIGH', 'MODERATE', 'LOW'][g1] AS overfit_grade, ['UNSTABLE', 'MODERATE', 'STABLE'][g2] AS stability_grade, ['INCONSISTENT', 'MODERATE', 'CONSISTENT'][g3] AS consistency_grade, CASE WHEN g1 + g2 + g3 >= 7.5 THEN 'ROBUST' WHEN g1 + g2 + g3 >= 6 THEN 'ACCEPTABLE' ELSE 'WEAK' END AS overall_grade FROM g""",
+    lambda b: shown(X.fold_verdict(walked(b), ["entry", "leave"]), "symbol", "folds", "total_trades", *_VERDICT, *_GRADES),
+)
+_INOUT = ("is_return_mean", "is_return_std", "is_sharpe_mean", "is_win_rate", "oos_return_mean", "oos_return_std", "oos_sharpe_mean", "oos_win_rate", "oos_cumulative", "return_degradation", "sharpe_degradation")
+add_bars(
+    "agg_is_oos",
+    f"""{_WALKED}, a AS (SELECT symbol, count(*) AS folds, avg(train_pnl) AS is_return_mean, stddev_pop(train_pnl) AS is_return_std, avg(train_sharpe) AS is_sharpe_mean, 100 * avg(CASE WHEN train_pnl > 0 THEN 1.0 ELSE 0.0 END) AS is_win_rate, avg(test_pnl) AS oos_return_mean, stddev_pop(test_pnl) AS oos_return_std, avg(test_sharpe) AS oos_sharpe_mean, 100 * avg(CASE WHEN test_pnl > 0 THEN 1.0 ELSE 0.0 END) AS oos_win_rate, sum(test_pnl) AS oos_cumulative,
+  avg(train_pnl) - avg(test_pnl) AS return_degradation, avg(train_sharpe) - avg(test_sharpe) AS sharpe_degradation, coalesce(corr(train_pnl, test_pnl), 0) AS cor FROM wf GROUP BY 1) SELECT symbol, folds, {", ".join(r(c, c) for c in _INOUT)}, {r('cor', 'is_oos_correlation')} FROM a""",
+    lambda b: shown(X.in_and_out(walked(b)), "symbol", "folds", *_INOUT, "is_oos_correlation"),
+)
+add_bars(
+    "agg_composite",
+    f"""{_WALKED}, n AS (SELECT symbol, fold, entry, leave, test_trades >= 1 AS ok, train_sharpe, test_sharpe, -test_mdd AS calm FROM wf),
+ k AS (SELECT *, {", ".join(f"min({c}) FILTER (ok) OVER (PARTITION BY symbol) AS lo_{c}, max({c}) FILTER (ok) OVER (PARTITION BY symbol) AS hi_{c}" for c in ("train_sharpe", "test_sharpe", "calm"))} FROM n)
+ SELECT symbol, CAST(fold AS INTEGER) AS fold, {r("CASE WHEN ok THEN " + " + ".join(f"{w} * CASE WHEN hi_{c} > lo_{c} THEN ({c} - lo_{c}) / (hi_{c} - lo_{c}) ELSE 0 END" for c, w in (("train_sharpe", 0.2), ("test_sharpe", 0.4), ("calm", 0.4))) + " ELSE 0 END", "score")} FROM k""",
+    lambda b: shown(X.composite(walked(b).withColumn("calm", -F.col("test_mdd")), {"train_sharpe": 0.2, "test_sharpe": 0.4, "calm": 0.4}, F.col("test_trades") >= 1, ["symbol"]), "symbol", "fold", "score"),
+)
