@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rules import fee_trap, round_trip_cost, slippage
 from .windows import by_seq, next_rows, so_far
 
 
@@ -38,6 +39,12 @@ def first_touch(df: DataFrame, sigma: str, pt: float, sl: float, horizon: int, t
     return out.select("symbol", "seq", label.alias("label"), (exit_price / F.col("entry") - 1).alias("ret"), F.coalesce("hit.at", "end_seq").alias("exit_seq"))
 
 
+def fee_trapped(labels: DataFrame, sigma: Column, pt: float, share: float = 0.01, buffer: float = 1.5) -> DataFrame:
+    """By symbol the labels kept, and those dropped because their target (pt * sigma) doesn't exceed `buffer` times the cost of a round trip of `share` of the average volume."""
+    good = F.coalesce(fee_trap(sigma, round_trip_cost(slippage(sigma, F.lit(share), F.lit(1.0))), pt, buffer), F.lit(False))
+    return labels.groupBy("symbol").agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("dropped"))
+
+
 def touch_grid(df: DataFrame, sigma: str, sls: list[float], pts: list[float], horizons: list[int]) -> DataFrame:
     """The labels of first_touch for each stop, target and horizon (symbol, seq, sl, pt, horizon, label), from one range join over the longest horizon.
 

@@ -130,3 +130,47 @@ def kelly_size(df: DataFrame, signal: str, uncertainty: str, window: int = 1000,
     size = F.when(started, F.least(F.lit(most), F.greatest(F.lit(least), scaled))).otherwise((least + most) / 2)
     rows = rows.withColumns({"kelly_trades": F.when(started, F.col("_trades")), "kelly_win_rate": F.when(started & enough, rate), "kelly_payoff": F.when(started & enough, payoff), "kelly_size": size})
     return rows.select(*df.columns, "kelly_trades", "kelly_win_rate", "kelly_payoff", "kelly_size")
+
+
+def marked_equity(bars: DataFrame, trades: DataFrame, capital: float = 100_000.0, risk: float = 1.0, compounding: bool = False, size: str | None = None) -> DataFrame:
+    """bars with realised and equity: capital after the trades that have ended, and with the open one marked at the close; 0 from the first bar on which it is 0 or less.
+
+    trades don't overlap: symbol, entry_seq, exit_seq, direction, entry_price, pnl, and perhaps a size (1 where null or not
+    above 0). Each puts risk * size of the capital at stake: of the first capital, or with compounding of what there is. On
+    the bar that ends a trade only what is realised counts.
+    """
+    stake = risk * (F.when(F.col(size) > 0, F.col(size)).otherwise(1.0) if size else F.lit(1.0))
+    own = trades.withColumn("_stake", stake)
+    begun = own.select("symbol", F.col("entry_seq").alias("seq"), F.struct(F.col("exit_seq").alias("until"), F.col("direction").alias("d"), F.col("entry_price").alias("p"), F.col("_stake").alias("k")).alias("_open"))
+    ended = own.select("symbol", F.col("exit_seq").alias("seq"), (F.col("pnl") * F.col("_stake")).alias("_done"))
+    rows = bars.join(begun, ["symbol", "seq"], "left").join(ended, ["symbol", "seq"], "left")
+    gain = F.coalesce("_done", F.lit(0.0))
+    whole = F.lit(capital)
+    if compounding:
+        # a factor of 0 or less ends the account, which the latch sees; its logarithm is never taken
+        realised = whole * F.exp(F.sum(F.log(F.greatest(1 + gain, F.lit(1e-300)))).over(so_far()))
+        realised = F.when(F.min(1 + gain).over(so_far()) <= 0, 0.0).otherwise(realised)
+    else:
+        realised = whole + whole * F.sum(gain).over(so_far())
+    rows = rows.withColumns({"realised": realised, "_held": F.last("_open", ignorenulls=True).over(so_far())})
+    held = F.col("_done").isNull() & (F.col("seq") < F.col("_held.until"))
+    move = F.col("_held.d") * (F.col("close") - F.col("_held.p")) / F.col("_held.p") * F.col("_held.k")
+    marked = F.col("realised") + (F.col("realised") if compounding else whole) * move
+    rows = rows.withColumn("equity", F.when(held, marked).otherwise(F.col("realised")))
+    gone = F.max((F.least("equity", "realised") <= 0).cast("int")).over(so_far())
+    return rows.withColumn("_gone", gone).withColumns({c: F.when(F.col("_gone") == 1, 0.0).otherwise(F.col(c)) for c in ("realised", "equity")}).select(*bars.columns, "realised", "equity")
+
+
+def ledger_report(trades: DataFrame) -> DataFrame:
+    """By symbol: trades, win rate, mean pnl and holding, gross profit and loss, profit factor (infinite without losses), and the number of exits by TP, SL and TIMEOUT, whatever the case."""
+    pnl, why = F.col("pnl"), F.upper("reason")
+    out = trades.groupBy("symbol").agg(
+        F.count("*").alias("n"),
+        F.avg((pnl > 0).cast("double")).alias("win_rate"),
+        F.avg(pnl).alias("avg_pnl"),
+        F.avg(F.col("exit_seq") - F.col("entry_seq")).alias("avg_hold"),
+        F.sum(F.greatest(pnl, F.lit(0.0))).alias("gross_profit"),
+        (-F.sum(F.least(pnl, F.lit(0.0)))).alias("gross_loss"),
+        *[F.count_if(why == c).alias(f"n_{c.lower()}") for c in ("TP", "SL", "TIMEOUT")],
+    )
+    return out.withColumn("profit_factor", F.when(F.col("gross_loss") > 0, F.col("gross_profit") / F.col("gross_loss")).when(F.col("gross_profit") > 0, float("inf")).otherwise(0.0))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,44 +108,40 @@ def zigzag(df: DataFrame, multiple: float = 2.0, spacing: int = 5) -> DataFrame:
     return rows.mapInPandas(run, "symbol string, seq long, pivot int, price double")
 
 
-def hmm_decode(df: DataFrame, column: str, means: list[float], sds: list[float], stay: float = 0.9) -> DataFrame:
-    """filtered (the likeliest state given the past) and p_filtered of a Gaussian hidden Markov model with given states. Emission densities are Columns; the forward pass reads a symbol in order."""
-    k = len(means)
-    move = np.full((k, k), (1 - stay) / max(1, k - 1))
-    np.fill_diagonal(move, stay)
-    density = [-0.5 * ((F.col(column) - m) / s) * ((F.col(column) - m) / s) - math.log(s) for m, s in zip(means, sds)]
-    rows = df.select("symbol", "seq", F.array(*density).alias("ll")).repartition("symbol").sortWithinPartitions("symbol", "seq")
+def drawdown_regime(df: DataFrame, crisis: float = -0.15, recovered: float = -0.05, percentile: float = 0.8, n: int = 20) -> DataFrame:
+    """df with drawdown (0 or less), volatility (of n returns) and label: crisis below `crisis`, recovery from then until the fall is within `recovered`, else normal_high_vol where volatility reaches its percentile over the symbol's bars, or normal_low_vol."""
+    step = F.coalesce(F.try_divide("close", F.lag("close").over(by_seq())) - 1, F.lit(0.0))
+    peak = F.max("close").over(so_far())
+    df = df.withColumns({"_r": step, "drawdown": (F.col("close") - peak) / peak})
+    df = df.withColumn("volatility", F.when(F.count("_r").over(last_rows(n)) >= n, F.stddev_samp("_r").over(last_rows(n))))
+    df = hysteresis(df, F.col("drawdown") < crisis, F.col("drawdown") >= recovered, "_in")
+    bounds = df.groupBy("symbol").agg(F.percentile("volatility", F.lit(percentile)).alias("_high"))
+    high = F.coalesce(F.col("volatility"), F.lit(0.0)) >= F.col("_high")
+    label = F.when(F.col("drawdown") < crisis, "crisis").when(F.col("_in") == 1, "recovery").when(high, "normal_high_vol").otherwise("normal_low_vol")
+    return df.join(bounds, "symbol").withColumn("label", label).drop("_r", "_in", "_high")
 
-    def run(pdfs):
-        key, p = None, None
-        for pdf in pdfs:
-            out = []
-            for symbol, seq, ll in zip(pdf["symbol"], pdf["seq"], pdf["ll"]):
-                if symbol != key:
-                    key, p = symbol, np.full(k, 1 / k)
-                else:
-                    p = p @ move
-                if not np.isnan(np.asarray(ll, float)).any():
-                    p = p * np.exp(np.asarray(ll, float) - np.max(ll))
-                    p /= p.sum()
-                out.append((symbol, seq, int(p.argmax()), float(p.max())))
-            yield pd.DataFrame(out, columns=["symbol", "seq", "filtered", "p_filtered"])
 
-    return rows.mapInPandas(run, "symbol string, seq long, filtered int, p_filtered double")
+def plateau_center(grid: DataFrame, axes: list[str], score: str = "score", q: float = 0.9) -> DataFrame:
+    """The centre (axes), cells and best of the largest face-connected part of a score grid at or above its q-quantile; its best point if no part has two cells. Of equally large parts the one with the higher best score, then the smaller first cell.
+
+    axes are whole numbers, a step apart between neighbours. A cell takes the least label among its neighbours' and its
+    own until none changes; a round is a join on the cells' places, and as many rounds are needed as a part is long.
+    """
+    bound = grid.agg(F.percentile(score, F.lit(q)).alias("_c"))
+    place = F.array(*[F.col(a).cast("long") for a in axes])
+    cells = grid.join(F.broadcast(bound), F.col(score) >= F.col("_c")).select(place.alias("at"), F.col(score).cast("double").alias("s"), place.alias("label")).checkpoint()  # one row
 
+    def beside(axis: int, by: int) -> Column:
+        return F.transform("at", lambda x, i: F.when(i == axis, x + by).otherwise(x))
 
-def plateau_center(grid: DataFrame, q: float = 0.9) -> DataFrame:
-    """The centre of the largest face-connected part of a score grid (x, y, score) at or above its q-quantile, or its best point if no part has two cells. Labels spread between neighbours until none changes; grids are small, but every step is a join."""
-    cut_ = grid.agg(F.percentile("score", F.lit(q)).alias("c"))
-    cells = grid.join(F.broadcast(cut_), F.expr("score >= c")).select("x", "y", "score", (F.col("x") * 1_000_003 + F.col("y")).alias("label"))  # one row
+    moved = F.array(*[beside(i, by) for i in range(len(axes)) for by in (-1, 1)])
     while True:
-        n = cells.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("label").alias("nl"))
-        near = cells.join(n, F.expr("nx = x AND abs(ny - y) = 1")).select("x", "y", "nl").unionByName(cells.join(n, F.expr("ny = y AND abs(nx - x) = 1")).select("x", "y", "nl"))
-        least = near.groupBy("x", "y").agg(F.min("nl").alias("nl"))
-        new = cells.join(least, ["x", "y"], "left").select("x", "y", "score", F.least("label", F.coalesce("nl", "label")).alias("label"), (F.coalesce("nl", "label") < F.col("label")).alias("moved")).checkpoint()
-        if not new.where("moved").limit(1).count():
-            break
+        near = cells.select(F.explode(moved).alias("at"), F.col("label").alias("near")).groupBy("at").agg(F.min("near").alias("near"))
+        new = cells.join(near, "at", "left").select("at", "s", F.least("label", F.coalesce("near", "label")).alias("label"), (F.coalesce("near", "label") < F.col("label")).alias("moved")).checkpoint()
         cells = new.drop("moved")
-    parts = new.groupBy("label").agg(F.count("*").alias("n"), F.rint(F.avg("x")).alias("cx"), F.rint(F.avg("y")).alias("cy"), F.max("score").alias("best"), F.max_by("x", "score").alias("bx"), F.max_by("y", "score").alias("by"))
-    top = parts.orderBy(F.desc("n"), F.desc("best"), "label").limit(1)
-    return top.select(F.when(F.col("n") >= 2, F.col("cx")).otherwise(F.col("bx")).cast("long").alias("x"), F.when(F.col("n") >= 2, F.col("cy")).otherwise(F.col("by")).cast("long").alias("y"), F.col("n").alias("cells"))
+        if new.where("moved").isEmpty():
+            break
+    best = F.max_by("at", F.struct("s", F.transform("at", lambda x: -x)))
+    parts = cells.groupBy("label").agg(F.count("*").alias("cells"), *[F.rint(F.avg(F.element_at("at", i + 1))).alias(f"_m{i}") for i in range(len(axes))], F.max("s").alias("best"), best.alias("_b"))
+    top = parts.orderBy(F.desc("cells"), F.desc("best"), "label").limit(1)
+    return top.select(*[F.when(F.col("cells") >= 2, F.col(f"_m{i}")).otherwise(F.element_at("_b", i + 1)).cast("long").alias(a) for i, a in enumerate(axes)], "cells", "best")

@@ -178,7 +178,6 @@ add_bars(
     lambda b: shown(W.adverse_excursion(b), "symbol", "seq", "mae_long", "mae_short", "mae_p95"),
 )
 add_bars("win_drawdown", f"{WITH} SELECT symbol, seq, {r(f'max(close) {over()}', 'peak')}, {r(f'(max(close) {over()} - close) / max(close) {over()}', 'drawdown')} FROM bars", lambda b: shown(W.drawdown(b, "close"), "symbol", "seq", "peak", "drawdown"))
-register("win_entropy")(bars(lambda b: shown(W.histogram_entropy(b), "symbol", "seq", "entropy")))
 
 # ---- recurrences ------------------------------------------------------------------------------
 
@@ -312,7 +311,6 @@ register(
     f"""{_RULED}, f AS (SELECT symbol, seq, CASE WHEN tr + v > pc + sqrt(pu) THEN 1 WHEN tr + v < pc - sqrt(pu) THEN -1 END AS e FROM v)
  SELECT symbol, seq, coalesce(last_value(e IGNORE NULLS) {over()}, 0) AS position FROM f""",
 )(bars(lambda b: R.switch(ruled(b), *[U.RULES["predictive"]()[x] for x in ("enter_long", "enter_short")]).select("symbol", "seq", "position")))
-register("rule_zscore")(bars(lambda b: R.latch(ruled(b), *U.rule_zscore().values()).select("symbol", "seq", "position")))
 
 # ---- labels, ledger, equity -------------------------------------------------------------------
 
@@ -587,11 +585,6 @@ add_bars(
     lambda b: W.future_moves(b).select("symbol", "seq", "wide_range", "high_vol"),
 )
 _DD = f"(max(close) {over()} - close) / max(close) {over()}"
-add_bars(
-    "crisis_state",
-    f"{WITH}, s AS (SELECT symbol, seq, {_DD} AS dd FROM bars), e AS (SELECT *, CASE WHEN dd > 0.9 THEN 1 WHEN dd <= 0.3 THEN 0 END AS e FROM s) SELECT symbol, seq, coalesce(last_value(e IGNORE NULLS) {over()}, 0) AS state FROM e",
-    lambda b: G.hysteresis(W.drawdown(b, "close"), F.col("drawdown") > 0.9, F.col("drawdown") <= 0.3).select("symbol", "seq", "state"),
-)
 _SP = f"{WITH}, f AS (SELECT symbol, seq, close, CAST(close > open AS INTEGER) AS f FROM bars), c AS (SELECT *, CASE WHEN f = lag(f) {BY} THEN 0 ELSE 1 END AS ch FROM f), s AS (SELECT *, sum(ch) {over()} AS s FROM c)"
 add_bars("agg_spells", f"{_SP} SELECT symbol, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS bars, {r('arg_max(close, seq) / arg_min(close, seq) - 1', 'ret')} FROM s WHERE f = 1 GROUP BY symbol, s", lambda b: shown(G.spells(b, F.col("close") > F.col("open")), "symbol", "first_seq", "last_seq", "bars", "ret"))
 add_bars("win_streaks", f"{_SP}, n AS (SELECT symbol, s, f, count(*) AS n FROM s GROUP BY 1, 2, 3) SELECT symbol, coalesce(max(n) FILTER (f = 1), 0) AS longest_win, coalesce(max(n) FILTER (f = 0), 0) AS longest_loss FROM n GROUP BY 1", lambda b: G.streaks(b, F.col("close") > F.col("open")))
@@ -620,8 +613,6 @@ add_bars(
 add_bars("topk_results", f"{_LED} SELECT * FROM (SELECT symbol, trade_no, {r('gross_pnl', 'gross_pnl')}, row_number() OVER (PARTITION BY symbol ORDER BY gross_pnl DESC, trade_no) AS k FROM led2) WHERE k <= 5", lambda b: shown(L.spell_trades(signalled(b), "sig").withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("gross_pnl"), "trade_no"))).where("k <= 5"), "symbol", F.col("trade_no").cast("long").alias("trade_no"), "gross_pnl", F.col("k").cast("long").alias("k")))
 register("set_intersect_dates", "SELECT CAST(o_orderdate AS DATE) AS day FROM orders INTERSECT SELECT CAST(l_shipdate AS DATE) FROM lineitem")(lambda spark, d: M.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).intersect(M.table(spark, d, "lineitem").select(F.to_date("l_shipdate"))))
 register("set_union_dates", "SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem")(lambda spark, d: M.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).union(M.table(spark, d, "lineitem").select(F.to_date("l_shipdate"))).distinct())
-add_bars("win_hurst_rs", None, lambda b: shown(G.hurst_rs(W.returns(b), "ret"), "symbol", "seq", "hurst"))
-add_bars("zigzag", None, lambda b: shown(G.zigzag(W.atr(b)), "symbol", "seq", "pivot", "price"))
 add_bars("balanced_sample", None, lambda b: G.balanced_sample(tbm(b), "label", 500).groupBy("label").agg(F.count("*").alias("n")))
 
 # ---- sizes, stops and signals -----------------------------------------------------------------

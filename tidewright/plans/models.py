@@ -14,6 +14,7 @@ from ..operators import filters as K
 from ..operators import hmm as H
 from ..operators import labels as L
 from ..operators import ledgers as T
+from ..operators import recurrences as R
 from ..operators import regimes as G
 from ..operators import rules as U
 from ..operators import series as S
@@ -456,3 +457,77 @@ add_bars(
  SELECT symbol, CAST(fold AS INTEGER) AS fold, {r("CASE WHEN ok THEN " + " + ".join(f"{w} * CASE WHEN hi_{c} > lo_{c} THEN ({c} - lo_{c}) / (hi_{c} - lo_{c}) ELSE 0 END" for c, w in (("train_sharpe", 0.2), ("test_sharpe", 0.4), ("calm", 0.4))) + " ELSE 0 END", "score")} FROM k""",
     lambda b: shown(X.composite(walked(b).withColumn("calm", -F.col("test_mdd")), {"train_sharpe": 0.2, "test_sharpe": 0.4, "calm": 0.4}, F.col("test_trades") >= 1, ["symbol"]), "symbol", "fold", "score"),
 )
+
+# ---- equity, reports, regimes of drawdown -----------------------------------------------------
+
+for _how, _name in ((False, "eq_marked"), (True, "eq_compounded")):
+    _real = "100000.0 * exp(sum(ln(greatest(1 + coalesce(x.pnl, 0), 1e-300))) OVER w)" if _how else "100000.0 + 100000.0 * sum(coalesce(x.pnl, 0)) OVER w"
+    _base = "re" if _how else "100000.0"
+    register(
+        _name,
+        f"""{C._CHAIN}, j AS (SELECT bars.symbol, bars.seq, bars.close, x.pnl AS done, {_real} AS re, max(e.entry_seq) OVER w AS since FROM bars LEFT JOIN ch x ON x.symbol = bars.symbol AND x.exit_seq = bars.seq LEFT JOIN ch e ON e.symbol = bars.symbol AND e.entry_seq = bars.seq WINDOW w AS (PARTITION BY bars.symbol ORDER BY bars.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ k AS (SELECT j.*, CASE WHEN done IS NULL AND j.seq < o.exit_seq THEN re + {_base} * o.direction * (close - o.entry_price) / o.entry_price ELSE re END AS eq FROM j LEFT JOIN ch o ON o.symbol = j.symbol AND o.entry_seq = j.since),
+ l AS (SELECT *, max(CASE WHEN least(eq, re) <= 0 THEN 1 ELSE 0 END) {over()} AS gone FROM k) SELECT symbol, seq, {r('CASE WHEN gone = 1 THEN 0.0 ELSE re END', 'realised')}, {r('CASE WHEN gone = 1 THEN 0.0 ELSE eq END', 'equity')} FROM l""",
+    )(bars(lambda b, how=_how: shown(T.marked_equity(b, L.chain(C.barrier_ledger(b)), compounding=how), "symbol", "seq", "realised", "equity")))
+_REPORT = ("win_rate", "avg_pnl", "avg_hold", "gross_profit", "gross_loss", "profit_factor")
+add_bars(
+    "agg_report",
+    f"""{C._CHAIN}, a AS (SELECT symbol, count(*) AS n, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(pnl) AS avg_pnl, avg(exit_seq - entry_seq) AS avg_hold, sum(greatest(pnl, 0)) AS gross_profit, -sum(least(pnl, 0)) AS gross_loss, count(*) FILTER (reason = 'TP') AS n_tp, count(*) FILTER (reason = 'SL') AS n_sl, count(*) FILTER (reason = 'TIMEOUT') AS n_timeout FROM ch GROUP BY 1),
+ o AS (SELECT *, CASE WHEN gross_loss > 0 THEN gross_profit / gross_loss WHEN gross_profit > 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS profit_factor FROM a) SELECT symbol, n, n_tp, n_sl, n_timeout, {", ".join(r(c, c) for c in _REPORT)} FROM o""",
+    lambda b: shown(T.ledger_report(L.chain(C.barrier_ledger(b))), "symbol", "n", "n_tp", "n_sl", "n_timeout", *_REPORT),
+)
+add_bars(
+    "crisis_state",
+    f"""{RETS}, s AS (SELECT symbol, seq, (close - max(close) {over()}) / max(close) {over()} AS drawdown, CASE WHEN count(*) {over(20)} >= 20 THEN stddev_samp(ret) {over(20)} END AS volatility FROM b), q AS (SELECT symbol, quantile_cont(volatility, 0.8) AS hi FROM s GROUP BY 1),
+ e AS (SELECT s.*, hi, CASE WHEN drawdown < -0.15 THEN 1 WHEN drawdown >= -0.05 THEN 0 END AS e FROM s JOIN q ON q.symbol = s.symbol), i AS (SELECT *, coalesce(last_value(e IGNORE NULLS) {over()}, 0) AS inside FROM e)
+ SELECT symbol, seq, {r('drawdown', 'drawdown')}, {r('volatility', 'volatility')}, CASE WHEN drawdown < -0.15 THEN 'crisis' WHEN inside = 1 THEN 'recovery' WHEN coalesce(volatility, 0) >= hi THEN 'normal_high_vol' ELSE 'normal_low_vol' END AS label FROM i""",
+    lambda b: shown(G.drawdown_regime(b), "symbol", "seq", "drawdown", "volatility", "label"),
+)
+add_bars(
+    "rule_zscore",
+    f"""{recursive(WITH)}, z AS (SELECT symbol, seq, CASE WHEN count(*) {over(42)} >= 42 THEN (close - avg(close) {over(42)}) / (stddev_samp(close) {over(42)} + 1e-10) END AS z FROM bars),
+ walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, 0 AS position FROM z WHERE seq = 1 UNION ALL SELECT z.symbol, z.seq, CASE WHEN w.position = 1 THEN CASE WHEN z < 0 THEN 0 ELSE 1 END WHEN w.position = -1 THEN CASE WHEN z > 0 THEN 0 ELSE -1 END WHEN z > 2 THEN 1 WHEN z < -2 THEN -1 ELSE 0 END FROM walk w JOIN z ON z.symbol = w.symbol AND z.seq = w.seq + 1)
+ SELECT symbol, seq, CAST(position AS INTEGER) AS position FROM walk WHERE seq > 0""",
+    lambda b: R.latch(ruled(b), *U.rule_zscore().values()).select("symbol", "seq", "position"),
+)
+add_bars(
+    "zigzag",
+    f"""{recursive(WITH)}, t AS (SELECT *, greatest(high - low, abs(high - lag(close) {BY}), abs(low - lag(close) {BY})) AS tr FROM bars), a AS (SELECT *, CASE WHEN count(tr) {over(14)} >= 14 THEN avg(tr) {over(14)} END AS atr FROM t),
+ walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, 1 AS side, CAST(high AS DOUBLE) AS best, seq AS pos, CAST(-4 AS BIGINT) AS lp, false AS out, CAST(0 AS BIGINT) AS ps, 0 AS pv, {_ZERO} AS pp FROM a WHERE seq = 1 UNION ALL
+  SELECT symbol, seq, CASE WHEN turn THEN -side ELSE side END, CASE WHEN better OR turn THEN CASE WHEN (side > 0) <> turn THEN high ELSE low END ELSE best END, CASE WHEN better OR turn THEN seq ELSE pos END, CASE WHEN turn THEN pos ELSE lp END, turn, pos, side, best
+  FROM (SELECT *, coalesce(NOT better AND (CASE WHEN side > 0 THEN best - low ELSE high - best END) >= 2 * atr AND pos - lp >= 5, false) AS turn
+   FROM (SELECT w.symbol, a.seq, w.side, w.best, w.pos, w.lp, a.high, a.low, a.atr, CASE WHEN w.side > 0 THEN a.high >= w.best ELSE a.low <= w.best END AS better FROM walk w JOIN a ON a.symbol = w.symbol AND a.seq = w.seq + 1)))
+ SELECT symbol, ps AS seq, CAST(pv AS INTEGER) AS side, {r('pp', 'price')} FROM walk WHERE out""",
+    lambda b: shown(G.zigzag(W.atr(b)).withColumnRenamed("pivot", "side"), "symbol", "seq", "side", "price"),
+)
+add_bars(
+    "win_entropy",
+    f"""{RETS}, v AS (SELECT symbol, seq, ret, coalesce(stddev_samp(ret) {over(24)}, 0.0) AS rv FROM b), x AS (SELECT symbol, seq, CASE WHEN rv > 1e-8 THEN ret / rv ELSE ret END AS x FROM v),
+ m AS (SELECT *, count(*) {over(24)} AS n, min(x) {over(24)} AS lo, max(x) {over(24)} AS hi FROM x), p AS (SELECT m.symbol, m.seq, least(CAST(floor((k.x - m.lo) / (m.hi - m.lo) * 10) AS INTEGER), 9) AS slot, count(*) AS c FROM m JOIN x k ON k.symbol = m.symbol AND k.seq > m.seq - 24 AND k.seq <= m.seq WHERE m.n >= 24 AND m.hi - m.lo >= 1e-10 GROUP BY 1, 2, 3),
+ e AS (SELECT symbol, seq, -sum(c / 24.0 * ln(c / 24.0)) / ln(10) AS entropy FROM p GROUP BY 1, 2) SELECT x.symbol, x.seq, {r('coalesce(entropy, 0.0)', 'entropy')} FROM x LEFT JOIN e ON e.symbol = x.symbol AND e.seq = x.seq""",
+    lambda b: shown(W.histogram_entropy(b), "symbol", "seq", "entropy"),
+)
+add_bars(
+    "win_hurst_rs",
+    f"""{RETS}, n AS (SELECT symbol, seq, count(ret) {over(100)} AS n, avg(ret) {over(100)} AS m, stddev_pop(ret) {over(100)} AS s FROM b),
+ c AS (SELECT n.symbol, n.seq, n.n, n.s, sum(k.ret - n.m) OVER (PARTITION BY n.symbol, n.seq ORDER BY k.seq) AS c FROM n JOIN b k ON k.symbol = n.symbol AND k.seq > n.seq - 100 AND k.seq <= n.seq WHERE n.n >= 20),
+ h AS (SELECT symbol, seq, any_value(n) AS n, any_value(s) AS s, greatest(max(c), 0) - least(min(c), 0) AS rg FROM c GROUP BY 1, 2)
+ SELECT n.symbol, n.seq, {r('CASE WHEN n.n >= 20 THEN least(greatest(CASE WHEN h.s > 1e-12 AND rg > 0 THEN ln(rg / h.s) / ln(h.n) ELSE 0.5 END, 0.0), 1.0) END', 'hurst')} FROM n LEFT JOIN h ON h.symbol = n.symbol AND h.seq = n.seq""",
+    lambda b: shown(G.hurst_rs(W.returns(b), "ret"), "symbol", "seq", "hurst"),
+)
+
+
+def plateau(b: DataFrame) -> DataFrame:
+    """The broadest good region of entry and exit levels, by what all symbols made."""
+    b = W.zscore(b, "close", 20)
+    steps = [{"entry": 0.5 + 0.25 * i, "leave": 0.25 * j} for i in range(8) for j in range(4)]
+    sums = X.band_results(X.gridded(b, steps), "z").groupBy("entry", "leave").agg(F.sum("pnl").alias("score"))
+    return G.plateau_center(sums.select(F.round((F.col("entry") - 0.5) / 0.25).alias("entry"), F.round(F.col("leave") / 0.25).alias("leave"), "score"), ["entry", "leave"], q=0.7)
+
+
+add_bars("plateau_center", None, lambda b: shown(plateau(b), "entry", "leave", "cells", "best"))
+add_bars(
+    "lab_tbm_kept",
+    f"""{C._TBM}, c AS (SELECT l.symbol, l.seq, s.sigma, 2 * (0.0004 + least(0.005, 0.0001 + 0.1 * s.sigma * sqrt(0.01))) AS cost FROM l JOIN s ON s.symbol = l.symbol AND s.seq = l.seq) SELECT symbol, count(*) FILTER (2.0 * sigma > 1.5 * cost) AS kept, count(*) FILTER (NOT 2.0 * sigma > 1.5 * cost) AS dropped FROM c GROUP BY 1""",
+    lambda b: L.fee_trapped(C.tbm(b).join(W.volatility(b).select("symbol", "seq", F.col("realized_vol").alias("sigma")), ["symbol", "seq"]), F.col("sigma"), 2.0),
+)
