@@ -34,6 +34,11 @@ def ordered(rows: DataFrame, machine: Callable[[], Callable], schema: str) -> Da
     return rows.repartition("symbol").sortWithinPartitions("symbol", "seq").mapInPandas(run, whole)
 
 
+def replaced(df: DataFrame, found: DataFrame) -> DataFrame:
+    """df with found's columns in place of its own of the same names."""
+    return df.drop(*[c for c in found.columns if c not in ("symbol", "seq")]).join(found, ["symbol", "seq"])
+
+
 def known(x) -> bool:
     return x is not None and x == x
 
@@ -111,8 +116,7 @@ def trailing_stop(
 
         return step
 
-    found = ordered(rows, machine, "position int, entry_seq long, stop double, used_k double, size double, reason string, exit_price double")
-    return df.join(found, ["symbol", "seq"])
+    return replaced(df, ordered(rows, machine, "position int, entry_seq long, stop double, used_k double, size double, reason string, exit_price double"))
 
 
 def stop_trades(stopped: DataFrame) -> DataFrame:
@@ -123,6 +127,56 @@ def stop_trades(stopped: DataFrame) -> DataFrame:
     return trades.withColumn("log_return", F.col("direction") * F.log(F.col("leave") / F.col("entry")))
 
 
+def pyramid(
+    df: DataFrame,
+    signal: Column,
+    variance: Column,
+    size: Column | None = None,
+    most: int = 3,
+    add: float = 1.0,
+    spacing: float = 1.5,
+    most_size: float = 3.0,
+    stop: float | None = 1.5,
+) -> DataFrame:
+    """df with position, total_size, stop, entries and average_entry (all after the bar) of a position that is added to as it wins.
+
+    From flat a signal of 1 or -1 enters at the close with `size` (1 where null or not above 0). While held, a close beyond
+    the last entry's times exp(spacing * root of the variance) in the position's favour adds `add`, up to `most` entries
+    and most_size; each entry sets the stop to the average entry times exp(-stop * that root) (short: the other sign;
+    None: no stop). A signal that isn't the position's, or a close at or beyond the stop of the bar before, leaves; that
+    bar enters nothing. Without a variance nothing is added, and no stop is set.
+    """
+    rows = df.select("symbol", "seq", F.col("close").cast("double").alias("close"), F.coalesce(signal, F.lit(0)).cast("int").alias("sig"), F.sqrt(variance.cast("double")).alias("sd"), (F.when(size > 0, size).otherwise(1.0) if size is not None else F.lit(1.0)).cast("double").alias("size"))
+
+    def machine():
+        side, entries, last, average, units, total, level = 0, 0, 0.0, 0.0, 0.0, 0.0, None
+
+        def stopped_at(sd):
+            return average * exp(-side * stop * sd) if stop is not None and known(sd) else level
+
+        def step(close, sig, sd, size):
+            nonlocal side, entries, last, average, units, total, level
+            if side == 0:
+                if not sig:
+                    return 0, 0.0, None, 0, None
+                side, entries, last, average, units, total, level = sig, 1, close, close, size, size, None
+                level = stopped_at(sd)
+                return side, min(total, most_size), level, entries, average
+            if sig != side or (level is not None and side * (close - level) <= 0):
+                side = 0
+                return 0, 0.0, None, 0, None
+            if entries < most and total < most_size and known(sd) and side * (close - last * exp(side * spacing * sd)) >= 0:
+                more = min(add, most_size - total)
+                average = (units * average + more * close) / (units + more)
+                entries, last, units, total = entries + 1, close, units + more, total + more
+                level = stopped_at(sd)
+            return side, min(total, most_size), level, entries, average
+
+        return step
+
+    return replaced(df, ordered(rows, machine, "position int, total_size double, stop double, entries int, average_entry double"))
+
+
 def mode_switch(df: DataFrame, mode: Column, probability: Column, cooldown: int = 5, least: float = 0.6) -> DataFrame:
     """The history of accepted switches: symbol, seq, from_mode, to_mode, bars_since and probability.
 

@@ -39,6 +39,36 @@ def first_touch(df: DataFrame, sigma: str, pt: float, sl: float, horizon: int, t
     return out.select("symbol", "seq", label.alias("label"), (exit_price / F.col("entry") - 1).alias("ret"), F.coalesce("hit.at", "end_seq").alias("exit_seq"))
 
 
+def hybrid_labels(df: DataFrame, sigma: str, pt: float = 1.0, sl: float = 1.0, hours: int = 48, most: int = 20, ts: str = "bar_ts") -> DataFrame:
+    """symbol, seq, label, ret and exit_seq of barriers on closes, whose end is what comes first: the first bar `hours` later, or the `most`-th bar, or the last bar there is.
+
+    The first close at or beyond a barrier decides (1 above, -1 below); without one the label is 0 at the end's close. A
+    bar without a positive sigma, or with none after it, has no label.
+    """
+    rows = df.withColumn("_before", F.lag(ts).over(by_seq()))
+    anchors = rows.where(F.col(sigma) > 0).select("symbol", "seq", F.col("close").alias("entry"), (F.col(ts) + F.expr(f"INTERVAL {hours} HOURS")).alias("until"), (F.col("close") * (1 + pt * F.col(sigma))).alias("up"), (F.col("close") * (1 - sl * F.col(sigma))).alias("down"))
+    # a bar is within reach if the one before it is earlier than the time limit
+    pairs = forward_pairs(anchors, rows.select("symbol", "seq", "close", "_before"), most).where(F.col("b._before") < F.col("until"))
+    side = F.when(F.col("b.close") >= F.col("up"), 1).when(F.col("b.close") <= F.col("down"), -1)
+    hit = F.when(side.isNotNull(), F.struct(F.col("b.seq").alias("at"), side.alias("side"), F.col("b.close").alias("close")))
+    out = pairs.groupBy("symbol", "seq", "entry").agg(F.min(hit).alias("hit"), F.max("b.seq").alias("end"), F.max_by("b.close", "b.seq").alias("end_close"))
+    return out.select("symbol", "seq", F.coalesce("hit.side", F.lit(0)).alias("label"), (F.coalesce("hit.close", "end_close") / F.col("entry") - 1).alias("ret"), F.coalesce("hit.at", "end").alias("exit_seq"))
+
+
+def patch_masks(windows: DataFrame, column: str, patch: int = 16, ratio: float = 0.4, seed: int = 42, key: tuple[str, ...] = ("symbol", "seq")) -> DataFrame:
+    """windows with masked (the patches of each row's array that are hidden, in order), and the array itself with those patches set to 0.
+
+    Of n patches floor(n * ratio) are hidden: those whose md5 of seed, key and number comes first. So a row's patches
+    depend on the seed and its key alone, not on where it is computed. An array that isn't whole patches long gives null.
+    """
+    n = F.when(F.size(column) % patch == 0, F.floor(F.size(column) / patch).cast("int"))
+    order = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key], p.cast("string")).cast("binary")).alias("h"), p.alias("p")))
+    hidden = F.array_sort(F.transform(F.slice(F.array_sort(order), 1, F.floor(n * ratio).cast("int")), lambda x: x["p"]))
+    rows = windows.withColumn("masked", F.when(n >= 1, hidden))
+    shown = F.transform(F.col(column), lambda x, i: F.when(F.array_contains("masked", F.floor(i / patch).cast("int")), 0.0).otherwise(x))
+    return rows.withColumn(column, F.when(F.col("masked").isNotNull(), shown))
+
+
 def fee_trapped(labels: DataFrame, sigma: Column, pt: float, share: float = 0.01, buffer: float = 1.5) -> DataFrame:
     """By symbol the labels kept, and those dropped because their target (pt * sigma) doesn't exceed `buffer` times the cost of a round trip of `share` of the average volume."""
     good = F.coalesce(fee_trap(sigma, round_trip_cost(slippage(sigma, F.lit(share), F.lit(1.0))), pt, buffer), F.lit(False))

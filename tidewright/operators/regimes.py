@@ -121,6 +121,37 @@ def drawdown_regime(df: DataFrame, crisis: float = -0.15, recovered: float = -0.
     return df.join(bounds, "symbol").withColumn("label", label).drop("_r", "_in", "_high")
 
 
+# The share of a position that each mode takes.
+MODE_SCALES = {"momentum_long": 1.0, "momentum_short": 0.8, "mean_reversion": 0.7, "cautious": 0.4, "defensive": 0.3, "neutral": 0.2}
+
+
+def hybrid_mode(df: DataFrame, regime: Column, probability: Column, hurst: Column, volatility: Column, least: float = 0.6, low: float = 0.2, high: float = 1.0) -> DataFrame:
+    """df with mode and scale, from the market's regime (bull, bear, sideways) and whether its Hurst exponent says trending (over 0.55), reverting (below 0.45) or neither.
+
+    Without a regime or exponent the mode is neutral at the lowest scale; with a probability below `least`, cautious at 0.5.
+    Else the mode's scale, times 0.7 to 1 for how far the exponent is from 0.5, times exp(-0.3 z) for a volatility z of its
+    symbol's mean above 0, within low and high.
+    """
+    w = Window.partitionBy("symbol")
+    df = df.withColumn("_v", volatility).withColumns({"_m": F.avg("_v").over(w), "_s": F.stddev_samp("_v").over(w)})
+    trending, reverting = hurst > 0.55, hurst < 0.45
+    mode = (
+        F.when(regime.isNull() | hurst.isNull(), "neutral")
+        .when(F.coalesce(probability, F.lit(0.0)) < least, "cautious")
+        .when(reverting, "mean_reversion")
+        .when((regime == "bull") & trending, "momentum_long")
+        .when((regime == "bear") & trending, "momentum_short")
+        .when(regime == "bull", "cautious")
+        .when(regime == "bear", "defensive")
+        .otherwise("neutral")
+    )
+    base = F.coalesce(*[F.when(mode == m, v) for m, v in MODE_SCALES.items()])
+    calm = F.when((F.col("_m") > 0) & (F.col("_s") > 0), F.exp(-0.3 * F.greatest(F.lit(0.0), (F.col("_v") - F.col("_m")) / (F.col("_s") + 1e-10)))).otherwise(1.0)
+    scaled = base * F.least(probability / least, F.lit(1.0)) * (0.7 + 0.3 * F.abs(hurst - 0.5) * 2) * F.coalesce(calm, F.lit(1.0))
+    scale = F.when(regime.isNull() | hurst.isNull(), low).when(F.coalesce(probability, F.lit(0.0)) < least, 0.5).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), scaled)))
+    return df.withColumns({"mode": mode, "scale": scale}).drop("_v", "_m", "_s")
+
+
 def plateau_center(grid: DataFrame, axes: list[str], score: str = "score", q: float = 0.9) -> DataFrame:
     """The centre (axes), cells and best of the largest face-connected part of a score grid at or above its q-quantile; its best point if no part has two cells. Of equally large parts the one with the higher best score, then the smaller first cell.
 

@@ -531,3 +531,86 @@ add_bars(
     f"""{C._TBM}, c AS (SELECT l.symbol, l.seq, s.sigma, 2 * (0.0004 + least(0.005, 0.0001 + 0.1 * s.sigma * sqrt(0.01))) AS cost FROM l JOIN s ON s.symbol = l.symbol AND s.seq = l.seq) SELECT symbol, count(*) FILTER (2.0 * sigma > 1.5 * cost) AS kept, count(*) FILTER (NOT 2.0 * sigma > 1.5 * cost) AS dropped FROM c GROUP BY 1""",
     lambda b: L.fee_trapped(C.tbm(b).join(W.volatility(b).select("symbol", "seq", F.col("realized_vol").alias("sigma")), ["symbol", "seq"]), F.col("sigma"), 2.0),
 )
+
+# ---- pyramids, ablation, further labels, modes ------------------------------------------------
+
+_PYRAMID = ("total_size", "stop", "average_entry")
+add_bars(
+    "led_pyramid",
+    f"""{recursive(_BAND)}, i AS (SELECT symbol, seq, close, sig, sqrt(coalesce(var_samp(ln(close)) {over(20)}, 0.0)) AS sd FROM g),
+ walk AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, 0 AS side, 0 AS n, {_ZERO} AS lastp, {_ZERO} AS avgp, {_ZERO} AS tot, {_ZERO} AS sl FROM i WHERE seq = 1 UNION ALL
+  SELECT symbol, seq, CASE act WHEN 'in' THEN sig WHEN 'out' THEN 0 WHEN 'flat' THEN 0 ELSE side END, CASE act WHEN 'in' THEN 1 WHEN 'add' THEN n + 1 WHEN 'hold' THEN n ELSE 0 END, CASE WHEN act IN ('in', 'add') THEN close ELSE lastp END, na, nt, CASE WHEN act IN ('in', 'add') THEN na * exp(-(CASE act WHEN 'in' THEN sig ELSE side END) * 1.5 * sd) ELSE sl END
+  FROM (SELECT *, CASE act WHEN 'in' THEN close WHEN 'add' THEN (tot * avgp + least(1.0, 3.0 - tot) * close) / (tot + least(1.0, 3.0 - tot)) ELSE avgp END AS na, CASE act WHEN 'in' THEN {_ONE} WHEN 'add' THEN tot + least(1.0, 3.0 - tot) WHEN 'hold' THEN tot ELSE {_ZERO} END AS nt
+   FROM (SELECT w.*, CASE WHEN w.side = 0 AND sig <> 0 THEN 'in' WHEN w.side = 0 THEN 'flat' WHEN sig <> w.side OR w.side * (close - w.sl) <= 0 THEN 'out' WHEN w.n < 3 AND w.tot < 3 AND w.side * (close - w.lastp * exp(w.side * 1.5 * sd)) >= 0 THEN 'add' ELSE 'hold' END AS act
+    FROM (SELECT walk.symbol, i.seq, side, n, lastp, avgp, tot, sl, close, sig, sd FROM walk JOIN i ON i.symbol = walk.symbol AND i.seq = walk.seq + 1) w)))
+ SELECT symbol, seq, CAST(side AS INTEGER) AS position, CAST(n AS INTEGER) AS entries, {r('tot', 'total_size')}, {r('CASE WHEN side <> 0 THEN sl END', 'stop')}, {r('CASE WHEN side <> 0 THEN avgp END', 'average_entry')} FROM walk WHERE seq > 0""",
+    lambda b: shown(A.pyramid(banded(b), F.col("sig"), F.coalesce(F.var_samp(F.log("close")).over(W.last_rows(20)), F.lit(0.0))), "symbol", "seq", "position", "entries", *_PYRAMID),
+)
+REASONS = ("hard", "trail", "break", "signal")
+#: All exits, and all but each.
+ABLATIONS = [{f"use_{x}": float(x != out) for x in REASONS} for out in (None, *REASONS)]
+
+
+def ablated(b: DataFrame) -> DataFrame:
+    """Exits by reason and what trades made, with each exit of `stopped` left out in turn. A stop that is left out lies where no price is."""
+    b = W.returns(b)
+    b = b.withColumns({"rv": F.stddev_samp("log_ret").over(W.last_rows(24)), "sma": F.avg("close").over(W.last_rows(20)), "v": F.log(F.col("close") / F.lag("close", 5).over(W.by_seq()))})
+    g = X.gridded(b, ABLATIONS)
+    rv, v, ret = F.col("rv"), F.col("v"), F.col("log_ret")
+    on = {x: F.col(f"use_{x}") == 1 for x in REASONS}
+    far = F.lit(1e9)
+    k, mae = F.when(on["trail"], 2.0).otherwise(far), F.when(on["hard"], 3 * rv).when(rv.isNotNull(), far)
+    enter = F.when(v > 0, 1).when(v < 0, -1)
+    below, above = F.col("close") < F.col("sma"), F.col("close") > F.col("sma")
+    stops = A.trailing_stop(g, enter, F.when(rv > 0, rv), k, k, mae, mae, on["break"] & (ret < -2 * rv), on["break"] & (ret > 2 * rv), on["signal"] & below & (v < 0), on["signal"] & above & (v > 0))
+    trades = A.stop_trades(stops).withColumns({"variant": F.element_at(F.array(*[F.lit(x) for x in ("all", *[f"no_{x}" for x in REASONS])]), F.regexp_extract("symbol", r"#(\d+)$", 1).cast("int") + 1)})
+    return X.ungridded(trades).groupBy("symbol", "variant").agg(F.count("*").alias("trades"), *[F.count_if(F.col("reason") == x).alias(f"n_{x}") for x in REASONS], F.sum("log_return").alias("log_return"), F.avg((F.col("log_return") > 0).cast("double")).alias("win_rate"))
+
+
+_ABLATED = stop_sql(
+    f"""{recursive(RETS)}, s AS (SELECT *, stddev_samp(log_ret) {over(24)} AS rv, avg(close) {over(20)} AS sma, ln(close / lag(close, 5) {BY}) AS v FROM b), va AS (SELECT unnest(['all', 'no_hard', 'no_trail', 'no_break', 'no_signal']) AS va),
+ i AS (SELECT symbol || '#' || va AS symbol, seq, high, low, close, CASE WHEN rv IS NULL THEN 0 WHEN v > 0 THEN 1 WHEN v < 0 THEN -1 ELSE 0 END AS enter, nullif(rv, 0) AS width, CASE WHEN va = 'no_trail' THEN 1e9 ELSE 2.0 END AS kl, CASE WHEN va = 'no_trail' THEN 1e9 ELSE 2.0 END AS ks, CASE WHEN va = 'no_hard' THEN 1e9 ELSE 3 * rv END AS ml, CASE WHEN va = 'no_hard' THEN 1e9 ELSE 3 * rv END AS ms,
+  coalesce(log_ret < -2 * rv, false) AND va <> 'no_break' AS bl, coalesce(log_ret > 2 * rv, false) AND va <> 'no_break' AS bs, coalesce(close < sma AND v < 0, false) AND va <> 'no_signal' AS ll, coalesce(close > sma AND v > 0, false) AND va <> 'no_signal' AS ls FROM s, va)"""
+).replace("exp(-k * width)", "exp(greatest(-k * width, -700))").replace("exp(k * width)", "exp(least(k * width, 700))").replace("exp(-i.ml)", "exp(greatest(-i.ml, -700))").replace("exp(i.ms)", "exp(least(i.ms, 700))")
+add_bars(
+    "agg_ablation",
+    f"""{_ABLATED}, tr AS (SELECT split_part(x.symbol, '#', 1) AS symbol, split_part(x.symbol, '#', 2) AS variant, x.reason, e.side * ln(coalesce(x.exit_price, xb.close) / eb.close) AS lr FROM walk x JOIN walk e ON e.symbol = x.symbol AND e.seq = x.since JOIN i eb ON eb.symbol = e.symbol AND eb.seq = e.seq JOIN i xb ON xb.symbol = x.symbol AND xb.seq = x.seq WHERE x.reason IS NOT NULL)
+ SELECT symbol, variant, count(*) AS trades, {", ".join(f"count(*) FILTER (reason = '{x}') AS n_{x}" for x in REASONS)}, {r('sum(lr)', 'log_return')}, {r('avg(CASE WHEN lr > 0 THEN 1.0 ELSE 0.0 END)', 'win_rate')} FROM tr GROUP BY 1, 2""",
+    lambda b: shown(ablated(b), "symbol", "variant", "trades", *[f"n_{x}" for x in REASONS], "log_return", "win_rate"),
+)
+add_bars(
+    "lab_hybrid",
+    f"""{RETS}, s AS (SELECT symbol, seq, bar_ts, close, stddev_samp(log_ret) {over(24)} AS sg, lag(bar_ts) {BY} AS pv FROM b),
+ p AS (SELECT a.symbol, a.seq, a.close AS entry, k.seq AS ks, k.close AS kc, CASE WHEN k.close >= a.close * (1 + a.sg) THEN 1 WHEN k.close <= a.close * (1 - a.sg) THEN -1 END AS side FROM s a JOIN s k ON k.symbol = a.symbol AND k.seq > a.seq AND k.seq <= a.seq + 20 AND k.pv < a.bar_ts + INTERVAL 48 HOUR WHERE a.sg > 0),
+ h AS (SELECT symbol, seq, entry, min(ks) FILTER (side IS NOT NULL) AS hs, arg_min(side, ks) FILTER (side IS NOT NULL) AS side, arg_min(kc, ks) FILTER (side IS NOT NULL) AS hc, max(ks) AS es, arg_max(kc, ks) AS ec FROM p GROUP BY 1, 2, 3)
+ SELECT symbol, seq, CAST(coalesce(side, 0) AS INTEGER) AS label, {r('coalesce(hc, ec) / entry - 1', 'ret')}, coalesce(hs, es) AS exit_seq FROM h""",
+    lambda b: shown(L.hybrid_labels(W.returns(b).withColumn("sg", F.stddev_samp("log_ret").over(W.last_rows(24))), "sg"), "symbol", "seq", "label", "ret", F.col("exit_seq").cast("long").alias("exit_seq")),
+)
+add_bars(
+    "patch_mask",
+    f"""{WITH}, s AS (SELECT symbol, seq, list(close) {over(start="48 PRECEDING", end="1 PRECEDING")} AS v FROM bars), w AS (SELECT * FROM s WHERE len(v) = 48), o AS (SELECT symbol, seq, v, p, row_number() OVER (PARTITION BY symbol, seq ORDER BY md5('42:' || symbol || ':' || seq || ':' || p)) AS k FROM (SELECT symbol, seq, v, unnest(range(6)) AS p FROM w)),
+ h AS (SELECT symbol, seq, any_value(v) AS v, list(p ORDER BY p) FILTER (k <= 2) AS m FROM o GROUP BY 1, 2)
+ SELECT symbol, seq, array_to_string(m, ',') AS masked, {r('list_sum(v) - list_sum(v[m[1] * 8 + 1 : m[1] * 8 + 8]) - list_sum(v[m[2] * 8 + 1 : m[2] * 8 + 8])', 'total')} FROM h""",
+    lambda b: shown(
+        L.patch_masks(L.context_windows(b, ["close"], 48).withColumn("x", F.transform("context", lambda x: x["close"])), "x", patch=8).select("symbol", "seq", F.array_join("masked", ",").alias("masked"), F.aggregate("x", F.lit(0.0), lambda a, x: a + x).alias("total")),
+        "symbol", "seq", "masked", "total",
+    ),
+)
+
+
+def moded(b: DataFrame) -> DataFrame:
+    b = G.hurst_rs(W.returns(b).withColumns({"sma": F.avg("close").over(W.last_rows(20)), "vol": F.stddev_samp("log_ret").over(W.last_rows(20))}), "ret")
+    regime = F.when(F.expr(_MODE[0]), "bull").when(F.expr(_MODE[1]), "bear").otherwise("sideways")
+    return G.hybrid_mode(b, regime, 0.5 + 0.5 * F.abs(F.col("close") - F.col("open")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.col("hurst"), F.col("vol"))
+
+
+_SCALE = " ".join(f"WHEN '{m}' THEN {v}" for m, v in G.MODE_SCALES.items())
+add_bars(
+    "hybrid_mode",
+    f"""{C.ORACLE_SQL["win_hurst_rs"].rpartition(" SELECT n.symbol, n.seq, ")[0]}, hu AS (SELECT n.symbol, n.seq, CASE WHEN n.n >= 20 THEN least(greatest(CASE WHEN h.s > 1e-12 AND rg > 0 THEN ln(rg / h.s) / ln(h.n) ELSE 0.5 END, 0.0), 1.0) END AS hurst FROM n LEFT JOIN h ON h.symbol = n.symbol AND h.seq = n.seq),
+ f0 AS (SELECT b.*, avg(close) {over(20)} AS sma, stddev_samp(log_ret) {over(20)} AS vol, 0.5 + 0.5 * abs(close - open) / nullif(high - low, 0) AS p FROM b),
+ f AS (SELECT f0.*, hurst, CASE WHEN {_MODE[0]} THEN 'bull' WHEN {_MODE[1]} THEN 'bear' ELSE 'sideways' END AS rg FROM f0 JOIN hu ON hu.symbol = f0.symbol AND hu.seq = f0.seq),
+ mo AS (SELECT *, avg(vol) OVER (PARTITION BY symbol) AS vm, stddev_samp(vol) OVER (PARTITION BY symbol) AS vs, CASE WHEN hurst IS NULL THEN 'neutral' WHEN coalesce(p, 0) < 0.6 THEN 'cautious' WHEN hurst < 0.45 THEN 'mean_reversion' WHEN rg = 'bull' AND hurst > 0.55 THEN 'momentum_long' WHEN rg = 'bear' AND hurst > 0.55 THEN 'momentum_short' WHEN rg = 'bull' THEN 'cautious' WHEN rg = 'bear' THEN 'defensive' ELSE 'neutral' END AS mode FROM f)
+ SELECT symbol, seq, mode, {r(f"CASE WHEN hurst IS NULL THEN 0.2 WHEN coalesce(p, 0) < 0.6 THEN 0.5 ELSE least(1.0, greatest(0.2, CASE mode {_SCALE} END * least(p / 0.6, 1.0) * (0.7 + 0.3 * abs(hurst - 0.5) * 2) * exp(-0.3 * greatest(0, coalesce((vol - vm) / (vs + 1e-10), 0))))) END", 'scale')} FROM mo""",
+    lambda b: shown(moded(b), "symbol", "seq", "mode", "scale"),
+)
