@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automata import state_machine
-from .windows import by_seq, so_far
+from .windows import EPS, by_seq, so_far
 
 BLOCK = 512
 
@@ -107,7 +107,7 @@ def wilder_rsi(df: DataFrame, column: str, n: int, name: str = "rsi") -> DataFra
     step = F.col(column) - F.lag(column).over(by_seq())
     df = df.withColumns({"_g": F.greatest(F.coalesce(step, F.lit(0.0)), F.lit(0.0)), "_l": F.greatest(-F.coalesce(step, F.lit(0.0)), F.lit(0.0))})
     df = linear_scans(df, [("_up", F.col("_g") / n, 1 - 1 / n, F.col("_g")), ("_down", F.col("_l") / n, 1 - 1 / n, F.col("_l"))])
-    rsi = F.when((F.col("_up") < 1e-12) & (F.col("_down") < 1e-12), 50.0).when(F.col("_down") < 1e-12, 100.0).otherwise(100 - 100 / (1 + F.col("_up") / F.col("_down")))
+    rsi = F.when((F.col("_up") < EPS) & (F.col("_down") < EPS), 50.0).when(F.col("_down") < EPS, 100.0).otherwise(100 - 100 / (1 + F.col("_up") / F.col("_down")))
     return df.withColumn(name, rsi).drop("_g", "_l", "_up", "_down")
 
 

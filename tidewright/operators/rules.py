@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automata import state_machine
-from .windows import by_seq
+from .windows import by_seq, last_rows, rank_pct
 
 EPS = 1e-10
 c = F.col
@@ -278,3 +278,35 @@ def short_signals(fast: float = 2.0, slow_high: float = 2.0) -> dict[str, Column
     wide = lambda k: down & (c("spread_std") > 0) & (c("spread") < -k * c("spread_std"))
     named = {"Spread": wide(1.0), "SpreadTight": wide(1.5), "SlowTick": (c("slow_zscore") < -slow_high) & (c("ticks") < c("tick_p25")), "FastOnly": down}
     return {n: F.coalesce(known & x, F.lit(False)) for n, x in named.items()}
+
+
+def rule_impulse(entry: float = 1.0, overbought: float = 70, oversold: float = 30) -> dict[str, Column]:
+    """With the velocity on a z_score beyond entry while kf_rsi has room, in a trend; left when it ends or the close crosses the trend."""
+    trending = c("trending")
+    up = trending & (c("kf_velocity") > 0) & (c("z_score") > entry) & (c("kf_rsi") < overbought)
+    down = trending & (c("kf_velocity") < 0) & (c("z_score") < -entry) & (c("kf_rsi") > oversold)
+    return _rule(up, down, ~trending | (c("close") < c("kf_trend")), ~trending | (c("close") > c("kf_trend")))
+
+
+def rule_dual_track(breakout: float = 1.75, rsi: tuple[float, float] = (25, 75), pullback: tuple[float, float] = (-0.5, 0.5), rsi_back: tuple[float, float] = (40, 60), buffer: float = 1.5) -> dict[str, Column]:
+    """An impulse beyond `breakout`, or in a trend a z_score within `pullback` of it, each while kf_rsi has room; left when the trend ends, or beyond it by `buffer` uncertainties."""
+    trending, v, z, r = c("trending"), c("kf_velocity"), c("z_score"), c("kf_rsi")
+    near = z.between(*pullback)
+    up = trending & (v > 0) & (((z > breakout) & (r < rsi[1])) | (near & (r < rsi_back[1])))
+    down = trending & (v < 0) & (((z < -breakout) & (r > rsi[0])) | (near & (r > rsi_back[0])))
+    margin = buffer * c("kf_uncertainty")
+    return _rule(up, down, ~trending | (c("close") < c("kf_trend") - margin), ~trending | (c("close") > c("kf_trend") + margin))
+
+
+def rule_percentile(df: DataFrame, share: float = 0.05, n: int = 540, least: int = 100, stop: float = 3.0, warmup: int = 540) -> tuple[DataFrame, dict[str, Column]]:
+    """df with what the rule reads, and the rule: velocity's z (42 rows) beyond its own upper or lower `share` of n rows while uncertainty is in its lower half; left at the other share, or `stop` deviations of the residual beyond the trend."""
+    w42, w180, wn = last_rows(42), last_rows(180), last_rows(n)
+    v = c("kf_velocity")
+    df = df.withColumns({"_z": F.when(F.count(v).over(w42) >= 5, (v - F.avg(v).over(w42)) / (F.stddev_samp(v).over(w42) + EPS)), "_r": F.log(c("close") / c("kf_trend"))})
+    many = F.count("_z").over(wn) >= least
+    df = df.withColumns({"_hi": F.when(many, F.percentile("_z", F.lit(1 - share)).over(wn)), "_lo": F.when(many, F.percentile("_z", F.lit(share)).over(wn)), "_sd": F.when(F.count("_r").over(w180) >= 30, F.stddev_samp("_r").over(w180))})
+    df = rank_pct(df, "kf_uncertainty", 210, 20)
+    sure = (F.coalesce("rank_pct", F.lit(0.5)) < 0.5) & (c("seq") > warmup)
+    stop_long, stop_short = F.coalesce(c("_r") < -stop * c("_sd"), F.lit(False)), F.coalesce(c("_r") > stop * c("_sd"), F.lit(False))
+    over, under = F.coalesce(c("_z") > c("_hi"), F.lit(False)), F.coalesce(c("_z") < c("_lo"), F.lit(False))
+    return df, _rule(over & sure, under & sure, stop_long | under, stop_short | over)

@@ -205,7 +205,7 @@ add_bars(
     "wilder_rsi",
     f"""{WITH}, g AS (SELECT symbol, seq, greatest(coalesce(close - lag(close) {BY}, 0), 0) AS g, greatest(-coalesce(close - lag(close) {BY}, 0), 0) AS l FROM bars),
  s AS (SELECT symbol, seq, pow({_RSI!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN g ELSE g / 14 * pow({_RSI!r}, 1 - seq) END) {over()} AS up, pow({_RSI!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN l ELSE l / 14 * pow({_RSI!r}, 1 - seq) END) {over()} AS dn FROM g)
- SELECT symbol, seq, {r('CASE WHEN up < 1e-12 AND dn < 1e-12 THEN 50.0 WHEN dn < 1e-12 THEN 100.0 ELSE 100 - 100 / (1 + up / dn) END', 'rsi')} FROM s""",
+ SELECT symbol, seq, {r('CASE WHEN up < 1e-10 AND dn < 1e-10 THEN 50.0 WHEN dn < 1e-10 THEN 100.0 ELSE 100 - 100 / (1 + up / dn) END', 'rsi')} FROM s""",
     lambda b: shown(R.wilder_rsi(b, "close", 14), "symbol", "seq", "rsi"),
 )
 _DAILY = f"""{M.TRADES_SQL}, daily AS (SELECT symbol, CAST(ts AS DATE) AS day, sum(quote_qty) AS day_quote FROM trades GROUP BY 1, 2), dn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS seq FROM daily),
@@ -652,7 +652,7 @@ add_bars(
     "connors",
     f"""{WITH}, a AS (SELECT symbol, seq - 1 AS seq, CASE WHEN lag(close) {BY} > 1e-10 THEN close / lag(close) {BY} - 1 ELSE 0.0 END AS ret FROM bars), g AS (SELECT *, greatest(ret, 0.0) AS g, greatest(-ret, 0.0) AS l FROM a WHERE seq >= 1),
  s AS (SELECT symbol, seq, ret, pow({_THIRD!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN g ELSE g / 3 * pow({_THIRD!r}, 1 - seq) END) {over()} AS up, pow({_THIRD!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN l ELSE l / 3 * pow({_THIRD!r}, 1 - seq) END) {over()} AS dn, list(ret) {over(100)} AS v FROM g),
- z AS (SELECT symbol, seq + 1 AS seq, (CASE WHEN up < 1e-12 AND dn < 1e-12 THEN 50.0 WHEN dn < 1e-12 THEN 100.0 ELSE 100 - 100 / (1 + up / dn) END + CASE WHEN len(v) < 2 THEN 50.0 ELSE 100.0 * len(list_filter(v, lambda x: x < ret)) / (len(v) - 1) END) / 2 AS c FROM s)
+ z AS (SELECT symbol, seq + 1 AS seq, (CASE WHEN up < 1e-10 AND dn < 1e-10 THEN 50.0 WHEN dn < 1e-10 THEN 100.0 ELSE 100 - 100 / (1 + up / dn) END + CASE WHEN len(v) < 2 THEN 50.0 ELSE 100.0 * len(list_filter(v, lambda x: x < ret)) / (len(v) - 1) END) / 2 AS c FROM s)
  SELECT symbol, seq, {r('c', 'connors')} FROM z UNION ALL SELECT symbol, seq, 0.0 FROM bars WHERE seq = 1""",
     lambda b: shown(I.connors(b), "symbol", "seq", "connors"),
 )

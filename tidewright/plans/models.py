@@ -17,6 +17,7 @@ from ..operators import ledgers as T
 from ..operators import recurrences as R
 from ..operators import regimes as G
 from ..operators import rules as U
+from ..operators import signals as I
 from ..operators import series as S
 from ..operators import walkforward as X
 from ..operators import windows as W
@@ -614,3 +615,77 @@ add_bars(
  SELECT symbol, seq, mode, {r(f"CASE WHEN hurst IS NULL THEN 0.2 WHEN coalesce(p, 0) < 0.6 THEN 0.5 ELSE least(1.0, greatest(0.2, CASE mode {_SCALE} END * least(p / 0.6, 1.0) * (0.7 + 0.3 * abs(hurst - 0.5) * 2) * exp(-0.3 * greatest(0, coalesce((vol - vm) / (vs + 1e-10), 0))))) END", 'scale')} FROM mo""",
     lambda b: shown(moded(b), "symbol", "seq", "mode", "scale"),
 )
+
+# ---- rules on the filter's columns ------------------------------------------------------------
+
+
+def ranked_sql(table: str, column: str, n: int, least: int, name: str, extra: str = "") -> str:
+    """A table `name`_r of symbol, seq and `name`: the rank of the last value among n, ties sharing theirs; 0.5 with fewer than `least`."""
+    return f"""{name}_r AS (SELECT a.symbol, a.seq, CASE WHEN count(*) >= {least} THEN (count(*) FILTER (k.{column} < a.{column}) + (count(*) FILTER (k.{column} = a.{column}) + 1) / 2.0) / count(*) ELSE 0.5 END AS {name} FROM {table} a JOIN {table} k ON k.symbol = a.symbol AND k.seq > a.seq - {n} AND k.seq <= a.seq GROUP BY a.symbol, a.seq)"""
+
+
+def walk_sql(inputs: str, policy: str) -> str:
+    """The positions of a latch over a table f of symbol, seq, el, es, xl and xs."""
+    return f"""{inputs}, held AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, 0 AS position FROM f WHERE seq = 1 UNION ALL
+  SELECT f.symbol, f.seq, CASE WHEN w.position = 1 THEN {C._held(1, policy)} WHEN w.position = -1 THEN {C._held(-1, policy)} ELSE {C._FRESH} END FROM held w JOIN f ON f.symbol = w.symbol AND f.seq = w.seq + 1)
+ SELECT symbol, seq, CAST(position AS INTEGER) AS position FROM held WHERE seq > 0"""
+
+
+_GAIN = 1 - 2 / 15
+_IMPULSE = f"""{FILTER2}, im0 AS (SELECT *, coalesce(kf_trend - lag(kf_trend) {BY}, 0.0) AS st, close - kf_trend_pred AS dv, abs(kf_velocity) / (kf_uncertainty + 1e-10) AS ef FROM kf),
+ im1 AS (SELECT *, pow({_GAIN!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN 0 ELSE {1 - _GAIN!r} * greatest(st, 0) END * pow({_GAIN!r}, 1 - seq)) {over()} AS up, pow({_GAIN!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN 0 ELSE {1 - _GAIN!r} * greatest(-st, 0) END * pow({_GAIN!r}, 1 - seq)) {over()} AS dn,
+  coalesce(CASE WHEN count(*) {over(20)} >= 5 THEN stddev_samp(dv) {over(20)} END, stddev_samp(dv) OVER (PARTITION BY symbol)) AS sd, coalesce(CASE WHEN count(*) {over(100)} >= 20 THEN quantile_cont(kf_uncertainty, 0.95) {over(100)} END, max(kf_uncertainty) OVER (PARTITION BY symbol)) AS cap FROM im0),
+ {ranked_sql("im0", "ef", 100, 20, "efficiency")},
+ im AS (SELECT i.*, efficiency, 100 - 100 / (1 + up / (dn + 1e-10)) AS kf_rsi, least(5.0, greatest(-5.0, dv / CASE WHEN sd = 0 THEN 1e-10 ELSE sd END)) AS z_score, coalesce(efficiency > 0.4 AND kf_uncertainty < cap, false) AS trending FROM im1 i JOIN efficiency_r e ON e.symbol = i.symbol AND e.seq = i.seq)"""
+_IM = ("kf_rsi", "z_score", "efficiency")
+add_bars("win_kf_rsi_z", f"{_IMPULSE} SELECT symbol, seq, {', '.join(r(c, c) for c in _IM)}, trending FROM im", lambda b: shown(I.impulse_features(filtered(b)), "symbol", "seq", *_IM, F.coalesce("trending", F.lit(False)).alias("trending")))
+add_bars(
+    "rule_impulse",
+    walk_sql(f"{_IMPULSE}, f AS (SELECT symbol, seq, trending AND kf_velocity > 0 AND z_score > 1 AND kf_rsi < 70 AS el, trending AND kf_velocity < 0 AND z_score < -1 AND kf_rsi > 30 AS es, NOT trending OR close < kf_trend AS xl, NOT trending OR close > kf_trend AS xs FROM im)", "d"),
+    lambda b: R.latch(I.impulse_features(filtered(b)), *U.rule_impulse().values(), policy="d").select("symbol", "seq", "position"),
+)
+add_bars(
+    "rule_dual_track",
+    walk_sql(
+        f"""{_IMPULSE}, f AS (SELECT symbol, seq, trending AND kf_velocity > 0 AND (z_score > 1.75 AND kf_rsi < 75 OR z_score BETWEEN -0.5 AND 0.5 AND kf_rsi < 60) AS el, trending AND kf_velocity < 0 AND (z_score < -1.75 AND kf_rsi > 25 OR z_score BETWEEN -0.5 AND 0.5 AND kf_rsi > 40) AS es,
+  NOT trending OR close < kf_trend - 1.5 * kf_uncertainty AS xl, NOT trending OR close > kf_trend + 1.5 * kf_uncertainty AS xs FROM im)""",
+        "bd",
+    ),
+    lambda b: R.latch(I.impulse_features(filtered(b)), *U.rule_dual_track().values(), policy="bd").select("symbol", "seq", "position"),
+)
+
+
+def percentile_rule(b: DataFrame) -> DataFrame:
+    rows, rule = U.rule_percentile(filtered(b))
+    return R.latch(rows, *rule.values()).select("symbol", "seq", "position")
+
+
+add_bars(
+    "rule_percentile",
+    walk_sql(
+        f"""{FILTER2}, pc0 AS (SELECT *, CASE WHEN count(*) {over(42)} >= 5 THEN (kf_velocity - avg(kf_velocity) {over(42)}) / (stddev_samp(kf_velocity) {over(42)} + 1e-10) END AS vz, ln(close / kf_trend) AS rs FROM kf),
+ pc AS (SELECT *, CASE WHEN count(vz) {over(540)} >= 100 THEN quantile_cont(vz, 0.95) {over(540)} END AS hi, CASE WHEN count(vz) {over(540)} >= 100 THEN quantile_cont(vz, 0.05) {over(540)} END AS lo, CASE WHEN count(*) {over(180)} >= 30 THEN stddev_samp(rs) {over(180)} END AS sd FROM pc0), {ranked_sql("kf", "kf_uncertainty", 210, 20, "unsure")},
+ f AS (SELECT pc.symbol, pc.seq, coalesce(vz > hi AND unsure < 0.5 AND pc.seq > 540, false) AS el, coalesce(vz < lo AND unsure < 0.5 AND pc.seq > 540, false) AS es, coalesce(rs < -3 * sd, false) OR coalesce(vz < lo, false) AS xl, coalesce(rs > 3 * sd, false) OR coalesce(vz > hi, false) AS xs FROM pc JOIN unsure_r u ON u.symbol = pc.symbol AND u.seq = pc.seq)""",
+        "a",
+    ),
+    percentile_rule,
+)
+
+
+def switched(b: DataFrame) -> DataFrame:
+    b = R.wilder_rsi(W.zscore(W.volatility(b), "close", 20, "z20"), "close", 14)
+    b = b.withColumns({"mom": F.col("close") / F.lag("close", 10).over(W.by_seq()) - 1, "sma": F.avg("close").over(W.last_rows(20))})
+    return I.hurst_switch(G.hurst_rs(b, "ret"), "mom", "z20", "rsi", "hurst", "sma", "realized_vol", fade=1.0)
+
+
+_HURST_SQL = C.ORACLE_SQL["win_hurst_rs"].rpartition(" SELECT n.symbol, n.seq, ")[0]
+add_bars(
+    "rule_hurst_switch",
+    f"""{_HURST_SQL}, hu AS (SELECT n.symbol, n.seq, CASE WHEN n.n >= 20 THEN least(greatest(CASE WHEN h.s > 1e-12 AND rg > 0 THEN ln(rg / h.s) / ln(h.n) ELSE 0.5 END, 0.0), 1.0) END AS hurst FROM n LEFT JOIN h ON h.symbol = n.symbol AND h.seq = n.seq),
+ q0 AS (SELECT symbol, seq, close, ret, greatest(coalesce(close - lag(close) {BY}, 0), 0) AS g, greatest(-coalesce(close - lag(close) {BY}, 0), 0) AS l, close / lag(close, 10) {BY} - 1 AS mom, avg(close) {over(20)} AS sma, coalesce(stddev_samp(ret) {over(24)}, 0.0) AS rv, CASE WHEN count(*) {over(20)} >= 20 THEN (close - avg(close) {over(20)}) / (stddev_samp(close) {over(20)} + 1e-10) END AS z FROM b),
+ q1 AS (SELECT *, pow({C._RSI!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN g ELSE g / 14 * pow({C._RSI!r}, 1 - seq) END) {over()} AS up, pow({C._RSI!r}, seq - 1) * sum(CASE WHEN seq = 1 THEN l ELSE l / 14 * pow({C._RSI!r}, 1 - seq) END) {over()} AS dn, CASE WHEN count(mom) {over(50)} >= 50 THEN (mom - avg(mom) {over(50)}) / (stddev_samp(mom) {over(50)} + 1e-10) END AS mz, quantile_cont(rv, 0.95) OVER (PARTITION BY symbol) AS wild FROM q0),
+ q AS (SELECT *, CASE WHEN up < 1e-10 AND dn < 1e-10 THEN 50.0 WHEN dn < 1e-10 THEN 100.0 ELSE 100 - 100 / (1 + up / dn) END AS rsi FROM q1),
+ o AS (SELECT q.symbol, q.seq, hurst, rv, wild, CASE WHEN mz > 1 AND close > sma AND rsi < 80 THEN 1 WHEN mz < -1 AND close < sma AND rsi > 20 THEN -1 ELSE 0 END AS go, CASE WHEN z < -1 AND rsi < 35 THEN 1 WHEN z > 1 AND rsi > 65 THEN -1 ELSE 0 END AS back FROM q JOIN hu ON hu.symbol = q.symbol AND hu.seq = q.seq)
+ SELECT symbol, seq, CAST(go AS INTEGER) AS momentum_signal, CAST(back AS INTEGER) AS revert_signal, CAST(CASE WHEN rv > wild THEN 0 WHEN hurst > 0.55 THEN go WHEN hurst < 0.45 THEN back ELSE 0 END AS INTEGER) AS signal FROM o""",
+    lambda b: switched(b).select("symbol", "seq", "momentum_signal", "revert_signal", "signal"),
+)
