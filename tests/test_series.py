@@ -72,6 +72,23 @@ def test_hurst(frame, values, kind):
     assert got["short"]["regime"] == "random_walk"
 
 
+@pytest.mark.parametrize("kind", ["rs", "dfa"])
+def test_hurst_rolling(frame, values, kind):
+    got = {(r["symbol"], r["seq"]): r for r in S.hurst_rolling(frame.where("symbol IN ('noise', 'gaps', 'short')"), "x", method=kind).collect()}
+    seen = 0
+    for s in ("noise", "gaps", "short"):
+        for i in range(0, len(values[s]), 7):
+            window = [v for v in values[s][max(0, i - 99) : i + 1] if v is not None]
+            r = got[(s, i + 1)]
+            if len(window) < 50:
+                assert r["hurst"] is None and r["regime"] is None
+                continue
+            h, r2 = plain_hurst(window, kind)
+            assert near(r["hurst"], h, 1e-6) and near(r["r2"], r2, 1e-6)
+            seen += 1
+    assert seen > 30
+
+
 @pytest.mark.parametrize("lags", [0, 1, 3])
 def test_adf(frame, values, lags):
     got = {r["symbol"]: r for r in S.adf(frame, "x", lags).collect()}

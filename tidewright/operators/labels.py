@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,31 +78,43 @@ def fee_trapped(labels: DataFrame, sigma: Column, pt: float, share: float = 0.01
 
 
 def touch_grid(df: DataFrame, sigma: str, sls: list[float], pts: list[float], horizons: list[int]) -> DataFrame:
-    """The labels of first_touch for each stop, target and horizon (symbol, seq, sl, pt, horizon, label), from one range join over the longest horizon.
+    """The labels of first_touch for each stop, target and horizon: symbol, seq, sl, pt, horizon and label.
 
-    Each anchor carries its levels, one for each multiple and horizon, and keeps the first bar that reaches each; the first
-    of an upper and a lower level's bars decides a point of the grid. A horizon takes the anchors that have it whole ahead.
+    Bars are cut into blocks of the longest horizon, and a block's anchors see it and the next, so a task's group has at
+    most twice that many rows whatever the symbol. The running extremes after an anchor say at once where each level is
+    first reached; the first of an upper and a lower level's bars decides a point of the grid. A horizon takes the anchors
+    that have it whole ahead.
     """
-    rows = df.withColumn("_last", F.max("seq").over(Window.partitionBy("symbol")))
-    entry, unit = F.col("close"), {h: F.col(sigma) * F.lit(float(h) ** 0.5) for h in horizons}
-    levels = [(entry * (1 + pt * unit[h])).alias(f"up_{i}_{h}") for i, pt in enumerate(pts) for h in horizons]
-    levels += [(entry * (1 - sl * unit[h])).alias(f"down_{i}_{h}") for i, sl in enumerate(sls) for h in horizons]
-    anchors = rows.where((F.col("seq") + min(horizons) <= F.col("_last")) & (F.col(sigma) > 0)).select("symbol", "seq", (F.col("_last") - F.col("seq")).alias("ahead"), entry.alias("entry"), *levels)
-    pairs = forward_pairs(anchors, df.select("symbol", "seq", "high", "low", "close"), max(horizons))
-    within = {h: F.col("b.seq") <= F.col("seq") + h for h in horizons}
-    at = F.struct(F.col("b.seq").alias("at"), F.col("b.close").alias("close"))
-    firsts = [F.min(F.when(within[h] & (F.col("b.high") >= F.col(f"up_{i}_{h}")), at)).alias(f"u_{i}_{h}") for i in range(len(pts)) for h in horizons]
-    firsts += [F.min(F.when(within[h] & (F.col("b.low") <= F.col(f"down_{i}_{h}")), at)).alias(f"d_{i}_{h}") for i in range(len(sls)) for h in horizons]
-    hits = pairs.groupBy("symbol", "seq", "entry", "ahead").agg(*firsts)
-
-    def point(k: int, sl: float, m: int, pt: float, h: int) -> Column:
-        up, down = F.col(f"u_{m}_{h}.at"), F.col(f"d_{k}_{h}.at")
-        both = F.signum(F.col(f"u_{m}_{h}.close") - F.col("entry")).cast("int")
-        label = F.when(up == down, both).when(up.isNotNull() & (down.isNull() | (up < down)), 1).when(down.isNotNull(), -1).otherwise(0)
-        return F.struct(F.lit(float(sl)).alias("sl"), F.lit(float(pt)).alias("pt"), F.lit(h).alias("horizon"), label.alias("label"))
-
-    grid = F.array(*[point(k, sl, m, pt, h) for k, sl in enumerate(sls) for m, pt in enumerate(pts) for h in horizons])
-    return hits.withColumn("x", F.explode(grid)).where("x.horizon <= ahead").select("symbol", "seq", "x.sl", "x.pt", "x.horizon", "x.label")
+    longest = max(horizons)
+    rows = df.select("symbol", F.col("seq").cast("long").alias("seq"), *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")], F.col(sigma).cast("double").alias("sigma"), F.max("seq").over(Window.partitionBy("symbol")).cast("long").alias("last"))
+    block = F.floor(F.col("seq") / longest)
+    dealt = rows.withColumn("block", F.explode(F.array(block, block - 1)))
+
+    def touched(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        seq, high, low, close, sd, last = (pdf[c].to_numpy() for c in ("seq", "high", "low", "close", "sigma", "last"))
+        own = np.flatnonzero((seq // longest == pdf["block"].iloc[0]) & (sd > 0) & (seq + min(horizons) <= last))
+        highs = np.lib.stride_tricks.sliding_window_view(np.append(high, np.full(longest, -np.inf)), longest)
+        lows = np.lib.stride_tricks.sliding_window_view(np.append(low, np.full(longest, np.inf)), longest)
+        closes = np.append(close, np.zeros(longest))
+        out = []
+        for at in range(0, len(own), 256):
+            i = own[at : at + 256]
+            up, down = np.maximum.accumulate(highs[i + 1], axis=1), np.minimum.accumulate(lows[i + 1], axis=1)
+            for h in horizons:
+                whole = seq[i] + h <= last[i]
+                unit = sd[i] * float(h) ** 0.5
+                ups = [(up < (close[i] * (1 + pt * unit))[:, None]).sum(axis=1) for pt in pts]
+                downs = [(down > (close[i] * (1 - sl * unit))[:, None]).sum(axis=1) for sl in sls]
+                for sl, d in zip(sls, downs):
+                    for pt, u in zip(pts, ups):
+                        both = np.sign(closes[np.minimum(i + 1 + u, len(closes) - 1)] - close[i])
+                        label = np.where((u >= h) & (d >= h), 0, np.where(u == d, both, np.where(u < d, 1, -1))).astype(np.int32)
+                        out.append(pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "seq": seq[i][whole], "sl": float(sl), "pt": float(pt), "horizon": h, "label": label[whole]}))
+        found = pd.concat(out) if out else pd.DataFrame({"symbol": [], "seq": [], "sl": [], "pt": [], "horizon": [], "label": []})
+        return found.astype({"symbol": object})
+
+    return dealt.groupBy("symbol", "block").applyInPandas(touched, "symbol string, seq long, sl double, pt double, horizon int, label int")
 
 
 def sniper_labels(df: DataFrame, sigma: str, pt: float = 2.0, sl: float = 1.5, horizon: int = 18, least: float = 0.0045) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rules import normal_cdf
-from .windows import by_seq
+from .windows import by_seq, last_rows
 
 # ---- Hurst exponents --------------------------------------------------------------------------
 
@@ -79,6 +79,66 @@ def hurst_dfa(df: DataFrame, column: str, least: int = 10, number: int = 20) ->
     return _fitted(points, rows.select("symbol").distinct())
 
 
+def hurst_rolling(df: DataFrame, column: str, n: int = 100, least: int = 50, method: str = "dfa", smallest: int = 10, number: int = 20) -> DataFrame:
+    """df with hurst, r2 and regime of each row's last n values, null with fewer than `least`: detrended fluctuations (dfa) or rescaled ranges (rs), as hurst_dfa and hurst_scales of that window.
+
+    A window is an array of at most n numbers. Windows of one length are rows of a matrix, and each scale's segments are
+    detrended at once by one projection, so no window is looped over.
+    """
+    values = F.collect_list(F.col(column).cast("double")).over(last_rows(n))
+    rows = df.select("symbol", "seq", values.alias("v")).where(F.size("v") >= least)
+
+    def estimated(batches):
+        for pdf in batches:
+            lengths = np.array([len(v) for v in pdf["v"]])
+            hurst, r2 = np.full(len(pdf), 0.5), np.zeros(len(pdf))
+            for length in np.unique(lengths):
+                rows_ = np.flatnonzero(lengths == length)
+                if length >= 2 * smallest:
+                    hurst[rows_], r2[rows_] = _of_windows(np.stack(pdf["v"].iloc[rows_].to_numpy()), method, smallest, number)
+            yield pd.DataFrame({"symbol": pdf["symbol"], "seq": pdf["seq"], "hurst": hurst, "r2": r2})
+
+    found = rows.mapInPandas(estimated, "symbol string, seq long, hurst double, r2 double")
+    out = df.drop("hurst", "r2", "regime").join(found, ["symbol", "seq"], "left")
+    return out.withColumn("regime", F.when(F.col("hurst") > 0.55, "trending").when(F.col("hurst") < 0.45, "mean_reverting").when(F.col("hurst").isNotNull(), "random_walk"))
+
+
+def _of_windows(x: np.ndarray, method: str, smallest: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exponents and r2 of the rows of x."""
+    n = x.shape[1]
+    top = n // 4
+    sizes = sorted({smallest, top, *(int(np.floor(smallest * (top / smallest) ** (i / (number - 1)))) for i in range(1, number - 1))})
+    profile = np.cumsum(x - x.mean(axis=1, keepdims=True), axis=1)
+    points = []
+    for size in (s for s in sizes if s >= (3 if method == "dfa" else 2)):
+        count = n // size
+        if method == "dfa":
+            t = np.arange(size) - (size - 1) / 2
+            parts = np.concatenate([profile[:, : count * size].reshape(len(x), count, size), profile[:, n - count * size :].reshape(len(x), count, size)], axis=1)
+            parts = parts - parts.mean(axis=2, keepdims=True)
+            left = parts - (parts @ t / (t @ t))[..., None] * t
+            value = np.sqrt((left * left).mean(axis=(1, 2)))
+        else:
+            parts = x[:, : count * size].reshape(len(x), count, size)
+            walk = np.cumsum(parts - parts.mean(axis=2, keepdims=True), axis=2)
+            sd = parts.std(axis=2, ddof=1)
+            ratio = np.where(sd > 1e-10, (walk.max(axis=2) - walk.min(axis=2)) / np.where(sd > 1e-10, sd, 1), np.nan)
+            good = ~np.isnan(ratio)
+            value = np.where(good.any(axis=1), np.nansum(ratio, axis=1) / np.maximum(good.sum(axis=1), 1), 0.0)
+        points.append((np.full(len(x), np.log(size)), value))
+    a, v = (np.stack(p, axis=1) for p in zip(*points))
+    ok = v > 0
+    b = np.log(np.where(ok, v, 1.0))
+    k = ok.sum(axis=1)
+    ma, mb = (np.where(ok, z, 0).sum(axis=1) / np.maximum(k, 1) for z in (a, b))
+    da, db = np.where(ok, a - ma[:, None], 0), np.where(ok, b - mb[:, None], 0)
+    sxx, sxy, syy = (da * da).sum(axis=1), (da * db).sum(axis=1), (db * db).sum(axis=1)
+    fine = (k >= 3) & (sxx > 0)
+    slope = np.where(fine, sxy / np.where(sxx > 0, sxx, 1), 0.5)
+    r2 = np.where(fine & (syy > 0), np.maximum(0.0, 1 - (syy - slope * sxy) / (syy + 1e-10)), 0.0)
+    return np.where(fine, np.clip(slope, 0, 1), 0.5), r2
+
+
 # ---- stationarity -----------------------------------------------------------------------------
 
 # Coefficients of the asymptotic distribution of the statistic with a constant (MacKinnon 1994), by which

@@ -689,3 +689,4 @@ add_bars(
  SELECT symbol, seq, CAST(go AS INTEGER) AS momentum_signal, CAST(back AS INTEGER) AS revert_signal, CAST(CASE WHEN rv > wild THEN 0 WHEN hurst > 0.55 THEN go WHEN hurst < 0.45 THEN back ELSE 0 END AS INTEGER) AS signal FROM o""",
     lambda b: switched(b).select("symbol", "seq", "momentum_signal", "revert_signal", "signal"),
 )
+add_bars("win_hurst_rolling", None, lambda b: shown(S.hurst_rolling(W.returns(b), "log_ret"), "symbol", "seq", "hurst", "r2", "regime"))
