@@ -37,7 +37,7 @@ def band_results(df: DataFrame, z: str, fee: float = 0.0004) -> DataFrame:
 
 
 def walk_forward(daily: DataFrame, folds: DataFrame, parameters: list[str], days: int = 365) -> DataFrame:
-    """For each symbol and fold the parameters of the highest training Sharpe ratio (of equal ones the smallest parameters) with train_ and test_ sharpe, pnl, and the test's trades, win rate by day, and largest fall.
+    """For each symbol and fold the parameters of the highest training Sharpe ratio (of those alike to nine places the smallest parameters) with train_ and test_ sharpe, pnl, and the test's trades, win rate by day, and largest fall.
 
     daily: symbol, parameters, day, pnl, trades; folds: as rolling_folds. A Sharpe ratio without deviation is 0. Folds
     without a day in training or test are left out.
@@ -55,7 +55,7 @@ def walk_forward(daily: DataFrame, folds: DataFrame, parameters: list[str], days
     test = F.col("test")
     stats = met.groupBy(*keys).agg(*over(~test, "train"), *over(test, "test"), F.sum(F.when(test, F.col("trades")).otherwise(0)).alias("test_trades"), F.avg(F.when(test, (F.col("pnl") > 0).cast("double"))).alias("test_win_rate"), F.max(F.when(test, F.col("_fall"))).alias("test_mdd"))
     whole = stats.where("train_pnl IS NOT NULL AND test_pnl IS NOT NULL")
-    first = F.row_number().over(Window.partitionBy("symbol", "fold").orderBy(F.desc("train_sharpe"), *parameters))
+    first = F.row_number().over(Window.partitionBy("symbol", "fold").orderBy(F.desc(F.round("train_sharpe", 9)), *parameters))
     return whole.withColumn("_n", first).where("_n = 1").drop("_n")
 
 

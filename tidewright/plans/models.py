@@ -421,7 +421,7 @@ _WALKED = f"""{recursive(WITH)}, zz AS (SELECT symbol, seq, bar_ts, close, coale
  sm AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol, fold, entry, leave, test ORDER BY day) AS s FROM me), fa AS (SELECT *, greatest(max(s) OVER (PARTITION BY symbol, fold, entry, leave, test ORDER BY day), 0) - s AS fall FROM sm),
  st AS (SELECT symbol, fold, entry, leave, coalesce(CASE WHEN stddev_pop(pnl) FILTER (NOT test) > 1e-12 THEN avg(pnl) FILTER (NOT test) / stddev_pop(pnl) FILTER (NOT test) * sqrt(365) END, 0) AS train_sharpe, sum(pnl) FILTER (NOT test) AS train_pnl,
   coalesce(CASE WHEN stddev_pop(pnl) FILTER (test) > 1e-12 THEN avg(pnl) FILTER (test) / stddev_pop(pnl) FILTER (test) * sqrt(365) END, 0) AS test_sharpe, sum(pnl) FILTER (test) AS test_pnl, coalesce(sum(trades) FILTER (test), 0) AS test_trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) FILTER (test) AS test_win_rate, max(fall) FILTER (test) AS test_mdd FROM fa GROUP BY 1, 2, 3, 4),
- wf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY train_sharpe DESC, entry, leave) AS n FROM st WHERE train_pnl IS NOT NULL AND test_pnl IS NOT NULL) WHERE n = 1)"""
+ wf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY round(train_sharpe, 9) DESC, entry, leave) AS n FROM st WHERE train_pnl IS NOT NULL AND test_pnl IS NOT NULL) WHERE n = 1)"""
 _FOLD = ("train_sharpe", "train_pnl", "test_sharpe", "test_pnl", "test_win_rate", "test_mdd")
 add_bars(
     "wf_folds",
