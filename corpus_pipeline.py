@@ -1,7 +1,8 @@
 """Training-corpus pipeline: each stage's rows are written as Parquet and read again by the next.
 
-The last stage turns texts into pieces for training: its rows are doc_id, log_prob and pieces, so lang, source and text
-end there. All stages before it return the columns of documents.
+The last stage turns texts into pieces for training: its rows are doc_id, log_prob, log_inclusion and pieces of the first
+sampled segmentation, the other samples, and whether all decode to the text; so lang, source and text end there. All stages
+before it return the columns of documents.
 
 Defined cases: null and empty texts are harmless, classes of their own, lose nothing, hold no benchmark window and have no
 pieces; rows that repeat doc_id and text are one document, of which near-dedup keeps one row; rows without doc_id are kept
