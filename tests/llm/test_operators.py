@@ -558,5 +558,5 @@ def test_toxicity_is_right_on_given_labels(spark):
 
 
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in Q.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in Q.QUERIES}
     assert set(Q.ORACLE_SQL) <= set(Q.QUERIES)
