@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODES, Spans, cut, ordered_id, shielded, signed, steps, table, with_columns
+from .common import BYTE_CODES, Spans, cut, ordered_id, packed, shielded, signed, steps, table, with_columns
 
-LEAST, MOST, MASK_BITS, RUN, FLUSH_CHUNKS = 24, 96, 4, 64, 1_000_000
+LEAST, MOST, MASK_BITS, SIZE_BITS, RUN, FLUSH_CHUNKS = 24, 96, 4, 7, 64, 1_000_000
 GEAR = (BYTE_CODES[2] >> np.uint64(32)).astype(np.uint32)
 
 
@@ -76,11 +76,13 @@ def spans_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def hashes_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return signed(Spans(data, 0).hash(begin, end)), (Spans(data, 1).hash(begin, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """Two numbers for each chunk: 64 bits of one hash, and 32 bits of another with the chunk's size behind them."""
+    second = Spans(data, 1).hash(begin, end) >> np.uint64(32)
+    return signed(Spans(data, 0).hash(begin, end)), signed(second << np.uint64(SIZE_BITS) | (end - begin).astype(np.uint64))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """o, t, start, size, c1 and c2 of each chunk. docs: o and t (what identifies a document), text."""
+    """o, t, start, c1 and c2 of each chunk. docs: o and t (what identifies a document), text."""
 
     def run(batches):
         for batch, data, starts in steps(batches):
@@ -88,9 +90,9 @@ def chunks(docs: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(counts)), counts)
             c1, c2 = hashes_of(data, begin, end)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("o").take(take), batch.column("t").take(take), pa.array((begin - starts[row]).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(c1), pa.array(c2)], ["o", "t", "start", "size", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([batch.column("o").take(take), batch.column("t").take(take), pa.array((begin - starts[row]).astype(np.int32)), pa.array(c1), pa.array(c2)], ["o", "t", "start", "c1", "c2"])
 
-    return docs.select("o", "t", "text").mapInArrow(run, "o long, t long, start int, size int, c1 long, c2 int")
+    return docs.select("o", "t", "text").mapInArrow(run, "o long, t long, start int, c1 long, c2 long")
 
 
 def text_tag():
@@ -111,7 +113,7 @@ def digests(docs: DataFrame) -> DataFrame:
             new = np.ones(len(c1), bool)
             new[1:] = (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
             at = np.flatnonzero(new)
-            return pa.RecordBatch.from_arrays([pa.array(c1[at]), pa.array(c2[at]), pa.array(np.diff(np.append(at, len(c1))))], ["c1", "c2", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c1[at]), pa.array(c2[at]), pa.array(np.diff(np.append(at, len(c1))).astype(np.int32))], ["c1", "c2", "n"])
 
         for batch, data, starts in steps(batches):
             begin, end, _ = spans_of(data, starts)
@@ -123,7 +125,7 @@ def digests(docs: DataFrame) -> DataFrame:
         if size:
             yield settle()
 
-    return docs.select("text").mapInArrow(run, "c1 long, c2 int, n long")
+    return docs.select("text").mapInArrow(run, "c1 long, c2 long, n int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = cut(chunks(docs).join(many, ["c1", "c2"]))
     first = cut(found.groupBy("c1", "c2").agg(F.min(place).alias("first")))
     later = found.join(first, ["c1", "c2"]).where(place != F.col("first"))
-    return later.groupBy("o", "t").agg(F.collect_set(F.struct("start", "size", F.col("first.o").alias("source"))).alias("repeats"))
+    return later.groupBy("o", "t").agg(F.collect_set(F.struct("start", F.col("c2").bitwiseAND((1 << SIZE_BITS) - 1).cast("int").alias("size"), F.col("first.o").alias("source"))).alias("repeats"))
 
 
 def runs(found: list, least: int = RUN) -> list[tuple[int, int, set]]:
@@ -161,7 +163,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     own = {"o": "_o", "t": "_t", "repeats": "_repeats"}
     rows = docs.withColumns({own["o"]: ordered_id(key), own["t"]: text_tag()})
     found = repeats(rows.select(F.col("_o").alias("o"), F.col("_t").alias("t"), "text")).withColumnsRenamed(own)
-    joined = rows.join(found, ["_o", "_t"], "left")
+    joined = packed(rows).join(found, ["_o", "_t"], "left")
 
     def make(batch, data, starts):
         raw = data.tobytes()
@@ -180,7 +182,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             sources.append(sorted(set().union(*(s for _, _, s in gone))))
         return {"kept": pa.array(kept, pa.string()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "sources": pa.array(sources, pa.list_(pa.int64()))}
 
-    return with_columns(joined, make, FIELDS).drop("_o", "_t", "_repeats")
+    return with_columns(joined, make, FIELDS, small=True).drop("_o", "_t", "_repeats")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
