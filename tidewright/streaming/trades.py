@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .features import ROCKS
+from .features import ROCKS, UNCHECKED, ascending, in_order
 
 LATE = "45 days"
 
@@ -52,8 +53,7 @@ def dollar_bars(trades: DataFrame, threshold: float) -> DataFrame:
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bar_no, last, *bar = state.get if state.exists else (0, -1, *[None] * 9)
         rows = []
-        batch = pd.concat(list(parts)).sort_values("trade_id", kind="stable")  # one micro-batch of one symbol
-        for i, price, qty, quote, ts in zip(batch["trade_id"], batch["price"], batch["qty"], batch["quote_qty"], batch["ts"]):
+        for i, price, qty, quote, ts in chain.from_iterable(zip(*(p[c] for c in ("trade_id", "price", "qty", "quote_qty", "ts"))) for p in ascending(parts)):
             if i <= last:
                 continue
             last = int(i)
@@ -65,7 +65,7 @@ def dollar_bars(trades: DataFrame, threshold: float) -> DataFrame:
         state.update((bar_no, last, *bar))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in BAR.split(", ")])
 
-    return trades.groupBy("symbol").applyInPandasWithState(step, BAR, STATE, "append", GroupStateTimeout.NoTimeout)
+    return in_order(trades).groupBy("symbol").applyInPandasWithState(step, BAR, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def shared(spark: SparkSession) -> str:
@@ -81,12 +81,14 @@ def drained(stream: DataFrame, mode: str = "append", folder: str | None = None)
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKS)  # a query takes the settings of its start
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKS, UNCHECKED: "false"}
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():  # a query takes the settings of its start
+        spark.conf.set(key, value)
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
     query.awaitTermination()
     return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/out").drop("batch")
