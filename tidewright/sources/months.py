@@ -45,9 +45,10 @@ def plan(source: DataFrame, path: str, ts: str, later: int = 2) -> DataFrame:
     """The months of source to build: those without a commit, whose commit was partial and whose source has changed or is final now, or whose rows have gone."""
     spark = source.sparkSession
     done = commits(spark, path).select("symbol", "ym", F.col("source_rows").alias("_rows"), F.col("complete").alias("_complete"))
-    there = present(spark, path)
-    settled = source_months(source, ts, later).join(done, ["symbol", "ym"]).where(F.col("_complete") | ((F.col("source_rows") == F.col("_rows")) & ~F.col("complete")))
-    return source_months(source, ts, later).join(settled.join(there, ["symbol", "ym"], "left_semi"), ["symbol", "ym"], "left_anti")
+    there = present(spark, path).withColumn("_there", F.lit(True))
+    months = source_months(source, ts, later).join(done, ["symbol", "ym"], "left").join(there, ["symbol", "ym"], "left")
+    settled = F.col("_there") & (F.col("_complete") | ((F.col("source_rows") == F.col("_rows")) & ~F.col("complete")))
+    return months.where(~F.coalesce(settled, F.lit(False))).select("symbol", "ym", "source_rows", "complete")
 
 
 def write_new_months(source: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], ts: str = "ts", bar_ts: str = "bar_ts", later: int = 2) -> int:
@@ -68,7 +69,8 @@ def write_new_months(source: DataFrame, path: str, build: Callable[[DataFrame],
         written = spark.read.parquet(f"{path}/rows").select(F.col("symbol").cast("string").alias("symbol"), F.col("ym").cast("string").alias("ym")).groupBy("symbol", "ym").agg(F.count("*").alias("n_rows"))
         run = (commits(spark, path).agg(F.max("run")).first()[0] or 0) + 1
         made = todo.join(written, ["symbol", "ym"], "left").select("symbol", "ym", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), F.col("source_rows").cast("long").alias("source_rows"), "complete", F.lit(run).cast("long").alias("run"))
-        made.coalesce(1).write.mode("errorifexists").parquet(f"{path}/_commits/run-{run:09d}")  # a row for each planned month
+        # a shuffle, as one task that reads all partitions of the windows and joins would hold all their sorters' memory at once
+        made.repartition(1).write.mode("errorifexists").parquet(f"{path}/_commits/run-{run:09d}")  # a row for each planned month
         return n
     finally:
         todo.unpersist()
