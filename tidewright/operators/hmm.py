@@ -60,12 +60,16 @@ def standardised(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def blocks(rows: DataFrame, columns: list[str], size: int = BLOCK) -> DataFrame:
-    """symbol, block, first (whether it starts its sequence), seqs and x (rows of `columns`) of at most `size` rows each. A row with a null in `columns` is left out."""
+    """symbol, block, first and last (whether it starts or ends its sequence), seqs and x (the values of `columns`, row by row) of at most `size` rows each. A row with a null in `columns` is left out.
+
+    Blocks are dealt out by symbol and block, so that one symbol's blocks are many tasks' work and joins of a few numbers for each block move none of them.
+    """
     known = rows.dropna(subset=columns)
     row = F.struct("seq", F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     made = known.groupBy("symbol", F.floor(F.col("seq") / size).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("r"))
-    first = F.row_number().over(Window.partitionBy("symbol").orderBy("block")) == 1
-    return made.select("symbol", "block", first.alias("first"), F.col("r.seq").alias("seqs"), F.col("r.x").alias("x"))
+    own = Window.partitionBy("symbol").orderBy("block")
+    made = made.select("symbol", "block", F.lag("block").over(own).isNull().alias("first"), F.lead("block").over(own).isNull().alias("last"), F.col("r.seq").alias("seqs"), F.flatten("r.x").alias("x"))
+    return made.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "block").sortWithinPartitions("symbol", "block")
 
 
 def _padded(pdf: pd.DataFrame, model: Model):
@@ -73,7 +77,7 @@ def _padded(pdf: pd.DataFrame, model: Model):
     lengths = np.array([len(s) for s in pdf["seqs"]])
     x = np.zeros((len(pdf), lengths.max(), model.means.shape[1]))
     for i, rows in enumerate(pdf["x"]):
-        x[i, : lengths[i]] = np.stack(rows)
+        x[i, : lengths[i]] = np.reshape(rows, (lengths[i], -1))
     real = np.arange(x.shape[1]) < lengths[:, None]
     density = model.log_density(x)
     top = density.max(-1)
@@ -208,21 +212,21 @@ def fit(rows: DataFrame, columns: list[str], k: int = 3, iterations: int = 100,
         for _ in range(iterations):
             ends = _ends(cut, model, False).persist()
             ahead, back = _passes(ends, model, False)
-            both = cut.join(ahead.drop("total"), ["symbol", "block"]).join(back, ["symbol", "block"])
+            both = cut.join(ahead, ["symbol", "block"]).join(back, ["symbol", "block"])
 
             def summed(pdfs, model=model):
                 total = None
                 for pdf in _chunks(pdfs):
-                    own = _sums(pdf, model)
+                    own = np.append(_sums(pdf, model), pdf["total"].to_numpy()[pdf["last"].to_numpy()].sum())
                     total = own if total is None else total + own
                 if total is not None:
                     yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
 
-            likelihood = ahead.groupBy("symbol").agg(F.max_by("total", "block").alias("t")).agg(F.sum("t")).first()[0]
             total = np.array([r[1] for r in both.mapInPandas(summed, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])
             ends.unpersist()
             if not len(total):
                 raise ValueError("there are no rows to fit")
+            total, likelihood = total[:-1], total[-1]
             history.append(float(likelihood))
             n = total[k + 1]
             if len(history) > 1 and history[-1] - history[-2] < tolerance * n:
@@ -245,28 +249,21 @@ def decode(rows: DataFrame, columns: list[str], model: Model, size: int = BLOCK)
     """
     cut = blocks(rows, columns, size)
 
-    def joined(best: bool) -> DataFrame:
+    both = cut
+    for best, ahead_, back_ in ((False, "ahead", "back"), (True, "best_ahead", "best_back")):
         ahead, back = _passes(_ends(cut, model, best), model, best)
-        return cut.join(ahead.drop("total"), ["symbol", "block"]).join(back, ["symbol", "block"])
-
-    def flat(pdf, real, **columns):
-        lengths = real.sum(1)
-        return pd.DataFrame({"symbol": np.repeat(pdf["symbol"].to_numpy(), lengths), "seq": np.concatenate(list(pdf["seqs"])), **{n: c[real] for n, c in columns.items()}})
+        both = both.join(ahead.select("symbol", "block", F.col("ahead").alias(ahead_)), ["symbol", "block"]).join(back.select("symbol", "block", F.col("back").alias(back_)), ["symbol", "block"])
 
-    def likely(pdfs):
+    def states(pdfs):
         for pdf in _chunks(pdfs):
             alpha, beta, _, real, _ = _within(pdf, model, False)
             gamma = alpha * beta
             gamma /= gamma.sum(-1, keepdims=True)
-            yield flat(pdf, real, filtered=alpha.argmax(-1), p_filtered=alpha.max(-1), smoothed=gamma.argmax(-1), p_smoothed=gamma.max(-1))
-
-    def paths(pdfs):
-        for pdf in _chunks(pdfs):
-            alpha, beta, _, real, _ = _within(pdf, model, True)
-            yield flat(pdf, real, path=(alpha * beta).argmax(-1))
+            best_alpha, best_beta, *_ = _within(pdf.assign(ahead=pdf["best_ahead"], back=pdf["best_back"]), model, True)
+            found = {"filtered": alpha.argmax(-1), "p_filtered": alpha.max(-1), "smoothed": gamma.argmax(-1), "p_smoothed": gamma.max(-1), "path": (best_alpha * best_beta).argmax(-1)}
+            yield pd.DataFrame({"symbol": np.repeat(pdf["symbol"].to_numpy(), real.sum(1)), "seq": np.concatenate(list(pdf["seqs"])), **{n: c[real] for n, c in found.items()}})
 
-    one = joined(False).mapInPandas(likely, "symbol string, seq long, filtered int, p_filtered double, smoothed int, p_smoothed double")
-    return one.join(joined(True).mapInPandas(paths, "symbol string, seq long, path int"), ["symbol", "seq"])
+    return both.mapInPandas(states, "symbol string, seq long, filtered int, p_filtered double, smoothed int, p_smoothed double, path int")
 
 
 def parameters(spark, model: Model) -> DataFrame:
