@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import Spans, mix, ragged, steps, table
 
-SAMPLES, TEMPERATURE, OFFSET, KNOWN_UNITS, KNOWN_EDGES = 2, 1.0, 2.7, 150_000, 3_000_000
+SAMPLES, TEMPERATURE, OFFSET, KNOWN_UNITS, KNOWN_EDGES = 4, 1.0, 2.7, 150_000, 3_000_000
 #: Units longer than this are worked through one by one.
 LONG = 512
 #: The given model, unless the environment names another.
