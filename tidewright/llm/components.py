@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Rows that a task reads of the tables that rounds write.
+TASK_ROWS = 20_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, which is written and has at most so many rows, in no more partitions than these need: each task that shuffles leaves three files, however few its rows are."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) for each node that has an edge. edges: a, b (longs).
@@ -20,13 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        n = now[0]
+        e = gathered(e, n)
+        if now == before or not n:
             break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = gathered(cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), 2 * n)
+        large = gathered(cut(both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()), n)
+        low = gathered(cut(large.groupBy("u").agg(F.min("v").alias("m"))), n)
         small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     labels = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
