@@ -61,7 +61,7 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    """symbol, seq, signal (-1, 0 or 1), size and stop_price of files that may lack the last two.
+    """symbol, seq, signal (-1, 0 or 1), size and stop_price of files that may lack the last two, by symbol and seq.
 
     A column counts as given if any of its values is over 0: then a size that isn't over 0 is 1, else all sizes are 1; stop
     prices that aren't given are null. Other signals are refused.
@@ -73,7 +73,7 @@ def read_signals(spark: SparkSession, path: str) -> DataFrame:
     if bad:
         raise SchemaMismatch(f"{bad} signals are none of -1, 0 and 1")
     size = F.when(F.col("size") > 0, F.col("size")).otherwise(1.0) if sizes else F.lit(1.0)
-    return rows.select("symbol", "seq", "signal", size.alias("size"), (F.col("sl_price") if stops else F.lit(None).cast("double")).alias("stop_price"))
+    return rows.select("symbol", "seq", "signal", size.alias("size"), (F.col("sl_price") if stops else F.lit(None).cast("double")).alias("stop_price")).orderBy("symbol", "seq")
 
 
 def enabled_symbols(config: DataFrame, only: str | None = None) -> DataFrame:
