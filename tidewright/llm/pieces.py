@@ -46,19 +46,64 @@ NEVER = -math.inf
 _U = np.uint64
 
 
-def uniform(seed, *what) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the seed and on each of `what` (integers or arrays of them)."""
+def uniform_seed(seed, *what) -> np.ndarray:
+    """What uniform(seed, *what, ...) goes on from."""
     x = np.asarray(seed, np.uint64)
     with np.errstate(over="ignore"):
         for w in what:
             x = mix(x * _U(0x9E3779B97F4A7C15) + np.asarray(w, np.uint64) + _U(1))
-    return ((x >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return x
+
+
+def uniform(seed, *what) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the seed and on each of `what` (integers or arrays of them)."""
+    return ((uniform_seed(seed, *what) >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def leaving_values(before, log_ps, u) -> np.ndarray:
+    """Gumbel values of "as drawn up to a unit (log probability `before`), and different there (not by the path of log_ps)"."""
+    with np.errstate(divide="ignore"):
+        return before + np.log(-np.expm1(np.minimum(log_ps, 0.0))) - np.log(-np.log(u))
+
 
+#: So many units of each text get their Gumbel values first.
+HEAD = 48
 
-def gumbel_below(log_mass: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
-    """Gumbel values with the given log masses, truncated at bound; minus infinity where there is no mass."""
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        return np.where(log_mass > NEVER, -np.logaddexp(-bound, np.log(-np.log(u)) - log_mass), NEVER)
+
+def best_leaving(prefix, log_ps, running, offs, inside, seed, most: int):
+    """The largest `most` (or more) Gumbel values of "as drawn up to a unit, and different there" of each text: texts, units (from the first drawn one on), values.
+
+    A value is the log mass of those segmentations plus a random number. The masses fall along a text, so few units
+    beyond the first ones can come up; they are told by their uniform numbers u, as -log(-log u) <= -log(1 - u).
+    """
+    sizes, rows = np.diff(offs), len(offs) - 1
+    before = prefix - running[offs[:-1]]
+    wide = max(HEAD, most)
+    first = np.minimum(sizes, wide)
+    row, col = np.repeat(np.arange(rows), first), ragged(first)
+    table = np.full((rows, wide), NEVER)
+    at = offs[:-1][row] + col
+    table[row, col] = leaving_values(before[row] + running[at], log_ps[at], uniform(seed[row], inside[at]))
+    top = np.argpartition(-table, most - 1, axis=1)[:, :most]
+    found = np.take_along_axis(table, top, 1)
+    least = found.min(axis=1)
+    row, col, value = np.repeat(np.arange(rows), most), top.ravel(), found.ravel()
+    later = sizes - first
+    if later.any():
+        row2 = np.repeat(np.arange(rows), later)
+        at = (offs[:-1] + first)[row2] + ragged(later)
+        u = uniform(seed[row2], inside[at])
+        with np.errstate(over="ignore"):
+            # first by the mass where the rest of the text begins, which is one number a text, then by the unit's own
+            room = np.exp(before + running[offs[:-1] + first] - least) * (1 + 1e-9)
+            may = np.flatnonzero(1.0 - u <= room[row2])
+            row2, at, u = row2[may], at[may], u[may]
+            may = np.flatnonzero(1.0 - u <= np.exp(before[row2] + running[at] - least[row2]) * (1 + 1e-9))
+            row2, at, u = row2[may], at[may], u[may]
+        more = leaving_values(before[row2] + running[at], log_ps[at], u)
+        row, col, value = np.concatenate([row, row2]), np.concatenate([col, at - offs[:-1][row2]]), np.concatenate([value, more])
+    on = np.flatnonzero((value > NEVER) & (value >= least[row]))
+    return row[on], col[on], value[on]
 
 
 _MASK = (1 << 64) - 1
@@ -75,6 +120,15 @@ def uniform_one(seed: int, *what: int) -> float:
     return ((x >> 11) + 0.5) / (1 << 53)
 
 
+_U8_PIECE, _U8_BEGINS = np.uint8(1), np.uint8(2)
+
+
+def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers that tell spans of one length, of one or two bytes, apart."""
+    x = data[starts].astype(np.uint64)
+    return x if not len(x) or ends[0] - starts[0] == 1 else x << _U(8) | data[starts + 1]
+
+
 class Vocabulary:
     """The pieces of a model as bytes, by length and hash, with their log probabilities."""
 
@@ -98,6 +152,9 @@ class Vocabulary:
                 by_length.setdefault(len(self.raw[i]), []).append(i)
                 log_p[i] = -math.log(i + OFFSET)
         self.log_p = (log_p - np.logaddexp.reduce(log_p)) / temperature
+        self.p = np.exp(self.log_p)
+        # a path through this many bytes has a probability that a double holds with full precision
+        self.short = int(min(LONG, 700 / max(1.0, -self.log_p[self.log_p > NEVER].min(initial=-1.0))))
         self.size = np.array([len(x) for x in self.raw])
         self.joins = np.zeros(0x110000, bool)  # code points that a piece of several characters holds
         for piece in self.raw:
@@ -106,21 +163,31 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         spans = Spans(self.flat)
+        longest = max(by_length, default=0)
         self.tables = []
-        for length, ids in sorted(by_length.items()):
-            ids = np.array(ids)
-            h = spans.hash(self.at[ids], self.at[ids] + length)
+        for length in range(1, longest + 1):
+            ids = np.array(by_length.get(length, ()), np.int64)
+            longer = np.flatnonzero(self.size > length)
+            code, start = (self._codes if length <= 2 else spans.hash), self.at[longer]
+            h, begins = code(self.at[ids], self.at[ids] + length), code(start, start + length)
+            # most spans are no piece, and most begin none: their codes, or their hashes' first bits, tell that at once
+            flags = np.zeros(1 << 18, np.uint8)
+            shift = _U(0 if length <= 2 else 46)
+            flags[h >> shift] |= _U8_PIECE
+            flags[begins >> shift] |= _U8_BEGINS
             order = np.argsort(h)
-            likely = np.zeros(1 << 18, bool)  # by the hash's first bits: most spans are no piece, which this tells at once
-            likely[h >> _U(46)] = True
-            self.tables.append((length, h[order], ids[order].astype(np.int32), likely))
+            self.tables.append((length, h[order], ids[order].astype(np.int32), flags, shift))
+
+    def _codes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return codes(self.flat, starts, ends)
 
 
 class Lattices:
     """Lattices of units, one after the other: nodes are byte positions, edges are pieces.
 
     `first` has each node's first edge; an edge has its piece, its length, the log probability that a path at its node
-    takes it, and the running total of those probabilities. Edges of a node are in the order of their length.
+    takes it, and the running total of those probabilities. Edges of a node are in the order of their length; `skip` is
+    the total before a node's last edge. `mass` has the log probability of all of a unit's paths.
     """
 
     def __init__(self, vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray):
@@ -137,23 +204,27 @@ class Lattices:
         char_size = np.diff(np.append(char_start, n))
         whole = np.zeros(len(char_start), bool)
         found = []
-        at, left = np.arange(n), end - np.arange(n)
-        for length, hashes, ids, likely in vocabulary.tables:
-            on = left >= length
-            room, left = at[on], left[on]
+        room, left = np.arange(n), end - np.arange(n)
+        for length, hashes, ids, flags, shift in vocabulary.tables:
+            if length > 1:  # what no longer piece begins with, or has no room for one, is settled
+                on = np.flatnonzero(((flag & _U8_BEGINS) > 0) & (left >= length))
+                room, left = room[on], left[on]
             if not len(room):
                 break
-            at = room
-            h = spans.hash(at, at + length)
-            maybe = likely[h >> _U(46)]
-            at, h = at[maybe], h[maybe]
+            h = codes(data, room, room + length) if length <= 2 else spans.hash(room, room + length)
+            flag = flags[h >> shift]
+            maybe = np.flatnonzero(flag & _U8_PIECE)
+            at, h = room[maybe], h[maybe]
+            if not len(at):
+                continue
             k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[k] == h
+            hit = np.flatnonzero(hashes[k] == h)
             at = at[hit]
             found.append((length, at, ids[k[hit]]))
+            if length > 4:
+                continue
             c = char[at]
             whole[c[lead[at] & (char_size[c] == length)]] = True
-            at = room
         spelled = np.flatnonzero(~whole[char]) if n else np.zeros(0, int)  # bytes of characters without a piece
         found.insert(0, (1, spelled, vocabulary.byte[data[spelled]]))
         counts = np.zeros(n + units + 1, np.int64)
@@ -167,32 +238,34 @@ class Lattices:
             e = filled[node[at]]
             self.piece[e], self.length[e] = ids, length
             filled[node[at]] += 1
-        edge_node = np.repeat(np.arange(n + units), np.diff(self.first))
-        log_p = vocabulary.log_p[self.piece]
-        self.mass = np.full(n + units, NEVER)
-        self.mass[self.end] = 0.0
-        short = np.flatnonzero(sizes <= LONG)
-        by_size = short[np.argsort(-sizes[short], kind="stable")]
-        most = int(sizes[short].max(initial=0))
-        longer = np.searchsorted(-sizes[by_size], -np.arange(most + 1), "right")
         degree = np.diff(self.first)
-        for d in range(1, most + 1):
-            nodes = self.end[by_size[: longer[d]]] - d
-            total_mass = np.full(len(nodes), NEVER)
-            deg, slot = degree[nodes], 0
-            live = np.flatnonzero(deg > 0)
-            while len(live):
-                e = self.first[nodes[live]] + slot
-                total_mass[live] = np.logaddexp(total_mass[live], log_p[e] + self.mass[nodes[live] + self.length[e]])
-                slot += 1
-                live = live[deg[live] > slot]
-            self.mass[nodes] = total_mass
-        for u in np.flatnonzero(sizes > LONG):  # such a unit alone would be a step of numpy for each byte
-            self._long_mass(int(self.root[u]), int(self.end[u]), log_p)
-        with np.errstate(invalid="ignore"):
-            self.log_p = log_p + self.mass[edge_node + self.length] - self.mass[edge_node]
-        self.log_p[np.isnan(self.log_p)] = NEVER
-        self.upto = np.exp(self.log_p)
+        target = np.repeat(np.arange(n + units), degree) + self.length
+        mass = np.zeros(n + units)
+        mass[self.end] = 1.0
+        # nodes with edges in the order of their distance from their unit's end, and their edges, one node after the other
+        inner = np.flatnonzero((sizes <= vocabulary.short)[unit])
+        inner = inner[degree[node[inner]] > 0]
+        far = (end[inner] - inner).astype(np.uint16)
+        by_far = np.argsort(far, kind="stable")
+        nodes = node[inner[by_far]]
+        width = degree[nodes]
+        edges = np.repeat(self.first[nodes], width) + ragged(width)
+        begins = np.concatenate([[0], np.cumsum(width)])
+        share, onto = vocabulary.p[self.piece[edges]], target[edges]
+        cuts = np.searchsorted(far[by_far], np.arange(1, int(far.max(initial=0)) + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a < b:
+                x, y = int(begins[a]), int(begins[b])
+                share[x:y] *= mass[onto[x:y]]
+                mass[nodes[a:b]] = np.add.reduceat(share[x:y], begins[a:b] - x)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share /= np.repeat(mass[nodes], width)
+            self.mass = np.log(mass[self.root])
+            self.upto, self.log_p = np.zeros(total), np.full(total, NEVER)
+            share[np.isnan(share)] = 0.0
+            self.upto[edges], self.log_p[edges] = share, np.log(share)
+        for u in np.flatnonzero(sizes > vocabulary.short).tolist():
+            self._long(u, vocabulary.log_p)
         slot, live = 1, np.flatnonzero(degree > 1)
         while len(live):
             e = self.first[live] + slot
@@ -200,97 +273,125 @@ class Lattices:
             slot += 1
             live = live[degree[live] > slot]
         self.upto[self.first[1:][degree > 0] - 1] = 2.0
-
-    def _long_mass(self, root: int, end: int, log_p: np.ndarray) -> None:
-        """The masses of one unit's nodes, from its end."""
+        last = np.zeros(n + units, bool)
+        last[self.end] = True
+        self.jump = np.where(last[target], 0, self.length)  # 0: the path ends
+        self.skip = np.zeros(n + units)
+        several = np.flatnonzero(degree > 1)
+        self.skip[several] = self.upto[self.first[several + 1] - 2]
+
+    def _long(self, unit: int, log_p: np.ndarray) -> None:
+        """The masses of one unit's nodes, from its end, by their logarithms; then its edges' probabilities."""
+        root, end = int(self.root[unit]), int(self.end[unit])
         first = self.first[root : end + 1].tolist()
         a = first[0]
-        p, size = log_p[a : first[-1]].tolist(), self.length[a : first[-1]].tolist()
+        ids = self.piece[a : first[-1]]
+        p, size = log_p[ids].tolist(), self.length[a : first[-1]].tolist()
         mass = [NEVER] * (end - root) + [0.0]
         for at in range(end - root - 1, -1, -1):
             values = [p[e] + mass[at + size[e]] for e in range(first[at] - a, first[at + 1] - a)]
             top = max(values, default=NEVER)
             if top > NEVER:
                 mass[at] = top + math.log(sum(math.exp(v - top) for v in values))
-        self.mass[root : end + 1] = mass
+        self.mass[unit] = mass[0]
+        mass = np.array(mass)
+        at = np.repeat(np.arange(end - root), np.diff(first))
+        with np.errstate(invalid="ignore"):
+            own = log_p[ids] + mass[at + self.length[a : first[-1]]] - mass[at]
+        own[np.isnan(own)] = NEVER
+        self.log_p[a : first[-1]], self.upto[a : first[-1]] = own, np.exp(own)
 
     def walk(self, units: np.ndarray, seed: np.ndarray, what: int, where: np.ndarray):
         """A random path through each unit: pieces one path after the other, how many each has, and the log probabilities."""
-        node, end = self.root[units], self.end[units]
-        log_p, taken = np.zeros(len(units)), np.zeros(len(units), np.int64)
-        live, out, step = np.arange(len(units)), [], 0
+        node, live, out, step = self.root[units], None, [], 0
+        log_p, taken = np.zeros(len(units)), np.ones(len(units), np.int64)
         base = (np.asarray(seed, np.uint64) ^ mix(where.astype(np.uint64) + _U(what << 40))) if len(units) else np.zeros(0, np.uint64)
-        while len(live):
-            e = self.first[node]
+        while len(node):
+            e = self.first[node + 1] - 1  # the longest piece, which is mostly taken; what falls below it looks at the others in turn
             u = uniform(base, step)
-            on = np.flatnonzero(u >= self.upto[e])
-            while len(on):
-                e[on] += 1
-                on = on[u[on] >= self.upto[e[on]]]
+            below = np.flatnonzero(u < self.skip[node])
+            if len(below):
+                f, v = self.first[node[below]], u[below]
+                on = np.flatnonzero(v >= self.upto[f])
+                while len(on):
+                    f[on] += 1
+                    on = on[v[on] >= self.upto[f[on]]]
+                e[below] = f
             out.append((live, self.piece[e]))
-            log_p[live] += self.log_p[e]
-            taken[live] += 1
-            node = node + self.length[e]
-            going = np.flatnonzero(node < end)
-            live, node, end, base = live[going], node[going], end[going], base[going]
+            if live is None:
+                log_p = self.log_p[e]
+            else:
+                log_p[live] += self.log_p[e]
+                taken[live] += 1
+            jump = self.jump[e]
+            going = np.flatnonzero(jump)
+            live = going if live is None else live[going]
+            node, base = node[going] + jump[going], base[going]
             step += 1
         at = np.cumsum(taken) - taken
         pieces = np.zeros(int(taken.sum()), np.int32)
         for k, (who, ids) in enumerate(out):
-            pieces[at[who] + k] = ids
+            pieces[(at if who is None else at[who]) + k] = ids
         return pieces, taken, log_p
 
-    def edges(self, node: int):
-        a, b = int(self.first[node]), int(self.first[node + 1])
-        return list(zip(self.piece[a:b].tolist(), self.length[a:b].tolist(), self.log_p[a:b].tolist()))
-
-    def draw_other(self, unit: int, without: list[tuple], random) -> tuple[tuple, float] | None:
-        """A random path that is none of `without` (distinct paths), with its log probability; None if there is none.
+    def draw_other(self, unit: int, without: list[tuple], random) -> tuple[tuple, float, float] | None:
+        """A random path that is none of `without` (distinct paths), its log probability, and the probability of all of these; None if there is none.
 
         At each node the probability of the paths left out that lead on from it is taken off their edges; an edge that
         leads to nothing else is closed, which the number of paths from a node tells. Work grows with the unit's edges.
         """
         root, end = int(self.root[unit]), int(self.end[unit])
-        first = self.first[root : end + 1].tolist()
-        a = first[0]
-        piece, size, log_p = (x[a : first[-1]].tolist() for x in (self.piece, self.length, self.log_p))
-        spans = [range(first[i] - a, first[i + 1] - a) for i in range(end - root)]
+        first, n = self.first[root : end + 1].tolist(), end - root
+        a, z = first[0], first[-1]
+        piece, size, log_p = self.piece[a:z].tolist(), self.length[a:z].tolist(), self.log_p[a:z].tolist()
+        first = [x - a for x in first]
         most = len(without) + 1
-        ways = [0] * (end - root) + [1]  # how many paths lead on, up to `most`
-        for at in range(end - root - 1, -1, -1):
-            ways[at] = min(most, sum(ways[at + size[e]] for e in spans[at] if log_p[e] > NEVER))
+        ways = [0] * n + [1]  # how many paths lead on, up to `most`
+        for at in range(n - 1, -1, -1):
+            count = 0
+            for e in range(first[at], first[at + 1]):
+                if log_p[e] > NEVER:
+                    count += ways[at + size[e]]
+            ways[at] = count if count < most else most
         if ways[0] <= len(without):
             return None
-        tails = []  # for each path left out, the probability of what follows each of its pieces
+        tails, taken = [], 0.0  # for each path left out, the probability of what follows each of its pieces
         for path in without:
             at, own = 0, []
             for x in path:
-                e = next(e for e in spans[at] if piece[e] == x)
+                e = piece.index(x, first[at], first[at + 1])
                 own.append(log_p[e])
                 at += size[e]
-            tails.append(np.exp(np.cumsum(np.array(own)[::-1])[::-1]))
+            total = 0.0
+            for i in range(len(own) - 1, -1, -1):
+                total += own[i]
+                own[i] = math.exp(total)
+            tails.append(own)
+            taken += own[0]
         at, step, path, total = 0, 0, [], 0.0
         near = list(range(len(without)))  # paths left out that start like this one
-        while at < end - root:
-            options = []
-            for e in spans[at]:
+        while at < n:
+            options, every = [], 0.0
+            for e in range(first[at], first[at + 1]):
                 if log_p[e] == NEVER:
                     continue
-                weight, below = math.exp(log_p[e]), [i for i in near if without[i][step] == piece[e]]
-                if below:
-                    weight = 0.0 if ways[at + size[e]] <= len(below) else max(weight - sum(tails[i][step] for i in below), 1e-300)
+                weight = math.exp(log_p[e])
+                if near and (below := [i for i in near if without[i][step] == piece[e]]):
+                    weight = 0.0 if ways[at + size[e]] <= len(below) else max(weight - sum([tails[i][step] for i in below]), 1e-300)
                 if weight:
                     options.append((weight, e))
-            u = random() * sum(w for w, _ in options)
+                    every += weight
+            u = random() * every
             for weight, e in options:
                 u -= weight
                 if u < 0:
                     break
             path.append(piece[e])
             total += log_p[e]
-            near = [i for i in near if without[i][step] == piece[e]]
+            if near:
+                near = [i for i in near if without[i][step] == piece[e]]
             at, step = at + size[e], step + 1
-        return tuple(path), total
+        return tuple(path), total, taken + math.exp(total)
 
 
 class Known:
@@ -322,10 +423,10 @@ class Known:
 
 def joined(a: Lattices, b: Lattices) -> Lattices:
     out = object.__new__(Lattices)
-    nodes, edges = len(a.mass), len(a.piece)
+    nodes, edges = len(a.skip), len(a.piece)
     out.root, out.end = np.concatenate([a.root, b.root + nodes]), np.concatenate([a.end, b.end + nodes])
     out.first = np.concatenate([a.first[:-1], b.first + edges])
-    for name in ("piece", "length", "mass", "log_p", "upto"):
+    for name in ("piece", "length", "jump", "mass", "skip", "log_p", "upto"):
         setattr(out, name, np.concatenate([getattr(a, name), getattr(b, name)]))
     return out
 
@@ -354,12 +455,12 @@ def units_of(data: np.ndarray, starts: np.ndarray, joins: np.ndarray) -> tuple[n
 
 
 class Sample:
+    """A segmentation: its pieces, the log probability of each unit's part, and how many pieces lie before each unit's end."""
+
     __slots__ = ("value", "log_p", "log_ps", "ends", "pieces")
 
-    def __init__(self, value, log_ps, counts, pieces):
-        self.value, self.log_ps, self.pieces = value, log_ps, pieces
-        self.ends = np.cumsum(counts)
-        self.log_p = float(log_ps.sum())
+    def __init__(self, value, log_p, log_ps, ends, pieces):
+        self.value, self.log_p, self.log_ps, self.ends, self.pieces = value, log_p, log_ps, ends, pieces
 
 
 class Sampler:
@@ -383,8 +484,7 @@ class Sampler:
         lattices = self.known.blocks
         seeds = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in keys], np.uint64)
         limit = np.concatenate([[0], np.cumsum(counts)])
-        inside = ragged(counts)
-        log_z = np.add.reduceat(np.append(lattices.mass[lattices.root[unit]], 0.0), limit[:-1]) * (counts > 0) if len(unit) else np.zeros(texts)
+        log_z = np.add.reduceat(np.append(lattices.mass[unit], 0.0), limit[:-1]) * (counts > 0) if len(unit) else np.zeros(texts)
         values = log_z - np.log(-np.log(uniform(seeds, 1)))
         samples: list[list[Sample]] = [[] for _ in range(texts)]
         heaps: list[list] = [[] for _ in range(texts)]
@@ -392,34 +492,35 @@ class Sampler:
         for turn in range(k):
             if not todo:
                 break
-            sizes = np.array([counts[t] - at for t, at, _, _ in todo])
+            which, since = np.array([t for t, *_ in todo]), np.array([at for _, at, *_ in todo])
+            sizes = counts[which] - since
             offs = np.concatenate([[0], np.cumsum(sizes)])
-            pick = np.repeat([limit[t] + at for t, at, _, _ in todo], sizes) + ragged(sizes)
-            seed = np.repeat(seeds[[t for t, *_ in todo]], sizes)
-            pieces, taken, log_ps = lattices.walk(unit[pick], seed, turn, inside[pick]) if len(pick) else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
+            inside = np.repeat(since, sizes) + ragged(sizes)
+            pick = np.repeat(limit[which], sizes) + inside
+            pieces, taken, log_ps = lattices.walk(unit[pick], np.repeat(seeds[which], sizes), turn, inside)
             piece_at = np.concatenate([[0], np.cumsum(taken)])
-            with np.errstate(divide="ignore"):
-                rest = np.log(-np.expm1(np.minimum(log_ps, 0.0)))
-            prefix = np.array([log_z[t] + (float(x[0].log_ps[: at - 1].sum()) + x[2] if x else 0.0) for t, at, _, x in todo])
             running = np.concatenate([[0.0], np.cumsum(log_ps)])
-            mass = np.repeat(prefix - running[offs[:-1]], sizes) + running[:-1] + rest
-            values = gumbel_below(mass, np.repeat([x[2] for x in todo], sizes), uniform(seed, 2, turn, inside[pick]))
+            total = np.add.reduceat(np.append(log_ps, 0.0), offs[:-1]) * (sizes > 0)
+            prefix = np.array([log_z[t] + (float(x[0].log_ps[: at - 1].sum()) + x[2] if x else 0.0) for t, at, _, x in todo])
+            leaving = best_leaving(prefix, log_ps, running, offs, inside, uniform_seed(seeds[which], 2, turn), k + 1)
+            bounds = np.array([x[2] for x in todo])
             for j, (t, at, value, before) in enumerate(todo):
                 a, b = offs[j], offs[j + 1]
-                p, c, ids = log_ps[a:b], taken[a:b], pieces[piece_at[a] : piece_at[b]]
+                p, ends, ids = log_ps[a:b], piece_at[a + 1 : b + 1] - piece_at[a], pieces[piece_at[a] : piece_at[b]]
+                log_p = float(total[j])
                 if before is not None:
                     base, new_ids, new_p = before
                     keep = int(base.ends[at - 2]) if at > 1 else 0
                     p = np.concatenate([base.log_ps[: at - 1], [new_p], p])
-                    c = np.concatenate([np.diff(base.ends[: at - 1], prepend=0), [len(new_ids)], c])
+                    ends = np.concatenate([base.ends[: at - 1], [keep + len(new_ids)], ends + (keep + len(new_ids))])
                     ids = np.concatenate([base.pieces[:keep], np.array(new_ids, np.int32), ids])
-                one = Sample(value, p, c, ids)
-                samples[t].append(one)
-                g = values[a:b]
-                most = min(len(g), k + 1)
-                for i in np.argpartition(-g, most - 1)[:most].tolist() if most else ():
-                    if g[i] > NEVER:
-                        heapq.heappush(heaps[t], (-float(g[i]), len(samples[t]), at + i, one, ()))
+                    log_p += prefix[j] - log_z[t]
+                samples[t].append(Sample(value, float(log_p), p, ends, ids))
+            row, at, g = leaving
+            g = -np.logaddexp(-bounds[row], -g)  # truncated at the value of what they leave
+            for j, i, x in zip(row.tolist(), at.tolist(), g.tolist()):
+                t = todo[j][0]
+                heapq.heappush(heaps[t], (-x, len(samples[t]), todo[j][1] + i, samples[t][-1], ()))
             todo = [x for t, *_ in todo if turn + 1 < k and (x := self._branch(t, heaps[t], unit, limit[t], lattices, int(seeds[t]), turn, log_z[t]))]
         return data, samples, [-h[0][0] if h else NEVER for h in heaps], log_z
 
@@ -436,9 +537,9 @@ class Sampler:
             got = lattices.draw_other(which, list(without), lambda: uniform_one(seed, 3, turn, at, next(calls)))
             if got is None:
                 continue
-            ids, log_p = got
+            ids, log_p, taken = got
             more = (*without, ids)
-            rest = 1.0 - sum(math.exp(sum_log_p(lattices, which, x)) for x in more)
+            rest = 1.0 - taken
             if rest > 1e-12:
                 mass = log_z + float(base.log_ps[:at].sum()) + math.log(rest)
                 g = -float(np.logaddexp(-value, math.log(-math.log(uniform_one(seed, 4, turn, at))) - mass))
@@ -447,14 +548,6 @@ class Sampler:
         return None
 
 
-def sum_log_p(lattices: Lattices, unit: int, path: tuple) -> float:
-    node, total = int(lattices.root[unit]), 0.0
-    for x in path:
-        piece, length, p = next(e for e in lattices.edges(node) if e[0] == x)
-        total, node = total + p, node + length
-    return total
-
-
 def log_inclusion(x: float) -> float:
     """log(1 - exp(-exp(x)))."""
     if x > 6:
@@ -478,6 +571,27 @@ def spelled(vocabulary: Vocabulary, pieces: np.ndarray) -> np.ndarray:
     return vocabulary.flat[np.repeat(vocabulary.at[pieces], sizes) + ragged(sizes)]
 
 
+def round_trips(vocabulary: Vocabulary, samples: list[Sample], data: np.ndarray, starts: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether each sample's pieces, one after the other, are the bytes of its row of data."""
+    same = np.zeros(len(samples), bool)
+    per = max(1, len(samples) // 8)  # as many at a time as hold about half a step's bytes
+    for a in range(0, len(samples), per):
+        some, own = samples[a : a + per], row[a : a + per]
+        flat = np.concatenate([x.pieces for x in some])
+        ends = np.cumsum([len(x.pieces) for x in some])
+        sizes = np.diff(np.concatenate([[0], np.cumsum(vocabulary.size[flat])])[ends], prepend=0)
+        fits = sizes == starts[own + 1] - starts[own]
+        got = spelled(vocabulary, flat)
+        if not fits.all():
+            got = got[np.repeat(fits, sizes)]
+        own, sizes = own[fits], sizes[fits]
+        wrong = got != data[np.repeat(starts[own], sizes) + ragged(sizes)]
+        good = np.ones(len(own), bool)
+        good[np.searchsorted(np.cumsum(sizes), np.flatnonzero(wrong), "right")] = False
+        same[np.arange(a, a + len(some))[fits]] = good
+    return same
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SAMPLES, model: str = MODEL, temperature: float = TEMPERATURE, digest: bool = False, nested: bool = False) -> DataFrame:
     """key, rank (0 first), log_prob, perturbed, log_inclusion and pieces of each of the text's samples.
 
@@ -510,7 +624,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SA
             score = [0.0 if kappas[t] == NEVER else log_inclusion(one.log_p + log_z[t] - kappas[t]) for t, one in zip(row.tolist(), flat)]
             columns = [keys if nested else keys.take(pa.array(row)), pa.array(rank.astype(np.int32)), pa.array([one.log_p for one in flat], pa.float64()), pa.array([one.value - log_z[t] for t, one in zip(row.tolist(), flat)], pa.float64()), pa.array(score, pa.float64())]
             if digest or nested:
-                same = [np.array_equal(spelled(s.vocabulary, one.pieces), spaced[at[t] : at[t + 1]]) for t, one in zip(row.tolist(), flat)]
+                same = round_trips(s.vocabulary, flat, spaced, at, row)
             if digest:
                 columns += [pa.array(n, pa.int64()), pa.array([hashlib.sha256(one.pieces.astype("<i4").tobytes()).hexdigest() for one in flat], pa.string()), pa.array(same, pa.bool_())]
             else:
@@ -520,7 +634,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SA
                 own = np.concatenate([[0], np.cumsum([len(x) for x in samples])]).astype(np.int32)
                 every = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns[2:], arrow.field("samples").type.value_type)], fields=list(arrow.field("samples").type.value_type))
                 wrong = np.zeros(len(samples), np.int64)
-                np.add.at(wrong, row, ~np.array(same, bool))
+                np.add.at(wrong, row, ~same)
                 columns = [keys, pa.ListArray.from_arrays(pa.array(own), every), pa.array(wrong == 0)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
