@@ -49,6 +49,14 @@ def test_masses_of_short_and_long_units(vocabulary):
     assert len(lattices.piece) == sum(len(edges_of(vocabulary, u)) for u in units)
 
 
+def test_steps_of_empty_texts_alone():
+    s = pieces.sampler(pieces.MODEL, 1.0)
+    for n in (1, 3):
+        _, samples, kappa, _ = s.sample([b"%d" % i for i in range(n)], np.zeros(0, np.uint8), np.zeros(n + 1, np.int64), 4)
+        assert [len(own) for own in samples] == [1] * n and all(len(own[0].pieces) == 0 and own[0].log_p == 0 for own in samples)
+        assert kappa == [pieces.NEVER] * n
+
+
 def test_few_units_need_their_value(monkeypatch):
     """In a long text the values of some units at its start are worked out, not those of all its units."""
     text = ("the quick brown fox jumps over lazy dogs, and then it sleeps; " * 2_000).encode()

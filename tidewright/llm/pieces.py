@@ -497,7 +497,7 @@ class Sampler:
             offs = np.concatenate([[0], np.cumsum(sizes)])
             inside = np.repeat(since, sizes) + ragged(sizes)
             pick = np.repeat(limit[which], sizes) + inside
-            pieces, taken, log_ps = lattices.walk(unit[pick], np.repeat(seeds[which], sizes), turn, inside)
+            pieces, taken, log_ps = lattices.walk(unit[pick], np.repeat(seeds[which], sizes), turn, inside) if len(pick) else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
             piece_at = np.concatenate([[0], np.cumsum(taken)])
             running = np.concatenate([[0.0], np.cumsum(log_ps)])
             total = np.add.reduceat(np.append(log_ps, 0.0), offs[:-1]) * (sizes > 0)
