@@ -1,4 +1,5 @@
 import random
+import re
 
 from tidewright.llm.components import components
 
@@ -36,3 +37,13 @@ def test_components_in_few_tasks(spark):
     print("tasks", done, "jobs", len(jobs))
     assert found == expected
     assert done < 2_400
+
+
+def test_estimates_stay_small(spark):
+    """Estimated sizes do not multiply from round to round; their digits filled the driver's memory."""
+    found = components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"))
+    found.createOrReplaceTempView("found_components")
+    plan = spark.sql("EXPLAIN COST SELECT * FROM found_components").first()[0]
+    assert {r["label"] for r in found.collect()} == {0}
+    sizes = re.findall(r"sizeInBytes=([\d.E+]+) (\w+)", plan)
+    assert sizes and all(unit in ("B", "KiB", "MiB") and "E" not in size for size, unit in sizes), sizes
