@@ -253,14 +253,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     keys = classes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     star = keys.join(cut(buckets).hint("merge"), "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    members = cut(components(star)).select("node", F.col("label").alias("near")).join(classes.select("node", "rep.o", "rep.t").hint("merge"), "node")
+    # members, marked and second are written, as each is read several times: a plan that held what they come from would run it again
+    members = cut(components(star).select("node", F.col("label").alias("near")).join(classes.select("node", "rep.o", "rep.t").hint("merge"), "node"))
     texts = docs.select("o", "t", "text")
     first = members.select("near", "node", "o", "t", (F.col("node") == F.col("near")).alias("front"), F.col("node").alias("label"))
     links = cut(verified(first, texts, threshold, block)).select(F.least("a", "b").alias("near"), F.greatest("a", "b").alias("node"))
-    marked = members.where("near <> node").join(links.withColumn("linked", F.lit(True)).hint("merge"), ["near", "node"], "left").withColumn("front", F.col("linked").isNull())
+    marked = cut(members.where("near <> node").join(links.withColumn("linked", F.lit(True)).hint("merge"), ["near", "node"], "left").withColumn("front", F.col("linked").isNull()))
     # the leader itself has been held against all; a group of it and one other member has nothing left to compare
     open_ = cut(marked.groupBy("near").agg(F.count("*").alias("n"), F.count_if("front").alias("fronts")).where("fronts > 0 and n > 1").select("near"))
-    second = marked.join(open_.hint("merge"), "near").select("near", "node", "o", "t", "front", F.when(F.col("front"), F.col("node")).otherwise(F.col("near")).alias("label"))
+    second = cut(marked.join(open_.hint("merge"), "near").select("near", "node", "o", "t", "front", F.when(F.col("front"), F.col("node")).otherwise(F.col("near")).alias("label")))
     more = verified(second, texts, threshold, block)
     linked = components(links.select(F.col("near").alias("a"), F.col("node").alias("b")).unionByName(more))
     reps = classes.select("node", "d1", "d2", "rep").join(linked.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
