@@ -1,6 +1,7 @@
 import random
 import re
 
+from tidewright.llm import minhash_dedup
 from tidewright.llm.components import components
 
 OFF = "spark.sql.adaptive.coalescePartitions.enabled"
@@ -47,3 +48,20 @@ def test_estimates_stay_small(spark):
     assert {r["label"] for r in found.collect()} == {0}
     sizes = re.findall(r"sizeInBytes=([\d.E+]+) (\w+)", plan)
     assert sizes and all(unit in ("B", "KiB", "MiB") and "E" not in size for size, unit in sizes), sizes
+
+
+def test_near_dedup_estimates_stay_small(spark):
+    """The same over near-dedup, whose second graph comes from the first one's components: a chain of near texts takes some rounds in both."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    texts = []
+    for i in range(12):
+        words = words[:]
+        words[i * 15 + 3] = f"new{i}"
+        texts.append((i, " ".join(words)))
+    out = minhash_dedup.stage(spark, spark.createDataFrame(texts, "doc_id long, text string"), "")
+    out.createOrReplaceTempView("near_dedup_kept")
+    plan = spark.sql("EXPLAIN COST SELECT * FROM near_dedup_kept").first()[0]
+    assert [r["doc_id"] for r in out.collect()] == [0]
+    digits = [int(x) for x in re.findall(r"sizeInBytes=[\d.]+E\+(\d+) B", plan)]
+    assert max(digits, default=0) < 1_000, digits
